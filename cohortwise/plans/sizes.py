@@ -1,0 +1,23 @@
+"""Broadcast of lookup tables, behind a check of their size."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+LIMIT_BYTES = 32 * 1024 * 1024
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Size of a table as the optimizer knows it: the file size for a stored table."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def lookup(df: DataFrame, *bases: DataFrame, limit: int = LIMIT_BYTES) -> DataFrame:
+    """`df` marked for broadcast if the tables it is cut from are together under `limit`.
+
+    `df` must not have more rows than its bases. Over the limit the frame is returned as it
+    is and joined by shuffle. The check matters where the estimate of a join result is far
+    above its true size and the large side would be shuffled for a small lookup.
+    """
+    return F.broadcast(df) if sum(map(estimated_bytes, bases)) <= limit else df

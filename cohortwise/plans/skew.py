@@ -1,0 +1,40 @@
+"""Join helper for keys that may hold a large share of all rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+SHARE = 0.001
+SALTS = 64
+
+
+def hot_keys(weights: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """Keys holding more than SHARE of the total weight: at most 1 / SHARE rows by construction."""
+    total = weights.agg(F.sum(weight)).scalar()
+    return weights.where(F.col(weight) > total * F.lit(SHARE)).select(*keys)
+
+
+def salted_join(
+    left: DataFrame,
+    right: DataFrame,
+    keys: list[str],
+    spread: list[str],
+    hot: DataFrame | None = None,
+    how: str = "inner",
+) -> DataFrame:
+    """Equi-join of `left` with `right` where some key of `left` may be very frequent.
+
+    Rows of a hot key are spread over SALTS tasks by a hash of the `spread` columns (a
+    stable choice, so a retried task writes the same rows), and the right rows of that
+    key are repeated once per salt. All other keys are joined as usual. The hot list has
+    at most 1 / SHARE rows, which is why it may be broadcast.
+    """
+    if hot is None:
+        hot = hot_keys(left.groupBy(*keys).agg(F.count("*").alias("_weight")), keys, "_weight")
+    hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")).otherwise(0)
+    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    salted = left.join(hot, keys, "left").withColumn("_salt", salt).drop("_hot")
+    copies = right.join(hot, keys, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
+    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
