@@ -8,8 +8,6 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
-
 
 def present(column: Column | str) -> Column:
     """The text, or NULL where it is empty: patient-level rows carry an empty sample id."""
@@ -17,10 +15,15 @@ def present(column: Column | str) -> Column:
 
 
 def to_number(column: Column | str) -> Column:
-    """Finite double written in a text column; NULL for anything else ('', 'NA', 'nan', '<1')."""
+    """Finite double written in a text column; NULL for anything else ('', 'NA', 'nan', '<1').
+
+    The cast also reads Java literals such as '1.0d', '1f' and '0x1p3', hence the check for
+    letters that no plain number has.
+    """
     text = F.col(column) if isinstance(column, str) else column
-    number = F.when(text.rlike(NUMBER), F.trim(text).try_cast("double"))
-    return F.when(F.abs(number) < F.lit(float("inf")), number)
+    number = text.try_cast("double")
+    plain = F.translate(text, "dDfFxX", "") == text
+    return F.when(plain & (F.abs(number) < F.lit(float("inf"))), number)
 
 
 def percent(part: Column, whole: Column) -> Column:

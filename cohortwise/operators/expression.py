@@ -32,7 +32,8 @@ def gene_values(t, study: str | list[str] | None, profile: str, gene: str | None
     rows = rows.where(F.col("profile_type") == profile)
     if gene is not None:
         rows = rows.where(F.col(GENE) == gene)
-    return rows.select(STUDY, SAMPLE, GENE, to_number("alteration_value").alias("v")).where(F.col("v").isNotNull())
+    known = F.col("v").isNotNull() & F.col(STUDY).isNotNull() & F.col(SAMPLE).isNotNull() & F.col(GENE).isNotNull()
+    return rows.select(STUDY, SAMPLE, GENE, to_number("alteration_value").alias("v")).where(known)
 
 
 def _counted(values: DataFrame, keys: list[str], name: str) -> DataFrame:

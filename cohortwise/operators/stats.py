@@ -180,12 +180,13 @@ def benjamini_hochberg(tests: DataFrame, keys: list[str], p: str = "p_value") ->
     """The tests with `q_value`: smallest p * m / rank at or above the test's own p.
 
     Ranks come from the sliced ranking, so one long list of tests is not sorted in one task;
-    the running minimum is then taken over slices and inside each slice.
+    the running minimum is likewise taken over slices and then inside each slice. Slices are
+    cut on a log scale, since small p-values are the ones that crowd.
     """
-    levels = cumulative(tests.where(F.col(p).isNotNull()), keys, p)
+    part = F.floor(F.log(F.greatest(F.col(p), F.lit(1e-300))) * F.lit(64))
+    levels = cumulative(tests.where(F.col(p).isNotNull()), keys, p, slices=part)
     raw = F.col(p) * F.col("n_total") / (F.col("n_below") + F.col("n"))
-    # p lies in [0, 1]; 1024 slices of it bound the second window
-    sliced = levels.withColumn("_raw", raw).withColumn("_part", F.floor(F.col(p) * 1024))
+    sliced = levels.withColumn("_raw", raw).withColumn("_part", part)
     after = W.partitionBy("_one", *keys).orderBy("_part").rowsBetween(1, W.unboundedFollowing)
     parts = (
         sliced.groupBy(*keys, "_part").agg(F.min("_raw").alias("_min")).withColumn("_one", F.lit(1))
@@ -195,11 +196,7 @@ def benjamini_hochberg(tests: DataFrame, keys: list[str], p: str = "p_value") ->
     quality = null_safe_join(sliced.withColumn("_here", F.min("_raw").over(inside)), parts, [*keys, "_part"]).select(
         *keys, p, F.least(F.col("_here"), F.col("_above"), F.lit(1e0)).alias("q_value")
     )
-    return tests.join(quality, [*keys, p], "left") if not keys else _left_null_safe(tests, quality, [*keys, p])
-
-
-def _left_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    return null_safe_join(left, right, keys, "left")
+    return null_safe_join(tests, quality, [*keys, p], "left")
 
 
 def kaplan_meier(patients: DataFrame, keys: list[str], months: str, event: str) -> DataFrame:

@@ -9,15 +9,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cohortwise.plans.skew import hot_keys, salted_join
+from cohortwise.plans.skew import is_hot, salted_join
 
-SLICES_PER_UNIT = 1024
+SLICES_PER_UNIT = 64
 
 
 def _slice(value: Column) -> Column:
     """Number of the value slice: non-decreasing in the value and fixed for a given value.
 
-    Linear below 1 and logarithmic above, so a slice spans at most 1/1024 (absolute or
+    Linear below 1 and logarithmic above, so a slice spans at most 1/64 (absolute or
     relative). It depends on the value only, hence a re-run task cuts the same slices.
     """
     return F.floor(F.signum(value) * F.log1p(F.abs(value)) * F.lit(float(SLICES_PER_UNIT)))
@@ -30,20 +30,23 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return left.join(other, same, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def cumulative(values: DataFrame, keys: list[str], value: str, weight: str | None = None) -> DataFrame:
+def cumulative(
+    values: DataFrame, keys: list[str], value: str, weight: str | None = None, slices: Column | None = None
+) -> DataFrame:
     """One row per (keys, value): `n` rows with it, `n_below` rows under it, `n_total` in the group.
 
     Rows are first counted per distinct value (map-side combined). Counts are then summed
     per slice of the value range, and a running sum inside each slice is added to the
-    running sum over slices, so a large group is ranked by many tasks.
+    running sum over slices, so a large group is ranked by many tasks. `slices` replaces the
+    rule that cuts the value range; it must not decrease as the value grows.
     """
     n = F.sum(weight) if weight else F.count("*")
-    counts = values.groupBy(*keys, value).agg(n.alias("n")).withColumn("_slice", _slice(F.col(value)))
+    counts = values.groupBy(*keys, value).agg(n.alias("n")).withColumn("_slice", _slice(F.col(value)) if slices is None else slices)
     # the literal key keeps the windows partitioned when there are no group keys
-    slices = counts.groupBy(*keys, "_slice").agg(F.sum("n").alias("_size")).withColumn("_one", F.lit(1))
+    sizes = counts.groupBy(*keys, "_slice").agg(F.sum("n").alias("_size")).withColumn("_one", F.lit(1))
     group = W.partitionBy("_one", *keys)
     ordered = group.orderBy("_slice").rowsBetween(W.unboundedPreceding, W.currentRow)
-    bases = slices.select(
+    bases = sizes.select(
         *keys,
         "_slice",
         (F.sum("_size").over(ordered) - F.col("_size")).alias("_base"),
@@ -87,14 +90,18 @@ def spearman(pairs: DataFrame, keys: list[str], a: str, b: str, weight: str | No
     several tasks, folded per value of `a` (partial sums), and only then meets the rank of `a`.
     """
     copies = F.sum(weight) if weight else F.count("*")
-    counted = pairs.groupBy(*keys, a, b).agg(copies.alias("_pairs"))
+    # stated once here, the filter is not inferred anew in each branch, so the branches share the exchange
+    known = reduce(and_, [F.col(c).isNotNull() for c in (*keys, a, b)])
+    counted = pairs.where(known).groupBy(*keys, a, b).agg(copies.alias("_pairs"))
     # half the rank range is the mean rank, whatever the ties
-    centred = (F.col("rank") - (F.col("n_total") + F.lit(1)) / F.lit(2e0)).alias("_d")
+    centred = (F.col("rank") - (F.col("n_total") + F.lit(1)) / F.lit(2e0)).alias("_db")
     ranks_a = mean_ranks(counted, keys, a, "_pairs")
     ranks_b = mean_ranks(counted, keys, b, "_pairs")
-    hot = hot_keys(ranks_b, [*keys, b], "n")
+    frequent = is_hot(F.col("n"), counted.agg(F.sum("_pairs")).scalar())
+    sides = ranks_b.select(*keys, b, centred, frequent.alias("_frequent"))
+    hot = sides.where("_frequent").select(*keys, b)
     folded = (
-        salted_join(counted, ranks_b.select(*keys, b, centred.alias("_db")), [*keys, b], [a], hot)
+        salted_join(counted, sides, [*keys, b], [a], hot, F.col("_frequent"))
         .groupBy(*keys, a)
         .agg(
             F.sum("_pairs").alias("_n"),

@@ -190,27 +190,28 @@ def texts(dialect: str) -> dict[str, str]:
     return {**VIEWS, **(SPARK_ONLY if dialect == "spark" else DUCKDB_ONLY)}
 
 
-def _mentioned(sql: str, names) -> set[str]:
+def mentioned(sql: str, names) -> set[str]:
+    """Those of the names that the text refers to."""
     return {n for n in names if re.search(rf"(?<![\w.']){n}(?![\w'])", sql)}
 
 
 def with_tables(sql: str, dialect: str, base: dict[str, str] | None = None) -> str:
     """`sql` preceded by one CTE for each table it needs, in dependency order.
 
-    `base` maps base tables to the text that reads them; without it they are expected
-    to exist under their own names, as they do in the check.
+    `base` maps tables to the text that reads a stored copy; without it the base tables
+    are expected to exist under their own names, as they do in the check.
     """
-    definitions = {**(base or {}), **texts(dialect)}
+    definitions = {**texts(dialect), **(base or {})}
     ordered: list[str] = []
 
     def visit(name: str) -> None:
         if name in ordered:
             return
-        for other in sorted(_mentioned(definitions[name], set(definitions) - {name})):
+        for other in sorted(mentioned(definitions[name], set(definitions) - {name})):
             visit(other)
         ordered.append(name)
 
-    for name in sorted(_mentioned(sql, definitions)):
+    for name in sorted(mentioned(sql, definitions)):
         visit(name)
     ctes = ",\n".join(f"{name} as ({definitions[name].strip()})" for name in ordered)
     body = sql.strip()

@@ -6,8 +6,6 @@
 
 from __future__ import annotations
 
-from cohortwise.functions.values import NUMBER
-
 TABLES = (
     "cancer_study", "patient", "sample", "gene", "gene_panel", "gene_panel_list", "sample_to_gene_panel_derived",
     "genomic_event_derived", "clinical_data_derived", "cancer_study_query_preferences",
@@ -114,12 +112,13 @@ from placed where place <= top_n
 
 # Mean ranks of both sides come from counts per distinct value: summed per slice of the value
 # range, then inside the slice, so that no single task orders all values.
-COEXPRESSION = f"""
+COEXPRESSION = """
 with valued as (
-  select sample_unique_id, hugo_gene_symbol, try_cast(trim(alteration_value) as double) as v
+  select sample_unique_id, hugo_gene_symbol, try_cast(alteration_value as double) as v
   from genetic_alteration_derived d
   where d.cancer_study_identifier = study and d.profile_type = gene_pair_coexpression.profile_type
-    and alteration_value rlike r'{NUMBER}'
+    and translate(alteration_value, 'dDfFxX', '') = alteration_value
+    and abs(try_cast(alteration_value as double)) < double('infinity')
 ), first as (select sample_unique_id, v as a from valued where hugo_gene_symbol = gene_a),
 second as (select sample_unique_id, v as b from valued where hugo_gene_symbol = gene_b),
 counted as (select a, b, count(*) as n from first join second using (sample_unique_id) group by a, b),

@@ -48,14 +48,17 @@ def load(spark: SparkSession, directory: str) -> Tables:
     return Tables(spark, lambda name: spark.read.parquet(f"{directory}/{name}"), directory)
 
 
+def _files(directory: str) -> dict[str, str]:
+    return {n: f"select * from parquet.`{directory}/{n}.parquet`" for n in projection.BASE_TABLES}
+
+
 def project(spark: SparkSession, directory: str) -> Tables:
     """Cohort tables as lazy projections of the sample Parquet files in `directory`."""
-    base = {n: f"select * from parquet.`{directory}/{n}.parquet`" for n in projection.BASE_TABLES}
 
     def get(name: str) -> DataFrame:
         if name in projection.BASE_TABLES:
             return spark.read.parquet(f"{directory}/{name}.parquet")
-        return spark.sql(projection.with_tables(f"select * from {name}", "spark", base))
+        return spark.sql(projection.with_tables(f"select * from {name}", "spark", _files(directory)))
 
     return Tables(spark, get, directory)
 
@@ -67,19 +70,24 @@ def warehouse(spark: SparkSession, directory: str) -> Tables:
     """`project`, with each table written once per application to the shared folder.
 
     Derived tables are joined, clustered and stored on first use, as the data model wants
-    them; later queries read physical columns and can skip row groups by study and gene.
+    them; later queries read physical columns and can skip row groups by study and gene. A
+    table is derived from the stored copies of the tables it builds on.
     """
-    source = project(spark, directory)
     digest = hashlib.md5(directory.encode()).hexdigest()[:12]
     root = f"{shared_dir(spark)}/cohortwise/{spark.sparkContext.applicationId}/{digest}"
+    definitions = projection.texts("spark")
 
-    def get(name: str) -> DataFrame:
-        if name in projection.BASE_TABLES:
-            return getattr(source, name)
+    def stored(name: str) -> str:
         path = f"{root}/{name}"
         if path not in _written:
-            prep.write_table(getattr(source, name), path, name)
+            parents = projection.mentioned(definitions[name], set(definitions) - {name})
+            copies = {parent: f"select * from parquet.`{stored(parent)}`" for parent in sorted(parents)}
+            text = projection.with_tables(f"select * from {name}", "spark", {**_files(directory), **copies})
+            prep.write_table(spark.sql(text), path, name)
             _written.add(path)
-        return spark.read.parquet(path)
+        return path
+
+    def get(name: str) -> DataFrame:
+        return spark.read.parquet(f"{directory}/{name}.parquet" if name in projection.BASE_TABLES else stored(name))
 
     return Tables(spark, get, directory)
