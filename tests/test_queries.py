@@ -54,8 +54,9 @@ def test_plans_have_no_cross_join_and_no_python(spark, name):
 def test_filters_and_columns_reach_the_scan(spark, tables):
     from cohortwise.operators import frequency
 
-    df = frequency.gene_mutation_frequency_by_cancer_type(tables, "pan_cancer_tcga", "GENE3")
-    text = df._jdf.queryExecution().toString()
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    text = plan(frequency.gene_mutation_frequency_by_cancer_type(tables, "pan_cancer_tcga", "GENE3"))
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
     scan = next(line for line in text.splitlines() if "FileScan" in line and "hugo_gene_symbol" in line and "off_panel" in line)
     assert "EqualTo(hugo_gene_symbol,GENE3)" in scan and "variant_type" in scan
     columns = re.search(r"ReadSchema: struct<([^>]*)>", scan).group(1)
