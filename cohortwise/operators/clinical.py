@@ -222,23 +222,18 @@ def count_of_type(t, study: str | None, sample_type: str, attribute: str = "SAMP
 
 def type_hierarchy(t, study: str | None = None, broad: str = "CANCER_TYPE",
                    detailed: str = "CANCER_TYPE_DETAILED") -> DataFrame:
-    """Samples per (broad, detailed) value pair.
-
-    Both attributes are folded to one row per sample in a single pass, which stands for
-    the self join: pairs are formed inside the row.
-    """
+    """Samples per (broad, detailed) value pair; a sample with several values counts in each pair."""
     rows, keys = by_study(t.clinical_data_derived, study)
-    per_sample = (
-        rows.where(_name().isin(broad, detailed) & (F.col(SAMPLE) != ""))
-        .groupBy(*keys, SAMPLE)
-        .agg(
-            F.collect_set(value_of(broad)).alias("broad"),
-            F.collect_set(value_of(detailed)).alias("detailed"),
-        )
-    )
+    unit = [*keys, SAMPLE]
+
+    def values(attribute: str, name: str) -> DataFrame:
+        # distinct first: a value repeated for a sample neither counts nor multiplies rows
+        chosen = rows.where((_name() == attribute) & (F.col(SAMPLE) != ""))
+        return chosen.select(*unit, _value().alias(name)).distinct()
+
     return (
-        per_sample.select(*keys, "detailed", F.explode("broad").alias("broad_cancer_type"))
-        .select(*keys, "broad_cancer_type", F.explode("detailed").alias("detailed_cancer_type"))
+        values(broad, "broad_cancer_type")
+        .join(values(detailed, "detailed_cancer_type"), unit)
         .groupBy(*keys, "broad_cancer_type", "detailed_cancer_type")
         .agg(F.count("*").alias("sample_count"))
         .orderBy(*keys, "broad_cancer_type", F.desc("sample_count"), "detailed_cancer_type")

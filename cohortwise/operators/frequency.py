@@ -50,48 +50,31 @@ def _frequency(t, studies, study_keys: list[str], gene: str | None, alteration:
                min_profiled: int, include_zero: bool) -> DataFrame:
     """Altered, profiled and percentage per (study keys, cancer type[, gene]).
 
-    Types, altered genes and panels are first folded to one row per sample; all three are
-    partitioned by sample, so numerator and denominator meet the types without another
-    exchange and the remaining aggregates are over counts.
+    Types, altered genes and panels are made distinct per sample before they meet, so no
+    sample is heavy in the joins, and everything after the joins is counts.
     """
     unit = [*study_keys, SAMPLE]
     group = [*study_keys, TYPE]
     types = (
         in_cohort(t.clinical_data_derived, studies)
         .where((F.col("attribute_name") == "CANCER_TYPE") & (F.col(SAMPLE) != ""))
-        .groupBy(*unit)
-        .agg(F.collect_set("attribute_value").alias("types"))
+        .select(*unit, F.col("attribute_value").alias(TYPE))
+        .distinct()
     )
     events = in_cohort(altered_events(t, alteration), studies)
-    kind = COVERAGE_TYPE.get(alteration, "")
+
+    def count(units: DataFrame, name: str, *more: str) -> DataFrame:
+        return units.join(types, unit).groupBy(*group, *more).agg(F.count("*").alias(name))
 
     if gene is not None:
         altered = events.where(F.col(GENE) == gene).select(*unit).distinct()
         covered = covered_samples(t, gene, alteration, studies).select(*unit).distinct()
-
-        def count(units: DataFrame, name: str) -> DataFrame:
-            typed = units.join(types, unit).select(*study_keys, F.explode("types").alias(TYPE))
-            return typed.groupBy(*group).agg(F.count("*").alias(name))
-
         counts = count(covered, "profiled_samples").join(
             count(altered, "altered_samples"), group, "left" if include_zero else "inner"
         )
     else:
-        genes = events.groupBy(*unit).agg(F.collect_set(GENE).alias("genes"))
-        altered = (
-            genes.join(types, unit)
-            .select(*study_keys, "genes", F.explode("types").alias(TYPE))
-            .select(*group, F.explode("genes").alias(GENE))
-            .groupBy(*group, GENE)
-            .agg(F.count("*").alias("altered_samples"))
-        )
-        sets = (
-            panel_sets(t, kind, unit, studies)
-            .join(types, unit)
-            .select(*study_keys, "panels", F.explode("types").alias(TYPE))
-            .groupBy(*group, "panels")
-            .agg(F.count("*").alias("units"))
-        )
+        altered = count(events.select(*unit, GENE).distinct(), "altered_samples", GENE)
+        sets = count(panel_sets(t, COVERAGE_TYPE.get(alteration, ""), unit, studies), "units", "panels")
         named, exome = profiled_per_gene(t, sets, group)
         group = [*group, GENE]
         counts = (
@@ -303,9 +286,8 @@ def patient_frequency(t, study: str | None = None, gene: str | None = None) -> D
         named, exome = profiled_per_gene(t, sets, keys)
         listed = panel_genes(t).distinct().withColumn("listed", F.lit(True))
         altered = (
-            events.groupBy(*unit).agg(F.collect_set(GENE).alias("genes"))
+            events.select(*unit, GENE).distinct()
             .join(panels, unit)
-            .select(STUDY, "patient_unique_id", "panels", F.explode("genes").alias(GENE))
             .select(STUDY, "patient_unique_id", GENE, F.explode("panels").alias("gene_panel_id"))
             .join(listed, ["gene_panel_id", GENE], "left")
             .where(F.col("listed") | (F.col("gene_panel_id") == WHOLE_EXOME))
