@@ -53,10 +53,11 @@ def similar_studies(t, requested: DataFrame, limit: int = 10) -> DataFrame:
     """Studies whose id contains a part of the requested id, the first `limit` by id.
 
     Study ids are indexed by their substrings, so the search is an equi-join on the part.
+    Only the first `limit` studies of a part can be among the first of a request, so the
+    index is cut to them and a part that every id has brings no more rows than others.
     """
-    index = t.cancer_study.select(
-        STUDY, "name", F.explode(substrings(F.lower(STUDY), 3)).alias("token")
-    )
+    index = t.cancer_study.select(STUDY, "name", F.explode(substrings(F.lower(STUDY), 3)).alias("token"))
+    index = top_per_group(index, ["token"], [F.asc(STUDY)], limit)
     parts = (
         requested.select("requested_id").distinct()
         .select("requested_id", F.explode(F.array_distinct(id_tokens(F.col("requested_id")))).alias("token"))
@@ -208,19 +209,18 @@ def _retired() -> Column:
 def search_taxonomy(onco: DataFrame, terms: DataFrame, limit: int = 25) -> DataFrame:
     """For each distinct term the codes it finds, best score first, with path and retired codes.
 
-    Blank terms find nothing.
+    Ranking and cutting happen in the index, which is as large as the taxonomy; the table of
+    terms only looks its needles up. Blank terms find nothing.
     """
-    wanted = terms.select("term").distinct().withColumn("needle", F.lower(F.btrim("term", F.lit(" \t\n\r\f\v"))))
-    wanted = wanted.where(F.col("needle") != "")
-    hits = wanted.select("needle").distinct().join(taxonomy_index(onco), "needle")
-    best = top_per_group(hits, ["needle"], [F.desc("score"), F.asc("code")], limit)
+    best = top_per_group(taxonomy_index(onco), ["needle"], [F.desc("score"), F.asc("code")], limit)
     retired = F.when(F.size(_retired()) > 0, F.array_join(_retired(), ","))
     details = onco.select("code", "name", "main_type", "tissue", retired.alias("replaced_codes")).join(
         taxonomy_paths(onco), "code", "left"
     )
+    needle = F.lower(F.btrim("term", F.lit(" \t\n\r\f\v")))
+    wanted = terms.select("term").distinct().withColumn("needle", needle).where(F.col("needle") != "")
     return (
-        wanted.join(best, "needle")
-        .join(details, "code")
+        wanted.join(best.join(details, "code"), "needle")
         .select("term", "code", "name", "score", "main_type", "tissue", "hierarchy", "replaced_codes")
     )
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cohortwise.plans.ranking import cumulative, mean_ranks, null_safe_join
+from cohortwise.plans.ranking import cumulative, mean_ranks, null_safe_join, running_sum, value_slice
 
 
 def fisher_exact(tables: DataFrame, a: str = "a", b: str = "b", c: str = "c", d: str = "d") -> DataFrame:
@@ -202,19 +202,19 @@ def benjamini_hochberg(tests: DataFrame, keys: list[str], p: str = "p_value") ->
 def kaplan_meier(patients: DataFrame, keys: list[str], months: str, event: str) -> DataFrame:
     """Survival estimate at each time with an event: at risk, events, survival.
 
-    Patients are counted per distinct time first, so the ordered step has one row per time.
+    Patients are counted per distinct time first. The product of the step factors is a
+    running sum of logs, taken over slices of the time and then inside the slice; a step to
+    zero, possible only at the last time of all, ends the curve.
     """
     known = patients.where(F.col(months).isNotNull() & F.col(event).isNotNull())
     deaths = known.groupBy(*keys, months).agg(F.sum(F.col(event).cast("int")).alias("events"))
     times = null_safe_join(cumulative(known, keys, months), deaths, [*keys, months])
     times = times.where(F.col("events") > 0).withColumn("at_risk", F.col("n_total") - F.col("n_below"))
-    upto = W.partitionBy("_one", *keys).orderBy(months).rowsBetween(W.unboundedPreceding, W.currentRow)
-    # the product of step factors as a sum of logs; a step to zero ends the curve
     last = F.col("events") == F.col("at_risk")
-    log_step = F.when(~last, F.log(F.lit(1e0) - F.col("events") / F.col("at_risk"))).otherwise(0e0)
-    times = times.withColumn("_one", F.lit(1))
-    survival = F.when(F.max(last).over(upto), 0e0).otherwise(F.exp(F.sum(log_step).over(upto)))
-    return times.select(*keys, months, "at_risk", "events", survival.alias("survival"))
+    factor = F.when(~last, F.log(F.lit(1e0) - F.col("events") / F.col("at_risk"))).otherwise(0e0)
+    curve = running_sum(times.withColumn("log_step", factor), keys, months, value_slice(F.col(months)), "log_step")
+    survival = F.when(last, 0e0).otherwise(F.exp("log_step_upto"))
+    return curve.select(*keys, months, "at_risk", "events", survival.alias("survival"))
 
 
 def median_survival(patients: DataFrame, keys: list[str], months: str, event: str) -> DataFrame:

@@ -14,7 +14,7 @@ from cohortwise.plans.skew import is_hot, salted_join
 SLICES_PER_UNIT = 64
 
 
-def _slice(value: Column) -> Column:
+def value_slice(value: Column) -> Column:
     """Number of the value slice: non-decreasing in the value and fixed for a given value.
 
     Linear below 1 and logarithmic above, so a slice spans at most 1/64 (absolute or
@@ -41,7 +41,7 @@ def cumulative(
     rule that cuts the value range; it must not decrease as the value grows.
     """
     n = F.sum(weight) if weight else F.count("*")
-    counts = values.groupBy(*keys, value).agg(n.alias("n")).withColumn("_slice", _slice(F.col(value)) if slices is None else slices)
+    counts = values.groupBy(*keys, value).agg(n.alias("n")).withColumn("_slice", value_slice(F.col(value)) if slices is None else slices)
     # the literal key keeps the windows partitioned when there are no group keys
     sizes = counts.groupBy(*keys, "_slice").agg(F.sum("n").alias("_size")).withColumn("_one", F.lit(1))
     group = W.partitionBy("_one", *keys)
@@ -59,6 +59,22 @@ def cumulative(
     )
 
 
+def running_sum(rows: DataFrame, keys: list[str], order: str, part: Column, column: str) -> DataFrame:
+    """`rows` (one per keys and `order` value) with `<column>_upto`: its sum up to and including the row.
+
+    Summed over parts of the order first and then inside the part, like the ranks.
+    """
+    parted = rows.withColumn("_part", part)
+    sums = parted.groupBy(*keys, "_part").agg(F.sum(column).alias("_sum")).withColumn("_one", F.lit(1))
+    before = W.partitionBy("_one", *keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    bases = sums.select(*keys, "_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    inside = W.partitionBy(*keys, "_part").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    summed = parted.withColumn("_inside", F.sum(column).over(inside))
+    return null_safe_join(summed, bases, [*keys, "_part"]).select(
+        *rows.columns, (F.col("_before") + F.col("_inside")).alias(f"{column}_upto")
+    )
+
+
 def mean_ranks(values: DataFrame, keys: list[str], value: str, weight: str | None = None) -> DataFrame:
     """`cumulative` plus `rank`: the mean 1-based rank shared by tied rows."""
     return cumulative(values, keys, value, weight).withColumn(

@@ -22,7 +22,11 @@ _local_dirs: dict[str, str] = {}
 
 
 def build_session(app: str = "cohortwise", master: str | None = None, **conf: str) -> SparkSession:
-    """Session with the recommended settings; `conf` keys use `_` for `.`."""
+    """Session with the recommended settings; `conf` keys use `_` for `.`.
+
+    On a cluster give `spark_sql_shuffle_partitions` for the largest shuffle (its bytes over
+    200 MB); AQE merges what turns out small.
+    """
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)

@@ -157,15 +157,21 @@ def prepare(t, steps: Iterable[tuple[str, str, Callable]]):
     return t
 
 
-def write_table(df: DataFrame, path: str, name: str) -> None:
-    """Store one table as Parquet in its layout; an existing copy is replaced."""
+def write_table(df: DataFrame, path: str, name: str, partitions: int | None = None) -> None:
+    """Store one table as Parquet in its layout; an existing copy is replaced.
+
+    `partitions` is the number of ranges a clustered table is cut into, at best its size
+    over 200 MB; the default is `spark.sql.shuffle.partitions`, made fewer by AQE.
+    """
     clustered, folders = CLUSTERED.get(name, []), FOLDERS.get(name, [])
     if clustered:
-        df = df.repartitionByRange(*folders, *clustered).sortWithinPartitions(*folders, *clustered)
+        order = [*folders, *clustered]
+        ranged = df.repartitionByRange(*order) if partitions is None else df.repartitionByRange(partitions, *order)
+        df = ranged.sortWithinPartitions(*order)
     df.write.mode("overwrite").partitionBy(*folders).parquet(path)
 
 
-def write(t, directory: str, names: Iterable[str]) -> None:
+def write(t, directory: str, names: Iterable[str], partitions: dict[str, int] | None = None) -> None:
     """Store the named tables under `directory`; `load` reads them back."""
     for name in names:
-        write_table(getattr(t, name), f"{directory}/{name}", name)
+        write_table(getattr(t, name), f"{directory}/{name}", name, (partitions or {}).get(name))
