@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cohortwise.plans.skew import is_hot, salted_join
+from cohortwise.plans.skew import hot_keys, salted_join
 
 SLICES_PER_UNIT = 64
 
@@ -113,11 +113,9 @@ def spearman(pairs: DataFrame, keys: list[str], a: str, b: str, weight: str | No
     centred = (F.col("rank") - (F.col("n_total") + F.lit(1)) / F.lit(2e0)).alias("_db")
     ranks_a = mean_ranks(counted, keys, a, "_pairs")
     ranks_b = mean_ranks(counted, keys, b, "_pairs")
-    frequent = is_hot(F.col("n"), counted.agg(F.sum("_pairs")).scalar())
-    sides = ranks_b.select(*keys, b, centred, frequent.alias("_frequent"))
-    hot = sides.where("_frequent").select(*keys, b)
+    hot = hot_keys(counted.groupBy(*keys, b).agg(F.sum("_pairs").alias("n")), [*keys, b], "n")
     folded = (
-        salted_join(counted, sides, [*keys, b], [a], hot, F.col("_frequent"))
+        salted_join(counted, ranks_b.select(*keys, b, centred), [*keys, b], [a], hot)
         .groupBy(*keys, a)
         .agg(
             F.sum("_pairs").alias("_n"),

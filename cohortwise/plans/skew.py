@@ -2,52 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A key is hot above this share of all rows, unless it has too few rows to matter.
-SHARE = 0.001
+# The hot keys are the most frequent ones, if they have enough rows to matter. Any other
+# key holds at most 1 / MAX_HOT of the rows.
+MAX_HOT = 1000
 MIN_ROWS = 100_000
 SALTS = 64
 
 
-def is_hot(rows: Column, total: Column) -> Column:
-    """Whether a key with so many rows is hot: true for fewer than 1 / SHARE keys."""
-    return rows > F.greatest(total * F.lit(SHARE), F.lit(MIN_ROWS))
-
-
-def hot_keys(df: DataFrame, keys: list[str]) -> DataFrame:
-    """The hot keys of a table: fewer than 1 / SHARE rows by construction."""
-    counts = df.groupBy(*keys).agg(F.count("*").alias("_rows"))
-    total = counts.agg(F.sum("_rows")).scalar()
-    return counts.where(is_hot(F.col("_rows"), total)).select(*keys)
+def hot_keys(counts: DataFrame, keys: list[str], rows: str) -> DataFrame:
+    """The hot keys of a table, from its number of rows per key: never more than MAX_HOT."""
+    frequent = counts.where(F.col(rows) > MIN_ROWS)
+    return frequent.orderBy(F.desc(rows), *keys).limit(MAX_HOT).select(*keys)
 
 
 def salted_join(
-    left: DataFrame,
-    right: DataFrame,
-    keys: list[str],
-    spread: list[str],
-    hot: DataFrame | None = None,
-    hot_right: Column | None = None,
+    left: DataFrame, right: DataFrame, keys: list[str], spread: list[str], hot: DataFrame | None = None
 ) -> DataFrame:
     """Inner equi-join of `left` with `right` where some key of `left` may be very frequent.
 
     Rows of a hot key are spread over SALTS tasks by a hash of the `spread` columns (a
     stable choice, so a retried task writes the same rows), and the right rows of that
     key are repeated once per salt. All other keys are joined as usual. The hot list has
-    fewer than 1 / SHARE rows, which is why it may be broadcast. `hot_right` tells the hot
-    keys from the columns of `right`, when it carries how often its keys occur.
+    at most MAX_HOT rows, which is why it may be broadcast.
     """
     if hot is None:
-        hot = hot_keys(left, keys)
+        hot = hot_keys(left.groupBy(*keys).agg(F.count("*").alias("_rows")), keys, "_rows")
     marked = F.broadcast(hot.withColumn("_hot", F.lit(True)))
-    if hot_right is None:
-        right = right.join(marked, keys, "left")
-    else:
-        right = right.withColumn("_hot", hot_right)
-    every = F.sequence(F.lit(0), F.lit(SALTS - 1))
-    copies = right.withColumn("_salt", F.explode(F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0))))).drop("_hot")
+    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")).otherwise(0)
     salted = left.join(marked, keys, "left").withColumn("_salt", salt).drop("_hot")
+    copies = right.join(marked, keys, "left").withColumn("_salt", F.explode(every)).drop("_hot")
     return salted.join(copies, [*keys, "_salt"]).drop("_salt")

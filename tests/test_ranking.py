@@ -26,7 +26,6 @@ def hot(request, monkeypatch):
     """Run once with no hot values and once with all values treated as hot."""
     if request.param != "usual":
         monkeypatch.setattr(skew, "MIN_ROWS", 0)
-        monkeypatch.setattr(skew, "SHARE", 0.0)
         monkeypatch.setattr(skew, "SALTS", 3)
 
 
@@ -102,11 +101,12 @@ def test_salted_join_is_a_plain_join(spark, hot):
     assert rows(skew.salted_join(left, right, ["k"], ["v"]), "k", "v", "w") == rows(left.join(right, "k"), "k", "v", "w")
 
 
-def test_hot_keys_are_bounded(spark, monkeypatch):
-    monkeypatch.setattr(skew, "MIN_ROWS", 0)
-    monkeypatch.setattr(skew, "SHARE", 0.1)
-    df = spark.createDataFrame([("hot",)] * 40 + [(f"k{i}",) for i in range(60)], "k string")
-    assert rows(skew.hot_keys(df, ["k"])) == [("hot",)]
+def test_hot_keys_are_the_most_frequent_and_bounded(spark, monkeypatch):
+    monkeypatch.setattr(skew, "MIN_ROWS", 2)
+    monkeypatch.setattr(skew, "MAX_HOT", 2)
+    counts = spark.createDataFrame([("a", 5), ("b", 9), ("c", 5), ("d", 2)], "k string, n int")
+    assert rows(skew.hot_keys(counts, ["k"], "n")) == [("a",), ("b",)]
+    assert rows(skew.hot_keys(counts.where("k = 'd'"), ["k"], "n")) == []
 
 
 def test_hot_rows_are_spread(spark, monkeypatch):
