@@ -44,7 +44,7 @@ def two_by_two(t):
 
 
 def corrected(t):
-    """Tests of every gene in every pair-free study, corrected over all of them together."""
+    """One number in [0, 1] per study, type and gene, corrected over all of them together."""
     tests = frequency.gene_mutation_frequency_in_study(t, None, min_profiled=0)
     tests = tests.withColumn("p_value", F.col("altered_samples") / (F.col("profiled_samples") + F.lit(1)))
     tests = tests.select(STUDY, "cancer_type", "hugo_gene_symbol", "p_value")
