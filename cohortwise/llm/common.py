@@ -34,3 +34,12 @@ def cut(df: DataFrame) -> DataFrame:
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     """Bytes of all texts: one number, from which group counts are derived."""
     return docs.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0]
+
+
+def public_vocabulary(name: str = "byte_bpe_multi_50k.tiktoken") -> tuple[dict[bytes, int], str]:
+    """Ranks and pattern of a vocabulary file installed with `public_tokenizers`, read by the driver."""
+    import public_tokenizers
+
+    from cohortwise.llm.bpe import read_ranks
+
+    return read_ranks(public_tokenizers.path(name)), public_tokenizers.PATTERN

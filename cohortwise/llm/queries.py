@@ -4,16 +4,57 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortwise.llm.common import documents
+import corpus_pipeline
+from cohortwise.llm import bpe, embeddings, lm, minhash, mixing, pages, simhash, toxicity
+from cohortwise.llm.common import documents, public_vocabulary, stored
 from cohortwise.llm.substrings import remove_repeated_windows
 from cohortwise.llm.suffixes import remove_repeated_bytes
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four of five documents train the model, all are scored."""
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 1
+    return lm.score(documents(spark, sf_dir), held_out)
+
+
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(documents(spark, sf_dir), words=2, percent=80)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    scored = toxicity.score(docs.select("doc_id", "text"), toxicity.fit(documents(spark, sf_dir, "labels"), docs))
+    return scored.select("doc_id", "severity_grade", "expected_severity", "p_toxic", (F.col("p_toxic") >= 0.5).alias("toxic"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = remove_repeated_windows(documents(spark, sf_dir).select("doc_id", "text"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embeddings.near_duplicates(documents(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "n_links", "component_id", "kept")
+
+
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = documents(spark, sf_dir, "pages")
+    return pages.main_text(table, pages.learn(table)).select("page_id", "url", "text", "n_chars")
+
+
+def op7_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), *public_vocabulary())
+    decimal = F.array_join(F.col("token_ids").cast("array<string>"), ",")
+    return coded.select(
+        "doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(decimal, 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op8_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(documents(spark, sf_dir))
+
+
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = remove_repeated_bytes(documents(spark, sf_dir).select("doc_id", "text"))
     return cut.select(
@@ -21,9 +62,75 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("kept_bytes", 256).alias("kept_sha256"))
 
 
+def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n_near, for documents whose id is divisible by 50: other documents with a fingerprint at most three bits away."""
+    prints = stored(simhash.compare_neighbours(documents(spark, sf_dir)), "fingerprints")
+    counts = prints.groupBy("low", "high").agg(F.count(F.lit(1)).alias("n"))
+    near = simhash.near(prints, prints.where("doc_id % 50 = 0")).join(counts, ["low", "high"])
+    near = near.groupBy("query_low", "query_high").agg((F.sum("n") - 1).alias("n_near"))
+    asked = F.when(F.col("doc_id") % 50 == 0, F.col("low")).alias("asked")
+    out = prints.withColumn("asked", asked).join(
+        near, (F.col("asked") == F.col("query_low")) & (F.col("high") == F.col("query_high")), "left")
+    return out.select(
+        "doc_id", "n_chars", "edited_sha256", simhash.hexadecimal(F.col("low"), F.col("high")).alias("fingerprint"),
+        simhash.hexadecimal(F.col("edited_low"), F.col("edited_high")).alias("edited_fingerprint"),
+        simhash.likeness(*map(F.col, ("low", "high", "edited_low", "edited_high"))).alias("near_edited"),
+        simhash.likeness(*map(F.col, ("low", "high", "next_low", "next_high"))).alias("near_next"), "n_near")
+
+
 QUERIES = {
-    "op4_substring_dedup": op4_substring_dedup,
-    "op9_suffix_array_dedup": op9_suffix_array_dedup,
-}
+    query.__name__: query
+    for query in (
+        op1_lm_scoring, op2_minhash_near_dedup, op3_toxicity, op4_substring_dedup, op5_embedding_near_dedup,
+        op6_html_extraction, op7_byte_level_bpe, op8_mixing_sources, op9_suffix_array_dedup, op10_document_fingerprints,
+    )
+} | {"pipeline": corpus_pipeline.run}
+
+WORD = r"[^\x20\x09-\x0D]+"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-SQL: dict[str, str] = {}
+COMPONENTS = """
+reach as (
+  select a as id, a as other from pairs union select a, b from pairs
+  union select r.id, p.b from reach r join pairs p on p.a = r.other)"""
+
+SQL: dict[str, str] = {
+    "op2_minhash_near_dedup": f"""
+with recursive texts as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') as w from documents),
+sets as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 2 then [w]
+    else list_distinct(list_transform(range(1, len(w)), lambda i: w[i:i + 1])) end as s from texts),
+shingles as (select doc_id, unnest(s) as x from sets),
+shared as (select a.doc_id as a, b.doc_id as b, count(*) as n from shingles a join shingles b on a.x = b.x group by all),
+pairs as (
+  select a, b from shared join sets p on p.doc_id = a join sets q on q.doc_id = b
+  where a != b and 100 * n >= 80 * (len(p.s) + len(q.s) - n)),
+{COMPONENTS}
+select s.doc_id, len(s.s) as n_shingles, coalesce(min(r.other), s.doc_id) as component_id, coalesce(min(r.other), s.doc_id) = s.doc_id as kept
+from sets s left join reach r on r.id = s.doc_id group by s.doc_id, len(s.s)""",
+    "op4_substring_dedup": f"""
+with texts as (select doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') as w from documents),
+words as (select doc_id, unnest(range(1, len(w) + 1)) as i, unnest(w) as x from texts),
+windows as (
+  select doc_id, i, row_number() over (partition by array_to_string(w[i:i + 19], ' ') order by doc_id, i) as turn
+  from (select doc_id, w, unnest(range(1, len(w) - 18)) as i from texts)),
+gone as (select distinct doc_id, i + j as i from windows, range(20) t(j) where turn > 1),
+kept as (
+  select doc_id, count(*) as n, string_agg(x, ' ' order by i) as text from words anti join gone using (doc_id, i) group by doc_id)
+select t.doc_id, len(t.w) as n_words, len(t.w) - coalesce(k.n, 0) as n_removed, sha256(coalesce(k.text, '')) as kept_sha256
+from texts t left join kept k using (doc_id)""",
+    "op5_embedding_near_dedup": f"""
+with recursive usable as (
+  select vec_id, embedding::double[] as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x != 0)) > 0),
+pairs as (
+  select x.vec_id as a, y.vec_id as b from usable x join usable y on x.vec_id != y.vec_id where list_cosine_similarity(x.v, y.v) >= 0.95),
+{COMPONENTS},
+least as (select id, min(other) as c from reach group by id),
+links as (select a, count(*) as n from pairs group by a)
+select e.vec_id, coalesce(n, 0) as n_links, coalesce(c, e.vec_id) as component_id, coalesce(c, e.vec_id) = e.vec_id as kept
+from embeddings e left join links on links.a = e.vec_id left join least on least.id = e.vec_id""",
+    "op8_mixing_sources": mixing.mix_sql(),
+}

@@ -107,12 +107,12 @@ def groups(batch: pa.RecordBatch, name: str, find, most: int = GROUP) -> Iterato
         yield [np.concatenate(x) for x in zip(*found)]
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, row) of each maximal run of bytes other than white space, within its row."""
+def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, row) of each maximal run of bytes other than white space (or `space`), within its row."""
     if not len(data):
         empty = np.zeros(0, np.int64)
         return empty, empty, empty
-    solid = ~SPACE[data]
+    solid = ~space[data]
     begins = np.zeros(len(data) + 1, bool)
     begins[offsets] = True  # a row's first byte begins a word even after a word of the row before
     start = np.flatnonzero(solid & (begins[:-1] | np.concatenate(([True], ~solid[:-1]))))
