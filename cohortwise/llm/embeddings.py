@@ -20,6 +20,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import compute
 from pyspark.sql import DataFrame, functions as F
 
 from cohortwise.llm.common import stored
@@ -93,7 +94,7 @@ def _assign(batches, centroids, threshold: float) -> Iterator[pa.RecordBatch]:
 
 def _link(table: pa.Table, threshold: float) -> pa.Table:
     member = table.filter(table.column("member"))
-    visitor = table.filter(pa.compute.invert(table.column("member")))
+    visitor = table.filter(compute.invert(table.column("member")))
     made: dict[str, list] = {"node": [], "links": [], "other": []}
     if member.num_rows and visitor.num_rows:
         m, v = (_matrix(t.column("unit").combine_chunks()) for t in (member, visitor))
@@ -166,7 +167,7 @@ def near_duplicates(
         outside = outside.select("node", "copies", "unit", "ring", F.lit(False).alias("member"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("mine"), F.pmod("node", "v").alias("theirs"))
         blocks = inside.withColumns({"mine": F.col("mine").cast("int"), "theirs": F.col("theirs").cast("int")}).unionByName(
             outside.withColumns({"mine": F.col("mine").cast("int"), "theirs": F.col("theirs").cast("int")}))
-        found = blocks.groupBy("ring", "mine", "theirs").applyInArrow(partial(_link, threshold=threshold), "node long, links long, other long")
+        found = blocks.groupBy("ring", "mine", "theirs").applyInArrow(lambda t: _link(t, threshold), "node long, links long, other long")
         found = stored(found, "links")
         links = found.where("other is null").groupBy(F.col("node").alias("__n")).agg(F.sum("links").alias("__links"))
         whole = components(found.where("other is not null and other != node").select("node", "other")).toDF("__m", "__c")

@@ -34,7 +34,7 @@ from cohortwise.llm.common import stored, text_bytes
 
 U64 = np.uint64
 START, END = U64(0x51A7C0DE51A7C0DE), U64(0xE2DC0DE5E2DC0DE5)
-SMOOTHING = 0.01
+SMOOTHING = 0.004
 BASE = 1.5
 BITS, PROBES = 14, 4
 PART_BYTES = 32 << 20
@@ -261,7 +261,7 @@ def score(docs: DataFrame, held_out, id_column: str = "doc_id", text: str = "tex
     counts are zero.
     """
     spark = docs.sparkSession
-    rows = packed.identified(docs, id_column, text).withColumn("__held", F.coalesce(held_out, F.lit(False)))
+    rows = packed.identified(docs, id_column, text).withColumns({"__held": F.coalesce(held_out, F.lit(False)), "__text": F.col(text)})
     small = rows.select("__k", "__tie", "__held", "__text")
     parts = max(1, -(-text_bytes(docs, text) // PART_BYTES))
     made = small.mapInArrow(partial(_send, parts=parts), SENT).groupBy("part").applyInArrow(_count, MADE)

@@ -21,6 +21,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DoubleType
 
 from cohortwise.llm import texts
 from cohortwise.llm.common import stored
@@ -100,7 +101,7 @@ def _sign(batches, words: int) -> Iterator[pa.RecordBatch]:
             ["__id", "__tie", "n_shingles", "node", "minima", "bands"])
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(DoubleType())
 def agreement(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     """Share of equal minima."""
     for left, right in batches:

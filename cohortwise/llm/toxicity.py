@@ -55,7 +55,7 @@ class Model:
         return np.diff(np.concatenate((np.zeros((len(total), 1)), upto, np.ones((len(total), 1))), axis=1), axis=1)
 
 
-def fit_ordinal(rows: np.ndarray, features: np.ndarray, grades: np.ndarray, n_features: int, n_grades: int, l2: float = 1.0, rounds: int = 600) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(rows: np.ndarray, features: np.ndarray, grades: np.ndarray, n_features: int, n_grades: int, l2: float = 0.05, rounds: int = 800) -> tuple[np.ndarray, np.ndarray]:
     """(weights, cuts) for sparse rows given as pairs (row, feature), by gradient steps with momentum.
 
     The cuts are kept in order by fitting the logarithms of their distances.
@@ -108,7 +108,7 @@ def _feature_rows(batches) -> Iterator[pa.RecordBatch]:
 
 def fit(
     labels: DataFrame, docs: DataFrame, bound: int = 20_000, most_features: int = 4096, support: int = 5,
-    odds: float = 8.0, steps: tuple[int, ...] = (2, 5), id_column: str = "doc_id", label: str = "toxic", text: str = "text",
+    odds: float = 8.0, steps: tuple[int, ...] = (2, 5), l2: float = 0.05, id_column: str = "doc_id", label: str = "toxic", text: str = "text",
 ) -> Model:
     """Ordinal model from labels 0 (clean) and 1 (toxic) of at most `bound` documents.
 
@@ -146,7 +146,7 @@ def fit(
     np.maximum.at(per_word, at, np.bincount(at, weights=rows["count"], minlength=len(order))[at] / (1 + len(BEGINNINGS)))
     grade = np.where(grade > 0, 1 + sum((per_word >= s).astype(np.int64) for s in steps), 0)
     both = np.unique(np.stack((at, feature)), axis=1)
-    weights, cuts = fit_ordinal(both[0], both[1], grade, len(kept), grades)
+    weights, cuts = fit_ordinal(both[0], both[1], grade, len(kept), grades, l2)
     hashes = kept.view(U64)
     by = np.argsort(hashes)
     return Model(hashes[by], weights[by], cuts)
