@@ -1,19 +1,18 @@
 """Removal of repeated word windows, found by locally consistent recompression.
 
-Words are renamed in rounds: a run of two equal words becomes one symbol, then, twice, a
-symbol of the left half of the alphabet and a following one of the right half become one
-symbol. Names and halves are hashes of what a symbol stands for, so every task of every
+Words are renamed in rounds: a run of two equal words becomes one symbol, then a symbol of the
+left half of the alphabet and a following one of the right half become one symbol. Names and halves are hashes of what a symbol stands for, so every task of every
 round gives the same name to the same words without a dictionary, and two copies of a
 passage are cut into the same symbols except near their ends:
 
     round           longest symbol   words lost at each end of a common passage
     run of two      2                2
     pair            2                1
-    pair            3                2
 
-A window of 20 words therefore keeps, in every copy, the symbols that start at its words 5 to
-14. Of those starting at words 5 to 9 the least name is the window's anchor; the anchor's name
-covers the symbols that start within six words. Anchors with one occurrence rule their
+(A further pair round would lose more of 20 words at the ends than it saves in symbols; CAPS
+has the longest symbol of each pair round.) A window of 20 words therefore keeps, in every copy, the
+symbols that start at its words 3 to 16. Of those starting at words 3 to 10 the least name is
+the window's anchor; the anchor's name covers the symbols that start within seven words. Anchors with one occurrence rule their
 windows out. Only windows under a shared anchor are hashed whole (64 bits over 20 words) and
 sent to find their earliest copy.
 """
@@ -32,7 +31,7 @@ from cohortwise.llm.common import text_bytes
 
 U64 = np.uint64
 RUN = 2
-CAPS = (2, 3)
+CAPS = (2,)
 #: Words lost at each end: a whole short run, then the longest symbol that a round can still merge.
 LOST = RUN + sum(cap - 1 for cap in CAPS)
 NONE = U64(2**64 - 1)
@@ -81,7 +80,8 @@ class Parsed:
             return
         self.at = np.flatnonzero(self.row[:last] == self.row[window - 1:])  # starts of windows
         name, begin = symbols(self.word, self.row)
-        low, zone, span = LOST, window // 4, window - 2 * LOST - window // 4 + 1
+        low, zone = LOST, 2 * window // 5
+        span = window - 2 * LOST - zone + 1
         order = np.full(n + span, NONE, U64)
         order[begin] = texts.mix(name) >> U64(1)
         best, anchor = order[low:low + last].copy(), np.arange(low, low + last)
@@ -107,7 +107,8 @@ class Parsed:
         return texts.mix((total[at + self.window] - total[at]) * texts.powers(n + 1, texts.INVERSE)[at])
 
 
-def _send_anchors(batches, parts: int, window: int) -> Iterator[pa.RecordBatch]:
+def _send_anchors(batches, text: str, parts: int, window: int) -> Iterator[pa.RecordBatch]:
+    gid = packed.numbers()
     for batch in batches:
         k, tie = packed.names(batch)
 
@@ -116,12 +117,12 @@ def _send_anchors(batches, parts: int, window: int) -> Iterator[pa.RecordBatch]:
             row = p.row[p.used]
             return row + first, p.used - p.first[row], p.used_hash
 
-        for row, pos, anchor in texts.groups(batch, "__text", find):
+        for row, pos, anchor in texts.groups(batch, text, find):
             _, one, back, count = np.unique(anchor, return_index=True, return_inverse=True, return_counts=True)
             shared = np.flatnonzero(count[back] > 1)
-            local = packed.reply_rows(k, tie, row[shared], pos[shared].astype("<u4"))
-            aux = (count > 1).astype(np.uint8)
-            yield packed.outgoing(parts, k, tie, row[one], pos[one], anchor[one], aux, local)
+            known = row[shared], pos[shared].astype("<u4")
+            many = (count > 1).astype(np.uint8)
+            yield packed.outgoing(parts, next(gid), k, tie, row[one], pos[one], anchor[one], lambda pick: many[pick].tobytes(), known)
 
 
 def _shared(k, tie, doc, pos, hashes, aux):
@@ -139,7 +140,9 @@ def _shared(k, tie, doc, pos, hashes, aux):
 
 
 def _send_windows(batches, parts: int, window: int) -> Iterator[pa.RecordBatch]:
+    gid = packed.numbers()
     for batch in map(packed.with_answers, batches):
+        batch = packed.opened(batch)
         k, tie = packed.names(batch)
         flags = packed.replies_of(batch)
 
@@ -159,9 +162,9 @@ def _send_windows(batches, parts: int, window: int) -> Iterator[pa.RecordBatch]:
             head = order[np.flatnonzero(new)[np.cumsum(new) - 1]]  # the earliest with the same words
             later = (k[row[order]] != k[row[head]]) | (tie[row[order]] != tie[row[head]]) | (pos[order] != pos[head])
             hit = np.sort(order[later])
-            local = packed.reply_rows(k, tie, row[hit], pos[hit].astype("<u4"))
+            known = row[hit], pos[hit].astype("<u4")
             one = np.sort(order[new])
-            yield packed.outgoing(parts, k, tie, row[one], pos[one], hashes[one], np.zeros(len(one), np.uint8), local)
+            yield packed.outgoing(parts, next(gid), k, tie, row[one], pos[one], hashes[one], lambda pick: b"", known)
 
 
 def _later(k, tie, doc, pos, hashes, aux):
@@ -175,8 +178,8 @@ def _later(k, tie, doc, pos, hashes, aux):
     return picked, pos[picked].astype("<u4")
 
 
-def _cut(batches, window: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+def _cut(batches, text: str, window: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    for batch in map(packed.opened, batches):
         n_words, n_removed, kept, spans = [], [], [], []
         raw, offsets = texts.column(batch, "__text")
         for a, b, reply in zip(offsets[:-1].tolist(), offsets[1:].tolist(), packed.replies_of(batch)):
@@ -196,8 +199,8 @@ def _cut(batches, window: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
             spans.append(own)
         made = {"n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()),
                 "kept_text": pa.array(kept, pa.string()), "removed_at": pa.array(spans, pa.list_(pa.int32()))}
-        made |= dict(packed.own_columns(batch, {"__k", "__tie", "__text", "__ties", "__ats", *made}))
-        yield pa.RecordBatch.from_arrays([made[f.name].cast(f.type) for f in schema], schema=schema)
+        yield packed.result(batch, text, made, schema)
+
 
 
 def remove_repeated_windows(docs: DataFrame, window: int = 20, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -218,10 +221,11 @@ def remove_repeated_windows(docs: DataFrame, window: int = 20, id_column: str =
         raise ValueError(f"window must be at least {2 * LOST + 2 * max(CAPS)} words")
     parts = packed.parts_for(text_bytes(docs, text))
     keyed = packed.identified(docs, id_column, text)
-    sent = keyed.mapInArrow(partial(_send_anchors, parts=parts, window=window), packed.ROWS)
-    flags = sent.groupBy("part").applyInArrow(lambda t: packed.answered(t, _shared), packed.REPLIES)
-    sent = packed.with_replies(keyed, flags).mapInArrow(partial(_send_windows, parts=parts, window=window), packed.ROWS)
-    found = sent.groupBy("part").applyInArrow(lambda t: packed.answered(t, _later), packed.REPLIES)
+    whole = packed.squeezed(keyed, text)
+    sent = keyed.mapInArrow(partial(_send_anchors, text=text, parts=parts, window=window), packed.ROWS)
+    flags = packed.exchanged(sent, lambda t: packed.answered(t, _shared))
+    sent = packed.with_replies(whole, flags).mapInArrow(partial(_send_windows, parts=parts, window=window), packed.ROWS)
+    found = packed.exchanged(sent, lambda t: packed.answered(t, _later))
     out = packed.result_schema(docs, "n_words long, n_removed long, kept_text string, removed_at array<int>")
     schema = to_arrow_schema(ddl(out))
-    return packed.with_replies(keyed, found).mapInArrow(partial(_cut, window=window, schema=schema), out)
+    return packed.with_replies(whole, found).mapInArrow(partial(_cut, text=text, window=window, schema=schema), out)

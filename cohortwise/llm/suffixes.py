@@ -99,7 +99,8 @@ def _unrepeated(k: np.ndarray, tie: np.ndarray) -> np.ndarray:
     return out
 
 
-def _send_grams(batches, parts: int, window: int) -> Iterator[pa.RecordBatch]:
+def _send_grams(batches, text: str, parts: int, window: int) -> Iterator[pa.RecordBatch]:
+    gid = packed.numbers()
     for batch in batches:
         k, tie = packed.names(batch)
 
@@ -107,7 +108,7 @@ def _send_grams(batches, parts: int, window: int) -> Iterator[pa.RecordBatch]:
             a = Anchored(data, offsets, window)
             return a.row + first, a.at - offsets[a.row], a.hash, a.contexts(data)
 
-        for row, pos, gram, context in texts.groups(batch, "__text", find):
+        for row, pos, gram, context in texts.groups(batch, text, find):
             if len(k) > 1:
                 use = np.flatnonzero(_unrepeated(k, tie)[row])
                 row, pos, gram, context = row[use], pos[use], gram[use], context[use]
@@ -115,12 +116,10 @@ def _send_grams(batches, parts: int, window: int) -> Iterator[pa.RecordBatch]:
             other = np.ones(len(row), bool)
             other[one] = False
             other = np.flatnonzero(other)
-            local = packed.reply_rows(k, tie, row[other], _answer(pos[other], 1, 0, 0))
-            dup = (count > 1).astype(np.uint8)
-            mine = context[one]
+            known = row[other], _answer(pos[other], 1, 0, 0)
+            dup, mine = (count > 1).astype(np.uint8), context[one]
             yield packed.outgoing(
-                parts, k, tie, row[one], pos[one], gram[one], dup, local,
-                aux_of=lambda pick: mine[pick].tobytes() + dup[pick].tobytes())
+                parts, next(gid), k, tie, row[one], pos[one], gram[one], lambda pick: mine[pick].tobytes() + dup[pick].tobytes(), known)
 
 
 def _answer(pos, flag, block, blocks) -> np.ndarray:
@@ -157,7 +156,9 @@ def _spans(low: np.ndarray, high: np.ndarray) -> np.ndarray:
 
 
 def _send_contexts(batches, parts: int, window: int) -> Iterator[pa.RecordBatch]:
+    gid = packed.numbers()
     for batch in map(packed.with_answers, batches):
+        batch = packed.opened(batch)
         k, tie = packed.names(batch)
         replies = packed.replies_of(batch)
         raw, starts = texts.column(batch, "__text")
@@ -174,7 +175,7 @@ def _send_contexts(batches, parts: int, window: int) -> Iterator[pa.RecordBatch]
         for row, low, high, gram, said in texts.groups(batch, "__text", find):
             flag = (said[:, 0] & U64(3)).astype(np.int64)
             whole = np.flatnonzero(flag & 1)
-            local = packed.reply_rows(k, tie, row[whole], _spans(low[whole], high[whole]))
+            known = row[whole], _spans(low[whole], high[whole])
             index = np.flatnonzero(flag & 2)
             block, blocks = (said[index, 1] >> U64(32)).astype(np.int64), (said[index, 1] & U64(2**32 - 1)).astype(np.int64)
             copy = np.repeat(np.arange(len(index)), blocks)  # a block meets every block of its gram
@@ -191,7 +192,7 @@ def _send_contexts(batches, parts: int, window: int) -> Iterator[pa.RecordBatch]
                 return len(pick).to_bytes(4, "little") + size + b"".join(
                     [raw[x:y].tobytes() for x, y in zip(begin[pick].tolist(), end[pick].tolist())])
 
-            yield packed.outgoing(parts, k, tie, row[which], low[which], unit, unit, local, aux_of=strings, own=hot)
+            yield packed.outgoing(parts, next(gid), k, tie, row[which], low[which], unit, strings, known, own=hot)
 
 
 def suffix_order(data: np.ndarray, stop: np.ndarray) -> np.ndarray:
@@ -314,8 +315,8 @@ def _unpack(raw: bytes) -> list[bytes]:
     return out
 
 
-def _cut(batches, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+def _cut(batches, text: str, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    for batch in map(packed.opened, batches):
         n_bytes, n_removed, kept, spans = [], [], [], []
         raw, offsets = texts.column(batch, "__text")
         for a, b, reply in zip(offsets[:-1].tolist(), offsets[1:].tolist(), packed.replies_of(batch)):
@@ -335,8 +336,8 @@ def _cut(batches, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
             spans.append(runs)
         made = {"n_bytes": pa.array(n_bytes, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()),
                 "kept_bytes": pa.array(kept, pa.binary()), "removed_at": pa.array(spans, pa.list_(pa.int32()))}
-        made |= dict(packed.own_columns(batch, {"__k", "__tie", "__text", "__ties", "__ats", *made}))
-        yield pa.RecordBatch.from_arrays([made[f.name].cast(f.type) for f in schema], schema=schema)
+        yield packed.result(batch, text, made, schema)
+
 
 
 def remove_repeated_bytes(docs: DataFrame, window: int = 200, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -358,10 +359,11 @@ def remove_repeated_bytes(docs: DataFrame, window: int = 200, id_column: str = "
         raise ValueError(f"window must be at least {2 * GRAM} bytes")
     parts = packed.parts_for(text_bytes(docs, text))
     keyed = packed.identified(docs, id_column, text)
-    sent = keyed.mapInArrow(partial(_send_grams, parts=parts, window=window), packed.ROWS)
-    flags = sent.groupBy("part").applyInArrow(lambda t: packed.answered(t, _contexts_of_grams), packed.REPLIES)
-    sent = packed.with_replies(keyed, flags).mapInArrow(partial(_send_contexts, parts=parts, window=window), packed.ROWS)
-    found = sent.groupBy("part").applyInArrow(lambda t: _match_contexts(t, window), packed.REPLIES)
+    whole = packed.squeezed(keyed, text)
+    sent = keyed.mapInArrow(partial(_send_grams, text=text, parts=parts, window=window), packed.ROWS)
+    flags = packed.exchanged(sent, lambda t: packed.answered(t, _contexts_of_grams))
+    sent = packed.with_replies(whole, flags).mapInArrow(partial(_send_contexts, parts=parts, window=window), packed.ROWS)
+    found = packed.exchanged(sent, lambda t: _match_contexts(t, window))
     out = packed.result_schema(docs, "n_bytes long, n_removed long, kept_bytes binary, removed_at array<int>")
     schema = to_arrow_schema(ddl(out))
-    return packed.with_replies(keyed, found).mapInArrow(partial(_cut, schema=schema), out)
+    return packed.with_replies(whole, found).mapInArrow(partial(_cut, text=text, schema=schema), out)

@@ -7,7 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from llm.conftest import noise
+from zstandard import ZstdCompressor
 
 from cohortwise.llm import suffixes
 
@@ -76,17 +76,20 @@ def test_hot_gram_in_blocks(documents, monkeypatch):
 def local_run(rows, window=200):
     """The steps of the operator in this process, with its present constants."""
     import pyarrow as pa
+    from pyarrow import compute
 
     from cohortwise.llm import packed
 
     def batch(extra=None):
-        columns = {"__k": pa.array([i for i, _ in rows], pa.int64()), "__tie": pa.array([hash(t) for _, t in rows], pa.int64()), "__text": pa.array([t for _, t in rows])}
+        columns = {"__k": pa.array([i for i, _ in rows], pa.int64()), "__tie": pa.array([hash(t) for _, t in rows], pa.int64()), "text": pa.array([t for _, t in rows]), "__z": pa.array([ZstdCompressor().compress(t.encode()) for _, t in rows])}
         return pa.RecordBatch.from_pydict(columns | (extra or {}))
 
     def exchange(sent, answer):
         table = pa.Table.from_batches(sent, packed.ROWS_ARROW)
         parts = set(table.column("part").to_pylist())
-        return pa.concat_tables([answer(table.filter(pa.compute.equal(table.column("part"), p))) for p in parts])
+        answers = pa.concat_tables([answer(table.filter(compute.equal(table.column("part"), p))) for p in parts])
+        groups = set(answers.column("gid").to_pylist())
+        return pa.concat_tables([packed.by_document(answers.filter(compute.equal(answers.column("gid"), g))) for g in groups])
 
     def joined(replies):
         by = {}
@@ -96,10 +99,10 @@ def local_run(rows, window=200):
         both = [by.get(i, (None, None)) for i, _ in rows]
         return batch({"__ties": pa.array([a for a, _ in both], pa.list_(pa.int64())), "__ats": pa.array([b for _, b in both], pa.list_(pa.binary()))})
 
-    flags = exchange(list(suffixes._send_grams([batch()], 3, window)), lambda t: packed.answered(t, suffixes._contexts_of_grams))
+    flags = exchange(list(suffixes._send_grams([batch()], "text", 3, window)), lambda t: packed.answered(t, suffixes._contexts_of_grams))
     found = exchange(list(suffixes._send_contexts([joined(flags)], 3, window)), lambda t: suffixes._match_contexts(t, window))
     schema = pa.schema([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("kept_bytes", pa.binary()), ("removed_at", pa.list_(pa.int32()))])
-    out = pa.Table.from_batches(list(suffixes._cut([joined(found)], schema)), schema).to_pylist()
+    out = pa.Table.from_batches(list(suffixes._cut([joined(found)], "text", schema)), schema).to_pylist()
     return {row: (o["n_bytes"], o["n_removed"], len(o["removed_at"]) // 2, o["kept_bytes"]) for row, o in zip(rows, out)}
 
 
