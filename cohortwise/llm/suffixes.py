@@ -141,7 +141,7 @@ def _contexts_of_grams(k, tie, doc, pos, gram, aux):
     place = np.stack((k[d], tie[d], pos[order]))
     fresh = np.concatenate(([True], (place[:, 1:] != place[:, :-1]).any(axis=0))) | new_context
     of_gram, of_context = np.cumsum(new_gram) - 1, np.cumsum(new_context) - 1
-    several = (np.bincount(of_context, weights=fresh + dup[order]) > 1)[of_context]
+    several = (np.bincount(of_context, weights=fresh.astype(int) + dup[order]) > 1)[of_context]
     kinds = np.bincount(of_gram, weights=new_context).astype(np.int64)[of_gram]
     number = np.cumsum(new_context) - 1
     number -= number[np.flatnonzero(new_gram)][of_gram]

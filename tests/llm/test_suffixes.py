@@ -141,3 +141,12 @@ def test_statistics_of_any_strings():
 
         want = [max([agree(s, t) for j, t in enumerate(suffix) if j != i], default=0) for i, s in enumerate(suffix)]
         assert suffixes.matching_statistics(data, stop).tolist() == want
+
+
+def test_whole_copies_in_one_task_and_in_several(documents):
+    rng = random.Random(8)
+    rows = [(i, "".join(rng.choice("abcdef ") for _ in range(700))) for i in range(30)]
+    rows += [(100 + i, rows[i][1]) for i in range(10)]
+    want = brute(rows)
+    assert local_run(rows) == want and {k: v for k, v in run(documents(rows))} == want
+    assert sum(v[3] == b"" for v in want.values()) == 20
