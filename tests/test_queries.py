@@ -9,8 +9,9 @@ from compare import compare, connect
 from conftest import TESTDATA
 
 import __spark_entry__ as entry
+from cohortwise.registry import all_queries
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = {name: entry.queries()[name] for name in all_queries()}, entry.oracle_sql()
 STREAMS = [n for n in QUERIES if n.endswith("_stream")]
 SMALL = str(TESTDATA / "sf0.001")
 
