@@ -10,17 +10,18 @@ and entered anew. A block's work is a block's: no shuffle, and no state between
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, functions as F
+from pyarrow import compute
+from pyspark.sql import DataFrame, functions as F
 
 from cohortwise.llm import texts
 
-BLOCK = 16 << 20
+BLOCK = 8 << 20
 NONE = np.int64(1 << 40)
 
 
@@ -170,19 +171,28 @@ def encode_block(block: list[str], vocabulary: Vocabulary, find) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(tokens.astype(np.int32)))
 
 
-def _blocks(values: list, size) -> Iterator[list]:
-    block, total = [], 0
-    for value in values:
-        if block and total + size(value) > BLOCK:
-            yield block
-            block, total = [], 0
-        block.append(value)
-        total += size(value)
-    if block:
-        yield block
+def _blocks(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(first, end) of runs of rows with at most BLOCK bytes, or one row."""
+    at, first = np.concatenate(([0], np.cumsum(sizes))), 0
+    while first < len(sizes):
+        end = max(first + 1, int(np.searchsorted(at, at[first] + BLOCK, "right")) - 1)
+        yield first, end
+        first = end
 
 
-def encoder(vocabulary) -> callable:
+def _encoded(batch: pa.Array, vocabulary: Vocabulary, find) -> pa.Array:
+    sizes = compute.fill_null(compute.binary_length(batch), 0).to_numpy(zero_copy_only=False)
+    parts = [encode_block([t or "" for t in batch.slice(a, b - a).to_pylist()], vocabulary, find) for a, b in _blocks(sizes)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
+
+
+def _decoded(batch: pa.Array, vocabulary: Vocabulary) -> pa.Array:
+    token = vocabulary.tokens
+    ids = (value.values.to_numpy(zero_copy_only=False).tolist() if value.is_valid else [] for value in batch)
+    return pa.array([b"".join([token[i] for i in own]) for own in ids], pa.binary())
+
+
+def encoder(vocabulary) -> Callable:
     """Column function: token ids (array<int>) of a text; null and empty texts have none.
 
     `vocabulary` is a broadcast Vocabulary. Special tokens' strings are ordinary text.
@@ -193,28 +203,34 @@ def encoder(vocabulary) -> callable:
         v = vocabulary.value
         find = regex.compile(v.pattern).findall
         for batch in batches:
-            texts_ = [t or "" for t in batch.to_pylist()]
-            parts = [encode_block(block, v, find) for block in _blocks(texts_, len)]
-            yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
+            yield _encoded(batch, v, find)
 
     return encode
 
 
-def decoder(vocabulary) -> callable:
+def decoder(vocabulary) -> Callable:
     """Column function: bytes of an array of token ids; null has none. An unknown id is an error."""
 
     @F.arrow_udf("binary")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        token = vocabulary.value.tokens
         for batch in batches:
-            yield pa.array([b"".join([token[i] for i in ids.tolist()]) for ids in _ids(batch)], pa.binary())
+            yield _decoded(batch, vocabulary.value)
 
     return decode
 
 
-def _ids(batch: pa.Array) -> Iterator[np.ndarray]:
-    for value in batch:
-        yield value.values.to_numpy(zero_copy_only=False) if value.is_valid else np.zeros(0, np.int32)
+def both_ways(vocabulary) -> Callable:
+    """Column function: struct of token_ids of a text and the bytes `decoded` from them, in one pass."""
+
+    @F.arrow_udf("token_ids array<int>, decoded binary")
+    def code(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        v = vocabulary.value
+        find = regex.compile(v.pattern).findall
+        for batch in batches:
+            ids = _encoded(batch, v, find)
+            yield pa.StructArray.from_arrays([ids, _decoded(ids, v)], ["token_ids", "decoded"])
+
+    return code
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text") -> DataFrame:
@@ -225,5 +241,5 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
     are, repeated ones too.
     """
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(ranks, pattern))
-    ids: Column = encoder(shared)(F.col(text))
-    return docs.withColumn("token_ids", ids).withColumn("decoded", decoder(shared)(F.col("token_ids")))
+    coded = docs.withColumn("__coded", both_ways(shared)(F.col(text)))
+    return coded.withColumns({"token_ids": F.col("__coded.token_ids"), "decoded": F.col("__coded.decoded")}).drop("__coded")

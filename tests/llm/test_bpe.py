@@ -6,6 +6,7 @@ import hashlib
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
@@ -76,7 +77,12 @@ def test_empty_table(documents, vocabulary):
 
 def test_every_text_is_read_in_blocks(monkeypatch, vocabulary):
     monkeypatch.setattr(bpe, "BLOCK", 50)
-    v, found = bpe.Vocabulary(*vocabulary), []
-    for block in bpe._blocks(odd_texts(2, 30), len):
-        found += bpe.encode_block(block, v, regex.compile(public_tokenizers.PATTERN).findall).to_pylist()
-    assert found == [reference(*vocabulary).encode_ordinary(t) for t in odd_texts(2, 30)]
+    find = regex.compile(public_tokenizers.PATTERN).findall
+    found = bpe._encoded(pa.array([*odd_texts(2, 30), None]), bpe.Vocabulary(*vocabulary), find).to_pylist()
+    assert found == [reference(*vocabulary).encode_ordinary(t) for t in odd_texts(2, 30)] + [[]]
+
+
+def test_encoder_and_decoder_alone(spark, documents, vocabulary):
+    shared = spark.sparkContext.broadcast(bpe.Vocabulary(*vocabulary))
+    frame = documents([(1, "some text"), (2, None)]).withColumn("ids", bpe.encoder(shared)("text"))
+    assert {r.doc_id: bytes(r.back) for r in frame.withColumn("back", bpe.decoder(shared)("ids")).collect()} == {1: b"some text", 2: b""}
