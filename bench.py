@@ -26,9 +26,11 @@ HEADLINE = (
     "c08_median_by_mutation",
     "c10_samples_all",
     "c18_type_hierarchy",
+    "c28_events_with_clinical",
     "t05_treatment_timing",
     "t08_agents_per_category",
     "x03_gene_pair_coexpression",
+    "x04_attribute_coexpression",
     "x05_tmb_expression",
     "x06_coexpression_scan",
     "k01_list_studies",
@@ -37,11 +39,13 @@ HEADLINE = (
     "r09_requests_cube",
     "r11_heartbeat_alerts",
     "r12_error_alerts",
+    "h3_wilcoxon",
+    "h5_benjamini_hochberg",
 )
 TABLES = (
     "cancer_study", "patient", "sample", "gene", "gene_panel", "gene_panel_list", "sample_to_gene_panel_derived",
     "genomic_event_derived", "clinical_data_derived", "cancer_study_query_preferences", "genetic_profile",
-    "clinical_event", "clinical_event_data", "oncotree", "spans", "search_terms", "genetic_alteration_derived",
+    "clinical_event_derived", "oncotree", "spans", "search_terms", "genetic_alteration_derived",
     "sample_expression",
 )
 

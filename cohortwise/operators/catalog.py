@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cohortwise.functions.labels import alteration_type, study_sources
@@ -11,28 +12,34 @@ from cohortwise.functions.values import contains_any, present
 from cohortwise.operators.frequency import altered_events
 from cohortwise.plans.ranking import top_per_group
 from cohortwise.plans.scope import STUDY, by_study
+from cohortwise.session import shared_dir
 
-MAX_STUDIES = 100
 SAMPLE = "sample_unique_id"
 
 
-def list_studies(t, search: str | None = None, limit: int = 20, guides: tuple[str, ...] = ()) -> DataFrame:
-    """Studies by number of samples; `search` looks in id, name, type and description."""
+def list_studies(
+    t, search: str | None = None, limit: int | None = 20, at_most: int | None = 100, guides: tuple[str, ...] = ()
+) -> DataFrame:
+    """Studies by number of samples; `search` looks in id, name, type and description.
+
+    The report shows `limit` studies, at least one and no more than `at_most`; None lifts either bound.
+    """
     studies = t.cancer_study
     if search:
         studies = studies.where(contains_any([STUDY, "name", "type_of_cancer_id", "description"], [search]))
     # samples are counted per study before the join; a study without rows counts 0
-    counts = t.clinical_data_derived.groupBy(STUDY).agg(F.count_distinct(present(SAMPLE)).alias("sample_count"))
-    return (
+    rows = t.clinical_data_derived.join(studies.select(STUDY), STUDY, "left_semi") if search else t.clinical_data_derived
+    counts = rows.groupBy(STUDY).agg(F.count_distinct(present(SAMPLE)).alias("sample_count"))
+    listed = (
         studies.join(counts, STUDY, "left")
         .select(
             STUDY, "name", "description", "type_of_cancer_id",
             F.coalesce("sample_count", F.lit(0)).alias("sample_count"),
             F.col(STUDY).isin(*guides).alias("has_guide") if guides else F.lit(False).alias("has_guide"),
         )
-        .orderBy(F.desc("sample_count"), F.asc(STUDY))
-        .limit(max(1, min(limit, MAX_STUDIES)))
     )
+    bounds = [b for b in (limit, at_most) if b is not None]
+    return listed.orderBy(F.desc("sample_count"), F.asc(STUDY)).limit(max(1, min(bounds))) if bounds else listed
 
 
 def resolve_studies(t, requested: DataFrame) -> DataFrame:
@@ -49,42 +56,71 @@ def resolve_studies(t, requested: DataFrame) -> DataFrame:
     )
 
 
-def similar_studies(t, requested: DataFrame, limit: int = 10) -> DataFrame:
-    """Studies whose id contains a part of the requested id, the first `limit` by id.
+def similar_studies(t, requested: DataFrame, limit: int | None = 10) -> DataFrame:
+    """Studies whose id contains a part of the requested id, the first `limit` by id (None: all).
 
     Study ids are indexed by their substrings, so the search is an equi-join on the part.
     Only the first `limit` studies of a part can be among the first of a request, so the
     index is cut to them and a part that every id has brings no more rows than others.
     """
     index = t.cancer_study.select(STUDY, "name", F.explode(substrings(F.lower(STUDY), 3)).alias("token"))
-    index = top_per_group(index, ["token"], [F.asc(STUDY)], limit)
+    if limit is not None:
+        index = top_per_group(index, ["token"], [F.asc(STUDY)], limit)
     parts = (
         requested.select("requested_id").distinct()
         .select("requested_id", F.explode(F.array_distinct(id_tokens(F.col("requested_id")))).alias("token"))
     )
     hits = parts.join(index, "token").select("requested_id", STUDY, "name").distinct()
-    return top_per_group(hits, ["requested_id"], [F.asc(STUDY)], limit)
+    return hits if limit is None else top_per_group(hits, ["requested_id"], [F.asc(STUDY)], limit)
+
+
+TABLES_OF_SECTIONS = ("clinical_data_derived", "sample_to_gene_panel_derived", "genomic_event_derived")
 
 
-def study_profile(t, study: str | None = None) -> DataFrame:
-    """Overview of a study as rows (section, position, name, detail, count), sections in a fixed order."""
+def study_profile(t, study: str | None = None, tops: tuple[int | None, int | None, int | None] = (10, 20, 10)) -> DataFrame:
+    """Overview of studies as rows (section_no, section, position, name, detail, count).
+
+    `study` is found whatever its case, and all sections use the id as the data spells it. For an unknown id the
+    rows are those of section `similar_studies`: ids that share a part with it. Positions number a
+    section's rows, the largest count first, ties by name. `tops` cuts the panels, attributes and
+    genes; None keeps all.
+    """
+    keys, all_studies = [STUDY], t.cancer_study
+    if study is not None:
+        wanted = t.cancer_study.where(F.lower(STUDY) == study.lower())
+        one = wanted.select(STUDY)
+        t = t.replace(cancer_study=wanted, **{name: getattr(t, name).join(one, STUDY, "left_semi") for name in TABLES_OF_SECTIONS})
+    panels, attributes, genes = tops
+    counts = study_counts(t)
+    if study is not None:  # a study without rows has counts of 0
+        named = wanted.select(STUDY, _section("counts"), F.explode(F.array(F.lit("patients"), F.lit("samples"))).alias("name"))
+        counts = named.join(counts.drop("section"), [STUDY, "name"], "left").fillna(0, ["count"])
     sections = [
-        study_header(t, study), study_counts(t, study), study_data_types(t, study), study_panels(t, study),
-        study_attributes(t, study), study_top_genes(t, study), study_sample_types(t, study),
+        study_header(t), counts, study_data_types(t), study_panels(t, k=panels),
+        study_attributes(t, k=attributes), study_top_genes(t, k=genes), study_sample_types(t),
     ]
-    _, keys = by_study(t.cancer_study, study)
     shaped = []
-    for section in sections:
+    for number, section in enumerate(sections, 1):
         have = set(section.columns)
         shaped.append(section.select(
-            *keys, "section", "name",
+            *keys, F.lit(number).alias("section_no"), "section", "name",
             F.col("detail") if "detail" in have else F.lit(None).cast("string").alias("detail"),
             F.col("count").cast("bigint") if "count" in have else F.lit(None).cast("bigint").alias("count"),
         ))
-    first, *rest = shaped
+    rows, *rest = shaped
     for section in rest:
-        first = first.unionByName(section)
-    return first
+        rows = rows.unionByName(section)
+    order = W.partitionBy(*keys, "section_no").orderBy(F.desc_nulls_last("count"), "name", "detail")
+    rows = rows.withColumn("position", F.row_number().over(order))
+    if study is None:
+        return rows
+    asked = t.spark.createDataFrame([(study, study.lower())], "requested_id string, _key string")
+    missing = asked.join(wanted.select(F.lower(STUDY).alias("_key")), "_key", "left_anti")
+    near = similar_studies(t.replace(cancer_study=all_studies), missing)
+    near = near.select(
+        F.lit(0).alias("section_no"), F.lit("similar_studies").alias("section"), F.col(STUDY).alias("name"), F.col("name").alias("detail"),
+        F.lit(None).cast("bigint").alias("count"), F.row_number().over(W.partitionBy("requested_id").orderBy(STUDY)).alias("position"))
+    return rows.drop(STUDY).unionByName(near)
 
 
 def _section(title: str) -> Column:
@@ -133,27 +169,29 @@ def _largest(counts: DataFrame, keys: list[str], title: str, k: int | None) -> D
     return counts.withColumn("section", F.lit(title))
 
 
-def study_panels(t, study: str | None = None) -> DataFrame:
+def study_panels(t, study: str | None = None, k: int | None = 10) -> DataFrame:
+    """Panels by number of samples, the first `k` of each study (None: all)."""
     rows, keys = by_study(t.sample_to_gene_panel_derived, study)
     counts = rows.groupBy(*keys, F.col("gene_panel_id").alias("name")).agg(F.count_distinct(SAMPLE).alias("count"))
-    return _largest(counts, keys, "panels", 10).withColumn(
+    return _largest(counts, keys, "panels", k).withColumn(
         "detail", F.when(F.col("name") == "WES", "whole exome: all genes")
     )
 
 
-def study_attributes(t, study: str | None = None) -> DataFrame:
+def study_attributes(t, study: str | None = None, k: int | None = 20) -> DataFrame:
+    """Attributes by number of samples, the first `k` of each study (None: all)."""
     rows, keys = by_study(t.clinical_data_derived, study)
     counts = rows.groupBy(*keys, F.col("attribute_name").alias("name")).agg(
         F.count_distinct(present(SAMPLE)).alias("count")
     )
-    return _largest(counts, keys, "attributes", 20)
+    return _largest(counts, keys, "attributes", k)
 
 
-def study_top_genes(t, study: str | None = None) -> DataFrame:
-    """Most often mutated genes; off-panel calls are counted here, unlike in the frequencies."""
+def study_top_genes(t, study: str | None = None, k: int | None = 10) -> DataFrame:
+    """The `k` most often mutated genes of each study (None: all); off-panel calls are counted here, unlike in the frequencies."""
     rows, keys = by_study(altered_events(t, on_panel=False), study)
     counts = rows.groupBy(*keys, F.col("hugo_gene_symbol").alias("name")).agg(F.count_distinct(SAMPLE).alias("count"))
-    return _largest(counts, keys, "top_genes", 10)
+    return _largest(counts, keys, "top_genes", k)
 
 
 def study_sample_types(t, study: str | None = None) -> DataFrame:
@@ -206,13 +244,15 @@ def _retired() -> Column:
     return F.concat(F.coalesce("revocations", none), F.coalesce("precursors", none))
 
 
-def search_taxonomy(onco: DataFrame, terms: DataFrame, limit: int = 25) -> DataFrame:
+def search_taxonomy(onco: DataFrame, terms: DataFrame, limit: int | None = 25) -> DataFrame:
     """For each distinct term the codes it finds, best score first, with path and retired codes.
 
     Ranking and cutting happen in the index, which is as large as the taxonomy; the table of
     terms only looks its needles up. Blank terms find nothing.
     """
-    best = top_per_group(taxonomy_index(onco), ["needle"], [F.desc("score"), F.asc("code")], limit)
+    best = taxonomy_index(onco)
+    if limit is not None:
+        best = top_per_group(best, ["needle"], [F.desc("score"), F.asc("code")], limit)
     retired = F.when(F.size(_retired()) > 0, F.array_join(_retired(), ","))
     details = onco.select("code", "name", "main_type", "tissue", retired.alias("replaced_codes")).join(
         taxonomy_paths(onco), "code", "left"
@@ -225,21 +265,37 @@ def search_taxonomy(onco: DataFrame, terms: DataFrame, limit: int = 25) -> DataF
     )
 
 
-PATHS = """
-with recursive up(leaf, parent, path, depth, seen) as (
-  select code, parent, code, 1, concat('|', code, '|') from {onco} where code is not null
-  union all
-  select up.leaf, o.parent, concat(o.code, ' > ', up.path), up.depth + 1, concat(up.seen, o.code, '|')
-  from up join {onco} o on up.parent = o.code
-  where not contains(up.seen, concat('|', o.code, '|'))
-)
-select leaf as code, max_by(path, depth) as hierarchy from up group by leaf
-"""
+#: Doublings of a path: 2**20 levels.
+DOUBLINGS = 20
 
 
 def taxonomy_paths(onco: DataFrame) -> DataFrame:
-    """(code, hierarchy): `ROOT > .. > CODE`; a path ends at an unknown parent or a cycle."""
-    return onco.sparkSession.sql(PATHS, onco=onco.select("code", "parent"))
+    """(code, hierarchy): `ROOT > .. > CODE`; a path ends at an unknown parent or before a code it already has.
+
+    Paths are doubled: each round joins a path's upper end with the path of that code, so a tree
+    of depth d is done after log2(d) rounds, each one join of a row per code, checkpointed. The
+    driver only learns whether a path is still open.
+    """
+    codes = onco.where(F.col("code").isNotNull()).select("code", "parent").dropDuplicates(["code"])
+    known = codes.select(F.col("code").alias("_known"))
+    # `up`: the next code above the path, NULL at its end
+    paths = codes.join(known, F.col("parent") == F.col("_known"), "left").select(
+        "code", F.array("code").alias("path"), F.when(F.col("parent") != F.col("code"), F.col("_known")).alias("up"))
+    shared_dir(onco.sparkSession)
+    for _ in range(DOUBLINGS):
+        paths = paths.checkpoint()
+        if paths.where("up is not null").isEmpty():
+            break
+        above = paths.select(F.col("code").alias("_code"), F.col("path").alias("_path"), F.col("up").alias("_up"))
+        joined = paths.join(above, F.col("up") == F.col("_code"), "left")
+        # a path that meets itself is cut before the first code it already has
+        meets = F.arrays_overlap("path", "_path")
+        first = F.array_min(F.transform(F.array_intersect("_path", "path"), lambda c: F.array_position("_path", c)))
+        part = F.when(meets, F.slice("_path", F.lit(1), F.greatest(first - 1, F.lit(0)).cast("int"))).otherwise(F.col("_path"))
+        paths = joined.select(
+            "code", F.when(F.col("_code").isNull(), F.col("path")).otherwise(F.concat("path", part)).alias("path"),
+            F.when(~F.coalesce(meets, F.lit(False)), F.col("_up")).alias("up"))
+    return paths.select("code", F.array_join(F.reverse("path"), " > ").alias("hierarchy"))
 
 
 def retired_codes(onco: DataFrame) -> DataFrame:
@@ -251,14 +307,13 @@ def _defined(t, terms: list[str]) -> DataFrame:
     return t.resource_definition.where(contains_any(["display_name", "description"], terms))
 
 
-def study_links(t, terms: list[str], limit: int | None = 100) -> DataFrame:
+def study_links(t, terms: list[str], limit: int | None = None) -> DataFrame:
     """Study-level links to resources that mention a term."""
     links = (
         t.resource_study.join(_defined(t, terms), "resource_id")
         .select("resource_id", "display_name", "description", "resource_type", STUDY, "url")
-        .orderBy(STUDY, "display_name", "url")
     )
-    return links if limit is None else links.limit(limit)
+    return links if limit is None else links.orderBy(STUDY, "display_name", "url").limit(limit)
 
 
 def _owner_links(t, owners: DataFrame, links: DataFrame, terms: list[str], limit: int | None) -> DataFrame:
@@ -266,16 +321,15 @@ def _owner_links(t, owners: DataFrame, links: DataFrame, terms: list[str], limit
         links.join(_defined(t, terms), "resource_id")
         .join(owners, "internal_id")
         .select("resource_id", "display_name", "description", STUDY, "unique_id", "url")
-        .orderBy(STUDY, "display_name", "unique_id", "url")
     )
-    return rows if limit is None else rows.limit(limit)
+    return rows if limit is None else rows.orderBy(STUDY, "display_name", "unique_id", "url").limit(limit)
 
 
 def _with_study(t) -> DataFrame:
     return t.patient.join(t.cancer_study.select("cancer_study_id", STUDY), "cancer_study_id")
 
 
-def sample_links(t, terms: list[str], limit: int | None = 100) -> DataFrame:
+def sample_links(t, terms: list[str], limit: int | None = None) -> DataFrame:
     """Sample-level links to resources that mention a term."""
     patients = _with_study(t).select(F.col("internal_id").alias("patient_id"), STUDY)
     owners = t.sample.join(patients, "patient_id").select(
@@ -284,7 +338,7 @@ def sample_links(t, terms: list[str], limit: int | None = 100) -> DataFrame:
     return _owner_links(t, owners, t.resource_sample, terms, limit)
 
 
-def patient_links(t, terms: list[str], limit: int | None = 100) -> DataFrame:
+def patient_links(t, terms: list[str], limit: int | None = None) -> DataFrame:
     """Patient-level links to resources that mention a term."""
     owners = _with_study(t).select("internal_id", STUDY, F.concat_ws("_", STUDY, "stable_id").alias("unique_id"))
     return _owner_links(t, owners, t.resource_patient, terms, limit)

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from cohortwise.functions.values import any_of, contains_any, present, to_number
 from cohortwise.plans.ranking import median
 from cohortwise.plans.scope import STUDY, by_study
-from cohortwise.plans.skew import salted_join
 
 SAMPLE = "sample_unique_id"
 PATIENT = "patient_unique_id"
@@ -341,16 +340,12 @@ def study_samples(t, study: str | None = None) -> DataFrame:
 
 
 def events_with_clinical(t, study: str | None = None) -> DataFrame:
-    """Genomic events with each clinical row of their sample; a sample rich in events is spread."""
+    """Genomic events with each clinical row of their sample."""
     events, keys = by_study(t.genomic_event_derived, study)
     rows, _ = by_study(t.clinical_data_derived, study)
-    joined = salted_join(
-        events.select(*keys, SAMPLE, "hugo_gene_symbol", "variant_type", "mutation_variant", "mutation_type"),
-        rows.where(F.col(SAMPLE) != "").select(*keys, SAMPLE, "attribute_name", "attribute_value"),
-        [*keys, SAMPLE],
-        ["hugo_gene_symbol", "variant_type", "mutation_variant", "mutation_type"],
-    )
-    return joined
+    events = events.select(*keys, SAMPLE, "hugo_gene_symbol", "variant_type", "mutation_variant", "mutation_type")
+    rows = rows.where(F.col(SAMPLE) != "").select(*keys, SAMPLE, "attribute_name", "attribute_value")
+    return events.join(rows, [*keys, SAMPLE])
 
 
 def followup_summary(t, study: str | None = None) -> DataFrame:

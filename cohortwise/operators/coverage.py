@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from cohortwise.functions.labels import COVERAGE_TYPE
 from cohortwise.plans.scope import STUDY, in_cohort
-from cohortwise.plans.sizes import lookup
 
 SAMPLE = "sample_unique_id"
 GENE = "hugo_gene_symbol"
@@ -17,20 +16,19 @@ WHOLE_EXOME = "WES"
 
 def panel_genes(t) -> DataFrame:
     """(gene_panel_id, hugo_gene_symbol) of every named panel: one row per row of the panel lists."""
-    genes = (
+    return (
         t.gene_panel.withColumnRenamed("stable_id", "gene_panel_id")
         .join(t.gene_panel_list, "internal_id")
         .join(t.gene, F.col("gene_id") == F.col("entrez_gene_id"))
         .select("gene_panel_id", GENE)
     )
-    return lookup(genes, t.gene_panel, t.gene_panel_list, t.gene)
 
 
 def covering_panels(t, gene: str) -> DataFrame:
     """Ids of the panels that cover a gene, whole exome included: at most one more than there are panels."""
     named = panel_genes(t).where(F.col(GENE) == gene).select("gene_panel_id")
     exome = t.spark.range(1).select(F.lit(WHOLE_EXOME).alias("gene_panel_id"))
-    return lookup(named.union(exome).distinct(), t.gene_panel)
+    return named.union(exome).distinct()
 
 
 def profiled_rows(t, alteration_type: str = "MUTATION_EXTENDED") -> DataFrame:

@@ -16,7 +16,7 @@ from cohortwise.plans.scope import STUDY, by_study
 def profile_types(t, study: str | None = None) -> DataFrame:
     """Profile types of a study."""
     rows, keys = by_study(t.genetic_alteration_derived, study)
-    return rows.select(*keys, "profile_type").distinct().orderBy(*keys, "profile_type")
+    return rows.select(*keys, "profile_type").distinct()
 
 
 def profile_families(t, study: str | None = None) -> DataFrame:
@@ -175,13 +175,12 @@ def group_stats(t, study: str | None, attribute: str, group: str) -> DataFrame:
     return null_safe_join(means, median(rows, by, "v").drop("n_total"), by)
 
 
-def resolve_gene(t, term: str, limit: int = 50) -> DataFrame:
+def resolve_gene(t, term: str, limit: int | None = 50) -> DataFrame:
     """Gene symbols equal to the term, then those starting with it, ignoring case; never merged."""
     symbol = F.upper(GENE)
-    return (
+    found = (
         t.gene.where(symbol.startswith(term.upper()))
         .select(GENE, "entrez_gene_id", (symbol == term.upper()).alias("exact"))
         .distinct()
-        .orderBy(F.desc("exact"), GENE, "entrez_gene_id")
-        .limit(limit)
     )
+    return found if limit is None else found.orderBy(F.desc("exact"), GENE, "entrez_gene_id").limit(limit)

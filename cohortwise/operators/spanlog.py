@@ -158,7 +158,9 @@ def normalize_spans(raw: DataFrame) -> DataFrame:
     """
     email = F.nullif(F.col("x_user_email"), F.lit(""))
     coded = F.coalesce(email.startswith("b64:"), F.lit(False))
-    decoded = F.try_to_binary(F.substring(email, 5, 1 << 20), F.lit("base64"))
+    # characters outside the alphabet are skipped; what is left must be padded to fours
+    text = F.regexp_replace(F.expr("substring(x_user_email, 5)"), "[^A-Za-z0-9+/=]", "")
+    decoded = F.when(F.length(text) % 4 == 0, F.try_to_binary(text, F.lit("base64")))
     broken = coded & decoded.isNull()
     forwarded = F.nullif(F.trim("x_forwarded_for"), F.lit(""))
     return raw.select(

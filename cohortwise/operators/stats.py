@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cohortwise.plans.ranking import cumulative, mean_ranks, null_safe_join, running_sum, value_slice
+from cohortwise.plans.ranking import cumulative, mean_ranks, null_safe_join, running_sum, sliced, value_scale
 
 
 def fisher_exact(tables: DataFrame, a: str = "a", b: str = "b", c: str = "c", d: str = "d") -> DataFrame:
@@ -183,18 +183,22 @@ def benjamini_hochberg(tests: DataFrame, keys: list[str], p: str = "p_value") ->
     the running minimum is likewise taken over slices and then inside each slice. Slices are
     cut on a log scale, since small p-values are the ones that crowd.
     """
-    part = F.floor(F.log(F.greatest(F.col(p), F.lit(1e-300))) * F.lit(64))
-    levels = cumulative(tests.where(F.col(p).isNotNull()), keys, p, slices=part)
+    scale = F.log(F.greatest(F.col(p), F.lit(1e-300))) * F.lit(64.0)
+    levels = cumulative(tests.where(F.col(p).isNotNull()), keys, p, scale=scale)
     raw = F.col(p) * F.col("n_total") / (F.col("n_below") + F.col("n"))
-    sliced = levels.withColumn("_raw", raw).withColumn("_part", part)
-    after = W.partitionBy("_one", *keys).orderBy("_part").rowsBetween(1, W.unboundedFollowing)
-    parts = (
-        sliced.groupBy(*keys, "_part").agg(F.min("_raw").alias("_min")).withColumn("_one", F.lit(1))
-        .select(*keys, "_part", F.min("_min").over(after).alias("_above"))
-    )
-    inside = W.partitionBy(*keys, "_part").orderBy(p).rowsBetween(0, W.unboundedFollowing)
-    quality = null_safe_join(sliced.withColumn("_here", F.min("_raw").over(inside)), parts, [*keys, "_part"]).select(
-        *keys, p, F.least(F.col("_here"), F.col("_above"), F.lit(1e0)).alias("q_value")
+    slice_, part = sliced(scale)
+    cut = levels.withColumns({"_raw": raw, "_slice": slice_, "_part": part})
+    following = 1, W.unboundedFollowing
+    parts = cut.groupBy(*keys, "_slice", "_part").agg(F.min("_raw").alias("_min"))
+    slices = parts.groupBy(*keys, "_slice").agg(F.min("_min").alias("_min")).withColumn("_one", F.lit(1))
+    after = W.partitionBy("_one", *keys).orderBy("_slice").rowsBetween(*following)
+    above = slices.select(*keys, "_slice", F.min("_min").over(after).alias("_above_slice"))
+    within = W.partitionBy(*keys, "_slice").orderBy("_part").rowsBetween(*following)
+    inner = parts.select(*keys, "_slice", "_part", F.min("_min").over(within).alias("_above_part"))
+    inside = W.partitionBy(*keys, "_slice", "_part").orderBy(p).rowsBetween(0, W.unboundedFollowing)
+    bounds = null_safe_join(inner, above, [*keys, "_slice"])
+    quality = null_safe_join(cut.withColumn("_here", F.min("_raw").over(inside)), bounds, [*keys, "_slice", "_part"]).select(
+        *keys, p, F.least(F.col("_here"), F.col("_above_part"), F.col("_above_slice"), F.lit(1e0)).alias("q_value")
     )
     return null_safe_join(tests, quality, [*keys, p], "left")
 
@@ -212,7 +216,7 @@ def kaplan_meier(patients: DataFrame, keys: list[str], months: str, event: str)
     times = times.where(F.col("events") > 0).withColumn("at_risk", F.col("n_total") - F.col("n_below"))
     last = F.col("events") == F.col("at_risk")
     factor = F.when(~last, F.log(F.lit(1e0) - F.col("events") / F.col("at_risk"))).otherwise(0e0)
-    curve = running_sum(times.withColumn("log_step", factor), keys, months, value_slice(F.col(months)), "log_step")
+    curve = running_sum(times.withColumn("log_step", factor), keys, months, value_scale(F.col(months)), "log_step")
     survival = F.when(last, 0e0).otherwise(F.exp("log_step_upto"))
     return curve.select(*keys, months, "at_risk", "events", survival.alias("survival"))
 

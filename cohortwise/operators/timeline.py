@@ -1,4 +1,9 @@
-"""Treatment and other timeline events. Counts of patients only: who was treated elsewhere is unknown."""
+"""Treatment and other timeline events. Counts of patients only: who was treated elsewhere is unknown.
+
+All reports read `clinical_event_derived`: one row per event, key and value with the event's study and
+patient (key and value are missing for an event without any), stored by study. A named study is
+a filter on that one table, before anything is counted.
+"""
 
 from __future__ import annotations
 
@@ -10,108 +15,68 @@ from cohortwise.plans.scope import STUDY, by_study
 
 # Both spellings of the treatment event type.
 TREATMENT = ("Treatment", "TREATMENT")
+EVENT = "clinical_event_id"
 
 
-def _patients(t, study) -> tuple[DataFrame, list[str]]:
-    """(patient_id, study, patient_unique_id) of the study's patients and the extra keys."""
-    studies, keys = by_study(t.cancer_study, study)
-    patients = t.patient.join(studies.select("cancer_study_id", STUDY), "cancer_study_id").select(
-        F.col("internal_id").alias("patient_id"), STUDY, F.concat_ws("_", STUDY, "stable_id").alias("patient_unique_id")
-    )
-    return patients, keys
-
-
-def _treatments(t) -> DataFrame:
-    return t.clinical_event.where(F.col("event_type").isin(*TREATMENT))
-
+def _events(t, study) -> tuple[DataFrame, list[str]]:
+    return by_study(t.clinical_event_derived, study)
 
-def event_payload(t, **names: str) -> DataFrame:
-    """One row per event with the set of values of each named key: `event_payload(t, agent="AGENT")`.
 
-    One pass over the key-value table replaces a self join per key.
-    """
-    sets = [F.collect_set(F.when(F.col("key") == key, F.col("value"))).alias(name) for name, key in names.items()]
-    rows = t.clinical_event_data.where(F.col("key").isin(*names.values()))
-    return rows.groupBy("clinical_event_id").agg(*sets)
-
-
-def _per_patient(t, value: str, key: str) -> DataFrame:
-    """(patient_id, set of the key's values over the patient's treatments)."""
-    return (
-        _treatments(t)
-        .join(event_payload(t, **{value: key}), "clinical_event_id")
-        .select("patient_id", F.explode(value).alias(value))
-        .groupBy("patient_id")
-        .agg(F.collect_set(value).alias(value))
-    )
+def _given(t, study, key: str, name: str) -> tuple[DataFrame, list[str]]:
+    """Rows of one key of treatment events, the value under `name`, and the extra keys."""
+    rows, keys = _events(t, study)
+    given = rows.where(F.col("event_type").isin(*TREATMENT) & (F.col("key") == key) & F.col("value").isNotNull())
+    return given.select(*keys, "patient_id", "patient_unique_id", EVENT, "start_date", F.col("value").alias(name)), keys
 
 
 def _patients_per_value(t, study, value: str, key: str, count: str, keep: DataFrame | None = None) -> DataFrame:
-    patients, keys = _patients(t, study)
+    given, keys = _given(t, study, key, value)
     if keep is not None:
-        patients = patients.join(keep, "patient_unique_id", "left_semi")
-    return (
-        _per_patient(t, value, key)
-        .join(patients, "patient_id")
-        .select(*keys, F.explode(value).alias(value))
-        .groupBy(*keys, value)
-        .agg(F.count("*").alias(count))
-    )
+        given = given.join(keep, "patient_unique_id", "left_semi")
+    return given.select(*keys, "patient_id", value).distinct().groupBy(*keys, value).agg(F.count("*").alias(count))
 
 
 def event_types(t, study: str | None = None) -> DataFrame:
     """Event types with their number of events."""
-    patients, keys = _patients(t, study)
-    # counted per patient before the join, so a patient rich in events is one row
-    counted = t.clinical_event.groupBy("patient_id", "event_type").agg(F.count("*").alias("events"))
-    return (
-        counted.join(patients, "patient_id").groupBy(*keys, "event_type").agg(F.sum("events").alias("event_count"))
-    )
+    rows, keys = _events(t, study)
+    return rows.select(*keys, "event_type", EVENT).distinct().groupBy(*keys, "event_type").agg(F.count("*").alias("event_count"))
 
 
 def treatment_keys(t, study: str | None = None) -> DataFrame:
     """Keys found on treatment events with their number of rows."""
-    patients, keys = _patients(t, study)
-    counted = t.clinical_event_data.groupBy("clinical_event_id", "key").agg(F.count("*").alias("rows"))
-    per_patient = (
-        _treatments(t).join(counted, "clinical_event_id").groupBy("patient_id", "key").agg(F.sum("rows").alias("rows"))
-    )
-    return per_patient.join(patients, "patient_id").groupBy(*keys, "key").agg(F.sum("rows").alias("cnt"))
+    rows, keys = _events(t, study)
+    found = rows.where(F.col("event_type").isin(*TREATMENT) & F.col("key").isNotNull())
+    return found.groupBy(*keys, "key").agg(F.count("*").alias("cnt"))
 
 
-def top_agents(t, study: str | None = None, n: int = 20) -> DataFrame:
-    """Treatment agents by number of patients, the first `n` of each study."""
+def top_agents(t, study: str | None = None, n: int | None = 20) -> DataFrame:
+    """Treatment agents by number of patients, the first `n` of each study (None: all)."""
     counts = _patients_per_value(t, study, "agent", "AGENT", "patient_count")
     order = [F.desc("patient_count"), F.asc("agent")]
+    if n is None:
+        return counts
     if study is None:
         return top_per_group(counts, [STUDY], order, n)
     return counts.orderBy(*order).limit(n)
 
 
-def _agent_subtype(t, study, subtype: Column) -> DataFrame:
-    patients, keys = _patients(t, study)
-    pairs = (
-        _treatments(t)
-        .join(event_payload(t, agent="AGENT", subtype="SUBTYPE"), "clinical_event_id")
-        .select("patient_id", "subtype", F.explode("agent").alias("agent"))
-        .select("patient_id", "agent", subtype.alias("treatment_subtype"))
-        .distinct()
-    )
-    return (
-        pairs.join(patients, "patient_id")
-        .groupBy(*keys, "agent", "treatment_subtype")
-        .agg(F.count_distinct("patient_id").alias("patients"))
-    )
+def _agent_subtype(t, study, how: str) -> DataFrame:
+    agents, keys = _given(t, study, "AGENT", "agent")
+    subtypes, _ = _given(t, study, "SUBTYPE", "treatment_subtype")
+    subtypes = subtypes.select(F.col(EVENT).alias("_event"), "treatment_subtype").distinct()
+    pairs = agents.join(subtypes, F.col(EVENT) == F.col("_event"), how)
+    pairs = pairs.select(*keys, "patient_id", "agent", "treatment_subtype").distinct()
+    return pairs.groupBy(*keys, "agent", "treatment_subtype").agg(F.count("*").alias("patients"))
 
 
 def agent_subtype(t, study: str | None = None) -> DataFrame:
     """Patients per agent and subtype; NULL subtype where the event has none."""
-    return _agent_subtype(t, study, F.explode_outer("subtype"))
+    return _agent_subtype(t, study, "left")
 
 
 def agents_per_category(t, study: str | None = None, n: int | None = None) -> DataFrame:
     """Patients per category and agent, for events that have both; with `n`, the first of each category."""
-    counts = _agent_subtype(t, study, F.explode("subtype")).withColumnRenamed("treatment_subtype", "category")
+    counts = _agent_subtype(t, study, "inner").withColumnRenamed("treatment_subtype", "category")
     if n is None:
         return counts
     keys = [STUDY] if study is None else []
@@ -125,30 +90,20 @@ def agents_in_category(t, study: str | None, subtype: str) -> DataFrame:
 
 def treatment_timing(t, study: str | None = None) -> DataFrame:
     """Patients per agent before and after their first sequencing; a tie or an unknown day is after."""
-    patients, keys = _patients(t, study)
-    first = (
-        t.clinical_event.where(F.col("event_type") == "Sequencing")
-        .groupBy("patient_id")
-        .agg(F.min("start_date").alias("seq_date"))
-    )
+    rows, _ = _events(t, study)
+    first = rows.where(F.col("event_type") == "Sequencing").groupBy("patient_id").agg(F.min("start_date").alias("seq_date"))
+    given, keys = _given(t, study, "AGENT", "treatment")
     # the earliest and latest day per patient and agent decide both labels
-    days = (
-        _treatments(t)
-        .join(event_payload(t, treatment="AGENT"), "clinical_event_id")
-        .select("patient_id", "start_date", F.explode("treatment").alias("treatment"))
-        .groupBy("patient_id", "treatment")
-        .agg(
-            F.min("start_date").alias("earliest"),
-            F.max("start_date").alias("latest"),
-            F.max(F.col("start_date").isNull()).alias("undated"),
-        )
+    days = given.groupBy(*keys, "patient_id", "treatment").agg(
+        F.min("start_date").alias("earliest"),
+        F.max("start_date").alias("latest"),
+        F.max(F.col("start_date").isNull()).alias("undated"),
     )
     before = F.coalesce(F.col("earliest") < F.col("seq_date"), F.lit(False))
     after = F.col("undated") | F.col("seq_date").isNull() | (F.col("latest") >= F.col("seq_date"))
-    labels = F.array_compact(F.array(F.when(before, "Before Sequencing"), F.when(after, "After Sequencing")))
+    labels: Column = F.array_compact(F.array(F.when(before, "Before Sequencing"), F.when(after, "After Sequencing")))
     return (
         days.join(first, "patient_id")
-        .join(patients, "patient_id")
         .select(*keys, "treatment", F.explode(labels).alias("timing"))
         .groupBy(*keys, "timing", "treatment")
         .agg(F.count("*").alias("patients"))

@@ -9,18 +9,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cohortwise.plans.skew import hot_keys, salted_join
-
 SLICES_PER_UNIT = 64
+PARTS_PER_SLICE = 1 << 20
+
 
+def value_scale(value: Column) -> Column:
+    """Place of a value on a scale of slices: linear below 1 and logarithmic above, 64 to a unit."""
+    return F.signum(value) * F.log1p(F.abs(value)) * F.lit(float(SLICES_PER_UNIT))
 
-def value_slice(value: Column) -> Column:
-    """Number of the value slice: non-decreasing in the value and fixed for a given value.
 
-    Linear below 1 and logarithmic above, so a slice spans at most 1/64 (absolute or
-    relative). It depends on the value only, hence a re-run task cuts the same slices.
+def sliced(scale: Column) -> tuple[Column, Column]:
+    """(slice, part of the slice) of a place on a scale, both non-decreasing in it.
+
+    They depend on the value only, hence a re-run task cuts the same ones. Doubles have at most
+    about 90,000 slices of `value_scale`, each 2**20 parts, so clustered values fall apart as
+    well, and no ordered step sees more rows than that unless values agree to a millionth of
+    a slice.
     """
-    return F.floor(F.signum(value) * F.log1p(F.abs(value)) * F.lit(float(SLICES_PER_UNIT)))
+    part = F.floor((scale - F.floor(scale)) * F.lit(float(PARTS_PER_SLICE)))
+    return F.floor(scale), F.least(part, F.lit(PARTS_PER_SLICE - 1))
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -30,49 +37,48 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return left.join(other, same, how).drop(*[f"_r_{k}" for k in keys])
 
 
+def _upto(rows: DataFrame, keys: list[str], order: str, column: str) -> DataFrame:
+    """`rows` (one per keys, slice, part and `order` value) with `_upto`, the sum of `column` up to and including the row,
+    and `_total` over the keys.
+
+    Sums per slice are added up first, then those of the parts of a slice, then the rows of a part.
+    """
+    parts = rows.groupBy(*keys, "_slice", "_part").agg(F.sum(column).alias("_size"))
+    slices = parts.groupBy(*keys, "_slice").agg(F.sum("_size").alias("_size")).withColumn("_one", F.lit(1))
+    before = W.unboundedPreceding, -1
+    group = W.partitionBy("_one", *keys)
+    bases = slices.select(
+        *keys, "_slice", F.coalesce(F.sum("_size").over(group.orderBy("_slice").rowsBetween(*before)), F.lit(0)).alias("_below_slice"),
+        F.sum("_size").over(group).alias("_total"))
+    within = W.partitionBy(*keys, "_slice").orderBy("_part").rowsBetween(*before)
+    inner = parts.select(*keys, "_slice", "_part", F.coalesce(F.sum("_size").over(within), F.lit(0)).alias("_below_part"))
+    inside = W.partitionBy(*keys, "_slice", "_part").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    summed = rows.withColumn("_inside", F.sum(column).over(inside))
+    summed = null_safe_join(summed, null_safe_join(inner, bases, [*keys, "_slice"]), [*keys, "_slice", "_part"])
+    return summed.withColumn("_upto", F.col("_below_slice") + F.col("_below_part") + F.col("_inside"))
+
+
 def cumulative(
-    values: DataFrame, keys: list[str], value: str, weight: str | None = None, slices: Column | None = None
+    values: DataFrame, keys: list[str], value: str, weight: str | None = None, scale: Column | None = None
 ) -> DataFrame:
     """One row per (keys, value): `n` rows with it, `n_below` rows under it, `n_total` in the group.
 
-    Rows are first counted per distinct value (map-side combined). Counts are then summed
-    per slice of the value range, and a running sum inside each slice is added to the
-    running sum over slices, so a large group is ranked by many tasks. `slices` replaces the
-    rule that cuts the value range; it must not decrease as the value grows.
+    Rows are first counted per distinct value (map-side combined) and the counts summed over
+    slices of the value range and their parts, so a large group is ranked by many tasks.
+    `scale` replaces the rule that cuts the value range; it must not decrease as the value grows.
     """
     n = F.sum(weight) if weight else F.count("*")
-    counts = values.groupBy(*keys, value).agg(n.alias("n")).withColumn("_slice", value_slice(F.col(value)) if slices is None else slices)
-    # the literal key keeps the windows partitioned when there are no group keys
-    sizes = counts.groupBy(*keys, "_slice").agg(F.sum("n").alias("_size")).withColumn("_one", F.lit(1))
-    group = W.partitionBy("_one", *keys)
-    ordered = group.orderBy("_slice").rowsBetween(W.unboundedPreceding, W.currentRow)
-    bases = sizes.select(
-        *keys,
-        "_slice",
-        (F.sum("_size").over(ordered) - F.col("_size")).alias("_base"),
-        F.sum("_size").over(group).alias("n_total"),
-    )
-    inside = W.partitionBy(*keys, "_slice").orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
-    running = counts.withColumn("_upto", F.sum("n").over(inside))
-    return null_safe_join(running, bases, [*keys, "_slice"]).select(
-        *keys, value, "n", (F.col("_base") + F.col("_upto") - F.col("n")).alias("n_below"), "n_total"
-    )
+    slice_, part = sliced(value_scale(F.col(value)) if scale is None else scale)
+    counts = values.groupBy(*keys, value).agg(n.alias("n")).withColumns({"_slice": slice_, "_part": part})
+    return _upto(counts, keys, value, "n").select(
+        *keys, value, "n", (F.col("_upto") - F.col("n")).alias("n_below"), F.col("_total").alias("n_total"))
 
 
-def running_sum(rows: DataFrame, keys: list[str], order: str, part: Column, column: str) -> DataFrame:
-    """`rows` (one per keys and `order` value) with `<column>_upto`: its sum up to and including the row.
-
-    Summed over parts of the order first and then inside the part, like the ranks.
-    """
-    parted = rows.withColumn("_part", part)
-    sums = parted.groupBy(*keys, "_part").agg(F.sum(column).alias("_sum")).withColumn("_one", F.lit(1))
-    before = W.partitionBy("_one", *keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    bases = sums.select(*keys, "_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
-    inside = W.partitionBy(*keys, "_part").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    summed = parted.withColumn("_inside", F.sum(column).over(inside))
-    return null_safe_join(summed, bases, [*keys, "_part"]).select(
-        *rows.columns, (F.col("_before") + F.col("_inside")).alias(f"{column}_upto")
-    )
+def running_sum(rows: DataFrame, keys: list[str], order: str, scale: Column, column: str) -> DataFrame:
+    """`rows` (one per keys and `order` value) with `<column>_upto`: its sum up to and including the row."""
+    slice_, part = sliced(scale)
+    summed = _upto(rows.withColumns({"_slice": slice_, "_part": part}), keys, order, column)
+    return summed.select(*rows.columns, F.col("_upto").alias(f"{column}_upto"))
 
 
 def mean_ranks(values: DataFrame, keys: list[str], value: str, weight: str | None = None) -> DataFrame:
@@ -102,8 +108,8 @@ def spearman(pairs: DataFrame, keys: list[str], a: str, b: str, weight: str | No
     """(keys, spearman_correlation, num_samples) of two numeric columns; one row when `keys` is empty.
 
     Pearson correlation of mean ranks. NULL for fewer than 3 pairs or a constant side.
-    Equal pairs are counted first; the rank of `b` is attached with hot values spread over
-    several tasks, folded per value of `a` (partial sums), and only then meets the rank of `a`.
+    Equal pairs are counted first; the rank of `b` is attached, folded per value of `a`
+    (partial sums), and only then meets the rank of `a`.
     """
     copies = F.sum(weight) if weight else F.count("*")
     # stated once here, the filter is not inferred anew in each branch, so the branches share the exchange
@@ -113,9 +119,8 @@ def spearman(pairs: DataFrame, keys: list[str], a: str, b: str, weight: str | No
     centred = (F.col("rank") - (F.col("n_total") + F.lit(1)) / F.lit(2e0)).alias("_db")
     ranks_a = mean_ranks(counted, keys, a, "_pairs")
     ranks_b = mean_ranks(counted, keys, b, "_pairs")
-    hot = hot_keys(counted.groupBy(*keys, b).agg(F.sum("_pairs").alias("n")), [*keys, b], "n")
     folded = (
-        salted_join(counted, ranks_b.select(*keys, b, centred), [*keys, b], [a], hot)
+        counted.join(ranks_b.select(*keys, b, centred), [*keys, b])
         .groupBy(*keys, a)
         .agg(
             F.sum("_pairs").alias("_n"),

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortwise.plans.sizes import lookup
-
 STUDY = "cancer_study_identifier"
 
 
@@ -23,7 +21,7 @@ def by_study(df: DataFrame, study: str | list[str] | None) -> tuple[DataFrame, l
 
 def cohort_studies(preferences: DataFrame, preference: str) -> DataFrame:
     """Distinct study ids of a named cohort; a repeated preference row counts once."""
-    return lookup(preferences.where(F.col("preference_name") == preference).select(STUDY).distinct(), preferences)
+    return preferences.where(F.col("preference_name") == preference).select(STUDY).distinct()
 
 
 def in_cohort(df: DataFrame, studies: DataFrame | list[str] | None) -> DataFrame:

@@ -84,7 +84,19 @@ SECTIONS = {
         f"""select {STUDY}, attribute_value as name, count(distinct nullif(sample_unique_id, '')) as n
             from clinical_data_derived where attribute_name = 'SAMPLE_TYPE' group by 1, 2""", "sample_types", None),
 }
-ALL_SECTIONS = " union all by name ".join(f"select * from ({s})" for s in SECTIONS.values())
+def profile(sections: dict[str, str]) -> str:
+    """All sections with their numbers and the positions of their rows."""
+    parts = " union all by name ".join(f"select *, {n} as section_no from ({s})" for n, s in enumerate(sections.values(), 1))
+    return f"""select *, row_number() over (partition by {STUDY}, section_no
+      order by "count" desc nulls last, name nulls first, detail nulls first) as position from ({parts})"""
+
+
+def uncut(section: str) -> str:
+    """A section without its limit."""
+    return section.split("qualify")[0]
+
+
+WHOLE = {name: uncut(text) for name, text in SECTIONS.items()}
 
 
 def section(name: str, columns: str) -> str:
@@ -122,7 +134,22 @@ QUERIES = {
             where len(list_filter(regexp_split_to_array(lower(requested_id), '[_-]+'),
               lambda x: len(x) >= 3 and contains(lower(s.{STUDY}), x))) > 0
             qualify row_number() over (partition by requested_id order by s.{STUDY}) <= 10"""),
-    "k05_study_profile": Query(lambda t: catalog.study_profile(t), ALL_SECTIONS),
+    "k05_study_profile": Query(lambda t: catalog.study_profile(t), profile(SECTIONS)),
+    "k05_study_profile_all": Query(lambda t: catalog.study_profile(t, tops=(None, None, None)), profile(WHOLE)),
+    "k05_study_profile_any_case": Query(
+        lambda t: catalog.study_profile(t, "NATION_1_MSK_2024"),
+        f"select * exclude ({STUDY}) from ({profile(SECTIONS)}) where {STUDY} = 'nation_1_msk_2024'"),
+    "k05_study_profile_miss": Query(
+        lambda t: catalog.study_profile(t, "Nation_tcga_9999"),
+        f"""select 0 as section_no, 'similar_studies' as section, {STUDY} as name, name as detail, null::bigint as "count",
+              row_number() over (order by {STUDY}) as position
+            from cancer_study where contains(lower({STUDY}), 'nation') or contains(lower({STUDY}), 'tcga') or contains(lower({STUDY}), '9999')
+            order by {STUDY} limit 10"""),
+    "p4_study_panels_all": Query(lambda t: catalog.study_panels(t, k=None), f'select {STUDY}, section, name, detail, "count" from ({WHOLE["panels"]})'),
+    "p5_study_attributes_all": Query(lambda t: catalog.study_attributes(t, k=None), f'select {STUDY}, section, name, "count" from ({WHOLE["attributes"]})'),
+    "p6_study_top_genes_all": Query(lambda t: catalog.study_top_genes(t, k=None), f'select {STUDY}, section, name, "count" from ({WHOLE["top_genes"]})'),
+    "k01_list_studies_all": Query(
+        lambda t: catalog.list_studies(t, limit=None, at_most=None, guides=("nation_1_msk_2024",)), COUNTS),
     "p1_study_header": Query(
         lambda t: catalog.study_header(t), section("header", f"{STUDY}, section, name, detail")),
     "p1_study_header_any_case": Query(
@@ -152,7 +179,7 @@ QUERIES = {
         f"""select resource_id, display_name, description, resource_type, {STUDY}, url
             from resource_study join resource_definition using (resource_id) where {mentions(STUDY_TERMS)}"""),
     "k09_study_links_first_100": Query(
-        lambda t: catalog.study_links(t, STUDY_TERMS),
+        lambda t: catalog.study_links(t, STUDY_TERMS, limit=100),
         f"""select resource_id, display_name, description, resource_type, {STUDY}, url
             from resource_study join resource_definition using (resource_id) where {mentions(STUDY_TERMS)}
             order by {STUDY}, display_name, url limit 100"""),

@@ -130,9 +130,6 @@ QUERIES = {
             frequency_sql(alteration, preference(EVERY)))
         for alteration in HITS
     },
-    "f07_unknown_alteration_has_no_rows": Query(
-        lambda t: frequency.gene_alteration_frequency_by_cancer_type(t, EVERY, None, "methylated"),
-        frequency_sql("mutation", "false")),
     "f08_top_mutated_genes_in_cohort": Query(
         lambda t: frequency.top_mutated_genes_in_cohort(t, TCGA, 20),
         f"""

@@ -62,6 +62,16 @@ def written(t):
     return stored.groupBy("variant_type", STUDY).agg(F.count("*").alias("events"), F.sum("off_panel").alias("off_panel"))
 
 
+def folder_values(t):
+    """Cohort names that look like numbers, after a round trip through folders of that name."""
+    cohorts = t.nation.join(t.cancer_study, F.col("cancer_study_id") == F.col("n_nationkey")).select(
+        (F.lit(2000) + F.col("n_nationkey")).cast("string").alias("preference_name"), STUDY,
+        F.concat(F.lit("00"), F.col("n_nationkey").cast("string")).alias("notes"))
+    path = f"{shared_dir(t.spark)}/cohortwise/{t.spark.sparkContext.applicationId}/folders"
+    prep.write(t.replace(cancer_study_query_preferences=cohorts), path, ["cancer_study_query_preferences"])
+    return load(t.spark, path).cancer_study_query_preferences
+
+
 def by_sql(t):
     sqlviews.register_views(t)
     return t.spark.sql(
@@ -69,6 +79,22 @@ def by_sql(t):
     )
 
 
+def call(text: str):
+    """A recipe through its SQL table function."""
+
+    def run(t):
+        sqlviews.register_views(t)
+        return t.spark.sql(f"select * from {text}")
+
+    return run
+
+
+def _queries(module: str, name: str) -> str:
+    from importlib import import_module
+
+    return import_module(f"cohortwise.registry.{module}").QUERIES[name].sql
+
+
 PATTERN = f"""select 'pan_cancer_tcga' as preference_name, {STUDY}, 'pattern-detected' as notes from cancer_study
   where {STUDY} like '%_tcga_pan_can_atlas_2018'"""
 LITERAL = f"""select 'large_genomic_cohort' as preference_name, {STUDY}, 'single study' as notes from cancer_study
@@ -81,6 +107,19 @@ def sparse(column: str) -> str:
     return f"case when {column} <> '' then '\"{column}\":\"' || {column} || '\"' end"
 
 
+SPEARMAN = """
+with valued as (
+  select sample_unique_id, hugo_gene_symbol as gene, try_cast(alteration_value as double) as v from genetic_alteration_derived
+  where cancer_study_identifier = 'expr_study' and profile_type = 'mrna' and hugo_gene_symbol in ('GENE1', 'GENE2')),
+pairs as (
+  select a.v as a, b.v as b from valued a join valued b using (sample_unique_id)
+  where a.gene = 'GENE1' and b.gene = 'GENE2' and a.v is not null and b.v is not null),
+ranks as (
+  select rank() over (order by a) + (count(*) over (partition by a) - 1) / 2e0 as ra, rank() over (order by b) + (count(*) over (partition by b) - 1) / 2e0 as rb
+  from pairs)
+select 'GENE1' as gene_a, 'GENE2' as gene_b, 'mrna' as profile_type, round(corr(ra, rb), 6) as spearman_correlation, count(*) as num_samples from ranks"""
+
+
 def _frequency_by_sql() -> str:
     from cohortwise.registry.frequency import EVERY, frequency_sql, one_gene, preference
 
@@ -95,7 +134,19 @@ QUERIES = {
         lambda t: adhoc.select(t, ADHOC, {"kind": "mutation", "least": 10}, ["genomic_event_derived", "cancer_study"]),
         """select s.name, count(*) as mutations from genomic_event_derived e join cancer_study s using (cancer_study_identifier)
            where variant_type = 'mutation' group by 1 having count(*) >= 10"""),
+    "s02_run_select": Query(
+        lambda t: adhoc.run_select(t, ADHOC, {"kind": "mutation", "least": 10}, ["genomic_event_derived", "cancer_study"])["rows"],
+        """select '{"name":"' || s.name || '","mutations":' || count(*) || '}' as "row"
+           from genomic_event_derived e join cancer_study s using (cancer_study_identifier)
+           where variant_type = 'mutation' group by s.name having count(*) >= 10"""),
     "s02_sql_table_function": Query(by_sql, _frequency_by_sql()),
+    "s02_sql_frequency_in_study": Query(
+        call("gene_mutation_frequency_in_study(study => 'nation_1_msk_2024', gene => 'GENE3')"),
+        _queries("frequency", "f05_gene_mutation_frequency_in_study")),
+    "s02_sql_gene_pair_coexpression": Query(
+        lambda t: call("gene_pair_coexpression('expr_study', 'GENE1', 'GENE2', 'mrna')")(t).withColumn(
+            "spearman_correlation", F.round("spearman_correlation", 6)),
+        SPEARMAN),
     "s05_sparse_json": Query(
         lambda t: adhoc.sparse_json(t.clinical_data_derived.select("sample_unique_id", "patient_unique_id", "attribute_name", "attribute_value")),
         f"""select '{{' || concat_ws(',', {", ".join(map(sparse, ("sample_unique_id", "patient_unique_id", "attribute_name", "attribute_value")))}) || '}}' as "row"
@@ -105,11 +156,11 @@ QUERIES = {
         "select internal_id, stable_id, patient_id from sample"),
     "s07_comment_columns": Query(
         lambda t: prep.column_comments(prep.comment_columns(t.clinical_data_derived, prep.COMMENTS["clinical_data_derived"])),
-        "select * from (values {}) v(name, type, comment)".format(", ".join(
-            "('{}', 'string', {})".format(
+        " union all ".join(
+            "select '{0}' as name, 'string' as type, {1} as comment, count({0}) as present from clinical_data_derived".format(
                 c, "'{}'".format(prep.COMMENTS["clinical_data_derived"][c].replace("'", "''"))
-                if c in prep.COMMENTS["clinical_data_derived"] else "null")
-            for c in ("sample_unique_id", "patient_unique_id", STUDY, "attribute_name", "attribute_value", "type")))),
+                if c in prep.COMMENTS["clinical_data_derived"] else "null::varchar")
+            for c in ("sample_unique_id", "patient_unique_id", STUDY, "attribute_name", "attribute_value", "type"))),
     "s08_normalize_taxonomy": Query(
         normalized,
         """select code, name, main_type, tissue, parent, level, nullif(replaced_csv, '') as revocations,
@@ -130,6 +181,10 @@ QUERIES = {
         f"{PATTERN} union all {LITERAL} union all {LISTED}"),
     "s14_prepare": Query(
         lambda t: prep.prepare(t, STEPS).cancer_study_query_preferences, f"{PATTERN} union all {LITERAL} union all {LISTED}"),
+    "s15_folder_values_read_back": Query(
+        folder_values,
+        f"""select (2000 + n_nationkey)::varchar as preference_name, s.{STUDY}, '00' || n_nationkey as notes
+            from nation join cancer_study s on s.cancer_study_id = n_nationkey"""),
     "s15_write_and_read_back": Query(
         written,
         f"""select variant_type, {STUDY}, count(*) as events, sum(off_panel)::bigint as off_panel

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 
 from pyspark.sql import SparkSession
 
@@ -18,8 +18,6 @@ SETTINGS = {
     "spark.sql.parquet.filterPushdown": "true",
 }
 
-_local_dirs: dict[str, str] = {}
-
 
 def build_session(app: str = "cohortwise", master: str | None = None, **conf: str) -> SparkSession:
     """Session with the recommended settings; `conf` keys use `_` for `.`.
@@ -40,18 +38,16 @@ def build_session(app: str = "cohortwise", master: str | None = None, **conf: st
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach: `spark.checkpoint.dir` where the cluster sets it.
 
-    A local session without that setting gets a folder of its own, which becomes its
+    A session on one machine without that setting gets a folder beside its warehouse, which becomes its
     checkpoint folder. A cluster session without it is refused, because a machine-local
     folder would be lost with the machine.
     """
+    context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    app = context.applicationId
-    if app not in _local_dirs:
-        _local_dirs[app] = tempfile.mkdtemp(prefix="cohortwise-")
-        context.setCheckpointDir(_local_dirs[app])
-    return _local_dirs[app]
+    folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared/{context.applicationId}"
+    context.setCheckpointDir(folder)
+    return folder

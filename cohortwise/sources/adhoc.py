@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortwise.session import shared_dir
+
 
 def select(t, sql: str, args: dict | None = None, tables: list[str] = ()) -> DataFrame:
     """Result of one SELECT (CTEs allowed) over the named tables; `args` fill `:name` markers.
@@ -18,9 +20,14 @@ def select(t, sql: str, args: dict | None = None, tables: list[str] = ()) -> Dat
 
 
 def run_select(t, sql: str, args: dict | None = None, tables: list[str] = ()) -> dict:
-    """{"rows": DataFrame of sparse JSON rows} or {"error_message": text}."""
+    """{"rows": DataFrame of sparse JSON rows} or {"error_message": text}.
+
+    The query runs here, once; its rows are checkpointed in the cluster's shared folder, so an error
+    in a row is a message as well and reading the rows cannot fail.
+    """
+    shared_dir(t.spark)
     try:
-        return {"rows": sparse_json(select(t, sql, args, tables))}
+        return {"rows": sparse_json(select(t, sql, args, tables)).checkpoint()}
     except Exception as error:
         return {"error_message": str(error)}
 

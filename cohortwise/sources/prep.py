@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortwise.plans.scope import STUDY
 
@@ -18,6 +19,7 @@ CLUSTERED = {
     "sample_to_gene_panel_derived": [STUDY, "sample_unique_id"],
     "genetic_alteration_derived": [STUDY, "hugo_gene_symbol", "sample_unique_id"],
     "sample_expression": [STUDY, "hugo_gene_symbol", "sample_unique_id"],
+    "clinical_event_derived": [STUDY, "event_type", "key", "patient_id", "clinical_event_id"],
 }
 
 # Low-cardinality columns that every query of the table filters on, stored as folders.
@@ -85,9 +87,14 @@ def comment_columns(df: DataFrame, comments: dict[str, str]) -> DataFrame:
 
 
 def column_comments(df: DataFrame) -> DataFrame:
-    """One row per column: name, type, comment (NULL without one), taken from the schema."""
-    fields = [(f.name, f.dataType.simpleString(), f.metadata.get("comment")) for f in df.schema]
-    return df.sparkSession.createDataFrame(fields, "name string, type string, comment string")
+    """One row per column: name, type, comment (NULL without one), and how many rows have a value."""
+    fields = [
+        F.struct(F.lit(f.name).alias("name"), F.lit(f.dataType.simpleString()).alias("type"),
+                 F.lit(f.metadata.get("comment")).cast("string").alias("comment"), F.col(f"`_{i}`").alias("present"))
+        for i, f in enumerate(df.schema)
+    ]
+    counts = df.agg(*[F.count(F.col(f"`{f.name}`")).alias(f"_{i}") for i, f in enumerate(df.schema)])
+    return counts.select(F.inline(F.array(*fields)))
 
 
 def enrich_cancer_types(types: DataFrame, onco: DataFrame) -> DataFrame:
@@ -157,6 +164,19 @@ def prepare(t, steps: Iterable[tuple[str, str, Callable]]):
     return t
 
 
+def read_table(spark, path: str, name: str) -> DataFrame:
+    """A stored table with the types it was written with: the values of folder columns stay texts.
+
+    A folder cannot tell an empty text from a missing value; both are read as missing.
+    """
+    folders = FOLDERS.get(name, [])
+    table = spark.read.parquet(path)
+    if not folders:
+        return table
+    fields = [T.StructField(f.name, T.StringType()) if f.name in folders else f for f in table.schema]
+    return spark.read.schema(T.StructType(fields)).parquet(path)
+
+
 def write_table(df: DataFrame, path: str, name: str, partitions: int | None = None) -> None:
     """Store one table as Parquet in its layout; an existing copy is replaced.
 

@@ -102,6 +102,12 @@ from events
     "clinical_event_data": """
 select event_id as clinical_event_id, 'AGENT' as key, 'AGENT' || cast(cast(substr(props, 7, length(props) - 7) as int) % 12 as string) as value from events where event_type in ('click', 'view')
 union all select event_id, 'SUBTYPE', case cast(substr(props, 7, length(props) - 7) as int) % 4 when 0 then 'Chemo' when 1 then 'Immuno' when 2 then 'Targeted' else 'Hormone' end from events where event_type in ('click', 'view') and event_id % 5 <> 0
+""",
+    "clinical_event_derived": """
+select s.cancer_study_identifier, p.internal_id as patient_id, s.cancer_study_identifier || '_' || p.stable_id as patient_unique_id,
+  e.clinical_event_id, e.event_type, e.start_date, d.key, d.value
+from clinical_event e join patient p on p.internal_id = e.patient_id join cancer_study s on s.cancer_study_id = p.cancer_study_id
+  left join clinical_event_data d on d.clinical_event_id = e.clinical_event_id
 """,
     "oncotree": """
 select 'REG' || cast(r_regionkey as string) as code, r_name as name, r_name || ' Tumor' as main_type, r_name as tissue, cast(null as string) as parent, 1 as level, '' as replaced_csv from region

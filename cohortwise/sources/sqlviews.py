@@ -123,7 +123,7 @@ with valued as (
 second as (select sample_unique_id, v as b from valued where hugo_gene_symbol = gene_b),
 counted as (select a, b, count(*) as n from first join second using (sample_unique_id) group by a, b),
 sides as (
-  select side, v, sum(n) as n, floor(signum(v) * log1p(abs(v)) * 1024) as slice
+  select side, v, sum(n) as n, floor(signum(v) * log1p(abs(v)) * 64 * 1024) as slice
   from (select n, stack(2, 'a', a, 'b', b) as (side, v) from counted) group by side, v
 ), bases as (
   select side, slice, sum(sum(n)) over (partition by side order by slice) - sum(n) as base from sides group by side, slice
@@ -135,7 +135,7 @@ sides as (
     sum(n * y.r * y.r) as syy
   from counted c join ranks x on x.side = 'a' and x.v = c.a join ranks y on y.side = 'b' and y.v = c.b
 )
-select case when n >= 3 then try_divide(sxy - sx * sy / n, sqrt((sxx - sx * sx / n) * (syy - sy * sy / n))) end,
+select gene_a, gene_b, profile_type, case when n >= 3 then try_divide(sxy - sx * sy / n, sqrt((sxx - sx * sx / n) * (syy - sy * sy / n))) end,
   coalesce(n, 0)
 from sums
 """
@@ -156,7 +156,7 @@ FUNCTIONS = {
         TOP_GENES),
     "gene_pair_coexpression": (
         "study string, gene_a string, gene_b string, profile_type string",
-        "spearman_correlation double, num_samples bigint",
+        "gene_a string, gene_b string, profile_type string, spearman_correlation double, num_samples bigint",
         COEXPRESSION),
 }
 

@@ -45,7 +45,7 @@ class Tables:
 
 def load(spark: SparkSession, directory: str) -> Tables:
     """Tables stored as `directory/<name>` (a prepared folder) in Parquet."""
-    return Tables(spark, lambda name: spark.read.parquet(f"{directory}/{name}"), directory)
+    return Tables(spark, lambda name: prep.read_table(spark, f"{directory}/{name}", name), directory)
 
 
 def _files(directory: str) -> dict[str, str]:
@@ -88,6 +88,8 @@ def warehouse(spark: SparkSession, directory: str) -> Tables:
         return path
 
     def get(name: str) -> DataFrame:
-        return spark.read.parquet(f"{directory}/{name}.parquet" if name in projection.BASE_TABLES else stored(name))
+        if name in projection.BASE_TABLES:
+            return spark.read.parquet(f"{directory}/{name}.parquet")
+        return prep.read_table(spark, stored(name), name)
 
     return Tables(spark, get, directory)

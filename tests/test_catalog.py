@@ -96,6 +96,8 @@ def test_similar_is_limited_per_request(spark):
 def test_list_limit_is_clamped(spark):
     t = tiny(spark, cancer_study=[(i, f"s{i:03d}", "n", "d", "x") for i in range(130)])
     assert catalog.list_studies(t, limit=1000).count() == 100
+    everything = t.cancer_study.count()
+    assert catalog.list_studies(t, limit=1000, at_most=None).count() == catalog.list_studies(t, limit=None, at_most=None).count() == everything > 100
     assert catalog.list_studies(t, limit=-5).count() == 1
     assert rows(catalog.list_studies(t, search="S00", limit=3, guides=("s001",)), "cancer_study_identifier", "has_guide") == [
         ("s000", False), ("s001", True), ("s002", False)]

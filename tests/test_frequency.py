@@ -149,3 +149,7 @@ def test_events(spark):
 
 def test_preference_summary_counts_rows(spark):
     assert rows(frequency.preference_summary(tiny(spark))) == [("mine", 3, "again")]
+
+
+def test_unknown_alteration_has_no_rows(spark, tables):
+    assert frequency.gene_alteration_frequency_by_cancer_type(tables, "all_studies_non_redundant", None, "methylated").count() == 0

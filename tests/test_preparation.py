@@ -113,4 +113,17 @@ def test_sql_table_functions_agree_with_the_operators(spark, tables):
     assert got.num_samples == want.num_samples == 425
     assert got.spearman_correlation == pytest.approx(want.spearman_correlation) == pytest.approx(-0.001831968, abs=1e-9)
     none = spark.sql("select * from gene_pair_coexpression('expr_study', 'GENE1', 'NONE', 'mrna')").first()
-    assert tuple(none) == (None, 0)
+    assert tuple(none) == ("GENE1", "NONE", "mrna", None, 0)
+
+
+def test_errors_in_rows_are_messages(spark):
+    t = Tables.of(spark, v=spark.createDataFrame([("1",), ("x",)], "s string"))
+    assert "CAST_INVALID_INPUT" in adhoc.run_select(t, "select cast(s as int) as n from v", tables=["v"])["error_message"]
+
+
+def test_folder_values_stay_texts(spark, tmp_path):
+    cohorts = spark.createDataFrame([("007", "a", "x"), ("2024", "b", "y")], "preference_name string, cancer_study_identifier string, notes string")
+    prep.write(Tables.of(spark, cancer_study_query_preferences=cohorts), str(tmp_path), ["cancer_study_query_preferences"])
+    back = load(spark, str(tmp_path)).cancer_study_query_preferences
+    assert back.schema["preference_name"].dataType.simpleString() == "string"
+    assert rows(back, *cohorts.columns) == rows(cohorts)

@@ -7,7 +7,7 @@ from conftest import rows
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from cohortwise.plans import ranking, skew
+from cohortwise.plans import ranking
 
 
 def frame(spark, pdf):
@@ -21,14 +21,6 @@ def brute_spearman(a, b):
     return float(np.corrcoef(a, b)[0, 1])
 
 
-@pytest.fixture(params=["usual", "every value hot"])
-def hot(request, monkeypatch):
-    """Run once with no hot values and once with all values treated as hot."""
-    if request.param != "usual":
-        monkeypatch.setattr(skew, "MIN_ROWS", 0)
-        monkeypatch.setattr(skew, "SALTS", 3)
-
-
 def sample(seed, n=400):
     rng = np.random.default_rng(seed)
     group = rng.choice(["g", "h", "one"], n, p=[0.7, 0.29, 0.01])
@@ -57,7 +49,7 @@ def test_median_keeps_null_groups(spark):
     assert rows(ranking.median(df, ["g"], "v")) == [("x", 1, 5.0), (None, 2, 2.0)]
 
 
-def test_spearman_per_group(spark, hot):
+def test_spearman_per_group(spark):
     pdf = sample(3)
     got = {r.g: (r.spearman_correlation, r.num_samples) for r in ranking.spearman(frame(spark, pdf), ["g"], "a", "b").collect()}
     for g, x in pdf.groupby("g"):
@@ -95,39 +87,25 @@ def test_spearman_any_values(spark, pairs):
         assert got.spearman_correlation == pytest.approx(want, abs=1e-9)
 
 
-def test_salted_join_is_a_plain_join(spark, hot):
-    left = spark.createDataFrame([("hot", i) for i in range(300)] + [("cold", 1), ("lonely", 2)], "k string, v int")
-    right = spark.createDataFrame([("hot", "x"), ("hot", "y"), ("cold", "z"), ("other", "w")], "k string, w string")
-    assert rows(skew.salted_join(left, right, ["k"], ["v"]), "k", "v", "w") == rows(left.join(right, "k"), "k", "v", "w")
-
-
-def test_hot_keys_are_the_most_frequent_and_bounded(spark, monkeypatch):
-    monkeypatch.setattr(skew, "MIN_ROWS", 2)
-    monkeypatch.setattr(skew, "MAX_HOT", 2)
-    counts = spark.createDataFrame([("a", 5), ("b", 9), ("c", 5), ("d", 2)], "k string, n int")
-    assert rows(skew.hot_keys(counts, ["k"], "n")) == [("a",), ("b",)]
-    assert rows(skew.hot_keys(counts.where("k = 'd'"), ["k"], "n")) == []
-
-
-def test_hot_rows_are_spread(spark, monkeypatch):
-    """One key holds nearly all rows; after the salted join no partition holds them all."""
-    monkeypatch.setattr(skew, "MIN_ROWS", 100)
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        left = spark.range(20000).selectExpr("'hot' as k", "id as v")
-        right = spark.createDataFrame([("hot", 1)], "k string, w int")
-        joined = skew.salted_join(left, right, ["k"], ["v"])
-        sizes = [r[0] for r in joined.selectExpr("spark_partition_id() p").groupBy("p").count().select("count").collect()]
-        assert sum(sizes) == 20000 and max(sizes) < 12000
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
-
-
-def test_slices_cut_a_large_group(spark):
-    """The rank of one group is computed in many window partitions, none with most of the rows."""
-    df = spark.range(20000).selectExpr("cast(id as double) / 100 as v")
-    slices = df.select(ranking.value_slice(df.v).alias("s")).groupBy("s").count().toPandas()["count"]
-    assert len(slices) > 200 and slices.max() < 1000
-    assert ranking.median(df, [], "v").first().median == pytest.approx(99.995)
+def largest_window(df, column):
+    """Shares of the distinct values that meet in one task of the three ordered steps."""
+    slice_, part = ranking.sliced(ranking.value_scale(df[column]))
+    cut = df.select(column).distinct().select(slice_.alias("s"), part.alias("p")).toPandas()
+    n = len(cut)
+    parts = cut.drop_duplicates()
+    return parts["s"].nunique() / n, parts.groupby("s").size().max() / n, cut.groupby(["s", "p"]).size().max() / n
+
+
+@pytest.mark.parametrize("low, high", [(1.60e9, 1.61e9), (0.0, 1.0), (-3.0, 3.0), (0.0, 1e300)])
+def test_no_task_ranks_a_whole_group(spark, low, high):
+    """Also values that lie close together are cut: the leaf holds a hundredth of them at most."""
+    df = spark.range(20000).selectExpr(f"{low}D + ({high}D - {low}D) * id / 20000 as v")
+    assert largest_window(df, "v")[2] < 0.01
+    assert ranking.median(df, [], "v").first().median == pytest.approx(low + (high - low) * 9999.5 / 20000)
+
+
+def test_ranks_of_extreme_values(spark):
+    values = [-1e308, -1.0, -0.0, 0.0, 5e-324, 1.0, 1.0000000000000002, 2.0, 1e308]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = [(r.v, r.n_below) for r in ranking.cumulative(df, [], "v").orderBy("v").collect()]
+    assert got == [(-1e308, 0), (-1.0, 1), (0.0, 2), (5e-324, 4), (1.0, 5), (1.0000000000000002, 6), (2.0, 7), (1e308, 8)]

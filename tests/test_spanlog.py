@@ -25,6 +25,9 @@ def coded(text: bytes) -> str:
     ("", "", "librechat", None, None),
     ("abc", "b64:x", "unknown", None, None),
     (None, coded(b"\xffa"), "direct", None, "�a"),
+    (None, "b64:dXNl clB*leGFtcGxl", "direct", None, "userPexample"),
+    ("u", "b64:dXNlckBleGFtcGxlLm9yZw", "unknown", None, None),
+    (None, coded(b"x" * 1_200_000), "direct", None, "x" * 1_200_000),
 ])
 def test_identity(spark, user, email, kind, known, address):
     raw = spark.createDataFrame([(1, START, "t", True, user, email, None, "h", "c", "s")], RAW)

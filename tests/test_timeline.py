@@ -35,3 +35,9 @@ def test_treatments_of_mutated(spark):
     t = tiny(spark)
     assert rows(timeline.treatments_of_mutated(t, "b_2020", "KRAS")) == [("X", 2), ("Y", 1)]
     assert rows(timeline.treatments_of_mutated(t, "b_2020", "NONE")) == []
+
+
+def test_a_named_study_is_a_filter_on_the_scan(spark, tables):
+    for frame in (timeline.top_agents(tables, "nation_1_msk_2024"), timeline.treatment_timing(tables, "nation_1_msk_2024")):
+        scans = [line for line in frame._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in line]
+        assert scans and all("cancer_study_identifier" in line.split("PushedFilters")[1] for line in scans)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+from cohortwise.sources import projection
 from cohortwise.sources.tables import Tables
 
 SCHEMAS = {
@@ -96,4 +99,9 @@ ROWS = {
 
 def tiny(spark, **changes) -> Tables:
     content = {**ROWS, **changes}
-    return Tables.of(spark, **{n: spark.createDataFrame(content[n], SCHEMAS[n]) for n in SCHEMAS})
+    frames = {n: spark.createDataFrame(content[n], SCHEMAS[n]) for n in SCHEMAS}
+    text = projection.VIEWS["clinical_event_derived"]
+    for name in ("clinical_event_data", "clinical_event", "patient", "cancer_study"):
+        text = re.sub(rf"(?<=from |join ){name}\b", f"{{{name}}}", text)
+    parts = {n: frames[n] for n in ("clinical_event_data", "clinical_event", "patient", "cancer_study")}
+    return Tables.of(spark, **frames, clinical_event_derived=spark.sql(text, **parts))
