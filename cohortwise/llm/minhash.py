@@ -3,14 +3,15 @@
 1. A document's set of word shingles gives HASHES minima of (a x + b) mod 2**64. Documents with
    equal sets are one node. Bands of ROWS minima are hashed; nodes that share a band are
    candidates. At a similarity of 0.8 a pair misses all bands with a probability of 5e-8.
-2. In each band's bucket every node is compared with the bucket's least node: first by the share
-   of equal minima, then, exactly, by the full sets. The confirmed links are united.
-3. Buckets that still hold several components compare all their nodes of different components,
-   block by block, and confirm those whose minima agree. After that no two candidates in
-   different components are unverified, so none of the links that bands reveal is lost.
-
-Sets travel as texts of the candidates alone; pairs are grouped by their least node, at most SALT
-at a time, and streamed, so a node with very many copies is no large group.
+2. Each node is compared with the least node it shares a bucket with: first by the share of equal
+   minima, then, exactly, by the full sets. The confirmed links are united.
+3. Buckets that still hold several components compare their nodes of different components, block
+   by block, in the same two steps; what a block unites it does not compare again. After that no
+   two candidates in different components are unverified, so no link that bands reveal is lost.
+
+Sets travel as compressed texts of the candidates alone. Pairs are grouped by their least node, at most
+SALT at a time, and streamed; buckets are cut into blocks of BLOCK nodes. So neither a node with very
+many copies nor a very common band is a large group, and no list of all pairs is ever made.
 """
 
 from __future__ import annotations
@@ -22,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType
+from zstandard import ZstdDecompressor
 
-from cohortwise.llm import texts
+from cohortwise.llm import packed, texts
 from cohortwise.llm.common import stored
 from cohortwise.llm.components import components
 
@@ -90,7 +92,7 @@ def _sign(batches, words: int) -> Iterator[pa.RecordBatch]:
                     continue
                 m = minima(found)
                 node.append(node_of(found))
-                least.append((m >> U64(32)).astype("<u4").tobytes())
+                least.append((m >> U64(48)).astype("<u2").tobytes())
                 grid = m.reshape(BANDS, ROWS)
                 h = texts.mix(shift + U64(1))
                 for r in range(ROWS):
@@ -105,75 +107,83 @@ def _sign(batches, words: int) -> Iterator[pa.RecordBatch]:
 def agreement(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     """Share of equal minima."""
     for left, right in batches:
-        a, b = (np.frombuffer(b"".join(x.to_pylist()), "<u4").reshape(-1, HASHES) for x in (left, right))
+        a, b = (np.frombuffer(b"".join(x.to_pylist()), "<u2").reshape(-1, HASHES) for x in (left, right))
         yield pa.array((a == b).mean(axis=1))
 
 
+def similar(one: np.ndarray, other: np.ndarray, percent: int) -> bool:
+    common = len(np.intersect1d(one, other, assume_unique=True))
+    return 100 * common >= percent * (len(one) + len(other) - common)
+
+
 def _verify(batches, words: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Confirmed pairs of rows sorted by group, the least node first."""
     group, base, name = None, np.zeros(0, U64), 0
-    for batch in batches:
+    for batch in map(packed.opened, batches):
         keys = [batch.column(batch.schema.get_field_index(x)).to_pylist() for x in ("a", "salt", "role", "node")]
         left, right = [], []
         for first, _, data, offsets in texts.pieces(batch, "__text"):
             for i, found in enumerate(shingles(data, offsets, words), first):
                 a, salt, role, node = (k[i] for k in keys)
-                if node_of(found) != node if len(found) else True:
-                    continue  # another text under the same id
                 if role == 0:
                     group, base, name = (a, salt), found, node
-                elif group == (a, salt):
-                    common = len(np.intersect1d(base, found, assume_unique=True))
-                    if 100 * common >= percent * (len(base) + len(found) - common):
-                        left.append(name)
-                        right.append(node)
+                elif group == (a, salt) and similar(base, found, percent):
+                    left.append(name)
+                    right.append(node)
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
 
-def _across(batches, least: float) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components whose minima agree, from rows sorted by bucket and blocks."""
-    held: dict[str, list] = {"node": [], "component": [], "block": [], "minima": []}
+def _across(batches, words: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Links between different components, from rows sorted by bucket and pair of blocks."""
+    expand = ZstdDecompressor().decompress
+    held: list[dict] = []
     unit = None
 
-    def pairs():
-        node, part, block = (np.array(held[x], np.int64) for x in ("node", "component", "block"))
-        grid = np.frombuffer(b"".join(held["minima"]), "<u4").reshape(-1, HASHES)
-        one, other = np.flatnonzero(block == unit[1]), np.flatnonzero(block == unit[2])
+    def links():
+        node, part, block = (np.array([r[x] for r in held], np.int64) for x in ("node", "component", "block"))
+        grid = np.frombuffer(b"".join([r["minima"] for r in held]), "<u2").reshape(-1, HASHES)
+        sets: dict[int, np.ndarray] = {}
+
+        def set_of(i):
+            if i not in sets:
+                raw = expand(held[i]["__z"])
+                sets[i] = next(shingles(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), words))
+            return sets[i]
+
         left, right = [], []
-        for i in one:
-            mine = other[(part[other] != part[i]) & ((node[other] > node[i]) if unit[1] == unit[2] else True)]
-            mine = mine[(grid[mine] == grid[i]).mean(axis=1) >= least]
-            left += [int(node[i])] * len(mine)
-            right += node[mine].tolist()
+        other = np.flatnonzero(block == unit[2])
+        for i in np.flatnonzero(block == unit[1]):
+            near = other[(part[other] != part[i]) & ((other > i) | (unit[1] != unit[2]))]
+            near = near[(grid[near] == grid[i]).mean(axis=1) >= percent / 100 - DOUBT]
+            for j in near.tolist():
+                if part[j] != part[i] and similar(set_of(i), set_of(j), percent):
+                    left.append(int(node[i]))
+                    right.append(int(node[j]))
+                    part[part == part[j]] = part[i]
         low, high = np.minimum(left, right), np.maximum(left, right)
         return pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64())], ["a", "b"])
 
     for batch in batches:
         for row in batch.to_pylist():
             if (row["bucket"], row["i"], row["j"]) != unit:
-                if held["node"]:
-                    yield pairs()
+                if held:
+                    yield links()
                 unit = (row["bucket"], row["i"], row["j"])
-                for x in held.values():
-                    x.clear()
-            for name in held:
-                held[name].append(row[name])
-    if held["node"]:
-        yield pairs()
+                held = []
+            held.append(row)
+    if held:
+        yield links()
 
 
-def confirmed(pairs: DataFrame, signed: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, candidates: DataFrame, words: int, percent: int) -> DataFrame:
     """The (a, b) of `pairs` (a < b) whose full sets are similar."""
-    minima_of = signed.groupBy("node").agg(F.any_value("minima").alias("minima"))
+    minima_of = candidates.select("node", "minima")
     both = pairs.join(minima_of.toDF("a", "minima_a"), "a").join(minima_of.toDF("b", "minima_b"), "b")
-    likely = both.where(agreement("minima_a", "minima_b") >= percent / 100 - DOUBT).select("a", "b")
-    likely = stored(likely, "pairs")
+    likely = stored(both.where(agreement("minima_a", "minima_b") >= percent / 100 - DOUBT).select("a", "b"), "pairs")
     salts = likely.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SALT).cast("int").alias("salts"))
     second = likely.join(salts, "a").select("a", F.pmod("b", "salts").cast("int").alias("salt"), F.lit(1).alias("role"), F.col("b").alias("node"))
     first = salts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("a").alias("node"))
-    asked = first.union(second)
-    source = signed.where("node is not null").groupBy("node").agg(F.min("__id").alias("__of")).join(asked, "node")
-    rows = docs.join(source, F.col("__id") == F.col("__of")).select("a", "salt", "role", "node", "__text")
+    rows = first.union(second).join(candidates.select("node", "__z"), "node").select("a", "salt", "role", "node", "__z")
     rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
     return rows.mapInArrow(partial(_verify, words=words, percent=percent), "a long, b long")
 
@@ -202,24 +212,28 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_colum
     banded = nodes.select("node", F.explode("bands").alias("bucket"))
     least = banded.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b")
     members = stored(banded.join(least.select("bucket", "a"), "bucket").distinct(), "buckets")
-    pairs = members.where("node > a").select("a", F.col("node").alias("b")).distinct()
-    links = stored(confirmed(pairs, nodes, small, words, percent), "links")
+    # compressed text and minima of each candidate
+    source = nodes.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(
+        F.min(F.struct("__id", "__tie")).alias("of"), F.any_value("minima").alias("minima"))
+    source = source.select("node", "minima", F.col("of.__id").alias("__of"), F.col("of.__tie").alias("__with"))
+    candidates = packed.squeezed(small, "__text").join(source, (F.col("__id") == F.col("__of")) & (F.col("__tie") == F.col("__with")))
+    candidates = stored(candidates.groupBy("node").agg(F.any_value("__z").alias("__z"), F.any_value("minima").alias("minima")), "candidates")
+    pairs = members.where("node > a").groupBy(F.col("node").alias("b")).agg(F.min("a").alias("a")).select("a", "b")
+    links = stored(confirmed(pairs, candidates, words, percent), "links")
     whole = components(links)
-    # what the stars have not united
+    # what these links have not united
     labelled = members.select("bucket", "node").join(whole.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left")
     labelled = labelled.select("bucket", "node", F.coalesce("component", "node").alias("component"))
     mixed = labelled.groupBy("bucket").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.count(F.lit(1)).alias("n"))
-    mixed = mixed.where("c < d and n > 2").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    mixed = mixed.where("c < d").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     inside = labelled.join(mixed, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     inside = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    minima_of = nodes.groupBy("node").agg(F.any_value("minima").alias("minima"))
-    inside = inside.join(minima_of, "node").select(
-        "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component", "minima")
+    inside = inside.join(candidates, "node").select(
+        "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component", "minima", "__z")
     inside = inside.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    more = inside.mapInArrow(partial(_across, least=percent / 100 - DOUBT), "a long, b long").distinct()
-    more = stored(more.join(pairs, ["a", "b"], "left_anti"), "across")
+    more = stored(inside.mapInArrow(partial(_across, words=words, percent=percent), "a long, b long").distinct(), "across")
     if not more.isEmpty():
-        links = stored(links.union(confirmed(more, nodes, small, words, percent)), "links")
+        links = links.union(more)
         whole = components(links)
     group = nodes.select("node", "__id").join(whole.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left")
     group = group.select("__id", "node", F.coalesce("component", "node").alias("component"))
