@@ -36,10 +36,12 @@ U64 = np.uint64
 START, END = U64(0x51A7C0DE51A7C0DE), U64(0xE2DC0DE5E2DC0DE5)
 SMOOTHING = 0.004
 BASE = 1.5
-BITS, PROBES = 14, 4
-PART_BYTES = 32 << 20
+BITS, PROBES = 12, 4
+PART_BYTES = 8 << 20
+#: Text bytes whose words and pairs travel together.
+GROUP = 4 << 20
 #: Filter bytes that are broadcast at once.
-ROUND_BYTES = 128 << 20
+ROUND_BYTES = 64 << 20
 
 SENT = "part int, gid long, n int, docs binary, sizes binary, words binary, trained binary, times binary, row binary, pairs binary, counts binary"
 SENT_ARROW = pa.schema([("part", pa.int32()), ("gid", pa.int64()), ("n", pa.int32()), *(
@@ -140,7 +142,7 @@ def _send(batches, parts: int) -> Iterator[pa.RecordBatch]:
             token, before, row = tokens(data, offsets)
             return token, before, row + first
 
-        for token, before, row in texts.groups(batch, "__text", find):
+        for token, before, row in texts.groups(batch, "__text", find, GROUP):
             number += 1
             low, high = int(row[0]), int(row[-1]) + 1
             row -= low
@@ -222,14 +224,9 @@ def _score(batches, blocks, total: int, distinct: int, starts: int, lead: bool)
     for batch in batches:
         k, tie = packed.names(batch)
         sums = np.zeros(batch.num_rows)
-
-        def find(first, data, offsets):
+        for first, _, data, offsets in texts.pieces(batch, "__text"):
             token, before, row = tokens(data, offsets)
-            return token, before, row + first
-
-        for token, before, row in texts.groups(batch, "__text", find):
-            low = int(row[0])
-            word, one, back = np.unique(token, return_index=True, return_inverse=True)
+            word, back = np.unique(token, return_inverse=True)
             part = (word % U64(f.parts)).astype(np.int64)
             here = f.here[part]
             mine = np.flatnonzero(here)
@@ -244,8 +241,7 @@ def _score(batches, blocks, total: int, distinct: int, starts: int, lead: bool)
             value[context] -= np.log10(count[back[context]] + mu)
             if lead:
                 value[before == START] -= np.log10(starts + mu)
-            found = np.bincount(row - low, weights=value)
-            sums[low:low + len(found)] += found
+            sums[first:first + len(offsets) - 1] = np.bincount(row, weights=value, minlength=len(offsets) - 1)
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(tie), pa.array(sums)], ["__k", "__tie", "partial"])
 
 
