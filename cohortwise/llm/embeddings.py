@@ -1,15 +1,13 @@
 """Near-duplicate embeddings: cells of spherical k-means, and blocked cosine products within them.
 
-Every vector belongs to the cell of its best centroid and to a ring of its angle to it. It also
-visits the rings of other cells in which a vector with a cosine of at least `threshold` to it can
-lie; two bounds rule the others out, without losing a pair:
-
-- a vector of cell c is nearer to c than to any other centroid, so a vector further than the
-  chord of the threshold on the other side of the plane between the two has no partner there;
-- the angles of two partners to the same centroid differ by at most the threshold's angle.
-
-Members and visitors of a ring are cut into blocks, and each pair of blocks is one product. The
-centroids are fitted on a bounded sample; all rows are assigned and compared.
+Every vector belongs to the cell of its best centroid. It also visits each other cell in which a
+vector with a cosine of at least `threshold` to it can lie: a vector of cell c is nearer to c than
+to any other centroid, so one that lies further than the threshold's chord on the other side of
+the plane between the two has no partner there. No pair is lost by that.
+
+Members and visitors of a cell are cut into blocks, and each pair of blocks is one product. The
+centroids are fitted on a bounded sample; all rows are assigned and compared. Vectors without any
+cluster structure visit many cells; their number follows the root of the number of vectors.
 """
 
 from __future__ import annotations
@@ -26,8 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 from cohortwise.llm.common import stored
 from cohortwise.llm.components import components
 
-BLOCK = 1024
-RINGS = 36  # of five degrees
+BLOCK = 2048
 SLACK = 1e-6
 
 
@@ -58,38 +55,27 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
     return matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
 
 
-def _ring(cosine: np.ndarray) -> np.ndarray:
-    return np.minimum((np.arccos(np.clip(cosine, -1, 1)) * RINGS / math.pi).astype(np.int64), RINGS - 1)
-
-
 def _assign(batches, centroids, threshold: float) -> Iterator[pa.RecordBatch]:
     c = centroids.value
     gap = np.sqrt(np.maximum(2 - 2 * (c @ c.T), 0))  # between centroids
-    chord, angle = math.sqrt(2 - 2 * threshold) + SLACK, math.acos(threshold) + SLACK
+    chord = math.sqrt(2 - 2 * threshold) + SLACK
     for batch in batches:
         if not batch.num_rows:
             continue
-        node, copies = batch.column(0), batch.column(1)
-        x = _unit(_matrix(batch.column(2)))
-        own_, visits = [], []
+        node, copies, vector = batch.column(0), batch.column(1), batch.column(2)
+        x = _unit(_matrix(vector))
+        cells, visits, counts = [], [], []
         for a in range(0, len(x), 2048):
             cosine = x[a:a + 2048] @ c.T
             own = cosine.argmax(axis=1)
-            best = cosine[np.arange(len(own)), own]
-            near = (best[:, None] - cosine) <= chord * gap[own] + SLACK
-            turn = np.arccos(np.clip(cosine, -1, 1))
-            first = (np.maximum(turn - angle, 0) * RINGS / math.pi).astype(np.int64)
-            last = np.minimum(((turn + angle) * RINGS / math.pi).astype(np.int64), RINGS - 1)
-            own_ += (own * RINGS + _ring(best)).tolist()
-            for i in range(len(own)):
-                cells = np.flatnonzero(near[i])
-                count = last[i, cells] - first[i, cells] + 1
-                at = np.repeat(cells * RINGS + first[i, cells], count)
-                visits.append(at + np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count))
+            near = (cosine[np.arange(len(own)), own][:, None] - cosine) <= chord * gap[own] + SLACK
+            cells.append(own)
+            visits.append(np.nonzero(near)[1])
+            counts.append(near.sum(axis=1))
         yield pa.RecordBatch.from_arrays(
-            [node, copies, _lists(x.ravel(), np.full(len(x), x.shape[1])), pa.array(own_, pa.int32()),
-             _lists(np.concatenate(visits).astype(np.int32), np.array([len(v) for v in visits]))],
-            ["node", "copies", "unit", "ring", "visits"])
+            [node, copies, vector, pa.array(np.concatenate(cells).astype(np.int32)),
+             _lists(np.concatenate(visits).astype(np.int32), np.concatenate(counts))],
+            ["node", "copies", "vector", "cell", "visits"])
 
 
 def _link(table: pa.Table, threshold: float) -> pa.Table:
@@ -97,7 +83,7 @@ def _link(table: pa.Table, threshold: float) -> pa.Table:
     visitor = table.filter(compute.invert(table.column("member")))
     made: dict[str, list] = {"node": [], "links": [], "other": []}
     if member.num_rows and visitor.num_rows:
-        m, v = (_matrix(t.column("unit").combine_chunks()) for t in (member, visitor))
+        m, v = (_unit(_matrix(t.column("vector").combine_chunks())) for t in (member, visitor))
         m_node, v_node = (t.column("node").to_numpy() for t in (member, visitor))
         linked = (v @ m.T >= threshold) & (v_node[:, None] != m_node[None, :])
         links = linked @ member.column("copies").to_numpy().astype(np.float64)
@@ -136,14 +122,14 @@ def near_duplicates(
     link with each other; they are compared as one and counted by their number. Rows with one id
     are one node if their vectors are equal; a null id is greater than all others.
 
-    The cells follow the root of the number of different vectors, up to `most_cells`, and are
+    There are an eighth of the root of the number of different vectors of cells, up to `most_cells`,
     fitted on `sample_rows` vectors, the least by a hash. A kept row stands for its group.
     """
     spark = vectors.sparkSession
     numbers = F.transform(F.col(vector), lambda v: v.cast("double"))
     usable = F.coalesce(
         F.forall(numbers, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))) & F.exists(numbers, lambda v: v != 0), F.lit(False))
-    rows = vectors.withColumns({"__v": numbers, "__usable": usable})
+    rows = vectors.withColumns({"__v": F.col(vector), "__usable": usable})
     size = rows.where("__usable").groupBy(F.size("__v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
     length = size["n"] if size else 0
     rows = rows.withColumn("__node", F.when(F.col("__usable") & (F.size("__v") == length), F.xxhash64("__v")))
@@ -152,22 +138,23 @@ def near_duplicates(
     n = distinct.count()
     if n:
         sample = distinct.orderBy(F.xxhash64("__node"), "__node").limit(sample_rows).select("__v").toPandas()["__v"]
-        cells = min(most_cells, max(1, round(math.sqrt(n) / 2)))
+        cells = min(most_cells, max(1, round(math.sqrt(n) / 8)))
         centroids = spark.sparkContext.broadcast(fit_centroids(_unit(np.array(sample.tolist())), cells))
-        schema = "node long, copies long, unit array<double>, ring int, visits array<int>"
+        kind = vectors.schema[vector].dataType.simpleString()
+        schema = f"node long, copies long, vector {kind}, cell int, visits array<int>"
         assigned = stored(distinct.mapInArrow(partial(_assign, centroids=centroids, threshold=threshold), schema), "cells")
-        # at most most_cells * RINGS numbers of each kind
-        members = assigned.groupBy("ring").agg(F.count(F.lit(1)).alias("members"))
-        visitors = assigned.select(F.explode("visits").alias("ring")).groupBy("ring").agg(F.count(F.lit(1)).alias("visitors"))
-        sizes = members.join(visitors, "ring").select(
-            "ring", F.ceil(F.col("members") / BLOCK).cast("int").alias("m"), F.ceil(F.col("visitors") / BLOCK).cast("int").alias("v"))
-        inside = assigned.select("node", "copies", "unit", "ring").join(sizes, "ring")
-        inside = inside.select("node", "copies", "unit", "ring", F.lit(True).alias("member"), F.pmod("node", "m").alias("mine"), F.explode(F.sequence(F.lit(0), F.col("v") - 1)).alias("theirs"))
-        outside = assigned.select("node", "copies", "unit", F.explode("visits").alias("ring")).join(sizes, "ring")
-        outside = outside.select("node", "copies", "unit", "ring", F.lit(False).alias("member"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("mine"), F.pmod("node", "v").alias("theirs"))
-        blocks = inside.withColumns({"mine": F.col("mine").cast("int"), "theirs": F.col("theirs").cast("int")}).unionByName(
-            outside.withColumns({"mine": F.col("mine").cast("int"), "theirs": F.col("theirs").cast("int")}))
-        found = blocks.groupBy("ring", "mine", "theirs").applyInArrow(lambda t: _link(t, threshold), "node long, links long, other long")
+        members = assigned.groupBy("cell").agg(F.count(F.lit(1)).alias("members"))
+        visitors = assigned.select(F.explode("visits").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("visitors"))
+        sizes = members.join(visitors, "cell").select(
+            "cell", F.ceil(F.col("members") / BLOCK).cast("int").alias("m"), F.ceil(F.col("visitors") / BLOCK).cast("int").alias("v"))
+        inside = assigned.select("node", "copies", "vector", "cell").join(sizes, "cell").select(
+            "node", "copies", "vector", "cell", F.lit(True).alias("member"), F.pmod("node", "m").cast("int").alias("mine"),
+            F.explode(F.sequence(F.lit(0), F.col("v") - 1)).alias("theirs"))
+        outside = assigned.select("node", "copies", "vector", F.explode("visits").alias("cell")).join(sizes, "cell").select(
+            "node", "copies", "vector", "cell", F.lit(False).alias("member"),
+            F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("mine"), F.pmod("node", "v").cast("int").alias("theirs"))
+        blocks = inside.unionByName(outside)
+        found = blocks.groupBy("cell", "mine", "theirs").applyInArrow(lambda t: _link(t, threshold), "node long, links long, other long")
         found = stored(found, "links")
         links = found.where("other is null").groupBy(F.col("node").alias("__n")).agg(F.sum("links").alias("__links"))
         whole = components(found.where("other is not null and other != node").select("node", "other")).toDF("__m", "__c")

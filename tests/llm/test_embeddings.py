@@ -41,7 +41,7 @@ def run(spark, rows):
     return sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(frame).collect())
 
 
-@pytest.mark.parametrize("d, block", [(3, 64), (24, 1024), (24, 50)])
+@pytest.mark.parametrize("d, block", [(3, 64), (24, 2048), (24, 50)])
 def test_like_brute_force(spark, monkeypatch, d, block):
     monkeypatch.setattr(embeddings, "BLOCK", block)
     x = cloud(d, 500, d)
