@@ -18,8 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from cohortwise.llm import texts
+from cohortwise.llm.common import stored
 
-BEGINNINGS = (4, 5, 6, 8)
+BEGINNINGS = (4, 5, 6)
 LETTER = np.ones(256, bool)  # True: ends a word
 LETTER[[*range(ord("a"), ord("z") + 1), *range(ord("A"), ord("Z") + 1), *range(128, 256)]] = False
 U64 = np.uint64
@@ -84,26 +85,29 @@ def fit_ordinal(rows: np.ndarray, features: np.ndarray, grades: np.ndarray, n_fe
 
 
 def labelled_sample(labels: DataFrame, docs: DataFrame, bound: int, id_column: str = "doc_id", label: str = "toxic", text: str = "text") -> DataFrame:
-    """(id, label, text) of at most `bound` labelled ids, the least by a hash of the id.
+    """(id, label, text) of at most `bound` labelled ids, the least by a hash of the id; the ids are broadcast.
 
     An id with several labels has the greatest; ids or labels that are null are left out, and of
     repeated documents each is an example.
     """
     least = labels.where(F.col(id_column).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(id_column).alias("__id")).agg(F.max(label).alias("__label"))
     least = least.orderBy(F.xxhash64("__id"), "__id").limit(bound)
-    return docs.join(least, F.col(id_column) == F.col("__id")).select("__id", "__label", F.col(text).alias("__text"))
+    return docs.join(F.broadcast(least), F.col(id_column) == F.col("__id")).select("__id", "__label", F.col(text).alias("__text"))
 
 
 def _feature_rows(batches) -> Iterator[pa.RecordBatch]:
+    """A row for each document and feature, and one without a feature for each document."""
     for batch in batches:
         ids, labels = (batch.column(batch.schema.get_field_index(x)) for x in ("__id", "__label"))
+        labels = labels.cast(pa.int32())
+        nothing = pa.nulls(batch.num_rows, pa.int64())
+        yield pa.RecordBatch.from_arrays([ids, labels, nothing, nothing], ["id", "label", "feature", "count"])
         for first, _, data, offsets in texts.pieces(batch, "__text"):
             found = [np.concatenate(x) for x in zip(*_features(data, offsets))]
             counted, count = np.unique(np.stack((found[0].astype(U64), found[1])), axis=1, return_counts=True)
-            row = counted[0].astype(np.int64) + first
+            row = pa.array(counted[0].astype(np.int64) + first)
             yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(row)), labels.take(pa.array(row)).cast(pa.int32()), pa.array(counted[1].view(np.int64)), pa.array(count)],
-                ["id", "label", "feature", "count"])
+                [ids.take(row), labels.take(row), pa.array(counted[1].view(np.int64)), pa.array(count)], ["id", "label", "feature", "count"])
 
 
 def fit(
@@ -119,9 +123,10 @@ def fit(
     associated feature, the model finds every text clean.
     """
     sample = labelled_sample(labels, docs, bound, id_column, label, text)
-    found = sample.mapInArrow(_feature_rows, "id long, label int, feature long, count long")
-    sizes = {r["__label"]: r["n"] for r in sample.groupBy("__label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    toxic, clean = sum(n for k, n in sizes.items() if k > 0), sum(n for k, n in sizes.items() if k <= 0)
+    found = stored(sample.mapInArrow(_feature_rows, "id long, label int, feature long, count long"), "features")
+    examples = found.where("feature is null").select("id", "label").toPandas()  # a row per example
+    toxic, clean = int((examples["label"] > 0).sum()), int((examples["label"] <= 0).sum())
+    found = found.where("feature is not null")
     grades = 2 + len(steps)
     nothing = Model(np.zeros(0, U64), np.zeros(0), np.arange(1, grades, dtype=float) * 20)
     if not toxic or not clean:
@@ -136,10 +141,9 @@ def fit(
         return nothing
     chosen = docs.sparkSession.createDataFrame([(i, f) for i, f in enumerate(kept.tolist())], "at int, feature long")
     rows = found.join(F.broadcast(chosen), "feature").select("id", "label", "at", "count").toPandas()
-    examples = sample.select("__id", "__label").toPandas()
-    order = {i: n for n, i in enumerate(examples["__id"].drop_duplicates())}
+    order = {i: n for n, i in enumerate(examples["id"].drop_duplicates())}
     grade = np.zeros(len(order), np.int64)
-    grade[[order[i] for i in examples["__id"]]] = (examples["__label"] > 0).to_numpy()
+    grade[[order[i] for i in examples["id"]]] = (examples["label"] > 0).to_numpy()
     at = np.array([order[i] for i in rows["id"]], np.int64)
     feature = rows["at"].to_numpy(np.int64)
     per_word = np.zeros(len(order))
