@@ -158,7 +158,7 @@ def block_tables(radius: int, blocks: int) -> list[tuple[Column, ...]]:
     return [tuple(parts[i] for i in table) for table in combinations(range(blocks), blocks - radius)]
 
 
-def near(prints: DataFrame, queries: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
+def near(prints: DataFrame, queries: DataFrame, radius: int = 3, blocks: int = 4) -> DataFrame:
     """(query_low, query_high, low, high, distance): all prints at most `radius` bits from a query.
 
     Both frames have low and high; equal prints count once. Candidates meet in the block tables;

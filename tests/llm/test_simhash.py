@@ -74,7 +74,7 @@ def test_repeated_rows_null_ids_and_clashing_columns(documents):
     assert one.edited_sha256 == hashlib.sha256(b"ab ab").hexdigest()
 
 
-@pytest.mark.parametrize("radius, blocks", [(3, 6), (1, 3), (0, 2)])
+@pytest.mark.parametrize("radius, blocks", [(3, 4), (3, 6), (1, 3), (0, 2)])
 def test_near_like_brute_force(spark, radius, blocks):
     rng = random.Random(radius)
     base = [rng.getrandbits(128) for _ in range(20)]
