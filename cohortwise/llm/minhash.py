@@ -119,7 +119,7 @@ def similar(one: np.ndarray, other: np.ndarray, percent: int) -> bool:
 def _verify(batches, words: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Confirmed pairs of rows sorted by group, the least node first."""
     group, base, name = None, np.zeros(0, U64), 0
-    for batch in map(packed.opened, batches):
+    for batch in packed.opened(batches):
         keys = [batch.column(batch.schema.get_field_index(x)).to_pylist() for x in ("a", "salt", "role", "node")]
         left, right = [], []
         for first, _, data, offsets in texts.pieces(batch, "__text"):

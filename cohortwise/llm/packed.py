@@ -24,7 +24,9 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType
 from zstandard import ZstdCompressor, ZstdDecompressor
 
-PART_BYTES = 16 << 20
+PART_BYTES = 8 << 20
+#: Rows whose texts a task has open at a time.
+OPENED = 1000
 LAST = (1 << 63) - 1
 
 ROWS = "part int, gid long, docs binary, row binary, at binary, pos binary, hash binary, aux binary"
@@ -61,12 +63,15 @@ def squeezed(docs: DataFrame, text: str) -> DataFrame:
     return docs.withColumn("__z", squeeze(F.col(text))).drop(text)
 
 
-def opened(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """With the text, in __z's place, as __text."""
-    at = batch.schema.get_field_index("__z")
+def opened(batches) -> Iterator[pa.RecordBatch]:
+    """The batches, a few rows at a time, with the text, in __z's place, as __text."""
     expand = ZstdDecompressor().decompress
-    texts = pa.array([None if x is None else expand(x) for x in batch.column(at).to_pylist()], pa.large_binary())
-    return batch.set_column(at, "__text", texts)
+    for whole in batches:
+        at = whole.schema.get_field_index("__z")
+        for first in range(0, whole.num_rows, OPENED):
+            batch = whole.slice(first, OPENED)
+            texts = pa.array([None if x is None else expand(x) for x in batch.column(at).to_pylist()], pa.large_binary())
+            yield batch.set_column(at, "__text", texts)
 
 
 def names(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:

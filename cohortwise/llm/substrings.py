@@ -141,8 +141,7 @@ def _shared(k, tie, doc, pos, hashes, aux):
 
 def _send_windows(batches, parts: int, window: int) -> Iterator[pa.RecordBatch]:
     gid = packed.numbers()
-    for batch in map(packed.with_answers, batches):
-        batch = packed.opened(batch)
+    for batch in packed.opened(map(packed.with_answers, batches)):
         k, tie = packed.names(batch)
         flags = packed.replies_of(batch)
 
@@ -179,7 +178,7 @@ def _later(k, tie, doc, pos, hashes, aux):
 
 
 def _cut(batches, text: str, window: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    for batch in map(packed.opened, batches):
+    for batch in packed.opened(batches):
         n_words, n_removed, kept, spans = [], [], [], []
         raw, offsets = texts.column(batch, "__text")
         for a, b, reply in zip(offsets[:-1].tolist(), offsets[1:].tolist(), packed.replies_of(batch)):

@@ -33,7 +33,7 @@ U64 = np.uint64
 GRAM = 32
 UNIT = 4096
 #: Bytes of contexts that are indexed at a time.
-INDEXED = 2 << 20
+INDEXED = 1 << 19
 POSITION = U64((1 << 31) - 1)
 FACTORS = np.random.default_rng(20240301).integers(1, 2**63, GRAM // 8, dtype=np.uint64) * U64(2) + U64(1)
 
@@ -157,8 +157,7 @@ def _spans(low: np.ndarray, high: np.ndarray) -> np.ndarray:
 
 def _send_contexts(batches, parts: int, window: int) -> Iterator[pa.RecordBatch]:
     gid = packed.numbers()
-    for batch in map(packed.with_answers, batches):
-        batch = packed.opened(batch)
+    for batch in packed.opened(map(packed.with_answers, batches)):
         k, tie = packed.names(batch)
         replies = packed.replies_of(batch)
         raw, starts = texts.column(batch, "__text")
@@ -316,7 +315,7 @@ def _unpack(raw: bytes) -> list[bytes]:
 
 
 def _cut(batches, text: str, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    for batch in map(packed.opened, batches):
+    for batch in packed.opened(batches):
         n_bytes, n_removed, kept, spans = [], [], [], []
         raw, offsets = texts.column(batch, "__text")
         for a, b, reply in zip(offsets[:-1].tolist(), offsets[1:].tolist(), packed.replies_of(batch)):

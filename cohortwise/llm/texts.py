@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 PIECE = 1 << 18
-GROUP = 8 << 20
+GROUP = 4 << 20
 STEP = 1 << 18
 U64 = np.uint64
 
