@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -137,10 +138,12 @@ def heartbeat_alerts(spans: DataFrame, span: str = HEARTBEAT_SPAN, late: str = L
     )
 
 
-def run_available(stream: DataFrame, path: str, mode: str = "update") -> None:
+def run_available(stream: DataFrame, path: str, mode: str = "update", allow_late: bool = False) -> None:
     """Process everything available and store each batch under `path/batch_id=N`.
 
-    A batch is replaced as a whole when it runs again, so a restart stores nothing twice.
+    A batch is replaced as a whole when it runs again, so a restart stores nothing twice. Rows that
+    came too late for the watermark are counted; unless `allow_late`, the run then ends with an error, because
+    the stored result lacks them: replay with more files a batch, in order of time, or a later watermark.
     """
 
     def save(batch: DataFrame, batch_id: int) -> None:
@@ -154,6 +157,9 @@ def run_available(stream: DataFrame, path: str, mode: str = "update") -> None:
         .start()
     )
     query.awaitTermination()
+    late = sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in json.loads(p.json)["stateOperators"])
+    if late and not allow_late:
+        raise RuntimeError(f"{late} rows were too late for the watermark and are not in the result")
 
 
 def latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
@@ -164,11 +170,15 @@ def latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     return last.select(*keys, "v.*")
 
 
-def span_stream(spark: SparkSession, directory: str, files_per_batch: int = 1000) -> DataFrame:
-    """Spans as a stream over the sample event files of a folder."""
+def span_stream(spark: SparkSession, directory: str, files_per_batch: int | None = None) -> DataFrame:
+    """Spans as a stream over the sample event files of a folder.
+
+    By default a replay takes all files that are there as one batch, whatever their order in time.
+    """
     from cohortwise.sources import projection
 
     pattern = f"{directory}/events*.parquet"
     schema = spark.read.parquet(pattern).schema
-    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(pattern)
+    reader = spark.readStream.schema(schema)
+    events = (reader if files_per_batch is None else reader.option("maxFilesPerTrigger", files_per_batch)).parquet(pattern)
     return spark.sql(projection.VIEWS["spans"].replace("from events", "from {events}"), events=events)
