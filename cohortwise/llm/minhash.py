@@ -188,23 +188,11 @@ def confirmed(pairs: DataFrame, candidates: DataFrame, words: int, percent: int)
     return rows.mapInArrow(partial(_verify, words=words, percent=percent), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` with n_shingles, component_id and kept.
-
-    A document's set holds its distinct runs of `words` words (A-Z in lower case, cut at white
-    space); with fewer words the whole sequence. Two documents are linked if 100 times the size
-    of the intersection is at least `percent` times that of the union, on full sets. Equal sets
-    always are. component_id is the least id reachable, kept whether it is the row's own.
-    Columns of these names are replaced.
-
-    Null and empty texts and texts of white space have an empty set and link with nothing. A null
-    id is greater than all others; its component, if no other id is in it, is null. Rows with one
-    id are one document each: repeated rows all have the same result, and are all kept if their
-    id is.
-    """
+def _united(docs: DataFrame, words: int, percent: int, id_column: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows of `docs` with __id and __tie, which rows equal in id and text share; their nodes, null without shingles; linked nodes with their components)."""
     last = (1 << 63) - 1
     rows = docs.withColumns({
-        "__id": F.coalesce(F.col(id_column).cast("long"), F.lit(last)), "__tie": F.xxhash64(F.coalesce(F.col(text), F.lit(""))), "__text": F.col(text)})
+        "__id": F.coalesce(F.col(id_column).cast("long"), F.lit(last)), "__tie": F.xxhash64(F.col(text)), "__text": F.col(text)})
     small = rows.select("__id", "__tie", "__text")
     signed = small.mapInArrow(partial(_sign, words=words), "__id long, __tie long, n_shingles long, node long, minima binary, bands array<long>")
     signed = stored(signed, "minhash")
@@ -235,6 +223,41 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_colum
     if not more.isEmpty():
         links = links.union(more)
         whole = components(links)
+    return rows, signed, whole
+
+
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each group that near_duplicates links: of the least id, then of the least hash of the text.
+
+    Null ids come after all others; a group whose ids are all null keeps one row as well. Rows equal
+    in id and text are one document, of which the row with the least other columns stays, so
+    these must have an order. Texts without words link with nothing: each is kept, equal rows once.
+    """
+    rows, signed, whole = _united(docs, words, percent, id_column, text)
+    group = signed.where("node is not null").join(whole.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left")
+    firsts = group.groupBy(F.coalesce("component", "node")).agg(F.min(F.struct("__id", "__tie")).alias("first"))
+    chosen = firsts.select("first.*").union(signed.where("node is null").select("__id", "__tie")).toDF("__of", "__with")
+    kept = rows.drop("__text").join(chosen, (F.col("__id") == F.col("__of")) & (F.col("__tie") == F.col("__with")), "left_semi")
+    return kept.groupBy("__id", "__tie").agg(F.min(F.struct(*docs.columns)).alias("__row")).select("__row.*")
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """`docs` with n_shingles, component_id and kept.
+
+    A document's set holds its distinct runs of `words` words (A-Z in lower case, cut at white
+    space); with fewer words the whole sequence. Two documents are linked if 100 times the size
+    of the intersection is at least `percent` times that of the union, on full sets. Equal sets
+    always are. component_id is the least id reachable, kept whether it is the row's own.
+    Columns of these names are replaced.
+
+    Null and empty texts and texts of white space have an empty set and link with nothing. A null
+    id is greater than all others; its component, if no other id is in it, is null. Rows with one
+    id are one document each: repeated rows all have the same result, and are all kept if their
+    id is.
+    """
+    rows, signed, whole = _united(docs, words, percent, id_column, text)
+    last = (1 << 63) - 1
+    nodes = signed.where("node is not null")
     group = nodes.select("node", "__id").join(whole.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left")
     group = group.select("__id", "node", F.coalesce("component", "node").alias("component"))
     lowest = group.groupBy("component").agg(F.min("__id").alias("__first"))

@@ -24,8 +24,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of near duplicates (five-word shingles, 0.8)."""
-    return minhash.near_duplicates(docs.select(COLUMNS), words=5, percent=80).where("kept").select(COLUMNS)
+    """One row of each group of near duplicates (five-word shingles, 0.8), that with the least id; of repeated rows one."""
+    return minhash.one_of_each(docs.select(COLUMNS), words=5, percent=80).select(COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

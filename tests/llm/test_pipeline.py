@@ -63,3 +63,20 @@ def test_empty_tables(spark, documents):
     for _, stage in pipeline.STAGES[1:]:
         assert stage(spark, docs, SMALL).count() == 0
     assert pipeline.drop_toxic(spark, docs, SMALL).count() == 0
+
+
+def test_one_document_of_each_group(spark, documents, folder):
+    path, texts, _ = folder
+    rows = [(i, texts[i]) for i in range(100)]
+    rows += rows + [(i, texts[i] + " end") for i in range(30)] * 2  # loaded twice; near copies under the same id
+    rows += [(None, texts[i]) for i in (0, 0)] + [(None, texts[150] + " x"), (None, texts[150]), (None, texts[150])]
+    rows += [(None, texts[160])] * 3 + [(7, texts[170])] * 2 + [(901, None), (901, ""), (902, " "), (902, " ")]
+    docs = documents(rows).union(documents([(3, texts[3])]).replace("en", "de", "lang"))
+    kept = pipeline.drop_near_duplicates(spark, pipeline.drop_toxic(spark, docs, path), path)
+    got = Counter((r.doc_id, r.text) for r in kept.collect())
+    named = Counter(i for i, _ in got.elements())
+    assert named == Counter({**dict.fromkeys(range(100), 1), 7: 2, None: 2, 901: 2, 902: 1})
+    assert all(sum((i, t) in got for t in (texts[i], texts[i] + " end")) == 1 for i in range(30))
+    assert sum((None, t) in got for t in (texts[150], texts[150] + " x")) == 1 and got[None, texts[160]] == 1 and got[7, texts[170]] == 1
+    for _, stage in pipeline.STAGES[2:3]:
+        assert Counter(r.doc_id for r in stage(spark, kept, path).collect()) == named
