@@ -63,11 +63,10 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """n_near, for documents whose id is divisible by 50: other documents with a fingerprint at most three bits away."""
+    """n_near, for documents whose id is divisible by 50: other documents with a fingerprint at most 26 bits away, as texts alike by 0.8 or more have."""
     prints = stored(simhash.compare_neighbours(documents(spark, sf_dir)), "fingerprints")
-    counts = prints.groupBy("low", "high").agg(F.count(F.lit(1)).alias("n"))
-    near = simhash.near(prints, prints.where("doc_id % 50 = 0")).join(counts, ["low", "high"])
-    near = near.groupBy("query_low", "query_high").agg((F.sum("n") - 1).alias("n_near"))
+    near = simhash.count_near(prints, prints.where("doc_id % 50 = 0"), radius=26, blocks=9)
+    near = near.withColumn("n_near", F.col("n_near") - 1)
     asked = F.when(F.col("doc_id") % 50 == 0, F.col("low")).alias("asked")
     out = prints.withColumn("asked", asked).join(
         near, (F.col("asked") == F.col("query_low")) & (F.col("high") == F.col("query_high")), "left")

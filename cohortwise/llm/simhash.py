@@ -16,6 +16,8 @@ BITS = 128
 HALVES = 1 << 32 | 1
 #: Ids to a group when documents are put in order.
 GROUP_BITS = 10
+#: Fingerprints of one key that are held together.
+CHUNK = 1024
 SPACE = "[ \\t\\n\\x0B\\f\\r]+"
 
 
@@ -138,23 +140,28 @@ def compare_neighbours(docs: DataFrame, id_column: str = "doc_id", text: str = "
     return gathered.where("__real").drop("__real")
 
 
-def block_tables(radius: int, blocks: int) -> list[tuple[Column, ...]]:
-    """Keys of the permuted tables: two fingerprints at most `radius` bits apart agree in one of them.
-
-    The bits are cut into `blocks` blocks; each table is keyed by blocks - radius of them.
-    """
+def cut_bits(blocks: int, low: Column, high: Column) -> list[Column]:
+    """The 128 bits as `blocks` numbers."""
     edges = [BITS * i // blocks for i in range(blocks + 1)]
 
     def cut(a: int, b: int) -> Column:
         if b - a == 64:
-            return F.col("low" if a == 0 else "high")
+            return low if a == 0 else high
         if b <= 64:
-            return F.shiftrightunsigned("low", a).bitwiseAND(F.lit((1 << (b - a)) - 1))
+            return F.shiftrightunsigned(low, a).bitwiseAND(F.lit((1 << (b - a)) - 1))
         if a >= 64:
-            return F.shiftrightunsigned("high", a - 64).bitwiseAND(F.lit((1 << (b - a)) - 1))
-        return F.shiftrightunsigned("low", a).bitwiseOR(F.shiftleft(F.col("high").bitwiseAND(F.lit((1 << (b - 64)) - 1)), 64 - a))
+            return F.shiftrightunsigned(high, a - 64).bitwiseAND(F.lit((1 << (b - a)) - 1))
+        return F.shiftrightunsigned(low, a).bitwiseOR(F.shiftleft(high.bitwiseAND(F.lit((1 << (b - 64)) - 1)), 64 - a))
+
+    return [cut(a, b) for a, b in zip(edges, edges[1:])]
+
+
+def block_tables(radius: int, blocks: int) -> list[tuple[Column, ...]]:
+    """Keys of the permuted tables: two fingerprints at most `radius` bits apart agree in one of them.
 
-    parts = [cut(a, b) for a, b in zip(edges, edges[1:])]
+    The bits are cut into `blocks` blocks; each table is keyed by blocks - radius of them.
+    """
+    parts = cut_bits(blocks, F.col("low"), F.col("high"))
     return [tuple(parts[i] for i in table) for table in combinations(range(blocks), blocks - radius)]
 
 
@@ -173,3 +180,33 @@ def near(prints: DataFrame, queries: DataFrame, radius: int = 3, blocks: int = 4
     asked = keyed(queries).select(F.col("low").alias("query_low"), F.col("high").alias("query_high"), "__key")
     distance = F.bit_count(F.col("low").bitwiseXOR(F.col("query_low"))) + F.bit_count(F.col("high").bitwiseXOR(F.col("query_high")))
     return asked.join(keyed(prints), "__key").withColumn("distance", distance).where(F.col("distance") <= radius).drop("__key").distinct()
+
+
+def count_near(prints: DataFrame, queries: DataFrame, radius: int, blocks: int) -> DataFrame:
+    """(query_low, query_high, n_near): how many rows of `prints` lie at most `radius` bits from each distinct query.
+
+    For radii beyond what equal blocks can find: of `blocks` blocks one differs in at most
+    radius // blocks bits, so each table is keyed by one block, and a query asks for all numbers that
+    near to its own. All bits are counted then, and a pair counts in the first table it meets
+    in. Prints of a key are held in arrays of about CHUNK, so pairs are counted but never rows.
+    """
+    flips = radius // blocks
+    tables = [BITS * (i + 1) // blocks - BITS * i // blocks for i in range(blocks)]
+    masks = [[sum(1 << k for k in at) for n in range(flips + 1) for at in combinations(range(width), n)] for width in tables]
+    numbers = F.posexplode(F.array(*cut_bits(blocks, F.col("low"), F.col("high")))).alias("table", "number")
+    keyed = prints.groupBy("low", "high").agg(F.count(F.lit(1)).alias("n")).select("low", "high", "n", numbers)
+    sizes = keyed.groupBy("table", "number").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks"))
+    held = keyed.join(sizes, ["table", "number"]).groupBy("table", "number", F.pmod(F.xxhash64("low", "high"), "chunks").alias("chunk")).agg(
+        F.collect_list(F.struct("low", "high", "n")).alias("held"))
+    asked = queries.select("low", "high").distinct().select(F.col("low").alias("query_low"), F.col("high").alias("query_high"), numbers)
+    asked = asked.withColumn("number", F.explode(F.transform(F.get(F.lit(masks), F.col("table")), lambda m: F.col("number").bitwiseXOR(m))))
+
+    def counted(p: Column) -> Column:
+        low, high = p["low"].bitwiseXOR(F.col("query_low")), p["high"].bitwiseXOR(F.col("query_high"))
+        first = F.lit(True)
+        for i, part in enumerate(cut_bits(blocks, low, high)[:-1]):
+            first = first & ((F.col("table") <= i) | (F.bit_count(part) > flips))
+        return F.when((F.bit_count(low) + F.bit_count(high) <= radius) & first, p["n"]).otherwise(F.lit(0).cast("long"))
+
+    found = F.aggregate("held", F.lit(0).cast("long"), lambda n, p: n + counted(p))
+    return asked.join(held, ["table", "number"]).groupBy("query_low", "query_high").agg(F.sum(found).alias("n_near"))

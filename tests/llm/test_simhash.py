@@ -101,6 +101,44 @@ def test_near_like_brute_force(spark, radius, blocks):
     assert got == want
 
 
+@pytest.mark.parametrize("radius, blocks, chunk", [(26, 9, 1024), (26, 9, 2), (7, 5, 1024), (20, 7, 1024)])
+def test_count_near_like_brute_force(spark, monkeypatch, radius, blocks, chunk):
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
+    rng = random.Random(radius)
+    base = [rng.getrandbits(128) for _ in range(15)]
+    for _ in range(250):
+        base.append(rng.choice(base[:15]) ^ sum(1 << k for k in rng.sample(range(128), rng.randint(0, radius + 3))))
+    base += base[:40]
+
+    def signed(x):
+        return x - (1 << 64) if x >> 63 else x
+
+    frame = spark.createDataFrame([(signed(x & MASK), signed(x >> 64)) for x in base], "low long, high long")
+    queries = [(signed(x & MASK), signed(x >> 64)) for x in base[:80]]
+    got = {(r.query_low, r.query_high): r.n_near for r in simhash.count_near(frame, spark.createDataFrame(queries, "low long, high long"), radius, blocks).collect()}
+    want = {(signed(x & MASK), signed(x >> 64)): sum((x ^ y).bit_count() <= radius for y in base) for x in base[:80]}
+    assert got == want and max(want.values()) > 10
+
+
+def test_query_finds_ordinary_near_copies(spark, documents, tmp_path):
+    from cohortwise.llm.queries import op10_document_fingerprints
+
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    rows = []
+    for i in range(0, 1500, 50):
+        text = rng.choices(words, k=200)
+        rows.append((i, " ".join(text)))
+        for k in (1, 2, 3):
+            for at in rng.sample(range(200), 2 * k):
+                text[at] = "changed"
+            rows.append((i + k, " ".join(text)))
+    documents(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r.n_near for r in op10_document_fingerprints(spark, str(tmp_path)).collect()}
+    assert all(found[i] is None for i, _ in rows if i % 50)
+    assert sum(found[i] for i in range(0, 1500, 50)) >= 0.95 * 90 and max(found[i] for i in range(0, 1500, 50)) == 3
+
+
 def test_no_python_in_the_plan(spark, documents):
     plan = simhash.compare_neighbours(documents([(1, "a")]))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "CartesianProduct", "NestedLoop"))
