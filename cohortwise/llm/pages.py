@@ -6,8 +6,10 @@ of standing inside the article, counted over labelled pages: a page with an <art
 labels all its words and tags. The <article> tag itself is no feature, so pages without one are
 read by the same weights. A linear scan keeps the region with the greatest sum.
 
-Elements whose name, class, id or role says that they hold no main text (OUTSIDE) are never
-words, inside the region or not; neither are scripts, styles and comments of the markup.
+Elements whose name, or a whole word of class, id or role, says that they hold no main text
+(OUTSIDE) are never words, inside the region or not, unless they hold the main text after all: an
+<article> or <main>, or, if they may wrap a page, most of its words. Their weights are counted
+like others. Scripts, styles and comments of the markup are no words either.
 """
 
 from __future__ import annotations
@@ -49,76 +51,133 @@ TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 NAME_WORD = re.compile(r"[a-z]+")
+DIGITS = re.compile(r"[0-9]+")
+#: Elements of the main text, and names in OUTSIDE that may wrap a whole page.
+HOLDERS = {"article", "main"}
+WRAPPERS = {"form", "fieldset", "dialog"}
+#: Share of a page's words from which an element wraps it.
+WIDE = 0.75
 SPACES = re.compile(r"\s+")
 
 WORD_SCORE, TAG_SCORE = 1.0, -0.1
 MOST = 6.0
 
 
+class Element:
+    """An open element: its name and kinds, the words in it, and whether it holds an <article> or <main>."""
+
+    __slots__ = ("tag", "found", "words", "holds", "out")
+
+    def __init__(self, tag: str, found: tuple[str, ...]):
+        self.tag, self.found, self.words, self.holds, self.out = tag, found, 0, False, False
+
+
 def kinds(tag: str, attributes: str) -> tuple[str, ...]:
-    """What an element is counted as: its name, and its name with each word of class, id and role."""
+    """What an element is counted as: its name, and its name with each word of class, id and role, numbers in these as 0."""
     found = [tag]
     for _, a, b, c in ATTRIBUTE.findall(attributes) if attributes else ():
-        found += [f"{tag}.{w}" for w in NAME_WORD.findall((a or b or c).lower())]
+        found += [f"{tag}.{w}" for w in DIGITS.sub("0", (a or b or c).lower()).split()]
     return tuple(found)
 
 
-def outside(found: tuple[str, ...]) -> bool:
-    return found[0] in OUTSIDE or any(k.partition(".")[2] in OUTSIDE_WORDS for k in found[1:])
+def boilerplate(kind: str) -> bool:
+    """Whether an element's name is in OUTSIDE, or a word of its class, id or role is made of OUTSIDE_WORDS alone."""
+    tag, _, name = kind.partition(".")
+    if not name:
+        return tag in OUTSIDE
+    words = NAME_WORD.findall(name)
+    return bool(words) and tag not in HOLDERS and tag != "body" and tag != "html" and all(w in OUTSIDE_WORDS for w in words)
+
+
+def settled(element: Element, total: int) -> None:
+    """Whether a whole element is outside; one that is not in spite of its names is not counted by these."""
+    if not any(map(boilerplate, element.found)):
+        return
+    wraps = element.tag not in OUTSIDE or element.tag in WRAPPERS
+    if element.holds or wraps and element.words > WIDE * total:
+        element.found = tuple(k for k in element.found[:1] if not boilerplate(k))
+    else:
+        element.out = True
 
 
 def read(page: str) -> Iterator[tuple[str, object, tuple[str, ...], bool, bool]]:
-    """Tags and texts of a page in order: (kind, text or None, elements around, outside, in the labelled element).
+    """Tags and texts of a page in order: (kind, text or None, elements around, outside, in the labelled element)."""
+    events, elements, total = parse(page)
+    for element in elements:
+        settled(element, total)
+    last, state = None, ((), False, False)
+    for kind, text, chain in events:
+        if chain is not last:
+            around = tuple(k for e in chain for k in e.found if k != LABEL and not k.startswith(LABEL + "."))
+            last, state = chain, (around, any(e.out for e in chain), any(e.tag == LABEL for e in chain))
+        yield kind, text, *state
+
+
+def parse(page: str) -> tuple[list[tuple[str, object, tuple[Element, ...]]], list[Element], int]:
+    """(tags and texts with the elements around, all elements, words of the body).
 
     Unclosed elements end with the element around them; an end tag without a start is skipped.
     """
-    stack: list[tuple[str, tuple[str, ...], bool]] = []
-    at = 0
-    around: tuple[str, ...] = ()
-    out = inside = False
+    events: list[tuple[str, object, tuple[Element, ...]]] = []
+    elements: list[Element] = []
+    stack: list[Element] = []
+    chain: tuple[Element, ...] = ()
+    at = total = 0
 
     def settle():
-        nonlocal around, out, inside
-        around = tuple(k for _, ks, _ in stack for k in ks if k != LABEL and not k.startswith(LABEL + "."))
-        out = any(o for _, _, o in stack)
-        inside = any(t == LABEL for t, _, _ in stack)
+        nonlocal chain
+        chain = tuple(stack)
+
+    def words(text: str):
+        nonlocal total
+        n = len(text.split())
+        for e in chain:
+            e.words += n
+        if not any(e.tag in ("head", "title") for e in chain):
+            total += n
+        events.append(("", text, chain))
 
     while m := TOKEN.search(page, at):
         if m.start() > at:
-            yield "", page[at:m.start()], around, out, inside
+            words(page[at:m.start()])
         at = m.end()
         tag = m[2]
         if tag is None:
             continue
         tag = tag.lower()
         if m[1]:
-            if any(t == tag for t, _, _ in stack):
-                while stack.pop()[0] != tag:
+            if any(e.tag == tag for e in stack):
+                while stack.pop().tag != tag:
                     pass
                 settle()
-            yield "/" + tag, None, around, out, inside
+            events.append(("/" + tag, None, chain))
             continue
         if tag in RAW and not m[3].rstrip().endswith("/"):
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else len(page)
-            yield tag, None, around, out, inside
+            events.append((tag, None, chain))
             continue
-        if tag in ENDED_BY and stack and stack[-1][0] in ENDED_BY[tag]:
+        if tag in ENDED_BY and stack and stack[-1].tag in ENDED_BY[tag]:
             stack.pop()
             settle()
-        elif tag in BLOCK and stack and stack[-1][0] == "p":
+        elif tag in BLOCK and stack and stack[-1].tag == "p":
             stack.pop()
             settle()
         found = kinds(tag, m[3])
-        if tag == "body" or (tag in BLOCK and any(t == "head" for t, _, _ in stack) and tag not in ("title", "head")):
-            stack[:] = [s for s in stack if s[0] not in ("head", "title")]
+        if tag == "body" or (tag in BLOCK and any(e.tag == "head" for e in stack) and tag not in ("title", "head")):
+            stack[:] = [e for e in stack if e.tag not in ("head", "title")]
             settle()
-        yield tag if len(found) == 1 else found[-1], None, around, out, inside
+        events.append((tag if len(found) == 1 else found[-1], None, chain))
         if tag in INLINE_STACK and tag not in VOID and not m[3].rstrip().endswith("/"):
-            stack.append((tag, found, outside(found)))
+            if tag in HOLDERS:
+                for e in stack:
+                    e.holds = True
+            elements.append(Element(tag, found))
+            stack.append(elements[-1])
             settle()
     if at < len(page):
-        yield "", page[at:], around, out, inside
+        words(page[at:])
+    return events, elements, total
 
 
 def count(page: str) -> Counter:
@@ -127,10 +186,11 @@ def count(page: str) -> Counter:
     for kind, text, around, out, inside in read(page):
         if text is None:
             counted["<" + kind, inside] += 1
-        elif not out:
+        else:
             n = len(text.split())
             for k in set(around) or {""}:
-                counted[k, inside] += n
+                if not out or boilerplate(k):  # boilerplate counts against its own names alone
+                    counted[k, inside] += n
     return counted
 
 

@@ -36,6 +36,23 @@ def test_article_with_and_without_the_element(table):
     assert pages.extract(page("<ARTICLE id=x>", "</ARTICLE>"), {}) == TEXT
 
 
+PLAIN = "<p>" + "plain words of a page " * 20 + "</p>"
+
+
+@pytest.mark.parametrize("before, after", [
+    ("<article class='post category-legal'>", "</article>"), ("<main class='no-sidebar'>", "</main>"), ("<main class='sidebar'>", "</main>"),
+    ("<div id='content-with-sidebar'>", "</div>"), ("<form id=aspnet action=/>", "</form>"), ("<form><article class=legal>", "</article></form>"),
+    ("<div class='sidebar'><div>", "</div></div>"), ("<body class='modal'><section class='header'><main>", "</main></section>")])
+def test_names_of_boilerplate_around_the_main_text(table, before, after):
+    whole = f"<html><body>{before}{PLAIN}<div class='ad'>Buy now</div>{after}<div class='cookie-notice legal'>we use cookies</div><nav>a b</nav></body></html>"
+    sidebars = [page().replace("<aside>", "<div class='sidebar'>go here</div><div class='legal'>rights</div><aside>")] * 9
+    learned = pages.learn(table.union(table.sparkSession.createDataFrame([(500 + i, "u", p) for i, p in enumerate(sidebars)], table.schema)))
+    assert learned["div.sidebar"] < 0 and learned["div.ad"] < 0
+    for weights in ({}, learned):
+        assert pages.extract(whole, weights) == ("plain words of a page " * 20).strip()
+    assert sum(n for (k, inside), n in pages.count(whole).items() if inside and k == "p") == (100 if "<article" in before else 0)
+
+
 def test_rows_of_all_kinds(spark, table):
     odd = [(100, "u", None), (101, None, ""), (102, "u", "<p"), (103, "u", "plain text\n only"), (104, "u", "<script>x"), (104, "u", "<script>x"),
            (None, "u", "<p>" + "w " * 300_000), (105, "u", "<!-- never closed <p>x</p>"), (106, "u", "a < b & c &bogus; &#x41;"), (107, "u", "<nav>menu</nav>")]
