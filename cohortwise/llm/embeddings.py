@@ -6,7 +6,8 @@ to any other centroid, so one that lies further than the threshold's chord on th
 the plane between the two has no partner there. No pair is lost by that.
 
 Members and visitors of a cell are cut into blocks, and each pair of blocks is one product. The
-centroids are fitted on a bounded sample; all rows are assigned and compared. Vectors without any
+centroids are fitted on a bounded sample; all rows are assigned and compared. Vectors of each
+length have cells of their own. Vectors without any
 cluster structure visit many cells; their number follows the root of the number of vectors.
 """
 
@@ -55,27 +56,33 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
     return matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
 
 
+def _cells(x: np.ndarray, c: np.ndarray | None, gap: np.ndarray | None, chord: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(cell of each vector, cells they visit, how many each visits); without centroids there is one cell."""
+    if c is None:
+        return np.zeros(len(x), np.int32), np.zeros(len(x), np.int32), np.ones(len(x), np.int64)
+    cells, visits, counts = [], [], []
+    for a in range(0, len(x), 2048):
+        cosine = x[a:a + 2048] @ c.T
+        own = cosine.argmax(axis=1)
+        near = (cosine[np.arange(len(own)), own][:, None] - cosine) <= chord * gap[own] + SLACK
+        cells.append(own)
+        visits.append(np.nonzero(near)[1])
+        counts.append(near.sum(axis=1))
+    return np.concatenate(cells).astype(np.int32), np.concatenate(visits).astype(np.int32), np.concatenate(counts)
+
+
 def _assign(batches, centroids, threshold: float) -> Iterator[pa.RecordBatch]:
-    c = centroids.value
-    gap = np.sqrt(np.maximum(2 - 2 * (c @ c.T), 0))  # between centroids
+    by_length = centroids.value
+    gaps = {n: np.sqrt(np.maximum(2 - 2 * (c @ c.T), 0)) for n, c in by_length.items()}  # between centroids
     chord = math.sqrt(2 - 2 * threshold) + SLACK
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        node, copies, vector = batch.column(0), batch.column(1), batch.column(2)
-        x = _unit(_matrix(vector))
-        cells, visits, counts = [], [], []
-        for a in range(0, len(x), 2048):
-            cosine = x[a:a + 2048] @ c.T
-            own = cosine.argmax(axis=1)
-            near = (cosine[np.arange(len(own)), own][:, None] - cosine) <= chord * gap[own] + SLACK
-            cells.append(own)
-            visits.append(np.nonzero(near)[1])
-            counts.append(near.sum(axis=1))
-        yield pa.RecordBatch.from_arrays(
-            [node, copies, vector, pa.array(np.concatenate(cells).astype(np.int32)),
-             _lists(np.concatenate(visits).astype(np.int32), np.concatenate(counts))],
-            ["node", "copies", "vector", "cell", "visits"])
+        lengths = compute.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False)
+        for n in np.unique(lengths).tolist():
+            node, copies, vector = batch.filter(pa.array(lengths == n)).columns[:3]
+            cells, visits, counts = _cells(_unit(_matrix(vector)) if n in by_length else vector, by_length.get(n), gaps.get(n), chord)
+            yield pa.RecordBatch.from_arrays(
+                [node, copies, vector, pa.array(np.full(len(node), n, np.int32)), pa.array(cells), _lists(visits, counts)],
+                ["node", "copies", "vector", "length", "cell", "visits"])
 
 
 def _link(table: pa.Table, threshold: float) -> pa.Table:
@@ -116,45 +123,47 @@ def near_duplicates(
 
     n_links is the number of other rows linked directly, component_id the least id reachable by
     links (itself included), kept whether that is the row's own id. Columns of these names are
-    replaced. Null and zero vectors and those with null or non-finite components link with nothing;
-    so do vectors of different lengths with each other: only those of the most frequent length
-    (the greatest of equally frequent ones) are compared. Equal vectors, repeated rows included,
+    replaced. Null and zero vectors and those with null or non-finite components link with nothing.
+    Vectors of each length are compared with one another; those of different lengths do not link. Equal vectors, repeated rows included,
     link with each other; they are compared as one and counted by their number. Rows with one id
     are one node if their vectors are equal; a null id is greater than all others.
 
-    There are an eighth of the root of the number of different vectors of cells, up to `most_cells`,
-    fitted on `sample_rows` vectors, the least by a hash. A kept row stands for its group.
+    For each length there are an eighth of the root of the number of different vectors of cells, up to
+    `most_cells`, fitted on its share of `sample_rows` vectors, the least by a hash. A kept row stands for its group.
     """
     spark = vectors.sparkSession
     numbers = F.transform(F.col(vector), lambda v: v.cast("double"))
     usable = F.coalesce(
         F.forall(numbers, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))) & F.exists(numbers, lambda v: v != 0), F.lit(False))
     rows = vectors.withColumns({"__v": F.col(vector), "__usable": usable})
-    size = rows.where("__usable").groupBy(F.size("__v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    length = size["n"] if size else 0
-    rows = rows.withColumn("__node", F.when(F.col("__usable") & (F.size("__v") == length), F.xxhash64("__v")))
+    rows = rows.withColumn("__node", F.when(F.col("__usable"), F.xxhash64("__v")))
     distinct = rows.where("__node is not null").groupBy("__node").agg(F.count(F.lit(1)).alias("__copies"), F.any_value("__v").alias("__v"))
     distinct = stored(distinct, "vectors")
-    n = distinct.count()
-    if n:
-        sample = distinct.orderBy(F.xxhash64("__node"), "__node").limit(sample_rows).select("__v").toPandas()["__v"]
-        cells = min(most_cells, max(1, round(math.sqrt(n) / 8)))
-        centroids = spark.sparkContext.broadcast(fit_centroids(_unit(np.array(sample.tolist())), cells))
+    many = {r["n"]: r["count"] for r in distinct.groupBy(F.size("__v").alias("n")).count().collect()}
+    if many:
+        fitted = {}
+        for n, count in many.items():
+            cells = min(most_cells, max(1, round(math.sqrt(count) / 8)))
+            if cells > 1:
+                share = max(cells, round(sample_rows * count / sum(many.values())))
+                sample = distinct.where(F.size("__v") == n).orderBy(F.xxhash64("__node"), "__node").limit(share).select("__v").toPandas()["__v"]
+                fitted[n] = fit_centroids(_unit(np.array(sample.tolist())), cells)
+        centroids = spark.sparkContext.broadcast(fitted)
         kind = vectors.schema[vector].dataType.simpleString()
-        schema = f"node long, copies long, vector {kind}, cell int, visits array<int>"
+        schema = f"node long, copies long, vector {kind}, length int, cell int, visits array<int>"
         assigned = stored(distinct.mapInArrow(partial(_assign, centroids=centroids, threshold=threshold), schema), "cells")
-        members = assigned.groupBy("cell").agg(F.count(F.lit(1)).alias("members"))
-        visitors = assigned.select(F.explode("visits").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("visitors"))
-        sizes = members.join(visitors, "cell").select(
-            "cell", F.ceil(F.col("members") / BLOCK).cast("int").alias("m"), F.ceil(F.col("visitors") / BLOCK).cast("int").alias("v"))
-        inside = assigned.select("node", "copies", "vector", "cell").join(sizes, "cell").select(
-            "node", "copies", "vector", "cell", F.lit(True).alias("member"), F.pmod("node", "m").cast("int").alias("mine"),
+        members = assigned.groupBy("length", "cell").agg(F.count(F.lit(1)).alias("members"))
+        visitors = assigned.select("length", F.explode("visits").alias("cell")).groupBy("length", "cell").agg(F.count(F.lit(1)).alias("visitors"))
+        sizes = members.join(visitors, ["length", "cell"]).select(
+            "length", "cell", F.ceil(F.col("members") / BLOCK).cast("int").alias("m"), F.ceil(F.col("visitors") / BLOCK).cast("int").alias("v"))
+        inside = assigned.select("node", "copies", "vector", "length", "cell").join(sizes, ["length", "cell"]).select(
+            "node", "copies", "vector", "length", "cell", F.lit(True).alias("member"), F.pmod("node", "m").cast("int").alias("mine"),
             F.explode(F.sequence(F.lit(0), F.col("v") - 1)).alias("theirs"))
-        outside = assigned.select("node", "copies", "vector", F.explode("visits").alias("cell")).join(sizes, "cell").select(
-            "node", "copies", "vector", "cell", F.lit(False).alias("member"),
+        outside = assigned.select("node", "copies", "vector", "length", F.explode("visits").alias("cell")).join(sizes, ["length", "cell"]).select(
+            "node", "copies", "vector", "length", "cell", F.lit(False).alias("member"),
             F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("mine"), F.pmod("node", "v").cast("int").alias("theirs"))
         blocks = inside.unionByName(outside)
-        found = blocks.groupBy("cell", "mine", "theirs").applyInArrow(lambda t: _link(t, threshold), "node long, links long, other long")
+        found = blocks.groupBy("length", "cell", "mine", "theirs").applyInArrow(lambda t: _link(t, threshold), "node long, links long, other long")
         found = stored(found, "links")
         links = found.where("other is null").groupBy(F.col("node").alias("__n")).agg(F.sum("links").alias("__links"))
         whole = components(found.where("other is not null and other != node").select("node", "other")).toDF("__m", "__c")

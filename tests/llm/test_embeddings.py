@@ -65,3 +65,16 @@ def test_repeated_rows_and_empty_tables(spark):
     assert {(r.vec_id, r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(frame).collect()} == {(1, 3, 1, True), (None, 3, 1, False)}
     assert run(spark, []) == []
     assert run(spark, [(1, None)]) == [(1, 0, 1, True)]
+
+
+def test_vectors_of_several_lengths(spark):
+    parts = [(24, 400), (16, 300), (3, 40)]
+    rows, want = [], []
+    for k, (d, n) in enumerate(parts):
+        x = cloud(d, n, d)
+        ids = [int(i) * 3 + k for i in range(len(x))]
+        rows += zip(ids, x.tolist())
+        want += brute(ids, x.astype(float).tolist())
+        assert sum(w[1] for w in want[-n:]) > 10
+    rows += [(5000, [2.0]), (5001, [5.0]), (5002, [1.0] * 7)]
+    assert run(spark, rows) == sorted([*want, (5000, 1, 5000, True), (5001, 1, 5000, False), (5002, 0, 5002, True)])
