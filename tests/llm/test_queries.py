@@ -12,7 +12,7 @@ import corpus_pipeline
 from cohortwise.llm.queries import QUERIES, SQL
 
 SMALL = str(TESTDATA / "sf0.001")
-TABLES = ("documents", "embeddings", "pages", "labels")
+TABLES = ("documents", "embeddings", "pages", "labels", "conversations")
 
 
 @pytest.fixture(scope="module")
@@ -26,7 +26,7 @@ def duck():
 
 def test_all_are_registered():
     assert QUERIES.items() <= entry.queries().items() and SQL.items() <= entry.oracle_sql().items()
-    assert {int(name[2:].split("_")[0]) for name in QUERIES if name.startswith("op")} == set(range(1, 11))
+    assert {int(name[2:].split("_")[0]) for name in QUERIES if name.startswith("op")} == set(range(1, 14))
     assert QUERIES["pipeline"] is corpus_pipeline.run
 
 
