@@ -11,7 +11,7 @@ from cohortwise.functions.text import id_tokens, substrings
 from cohortwise.functions.values import contains_any, present
 from cohortwise.operators.frequency import altered_events
 from cohortwise.plans.ranking import top_per_group
-from cohortwise.plans.scope import STUDY, by_study
+from cohortwise.plans.scope import STUDY, by_study, distinct_counts
 from cohortwise.session import shared_dir
 
 SAMPLE = "sample_unique_id"
@@ -140,9 +140,7 @@ def study_header(t, study: str | None = None) -> DataFrame:
 
 def study_counts(t, study: str | None = None) -> DataFrame:
     rows, keys = by_study(t.clinical_data_derived, study)
-    counts = rows.groupBy(*keys).agg(
-        F.count_distinct("patient_unique_id").alias("patients"), F.count_distinct(present(SAMPLE)).alias("samples")
-    )
+    counts = distinct_counts(rows, keys, {"patients": F.col("patient_unique_id"), "samples": present(SAMPLE)})
     return counts.select(
         *keys, _section("counts"), F.expr("stack(2, 'patients', patients, 'samples', samples) as (name, `count`)")
     )
@@ -265,10 +263,6 @@ def search_taxonomy(onco: DataFrame, terms: DataFrame, limit: int | None = 25) -
     )
 
 
-#: Doublings of a path: 2**20 levels.
-DOUBLINGS = 20
-
-
 def taxonomy_paths(onco: DataFrame) -> DataFrame:
     """(code, hierarchy): `ROOT > .. > CODE`; a path ends at an unknown parent or before a code it already has.
 
@@ -282,7 +276,7 @@ def taxonomy_paths(onco: DataFrame) -> DataFrame:
     paths = codes.join(known, F.col("parent") == F.col("_known"), "left").select(
         "code", F.array("code").alias("path"), F.when(F.col("parent") != F.col("code"), F.col("_known")).alias("up"))
     shared_dir(onco.sparkSession)
-    for _ in range(DOUBLINGS):
+    while True:  # ends, because an open path doubles and is cut when it meets itself
         paths = paths.checkpoint()
         if paths.where("up is not null").isEmpty():
             break

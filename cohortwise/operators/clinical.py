@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cohortwise.functions.values import any_of, contains_any, present, to_number
 from cohortwise.plans.ranking import median
-from cohortwise.plans.scope import STUDY, by_study
+from cohortwise.plans.scope import STUDY, by_study, distinct_counts
 
 SAMPLE = "sample_unique_id"
 PATIENT = "patient_unique_id"
@@ -150,9 +150,7 @@ def samples_all(t, study: str | None, criteria: dict[str, str]) -> DataFrame:
 def value_distribution(t, study: str | None, attribute: str) -> DataFrame:
     """Samples and patients per value; patient-level rows count no sample."""
     rows, keys = _attribute(t, study, attribute)
-    return rows.groupBy(*keys, "attribute_value").agg(
-        F.count_distinct(present(SAMPLE)).alias("sample_count"), F.count_distinct(PATIENT).alias("patient_count")
-    )
+    return distinct_counts(rows, [*keys, "attribute_value"], {"sample_count": present(SAMPLE), "patient_count": F.col(PATIENT)})
 
 
 def _sex_and_age(t, study) -> tuple[DataFrame, list[str]]:
@@ -262,10 +260,8 @@ def with_mutation_data(t, study: str | None = None, variant_type: str = "mutatio
 def cohort_counts(t, study: str | None = None) -> DataFrame:
     """Two rows: number of patients and number of samples."""
     rows, keys = by_study(t.clinical_data_derived, study)
-    counted = rows.groupBy(*keys).agg(
-        F.count_distinct(PATIENT).alias("patients"), F.count_distinct(present(SAMPLE)).alias("samples")
-    )
-    # both counts come from one pass; the stack turns them into rows
+    counted = distinct_counts(rows, keys, {"patients": F.col(PATIENT), "samples": present(SAMPLE)})
+    # the stack turns the counts into rows
     return counted.select(
         *keys, F.expr("stack(2, 'Patient Level', patients, 'Sample Level', samples) as (analysis_level, `count`)")
     )

@@ -22,7 +22,7 @@ from cohortwise.operators.coverage import (
     profiled_per_gene,
     profiled_rows,
 )
-from cohortwise.plans.ranking import top_per_group
+from cohortwise.plans.ranking import top, top_per_group
 from cohortwise.plans.scope import STUDY, by_study, cohort_studies, in_cohort
 
 TYPE = "cancer_type"
@@ -144,7 +144,7 @@ def _denominators(t, studies, keys: list[str], dedupe: bool, named_only: bool =
     return profiled_per_gene(t, sets, keys, named_only=named_only, dedupe=dedupe)
 
 
-def top_mutated_genes_in_cohort(t, preference: str, top_n: int = 20, dedupe: bool = False) -> DataFrame:
+def top_mutated_genes_in_cohort(t, preference: str, top_n: int | None = 20, dedupe: bool = False) -> DataFrame:
     """Genes of a cohort by altered samples, with coverage-aware percentage and event count.
 
     The denominator adds whole-exome and panel samples, so a sample on both counts twice;
@@ -158,7 +158,7 @@ def top_mutated_genes_in_cohort(t, preference: str, top_n: int = 20, dedupe: boo
     )
     named, exome = _denominators(t, studies, [], dedupe)
     profiled = F.coalesce("panel_units", F.lit(0)) + F.coalesce(exome.scalar(), F.lit(0))
-    return (
+    genes = (
         altered.join(named, GENE, "left")
         .withColumn("profiled_samples", profiled)
         .select(
@@ -168,18 +168,20 @@ def top_mutated_genes_in_cohort(t, preference: str, top_n: int = 20, dedupe: boo
             percent(F.col("altered_samples"), F.col("profiled_samples")).alias("frequency_pct"),
             "total_mutation_events",
         )
-        .orderBy(F.desc("altered_samples"), F.asc(GENE))
-        .limit(top_n)
     )
+    return top(genes, [F.desc("altered_samples"), F.asc(GENE)], top_n)
 
 
 def altered_counts(t, study: str | None = None, pooled: bool = False) -> DataFrame:
     """Per gene: altered samples, those on panel, and events; over all studies when `pooled`."""
     events, keys = by_study(altered_events(t, on_panel=False), study)
-    return events.groupBy(*([] if pooled else keys), GENE, "entrez_gene_id").agg(
-        F.count_distinct(SAMPLE).alias("altered_samples"),
-        F.count_distinct(F.when(F.col("off_panel") == 0, F.col(SAMPLE))).alias("altered_samples_on_panel"),
-        F.count("*").alias("total_mutation_events"),
+    group = [*([] if pooled else keys), GENE, "entrez_gene_id"]
+    # one row per sample, whether it is on the panel being a flag of it: no row is expanded for a second distinct count
+    samples = events.groupBy(*group, SAMPLE).agg(F.max(F.col("off_panel") == 0).alias("_on_panel"), F.count("*").alias("_events"))
+    return samples.groupBy(*group).agg(
+        F.count(SAMPLE).alias("altered_samples"),
+        F.count(F.when(F.col("_on_panel"), F.col(SAMPLE))).alias("altered_samples_on_panel"),
+        F.sum("_events").alias("total_mutation_events"),
     )
 
 
@@ -229,7 +231,7 @@ def study_gene_frequency(t, study: str | None = None, wes_aware: bool = True) ->
     )
 
 
-def top_genes_per_cancer_type(t, preference: str, n: int = 10, min_profiled: int = 50) -> DataFrame:
+def top_genes_per_cancer_type(t, preference: str, n: int | None = 10, min_profiled: int = 50) -> DataFrame:
     """The `n` most often mutated genes of each cancer type, by altered samples, then symbol."""
     rows = gene_mutation_frequency_by_cancer_type(t, preference, None, min_profiled=min_profiled)
     return top_per_group(rows, [TYPE], [F.desc("altered_samples"), F.asc(GENE)], n)
@@ -277,20 +279,24 @@ def patient_frequency(t, study: str | None = None, gene: str | None = None) -> D
         group = [*keys, GENE]
         panels = panel_sets(t, "MUTATION_EXTENDED", unit, studies).join(patients, unit)
         sets = (
-            panels.select(STUDY, "patient_unique_id", F.explode("panels").alias("panel"))
-            .groupBy(STUDY, "patient_unique_id")
-            .agg(F.array_sort(F.collect_set("panel")).alias("panels"))
+            panels.groupBy(STUDY, "patient_unique_id")
+            .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("panels")))).alias("panels"))
             .groupBy(*keys, "panels")
             .agg(F.count("*").alias("units"))
         )
         named, exome = profiled_per_gene(t, sets, keys)
-        listed = panel_genes(t).distinct().withColumn("listed", F.lit(True))
+        # the genes of each set of panels, made once per set
+        listed = (
+            panels.select("panels").distinct()
+            .select("panels", F.explode("panels").alias("gene_panel_id"))
+            .join(panel_genes(t), "gene_panel_id")
+            .select("panels", GENE).distinct().withColumn("listed", F.lit(True))
+        )
         altered = (
             events.select(*unit, GENE).distinct()
             .join(panels, unit)
-            .select(STUDY, "patient_unique_id", GENE, F.explode("panels").alias("gene_panel_id"))
-            .join(listed, ["gene_panel_id", GENE], "left")
-            .where(F.col("listed") | (F.col("gene_panel_id") == WHOLE_EXOME))
+            .join(listed, ["panels", GENE], "left")
+            .where(F.col("listed") | F.array_contains("panels", WHOLE_EXOME))
             .groupBy(*group)
             .agg(F.count_distinct(STUDY, "patient_unique_id").alias("altered_patients"))
         )

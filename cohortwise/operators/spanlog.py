@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cohortwise.plans.ranking import top_per_group
+from cohortwise.plans.ranking import top, top_per_group
 
 # Alert thresholds (more than) and spans of time.
 ERROR_LEVELS = {"critical": 20, "warning": 10}
@@ -42,19 +42,14 @@ def distinct_ips(spans: DataFrame) -> DataFrame:
     return spans.agg(F.count_distinct("client_ip").alias("ips"))
 
 
-def top_by(spans: DataFrame, column: str, k: int = 10) -> DataFrame:
-    """The `k` most frequent values of a column."""
-    return (
-        spans.where(F.col(column).isNotNull())
-        .groupBy(column)
-        .agg(F.count("*").alias("requests"))
-        .orderBy(F.desc("requests"), F.asc(column))
-        .limit(k)
-    )
+def top_by(spans: DataFrame, column: str, k: int | None = 10) -> DataFrame:
+    """The `k` most frequent values of a column; with None all."""
+    counts = spans.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("requests"))
+    return top(counts, [F.desc("requests"), F.asc(column)], k)
 
 
-def requests_over_time(spans: DataFrame, by: str, k: int = 10, width: str = "1 hour") -> DataFrame:
-    """Requests per time bucket for the `k` most frequent values of a column."""
+def requests_over_time(spans: DataFrame, by: str, k: int | None = 10, width: str = "1 hour") -> DataFrame:
+    """Requests per time bucket for the `k` most frequent values of a column; with None for all."""
     # bucket counts are made once; the top list is taken from them, not from the spans
     buckets = (
         with_time(spans)
@@ -62,18 +57,27 @@ def requests_over_time(spans: DataFrame, by: str, k: int = 10, width: str = "1 h
         .groupBy(F.window("ts", width).alias("w"), by)
         .agg(F.count("*").alias("requests"))
     )
-    leaders = buckets.groupBy(by).agg(F.sum("requests").alias("total"))
-    leaders = leaders.orderBy(F.desc("total"), F.asc(by)).limit(k).select(by)
-    return buckets.join(leaders, by, "left_semi").select(F.col("w.start").alias("bucket"), by, "requests")
+    if k is not None:
+        leaders = top(buckets.groupBy(by).agg(F.sum("requests").alias("total")), [F.desc("total"), F.asc(by)], k)
+        buckets = buckets.join(leaders.select(by), by, "left_semi")
+    return buckets.select(F.col("w.start").alias("bucket"), by, "requests")
+
+
+def top_per_bucket(spans: DataFrame, by: str, k: int | None = 10, width: str = "1 hour") -> DataFrame:
+    """Requests of the `k` most frequent values of a column in each time bucket, with their place in it; ties by value."""
+    counts = requests_over_time(spans, by, None, width)
+    place = F.row_number().over(W.partitionBy("bucket").orderBy(F.desc("requests"), F.asc(by)))
+    ranked = counts.withColumn("place", place)
+    return ranked if k is None else ranked.where(F.col("place") <= k)
 
 
-def errors_over_time(spans: DataFrame, by: str = "client_name", k: int = 10, width: str = "1 hour") -> DataFrame:
+def errors_over_time(spans: DataFrame, by: str = "client_name", k: int | None = 10, width: str = "1 hour") -> DataFrame:
     """Failed requests per time bucket for the values of a column with most failures."""
     return requests_over_time(spans.where(~F.col("success")), by, k, width).withColumnRenamed("requests", "errors")
 
 
-def requests_cube(spans: DataFrame, limits: tuple[int, int, int] = (10, 5, 15)) -> DataFrame:
-    """Requests by client name, kind and tool: top names, top kinds in each, top tools in each."""
+def requests_cube(spans: DataFrame, limits: tuple[int | None, int | None, int | None] = (10, 5, 15)) -> DataFrame:
+    """Requests by client name, kind and tool: top names, top kinds in each, top tools in each; None keeps all."""
     name, kind, tool = "client_name", "client_kind", "tool_name"
     counts = (
         spans.where(F.col(name).isNotNull() & F.col(kind).isNotNull() & F.col(tool).isNotNull())
@@ -84,7 +88,7 @@ def requests_cube(spans: DataFrame, limits: tuple[int, int, int] = (10, 5, 15))
     def totals(*by: str) -> DataFrame:
         return counts.groupBy(*by).agg(F.sum("requests").alias("total"))
 
-    names = totals(name).orderBy(F.desc("total"), F.asc(name)).limit(limits[0]).select(name)
+    names = top(totals(name), [F.desc("total"), F.asc(name)], limits[0]).select(name)
     kinds = top_per_group(totals(name, kind), [name], [F.desc("total"), F.asc(kind)], limits[1]).select(name, kind)
     tools = top_per_group(counts, [name, kind], [F.desc("requests"), F.asc(tool)], limits[2])
     return tools.join(names, name, "left_semi").join(kinds, [name, kind], "left_semi")

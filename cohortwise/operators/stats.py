@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cohortwise.functions.distributions import chi_squared_tail, f_tail, normal_two_sided, t_two_sided
 from cohortwise.plans.ranking import cumulative, mean_ranks, null_safe_join, running_sum, sliced, value_scale
 
 
@@ -68,7 +69,7 @@ def _fisher(a: int, b: int, c: int, d: int) -> float:
 def chi_squared(counts: DataFrame, keys: list[str], row: str, column: str, n: str) -> DataFrame:
     """Chi-squared statistic per `keys` of a contingency table in long form.
 
-    Returns `chi2`, `dof` and `min_expected` (a value under 5 makes the test unreliable).
+    Returns `chi2`, `dof`, `min_expected` (a value under 5 makes the test unreliable) and `p_value`.
     Cells without a row count as zero: their expected counts add up to what is missing.
     """
     cells = counts.groupBy(*keys, row, column).agg(F.sum(n).alias("_n"))
@@ -84,12 +85,13 @@ def chi_squared(counts: DataFrame, keys: list[str], row: str, column: str, n: st
         F.sum(share).alias("_share"), F.max("_row").alias("_any")
     )
     both = _with(_with(sums, totals, keys), widths, keys)
-    return both.select(
+    tested = both.select(
         *keys,
         (F.col("_total") * (F.col("_share") - 1)).alias("chi2"),
         ((F.col("_rows") - 1) * (F.col("_cols") - 1)).alias("dof"),
         (F.col("_min_row").cast("double") * F.col("_min_col") / F.col("_total")).alias("min_expected"),
     )
+    return tested.withColumn("p_value", chi_squared_tail(F.col("chi2"), F.col("dof")))
 
 
 def _with(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -113,18 +115,19 @@ def rank_sums(values: DataFrame, keys: list[str], group: str, value: str) -> Dat
 
 
 def wilcoxon(values: DataFrame, keys: list[str], group: str, value: str) -> DataFrame:
-    """Rank sums per group with the normal-approximation z score, ties corrected."""
+    """Rank sums per group with the normal-approximation z score, ties corrected, and its two-sided p-value."""
     ties = _ties(values, keys, value)
     sums = rank_sums(values, keys, group, value)
     n, rest, total = F.col("n"), F.col("n_total") - F.col("n"), F.col("n_total")
     tie_free = (total + 1) - F.col("_tie_sum") / F.nullif(total * (total - 1), F.lit(0))
     spread = F.sqrt(n.cast("double") * rest / 12 * tie_free)
     z = (F.col("u_statistic") - n.cast("double") * rest / 2) / F.nullif(spread, F.lit(0e0))
-    return _with(sums, ties, keys).select(*keys, group, "n", "rank_sum", "u_statistic", z.alias("z"))
+    tested = _with(sums, ties, keys).select(*keys, group, "n", "rank_sum", "u_statistic", z.alias("z"))
+    return tested.withColumn("p_value", normal_two_sided(F.col("z")))
 
 
 def kruskal_wallis(values: DataFrame, keys: list[str], group: str, value: str) -> DataFrame:
-    """Kruskal-Wallis H per `keys`, ties corrected, with its degrees of freedom."""
+    """Kruskal-Wallis H per `keys`, ties corrected, with its degrees of freedom and p-value."""
     sums = rank_sums(values, keys, group, value)
     total = F.max("n_total").cast("double")
     h = F.lit(12e0) / (total * (total + 1)) * F.sum(F.col("rank_sum") * F.col("rank_sum") / F.col("n")) - 3 * (total + 1)
@@ -133,9 +136,10 @@ def kruskal_wallis(values: DataFrame, keys: list[str], group: str, value: str) -
     )
     n = F.col("_total")
     correction = F.lit(1e0) - F.col("_tie_sum") / F.nullif(n * n * n - n, F.lit(0e0))
-    return _with(folded, _ties(values, keys, value), keys).select(
+    tested = _with(folded, _ties(values, keys, value), keys).select(
         *keys, (F.col("_h") / F.nullif(correction, F.lit(0e0))).alias("h"), (F.col("groups") - 1).alias("dof"), "min_n"
     )
+    return tested.withColumn("p_value", chi_squared_tail(F.col("h"), F.col("dof")))
 
 
 def _ties(values: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -151,7 +155,7 @@ def moments(values: DataFrame, keys: list[str], group: str, value: str) -> DataF
 
 
 def t_statistic(values: DataFrame, keys: list[str], group: str, value: str, first: str, second: str) -> DataFrame:
-    """Student's t of two groups with pooled variance and its degrees of freedom."""
+    """Student's t of two groups with pooled variance, its degrees of freedom and two-sided p-value."""
     stats = moments(values.where(F.col(group).isin(first, second)), keys, group, value)
 
     def of(name: str, column: str) -> Column:
@@ -162,18 +166,26 @@ def t_statistic(values: DataFrame, keys: list[str], group: str, value: str, firs
     pooled = ((n1 - 1) * of(first, "variance") + (n2 - 1) * of(second, "variance")) / F.nullif(dof, F.lit(0))
     error = F.sqrt(pooled * (F.lit(1e0) / n1 + F.lit(1e0) / n2))
     t = (of(first, "mean") - of(second, "mean")) / F.nullif(error, F.lit(0e0))
-    return stats.groupBy(*keys).agg(t.alias("t"), dof.alias("dof"))
+    return stats.groupBy(*keys).agg(t.alias("t"), dof.alias("dof")).withColumn("p_value", t_two_sided(F.col("t"), F.col("dof")))
 
 
 def anova(values: DataFrame, keys: list[str], group: str, value: str) -> DataFrame:
-    """One-way F from group sizes, means and variances, with its degrees of freedom."""
-    stats = moments(values, keys, group, value)
-    total, groups = F.sum("n"), F.count("*")
-    weighted = F.sum(F.col("n") * F.col("mean"))
-    between = F.sum(F.col("n") * F.col("mean") * F.col("mean")) - weighted * weighted / total
-    within = F.sum((F.col("n") - 1) * F.coalesce("variance", F.lit(0e0)))
-    f = (between / F.nullif(groups - 1, F.lit(0))) / F.nullif(within / F.nullif(total - groups, F.lit(0)), F.lit(0e0))
-    return stats.groupBy(*keys).agg(f.alias("f"), (groups - 1).alias("dof_between"), (total - groups).alias("dof_within"))
+    """One-way F from group sizes, means and variances, with its degrees of freedom and p-value.
+
+    The spread between groups is summed from their distances to the mean of all values, so it
+    keeps its digits when the values are large against it.
+    """
+    groups = moments(values.where(F.col(value).isNotNull()), keys, group, value)
+    size = F.col("n")
+    grand = groups.groupBy(*keys).agg((F.sum(size * F.col("mean")) / F.sum(size)).alias("_grand"))
+    apart = F.col("mean") - F.col("_grand")
+    sums = _with(groups, grand, keys).groupBy(*keys).agg(
+        F.sum(size * apart * apart).alias("_between"), F.sum((size - 1) * F.coalesce("variance", F.lit(0e0))).alias("_within"),
+        F.sum(size).alias("_total"), F.count("*").alias("_groups"))
+    between, within = F.col("_groups") - 1, F.col("_total") - F.col("_groups")
+    f = (F.col("_between") / F.nullif(between, F.lit(0))) / F.nullif(F.col("_within") / F.nullif(within, F.lit(0)), F.lit(0e0))
+    tested = sums.select(*keys, f.alias("f"), between.alias("dof_between"), within.alias("dof_within"))
+    return tested.withColumn("p_value", f_tail(F.col("f"), F.col("dof_between"), F.col("dof_within")))
 
 
 def benjamini_hochberg(tests: DataFrame, keys: list[str], p: str = "p_value") -> DataFrame:
@@ -221,6 +233,45 @@ def kaplan_meier(patients: DataFrame, keys: list[str], months: str, event: str)
     return curve.select(*keys, months, "at_risk", "events", survival.alias("survival"))
 
 
+def log_rank(
+    patients: DataFrame, members: DataFrame, keys: list[str], groups: list[str], patient: str, months: str, event: str
+) -> DataFrame:
+    """Survival of a group's patients against that of all other patients of the same `keys`, by risk sets.
+
+    `patients` has one row per keys and patient, `members` the (keys, groups, patient) of each group, for any
+    number of groups in one job. Returns per keys and group `members`, `observed` and `expected` events, `variance`, `chi2` (one degree
+    of freedom) and `p_value`; chi2 is null where the variance is zero. Patients without a time or event are left out.
+
+    All groups of a key share the times and risk sets of its patients. With d events among r patients at a time,
+    of whom m belong to the group, expected is the sum of m d / r: each member brings the running sum of
+    d / r up to its own time. The variance, the sum of c (m / r) (1 - m / r) with c = d (r - d) / (r - 1), is likewise one
+    running sum per member, less one that is weighted by the members that are followed at least as long. So the work
+    follows the members, not groups times times.
+    """
+    known = patients.where(F.col(months).isNotNull() & F.col(event).isNotNull()).select(
+        *keys, patient, F.col(months).cast("double").alias("_at"), F.col(event).cast("int").alias("_event"))
+    deaths = known.groupBy(*keys, "_at").agg(F.sum("_event").alias("d"))
+    times = null_safe_join(cumulative(known, keys, "_at"), deaths, [*keys, "_at"]).withColumn("r", F.col("n_total") - F.col("n_below"))
+    d, r = F.col("d").cast("double"), F.col("r").cast("double")
+    spread = d * (r - d) / F.greatest(r - 1, F.lit(1e0))
+    hazard = running_sum(
+        times.select(*keys, "_at", (d / r).alias("h"), (spread / r).alias("a"), (spread / (r * r)).alias("k")),
+        keys, "_at", value_scale(F.col("_at")), "h", "a", "k")
+    unit = [*keys, *groups]
+    followed = null_safe_join(members.select(*unit, patient).distinct(), known, [*keys, patient])
+    counts = followed.groupBy(*unit, "_at").agg(F.count("*").alias("_n"), F.sum("_event").alias("_d"))
+    # a group's members still followed at each of its times
+    ranked = null_safe_join(counts, cumulative(followed, unit, "_at"), [*unit, "_at"])
+    m = (F.col("n_total") - F.col("n_below")).cast("double")
+    later = m - F.col("_n")
+    sums = null_safe_join(ranked, hazard, [*keys, "_at"]).groupBy(*unit).agg(
+        F.sum("_n").alias("members"), F.sum("_d").alias("observed"), F.sum(F.col("_n") * F.col("h_upto")).alias("expected"),
+        (F.sum(F.col("_n") * F.col("a_upto")) - F.sum(F.col("k_upto") * (m * m - later * later))).alias("variance"))
+    apart = F.col("observed") - F.col("expected")
+    chi2 = F.when(F.col("variance") > 1e-9, apart * apart / F.col("variance"))
+    return sums.withColumn("chi2", chi2).withColumn("p_value", chi_squared_tail(F.col("chi2"), F.lit(1)))
+
+
 def median_survival(patients: DataFrame, keys: list[str], months: str, event: str) -> DataFrame:
     """First time at which the survival estimate is at or under one half; NULL if never reached."""
     curve = kaplan_meier(patients, keys, months, event)

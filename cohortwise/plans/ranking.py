@@ -37,25 +37,31 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return left.join(other, same, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def _upto(rows: DataFrame, keys: list[str], order: str, column: str) -> DataFrame:
-    """`rows` (one per keys, slice, part and `order` value) with `_upto`, the sum of `column` up to and including the row,
-    and `_total` over the keys.
+def _upto(rows: DataFrame, keys: list[str], order: str, columns: list[str]) -> DataFrame:
+    """`rows` (one per keys, slice, part and `order` value) with, for each of `columns`, `_upto_<column>`, its sum up to
+    and including the row, and `_total_<column>` over the keys.
 
     Sums per slice are added up first, then those of the parts of a slice, then the rows of a part.
     """
-    parts = rows.groupBy(*keys, "_slice", "_part").agg(F.sum(column).alias("_size"))
-    slices = parts.groupBy(*keys, "_slice").agg(F.sum("_size").alias("_size")).withColumn("_one", F.lit(1))
+    sizes = [f"_size_{c}" for c in columns]
+    parts = rows.groupBy(*keys, "_slice", "_part").agg(*[F.sum(c).alias(size) for c, size in zip(columns, sizes)])
+    slices = parts.groupBy(*keys, "_slice").agg(*[F.sum(size).alias(size) for size in sizes]).withColumn("_one", F.lit(1))
     before = W.unboundedPreceding, -1
     group = W.partitionBy("_one", *keys)
+
+    def below(window, size: str) -> Column:
+        return F.coalesce(F.sum(size).over(window.rowsBetween(*before)), F.lit(0))
+
     bases = slices.select(
-        *keys, "_slice", F.coalesce(F.sum("_size").over(group.orderBy("_slice").rowsBetween(*before)), F.lit(0)).alias("_below_slice"),
-        F.sum("_size").over(group).alias("_total"))
-    within = W.partitionBy(*keys, "_slice").orderBy("_part").rowsBetween(*before)
-    inner = parts.select(*keys, "_slice", "_part", F.coalesce(F.sum("_size").over(within), F.lit(0)).alias("_below_part"))
+        *keys, "_slice", *[below(group.orderBy("_slice"), size).alias(f"_slice{size}") for size in sizes],
+        *[F.sum(size).over(group).alias(f"_total_{c}") for c, size in zip(columns, sizes)])
+    within = W.partitionBy(*keys, "_slice").orderBy("_part")
+    inner = parts.select(*keys, "_slice", "_part", *[below(within, size).alias(f"_part{size}") for size in sizes])
     inside = W.partitionBy(*keys, "_slice", "_part").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    summed = rows.withColumn("_inside", F.sum(column).over(inside))
+    summed = rows.withColumns({f"_inside_{c}": F.sum(c).over(inside) for c in columns})
     summed = null_safe_join(summed, null_safe_join(inner, bases, [*keys, "_slice"]), [*keys, "_slice", "_part"])
-    return summed.withColumn("_upto", F.col("_below_slice") + F.col("_below_part") + F.col("_inside"))
+    return summed.withColumns({
+        f"_upto_{c}": F.col(f"_slice{size}") + F.col(f"_part{size}") + F.col(f"_inside_{c}") for c, size in zip(columns, sizes)})
 
 
 def cumulative(
@@ -70,15 +76,15 @@ def cumulative(
     n = F.sum(weight) if weight else F.count("*")
     slice_, part = sliced(value_scale(F.col(value)) if scale is None else scale)
     counts = values.groupBy(*keys, value).agg(n.alias("n")).withColumns({"_slice": slice_, "_part": part})
-    return _upto(counts, keys, value, "n").select(
-        *keys, value, "n", (F.col("_upto") - F.col("n")).alias("n_below"), F.col("_total").alias("n_total"))
+    return _upto(counts, keys, value, ["n"]).select(
+        *keys, value, "n", (F.col("_upto_n") - F.col("n")).alias("n_below"), F.col("_total_n").alias("n_total"))
 
 
-def running_sum(rows: DataFrame, keys: list[str], order: str, scale: Column, column: str) -> DataFrame:
+def running_sum(rows: DataFrame, keys: list[str], order: str, scale: Column, *columns: str) -> DataFrame:
     """`rows` (one per keys and `order` value) with `<column>_upto`: its sum up to and including the row."""
     slice_, part = sliced(scale)
-    summed = _upto(rows.withColumns({"_slice": slice_, "_part": part}), keys, order, column)
-    return summed.select(*rows.columns, F.col("_upto").alias(f"{column}_upto"))
+    summed = _upto(rows.withColumns({"_slice": slice_, "_part": part}), keys, order, list(columns))
+    return summed.select(*rows.columns, *[F.col(f"_upto_{c}").alias(f"{c}_upto") for c in columns])
 
 
 def mean_ranks(values: DataFrame, keys: list[str], value: str, weight: str | None = None) -> DataFrame:
@@ -139,7 +145,14 @@ def spearman(pairs: DataFrame, keys: list[str], a: str, b: str, weight: str | No
     )
 
 
-def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
-    """First `k` rows per group of an already aggregated table; `order` must be total."""
+def top(df: DataFrame, order: list[Column], k: int | None) -> DataFrame:
+    """First `k` rows in a total order; all of them, in no order, for None."""
+    return df if k is None else df.orderBy(*order).limit(k)
+
+
+def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int | None) -> DataFrame:
+    """First `k` rows per group of an already aggregated table, all of them for None; `order` must be total."""
+    if k is None:
+        return df
     rank = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
     return df.withColumn("_rank", rank).where(F.col("_rank") <= k).drop("_rank")

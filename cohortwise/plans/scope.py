@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 STUDY = "cancer_study_identifier"
@@ -31,3 +34,21 @@ def in_cohort(df: DataFrame, studies: DataFrame | list[str] | None) -> DataFrame
     if isinstance(studies, list):
         return df.where(F.col(STUDY).isin(studies))
     return df.join(studies, STUDY, "left_semi")
+
+
+def distinct_counts(rows: DataFrame, keys: list[str], columns: dict[str, Column]) -> DataFrame:
+    """(keys, number of distinct values of each column), nulls not counted.
+
+    Combinations are made distinct once; each column is then counted from them on its own, so no row is expanded.
+    """
+    combinations = rows.select(*keys, *[c.alias(name) for name, c in columns.items()]).distinct()
+    counts = [combinations.select(*keys, name).distinct().groupBy(*keys).agg(F.count(name).alias(name)) for name in columns]
+    if not keys:
+        counts = [c.withColumn("_one", F.lit(1)) for c in counts]
+    on = keys or ["_one"]
+    first, *rest = counts
+    for count in rest:
+        other = count.withColumnsRenamed({k: f"_r_{k}" for k in on})
+        same = [first[k].eqNullSafe(other[f"_r_{k}"]) for k in on]
+        first = first.join(other, reduce(and_, same)).drop(*[f"_r_{k}" for k in on])
+    return first.select(*keys, *columns)

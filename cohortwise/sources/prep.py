@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -165,16 +165,31 @@ def prepare(t, steps: Iterable[tuple[str, str, Callable]]):
 
 
 def read_table(spark, path: str, name: str) -> DataFrame:
-    """A stored table with the types it was written with: the values of folder columns stay texts.
+    """A stored table with the values and types it was written with; those of folder columns are texts.
 
-    A folder cannot tell an empty text from a missing value; both are read as missing.
+    A filter on a folder column is evaluated on the folders' names, so it still skips folders.
     """
     folders = FOLDERS.get(name, [])
     table = spark.read.parquet(path)
     if not folders:
         return table
     fields = [T.StructField(f.name, T.StringType()) if f.name in folders else f for f in table.schema]
-    return spark.read.schema(T.StructType(fields)).parquet(path)
+    stored = spark.read.schema(T.StructType(fields)).parquet(path)
+    return stored.withColumns({f: _from_folder(F.col(f)) for f in folders})
+
+
+#: Marks a folder's text that would be read as missing as it is. Fixed value: the folder name of a missing one.
+MARK, MISSING = "=", "__HIVE_DEFAULT_PARTITION__"
+
+
+def _to_folder(value: Column) -> Column:
+    """A folder cannot tell an empty text from a missing one: such texts, and those that begin like one, are marked."""
+    text = value.cast("string")
+    return F.when((text == "") | (text == MISSING) | text.startswith(MARK), F.concat(F.lit(MARK), text)).otherwise(text)
+
+
+def _from_folder(name: Column) -> Column:
+    return F.when(name.startswith(MARK), F.substring(name, len(MARK) + 1, 1 << 30)).otherwise(name)
 
 
 def write_table(df: DataFrame, path: str, name: str, partitions: int | None = None) -> None:
@@ -188,7 +203,7 @@ def write_table(df: DataFrame, path: str, name: str, partitions: int | None = No
         order = [*folders, *clustered]
         ranged = df.repartitionByRange(*order) if partitions is None else df.repartitionByRange(partitions, *order)
         df = ranged.sortWithinPartitions(*order)
-    df.write.mode("overwrite").partitionBy(*folders).parquet(path)
+    df.withColumns({f: _to_folder(F.col(f)) for f in folders}).write.mode("overwrite").partitionBy(*folders).parquet(path)
 
 
 def write(t, directory: str, names: Iterable[str], partitions: dict[str, int] | None = None) -> None:
