@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cohortwise.plans.ranking import top, top_per_group
+from cohortwise.plans.scope import distinct_counts
 
 # Alert thresholds (more than) and spans of time.
 ERROR_LEVELS = {"critical": 20, "warning": 10}
@@ -42,6 +43,41 @@ def distinct_ips(spans: DataFrame) -> DataFrame:
     return spans.agg(F.count_distinct("client_ip").alias("ips"))
 
 
+#: Columns of the log whose different values are counted, and the name of their counts.
+PEOPLE = {"enduser_id": "users", "session_id": "sessions", "client_ip": "ips"}
+#: Log2 of a sketch's buckets: a relative standard error of 1.04 / 2**6, or 1.6 %.
+SKETCH_BITS = 12
+
+
+def distinct_sketches(spans: DataFrame, width: str = "1 minute") -> DataFrame:
+    """(bucket, requests, and a sketch of the users, sessions and addresses): what distinct counts over any range are made of."""
+    rows = with_time(spans).groupBy(F.window("ts", width).alias("w"))
+    sketches = [F.hll_sketch_agg(c, F.lit(SKETCH_BITS)).alias(name) for c, name in PEOPLE.items()]
+    return rows.agg(F.count("*").alias("requests"), *sketches).select(F.col("w.start").alias("bucket"), "requests", *PEOPLE.values())
+
+
+def distinct_from_sketches(sketches: DataFrame, width: str = "1 day", start: str | None = None, end: str | None = None) -> DataFrame:
+    """Estimated distinct users, sessions and addresses per period of `width`, from merged sketches of shorter ones.
+
+    Only buckets from `start` to before `end` are read; the log itself is not.
+    """
+    rows = sketches
+    if start is not None:
+        rows = rows.where(F.col("bucket") >= F.lit(start).cast("timestamp"))
+    if end is not None:
+        rows = rows.where(F.col("bucket") < F.lit(end).cast("timestamp"))
+    merged = [F.hll_sketch_estimate(F.hll_union_agg(name)).alias(name) for name in PEOPLE.values()]
+    periods = rows.groupBy(F.window("bucket", width).alias("w")).agg(F.sum("requests").alias("requests"), *merged)
+    return periods.select(F.col("w.start").alias("bucket"), "requests", *PEOPLE.values())
+
+
+def distinct_over_time(spans: DataFrame, width: str = "1 day") -> DataFrame:
+    """Exact distinct users, sessions and addresses per period; each is counted on its own."""
+    rows = with_time(spans).withColumn("bucket", F.window("ts", width)["start"])
+    counts = distinct_counts(rows, ["bucket"], {name: F.col(c) for c, name in PEOPLE.items()})
+    return counts.join(rows.groupBy("bucket").agg(F.count("*").alias("requests")), "bucket").select("bucket", "requests", *PEOPLE.values())
+
+
 def top_by(spans: DataFrame, column: str, k: int | None = 10) -> DataFrame:
     """The `k` most frequent values of a column; with None all."""
     counts = spans.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("requests"))
@@ -127,30 +163,40 @@ def unattributed_alerts(
     return counts.withColumn("level", level_of(F.col("requests"), levels)).where(F.col("level").isNotNull())
 
 
-def heartbeat_alerts(spans: DataFrame, span: str = HEARTBEAT_SPAN) -> DataFrame:
+def heartbeat_alerts(spans: DataFrame, span: str = HEARTBEAT_SPAN, by: str | None = None, with_open: bool = False) -> DataFrame:
     """Periods without requests longer than the span: the alert runs from `span` after the last one.
 
+    With `by`, each value of that column (such as a client) has its own alerts; rows without one are left out.
+    `with_open` adds alerts that are still open when the log ends, whose alert_end is null.
+
     Gaps are taken between minutes that have requests. The ordered step therefore sees at
     most one row per minute of the log's duration, whatever the number of requests, and
     runs per day with the last request of the previous active day carried over.
     """
+    keys = [] if by is None else [by]
+    rows = with_time(spans)
     minutes = (
-        with_time(spans)
-        .groupBy(F.date_trunc("minute", "ts").alias("minute"))
+        (rows if by is None else rows.where(F.col(by).isNotNull()))
+        .groupBy(*keys, F.date_trunc("minute", "ts").alias("minute"))
         .agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
         .withColumn("day", F.to_date("minute"))
     )
     # one row per active day; the previous day's last request opens the day's first gap
-    days = minutes.groupBy("day").agg(F.max("last_ts").alias("day_last"))
-    carried = days.select("day", F.lag("day_last").over(W.orderBy("day")).alias("carried"))
-    previous = F.lag("last_ts").over(W.partitionBy("day").orderBy("minute"))
+    days = minutes.groupBy(*keys, "day").agg(F.max("last_ts").alias("day_last"))
+    carried = days.select(*keys, "day", F.lag("day_last").over(W.partitionBy(*keys).orderBy("day")).alias("carried"))
+    previous = F.lag("last_ts").over(W.partitionBy(*keys, "day").orderBy("minute"))
     gaps = (
         minutes.withColumn("previous", previous)
-        .join(carried, "day")
-        .select(F.coalesce("previous", "carried").alias("previous"), F.col("first_ts").alias("alert_end"))
+        .join(carried, [*keys, "day"])
+        .select(*keys, F.coalesce("previous", "carried").alias("previous"), F.col("first_ts").alias("alert_end"))
     )
     start = F.col("previous") + F.expr(f"interval {span}")
-    return gaps.where(start < F.col("alert_end")).select(start.alias("alert_start"), "alert_end")
+    closed = gaps.where(start < F.col("alert_end")).select(*keys, start.alias("alert_start"), "alert_end")
+    if not with_open:
+        return closed
+    last = days.groupBy(*keys).agg((F.max("day_last") + F.expr(f"interval {span}")).alias("alert_start"))
+    end = rows.agg(F.max("ts")).scalar()
+    return closed.unionByName(last.where(F.col("alert_start") < end).withColumn("alert_end", F.lit(None).cast("timestamp")))
 
 
 def normalize_spans(raw: DataFrame) -> DataFrame:

@@ -250,13 +250,13 @@ def log_rank(
     """
     known = patients.where(F.col(months).isNotNull() & F.col(event).isNotNull()).select(
         *keys, patient, F.col(months).cast("double").alias("_at"), F.col(event).cast("int").alias("_event"))
-    deaths = known.groupBy(*keys, "_at").agg(F.sum("_event").alias("d"))
-    times = null_safe_join(cumulative(known, keys, "_at"), deaths, [*keys, "_at"]).withColumn("r", F.col("n_total") - F.col("n_below"))
-    d, r = F.col("d").cast("double"), F.col("r").cast("double")
+    deaths = known.groupBy(*keys, "_at").agg(F.sum("_event").alias("_deaths"))
+    times = null_safe_join(cumulative(known, keys, "_at"), deaths, [*keys, "_at"]).withColumn("_risk", F.col("n_total") - F.col("n_below"))
+    d, r = F.col("_deaths").cast("double"), F.col("_risk").cast("double")
     spread = d * (r - d) / F.greatest(r - 1, F.lit(1e0))
     hazard = running_sum(
-        times.select(*keys, "_at", (d / r).alias("h"), (spread / r).alias("a"), (spread / (r * r)).alias("k")),
-        keys, "_at", value_scale(F.col("_at")), "h", "a", "k")
+        times.select(*keys, "_at", (d / r).alias("_h"), (spread / r).alias("_a"), (spread / (r * r)).alias("_k")),
+        keys, "_at", value_scale(F.col("_at")), "_h", "_a", "_k")
     unit = [*keys, *groups]
     followed = null_safe_join(members.select(*unit, patient).distinct(), known, [*keys, patient])
     counts = followed.groupBy(*unit, "_at").agg(F.count("*").alias("_n"), F.sum("_event").alias("_d"))
@@ -265,8 +265,8 @@ def log_rank(
     m = (F.col("n_total") - F.col("n_below")).cast("double")
     later = m - F.col("_n")
     sums = null_safe_join(ranked, hazard, [*keys, "_at"]).groupBy(*unit).agg(
-        F.sum("_n").alias("members"), F.sum("_d").alias("observed"), F.sum(F.col("_n") * F.col("h_upto")).alias("expected"),
-        (F.sum(F.col("_n") * F.col("a_upto")) - F.sum(F.col("k_upto") * (m * m - later * later))).alias("variance"))
+        F.sum("_n").alias("members"), F.sum("_d").alias("observed"), F.sum(F.col("_n") * F.col("_h_upto")).alias("expected"),
+        (F.sum(F.col("_n") * F.col("_a_upto")) - F.sum(F.col("_k_upto") * (m * m - later * later))).alias("variance"))
     apart = F.col("observed") - F.col("expected")
     chi2 = F.when(F.col("variance") > 1e-9, apart * apart / F.col("variance"))
     return sums.withColumn("chi2", chi2).withColumn("p_value", chi_squared_tail(F.col("chi2"), F.lit(1)))

@@ -127,3 +127,16 @@ def test_folder_values_stay_texts(spark, tmp_path):
     back = load(spark, str(tmp_path)).cancer_study_query_preferences
     assert back.schema["preference_name"].dataType.simpleString() == "string"
     assert rows(back, *cohorts.columns) == rows(cohorts)
+
+
+def test_folder_values_come_back_as_written(spark, tmp_path):
+    values = ["", None, "=", "=x", "007", "1.50", "a/b c", "__HIVE_DEFAULT_PARTITION__", "x"]
+    frame = spark.createDataFrame([(i, v, "n") for i, v in enumerate(values)], "i int, preference_name string, notes string")
+    path = str(tmp_path / "t")
+    prep.write_table(frame, path, "cancer_study_query_preferences")
+    back = prep.read_table(spark, path, "cancer_study_query_preferences")
+    assert {r.i: r.preference_name for r in back.collect()} == dict(enumerate(values))
+    one = back.where(F.col("preference_name") == "x")
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    filters = plan[plan.index("PartitionFilters"):].split("PushedFilters")[0]
+    assert "preference_name" in filters and one.count() == 1  # folders are still skipped

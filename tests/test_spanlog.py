@@ -86,3 +86,28 @@ def test_nested_limits(spark):
     got = spanlog.requests_cube(spark.createDataFrame(data, SPANS), (2, 1, 2))
     assert rows(got, "client_name", "client_kind", "tool_name", "requests") == [
         ("n2", "k2", "t1", 6), ("n2", "k2", "t2", 7), ("n3", "k2", "t1", 7), ("n3", "k2", "t2", 8)]
+
+
+def test_reports_without_a_limit(spark):
+    data = spark.createDataFrame([(i, "2024-01-01 00:00:00", i % 2 == 0, f"c{i % 40}", f"k{i % 20}", f"t{i % 30}") for i in range(400)],
+                                 "span_id long, ts string, success boolean, client_name string, client_kind string, tool_name string")
+    assert spanlog.top_by(data, "client_name", None).count() == 40
+    assert spanlog.requests_over_time(data, "client_name", None).count() == 40
+    assert spanlog.errors_over_time(data, k=None).count() == 20
+    every = data.select("client_name", "client_kind", "tool_name").distinct().count()
+    assert spanlog.requests_cube(data, (None, None, None)).count() == every
+    assert spanlog.top_per_bucket(data, "client_kind", None).count() == 20
+
+
+def test_sketches_of_any_range_are_within_their_error(spark):
+    data = spark.range(60_000).selectExpr(
+        "timestamp_seconds(1704067200 + id * 3) as ts", "cast(hash(id) % 9000 as string) as enduser_id", "cast(id % 20000 as string) as session_id",
+        "cast(id % 3 as string) as client_ip")
+    sketches = spanlog.distinct_sketches(data)
+    got = {r.bucket: r for r in spanlog.distinct_from_sketches(sketches, "1 day").collect()}
+    for r in spanlog.distinct_over_time(data, "1 day").collect():
+        near = got[r.bucket]
+        assert near.requests == r.requests and near.ips == 3
+        assert abs(near.users - r.users) <= 0.065 * r.users and abs(near.sessions - r.sessions) <= 0.065 * r.sessions
+    some = spanlog.distinct_from_sketches(sketches, "1 day", "2024-01-01 06:00:00", "2024-01-01 07:00:00").first()
+    assert some.requests == 1200 and abs(some.sessions - 1200) <= 80

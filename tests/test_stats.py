@@ -110,3 +110,88 @@ def test_survival_that_ends_at_zero_and_never_reaches_half(spark):
     assert [r.survival for r in stats.kaplan_meier(ends, [], "m", "e").orderBy("m").collect()] == [pytest.approx(0.5), 0.0]
     stays = spark.createDataFrame([(1.0, True), (2.0, False), (3.0, False), (4.0, False)], "m double, e boolean")
     assert stats.median_survival(stays, [], "m", "e").first()[0] is None
+
+
+def test_anova_of_large_values(spark):
+    """Values near a billion: the spread between groups is a difference of large sums unless it is taken about the mean."""
+    rng = np.random.default_rng(11)
+    pdf = pd.DataFrame({"g": ["a"] * 100 + ["b"] * 100, "v": 1e9 + np.concatenate((rng.normal(0, 1, 100), rng.normal(1, 1, 100)))})
+    centred = pdf["v"] - 1e9
+    a, b = centred[:100], centred[100:]
+    between = 100 * ((a.mean() - centred.mean()) ** 2 + (b.mean() - centred.mean()) ** 2)
+    within = ((a - a.mean()) ** 2).sum() + ((b - b.mean()) ** 2).sum()
+    got = stats.anova(spark.createDataFrame(pdf), [], "g", "v").first()
+    assert got.f == pytest.approx(between / (within / 198), rel=1e-5) and 0 < got.p_value < 1e-6
+    assert stats.anova(spark.createDataFrame(pdf).where("g = 'c'"), ["g"], "g", "v").count() == 0
+
+
+def gamma_series(a, x):
+    n = int(x + 60 * math.sqrt(x + a) + 400)
+    return 1 - math.fsum(math.exp((a + k) * math.log(x) - x - math.lgamma(a + k + 1)) for k in range(n))
+
+
+def beta_series(x, a, b):
+    if x > (a + 1) / (a + b + 2):
+        return 1 - beta_series(1 - x, b, a)
+    log = math.lgamma(a + b), math.lgamma(b)
+    return math.fsum(
+        math.exp(math.lgamma(a + b + k) - math.lgamma(a + k + 1) - log[1] + (a + k) * math.log(x) + b * math.log1p(-x)) for k in range(60_000))
+
+
+def test_tails_like_their_series(spark):
+    from pyspark.sql import functions as F
+
+    from cohortwise.functions import distributions as tails
+
+    grid = [(float(x), d) for x in (1e-9, 0.3, 1, 5, 30, 100, 1000) for d in (1, 2, 3, 10, 99, 1000)]
+    x, d = F.col("x"), F.col("d")
+    out = spark.createDataFrame(grid, "x double, d int").select(
+        "x", "d", tails.chi_squared_tail(x, d).alias("chi2"), tails.normal_two_sided(F.sqrt("x")).alias("z"),
+        tails.t_two_sided(F.sqrt("x"), d).alias("t"), tails.f_tail(x, F.lit(3), d).alias("f"), tails.log_gamma(d / 2).alias("log_gamma"))
+    for r in out.collect():
+        assert r.chi2 == pytest.approx(gamma_series(r.d / 2, r.x / 2), abs=1e-10)
+        assert r.z == pytest.approx(math.erfc(math.sqrt(r.x / 2)), rel=1e-11, abs=1e-300)
+        assert r.t == pytest.approx(beta_series(r.d / (r.d + r.x), r.d / 2, 0.5), abs=1e-10)
+        assert r.f == pytest.approx(beta_series(r.d / (r.d + 3 * r.x), r.d / 2, 1.5), abs=1e-10)
+        assert r.log_gamma == pytest.approx(math.lgamma(r.d / 2), rel=1e-13, abs=1e-13)
+
+
+def test_tails_at_their_ends(spark):
+    from pyspark.sql import functions as F
+
+    from cohortwise.functions import distributions as tails
+
+    rows = [(0.0, 1), (None, 1), (1.0, None), (1.0, 0), (-1e-12, 2), (1e6, 3)]
+    x, d = F.col("x"), F.col("d")
+    got = [tuple(r) for r in spark.createDataFrame(rows, "x double, d int").select(
+        tails.chi_squared_tail(x, d), tails.f_tail(x, F.lit(2), d), tails.t_two_sided(x, d)).collect()]
+    assert got[0] == (1.0, 1.0, 1.0) and got[1] == got[2] == got[3] == (None, None, None)
+    assert got[4][0] == 1.0 and got[5][0] < 1e-300 and got[5][2] < 1e-15
+
+
+def test_log_rank_like_its_definition(spark):
+    rng = np.random.default_rng(8)
+    people = pd.DataFrame({
+        "k": rng.choice(["p", "q"], 240), "id": np.arange(240), "m": rng.integers(0, 25, 240).astype(float), "e": rng.integers(0, 2, 240).astype(bool)})
+    sets = [(k, g, i) for k, i in zip(people["k"], people["id"]) for g in "xyz" if rng.random() < {"x": 0.5, "y": 0.1, "z": 0.9}[g]]
+    sets += sets[:20] + [("p", "none", 9999), ("p", "all", None)] + [("q", "all", i) for k, i in zip(people["k"], people["id"]) if k == "q"]
+    frame = spark.createDataFrame(people).union(spark.createDataFrame([("p", 5000, None, True), ("p", 5001, 3.0, None)], "k string, id long, m double, e boolean"))
+    out = stats.log_rank(frame, spark.createDataFrame(sets, "k string, g string, id long"), ["k"], ["g"], "id", "m", "e")
+    got = {(r.k, r.g): r for r in out.collect()}
+    assert set(got) == {(k, g) for k in "pq" for g in "xyz"} | {("q", "all")}
+    for (k, g), r in got.items():
+        rows = people[people["k"] == k]
+        mine = rows["id"].isin({i for a, b, i in sets if (a, b) == (k, g)})
+        expected = variance = 0.0
+        for at in sorted(rows["m"].unique()):
+            risk = rows["m"] >= at
+            d, n, m = int((rows["e"] & (rows["m"] == at)).sum()), int(risk.sum()), int((risk & mine).sum())
+            expected += d * m / n
+            variance += d * (m / n) * (1 - m / n) * (n - d) / (n - 1) if n > 1 else 0.0
+        assert r.members == mine.sum() and r.observed == (rows["e"] & mine).sum()
+        assert r.expected == pytest.approx(expected) and r.variance == pytest.approx(variance, abs=1e-9)
+        if variance > 1e-9:
+            assert r.chi2 == pytest.approx((r.observed - expected) ** 2 / variance)
+            assert r.p_value == pytest.approx(gamma_series(0.5, r.chi2 / 2), abs=1e-9)
+        else:
+            assert r.chi2 is None and r.p_value is None

@@ -80,20 +80,55 @@ def test_unattributed_and_distinct(spark, log, tmp_path):
 
 
 def test_heartbeat_opens_and_closes_over_batches(spark, log, tmp_path):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", streams.ROCKSDB)
+    provider = spark.conf.get(streams.PROVIDER)
+    spark.conf.set(streams.PROVIDER, "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
+    other = spark.conf.get(streams.PROVIDER)
     try:
         for minutes in ((0, 5, 12), (40, 41), (300, 301), (500,)):
-            log.add(*[span(m, m) for m in minutes])
+            log.add(*[span(m, m) for m in minutes], *[span(1000 + m, m + 1, name="other") for m in minutes if m < 300], span(9, minutes[0], name=None))
         out = str(tmp_path / "out")
-        streams.run_available(streams.heartbeat_alerts(log.stream(), late="0 seconds"), out, "append")
-        stored = spark.read.parquet(f"{out}/rows").select("alert_start", "alert_end").collect()
-        closed = sorted((r[0], r[1]) for r in stored if r[1] is not None)
+        streams.run_available(streams.heartbeat_alerts(log.stream(), late="0 seconds"), out, "append", custom_state=True)
+        assert spark.conf.get(streams.PROVIDER) == other  # as it was
         at = lambda m: START + dt.timedelta(minutes=m)
-        assert closed[:2] == [(at(27), at(40)), (at(56), at(300))]
-        # opened alerts carry the same start and no end yet
-        assert {r[0] for r in stored if r[1] is None} <= {at(27), at(56), at(316)}
+        last = rows(streams.latest(spark, out, ["client_name", "alert_start"]), "client_name", "alert_start", "alert_end")
+        assert last == sorted([("c", at(27), at(40)), ("c", at(56), at(300)), ("c", at(316), at(500)), ("other", at(28), at(41)), ("other", at(57), None)], key=str)
+        batch = spanlog.heartbeat_alerts(spark.read.schema(SPANS).parquet(f"{log.path}/*"), by="client_name", with_open=True)
+        assert rows(batch, "client_name", "alert_start", "alert_end") == last
     finally:
-        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+        spark.conf.set(streams.PROVIDER, provider)
+
+
+@pytest.mark.parametrize("k", [1, 2, None])
+def test_top_per_bucket_over_several_batches(spark, log, tmp_path, k):
+    """The best of early batches can fall behind later; ties go by name."""
+    data = [span(i, i % 170, name=f"c{(i * i) % 7 if i < 60 else i % 5}") for i in range(150)] + [span(200 + i, 5, name=None) for i in range(9)]
+    for a in range(0, 159, 40):
+        log.add(*data[a:a + 40])
+    out = str(tmp_path / "out")
+    streams.run_available(streams.top_per_bucket(log.stream(), "client_name", k, late="4 hours"), out, custom_state=True)
+    batch = spanlog.top_per_bucket(spark.createDataFrame(data, SPANS), "client_name", k)
+    columns = ["bucket", "client_name", "requests", "place"]
+    assert rows(streams.best_per_bucket(spark, out, "client_name", k), *columns) == rows(batch, *columns)
+
+
+def test_state_of_passed_buckets_is_dropped(spark, log, tmp_path):
+    for hour in range(4):
+        log.add(*[span(100 * hour + i, 60 * hour + i, name=f"c{i % 3}") for i in range(30)])
+    out = str(tmp_path / "out")
+    streams.run_available(streams.top_per_bucket(log.stream(), "client_name", 2, late="0 seconds"), out, custom_state=True)
+    batch = spanlog.top_per_bucket(spark.read.schema(SPANS).parquet(f"{log.path}/*"), "client_name", 2)
+    assert rows(streams.best_per_bucket(spark, out, "client_name", 2)) == rows(batch, "bucket", "client_name", "requests", "place")
+
+
+def test_first_appearances_are_exact(spark, log, tmp_path):
+    data = [span(i, i * 37 % 4000) for i in range(300)]
+    for a in range(0, 300, 100):
+        log.add(*data[a:a + 100])
+    out = str(tmp_path / "out")
+    streams.run_available(streams.first_seen(log.stream(), "session_id", late="5 days"), out, "append")
+    got = spark.read.parquet(f"{out}/rows").groupBy("bucket").count()
+    batch = spanlog.distinct_over_time(spark.createDataFrame(data, SPANS))
+    assert rows(got) == rows(batch, "bucket", "sessions")
 
 
 def test_sample_log_as_stream(spark):
