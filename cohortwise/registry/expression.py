@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortwise.functions.values import log2p1
-from cohortwise.operators import expression
+from cohortwise.operators import cooccurrence, expression
 from cohortwise.operators.coverage import GENE
 from cohortwise.registry import Query
 from cohortwise.registry.clinical import NUM
@@ -66,6 +66,34 @@ select study as {STUDY}, count(*) filter (a and b) as "both", count(*) filter (a
   count(*) filter (b and not a) as b_only, count(*) filter (not a and not b) as neither
 from flags group by 1"""
 
+#: All pairs of genes: cells by a join of each sample's genes, the exact test as a sum over tables with the same margins.
+SCAN = f"""
+with covered as materialized (select study, sample, gene from ({COVERED}) where kind = 'MUTATION_EXTENDED'),
+hits as materialized (
+  select distinct c.study, c.sample, c.gene from covered c join genomic_event_derived e
+    on e.cancer_study_identifier = c.study and e.sample_unique_id = c.sample and e.hugo_gene_symbol = c.gene
+  where {CALLED} and off_panel = 0),
+flags as (select c.*, h.gene is not null as hit from covered c left join hits h using (study, sample, gene) where (study, gene) in (select study, gene from hits)),
+cells as (
+  select a.study, a.gene as gene_a, b.gene as gene_b, count(*) filter (a.hit and b.hit) as "both", count(*) filter (a.hit and not b.hit) as a_only,
+    count(*) filter (b.hit and not a.hit) as b_only, count(*) filter (not a.hit and not b.hit) as neither
+  from flags a join flags b on a.study = b.study and a.sample = b.sample and a.gene < b.gene group by 1, 2, 3),
+shapes as (select distinct "both" as a, a_only as b, b_only as c, neither as d from cells),
+terms as (select *, unnest(range(greatest(0, a - d), least(a + b, a + c) + 1)) as x from shapes),
+weights as (
+  select *, -(lgamma(x + 1.0) + lgamma(a + b - x + 1.0) + lgamma(a + c - x + 1.0) + lgamma(d - a + x + 1.0)) as w,
+    -(lgamma(a + 1.0) + lgamma(b + 1.0) + lgamma(c + 1.0) + lgamma(d + 1.0)) as own from terms),
+scaled as (select *, exp(w - max(w) over (partition by a, b, c, d)) as p from weights),
+tests as (select a, b, c, d, round(least(1, sum(p) filter (w <= own + 1e-7) / sum(p)), 12) as p_value from scaled group by 1, 2, 3, 4),
+ranked as (
+  select *, rank() over (partition by study order by p_value) + count(*) over (partition by study, p_value) - 1 as upto,
+    count(*) over (partition by study) as m
+  from cells join tests on (a, b, c, d) = ("both", a_only, b_only, neither))
+select study as {STUDY}, gene_a, gene_b, "both", a_only, b_only, neither,
+  round(ln(("both" + 0.5) * (neither + 0.5) / ((a_only + 0.5) * (b_only + 0.5))), 6) as log_odds_ratio, round(p_value, 6) as p_value,
+  round(least(1, min(p_value * m / upto) over (partition by study order by p_value desc range unbounded preceding)), 6) as q_value
+from ranked"""
+
 GROUPED = f"""
   select g.{STUDY}, g.attribute_value as group_value, n.v from clinical_data_derived g
   join (select sample_unique_id, {NUM} as v from clinical_data_derived where attribute_name = 'TMB_NONSYNONYMOUS') n
@@ -111,6 +139,8 @@ QUERIES = {
                 using ({STUDY}, sample_unique_id) where x.gene = 'GENE1' and y.gene <> 'GENE1'""",
             f"{STUDY}, hugo_gene_symbol")),
     "x07_cooccurrence": Query(lambda t: expression.cooccurrence(t, None, "GENE3", "GENE9"), CELLS),
+    "x07_cooccurrence_scan": Query(
+        lambda t: cooccurrence.cooccurrence_scan(t).withColumns({c: F.round(c, 6) for c in ("log_odds_ratio", "p_value", "q_value")}), SCAN),
     "x08_contingency": Query(
         lambda t: expression.contingency(t, None, "GENE3"),
         f"""

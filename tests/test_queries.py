@@ -41,7 +41,7 @@ def plan(df) -> str:
 
 
 # the p-value of finished 2x2 tables is the one Python function
-PYTHON = {"h1_fisher_exact"}
+PYTHON = {"h1_fisher_exact", "x07_cooccurrence_scan"}
 
 
 @pytest.mark.parametrize("name", [n for n in QUERIES if n not in STREAMS])
