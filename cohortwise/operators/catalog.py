@@ -10,7 +10,7 @@ from cohortwise.functions.labels import alteration_type, study_sources
 from cohortwise.functions.text import id_tokens, substrings
 from cohortwise.functions.values import contains_any, present
 from cohortwise.operators.frequency import altered_events
-from cohortwise.plans.ranking import top_per_group
+from cohortwise.plans.ranking import null_safe_join, top_per_group
 from cohortwise.plans.scope import STUDY, by_study, distinct_counts
 from cohortwise.session import shared_dir
 
@@ -264,7 +264,38 @@ def search_taxonomy(onco: DataFrame, terms: DataFrame, limit: int | None = 25) -
 
 
 def taxonomy_paths(onco: DataFrame) -> DataFrame:
-    """(code, hierarchy): `ROOT > .. > CODE`; a path ends at an unknown parent or before a code it already has.
+    """(code, hierarchy): `ROOT > .. > CODE`; a path ends at an unknown parent or before a code it already has."""
+    return _paths(onco).select("code", F.array_join(F.reverse("path"), " > ").alias("hierarchy"))
+
+
+def taxonomy_closure(onco: DataFrame) -> DataFrame:
+    """(code, ancestor, distance): each code with itself, at 0, its parent, at 1, and so on to the root."""
+    return _paths(onco).select("code", F.posexplode("path").alias("distance", "ancestor")).select("code", "ancestor", "distance")
+
+
+def taxonomy_rollup(onco: DataFrame, coded: DataFrame, unit: str, keys: list[str] | None = None) -> DataFrame:
+    """(keys, code, depth, own, total) for every code of the taxonomy: units that carry it, and units that carry it or a code below.
+
+    `coded` has (keys, code, unit); codes are compared in upper case. A unit with several codes counts once per ancestor, however many
+    of its codes lie below it. Codes without units are listed with zeros, for each combination of keys that occurs. A root has
+    depth 1. Units are made distinct per ancestor before they are counted, so the root is counted by many tasks.
+    """
+    keys = keys or []
+    closure = taxonomy_closure(onco)
+    carried = coded.where(F.col(unit).isNotNull()).select(*keys, F.upper("code").alias("_code"), unit).distinct()
+    reached = carried.join(closure.withColumn("_code", F.upper("code")), "_code")
+    nearest = reached.groupBy(*keys, "ancestor", unit).agg(F.min("distance").alias("_distance"))
+    found = nearest.groupBy(*keys, "ancestor").agg(F.count(F.when(F.col("_distance") == 0, 1)).alias("own"), F.count("*").alias("total"))
+    codes = closure.groupBy("code").agg(F.count("*").cast("int").alias("depth"))
+    if keys:  # one row per combination and code: the combinations meet every code through a key they share
+        combinations = coded.select(*keys).distinct().withColumn("_one", F.lit(1))
+        codes = combinations.join(codes.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    found = found.withColumnRenamed("ancestor", "code")
+    return null_safe_join(codes, found, [*keys, "code"], "left").fillna(0, ["own", "total"]).select(*keys, "code", "depth", "own", "total")
+
+
+def _paths(onco: DataFrame) -> DataFrame:
+    """(code, path): the codes from each code up to its root.
 
     Paths are doubled: each round joins a path's upper end with the path of that code, so a tree
     of depth d is done after log2(d) rounds, each one join of a row per code, checkpointed. The
@@ -289,7 +320,7 @@ def taxonomy_paths(onco: DataFrame) -> DataFrame:
         paths = joined.select(
             "code", F.when(F.col("_code").isNull(), F.col("path")).otherwise(F.concat("path", part)).alias("path"),
             F.when(~F.coalesce(meets, F.lit(False)), F.col("_up")).alias("up"))
-    return paths.select("code", F.array_join(F.reverse("path"), " > ").alias("hierarchy"))
+    return paths.select("code", "path")
 
 
 def retired_codes(onco: DataFrame) -> DataFrame:

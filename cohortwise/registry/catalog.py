@@ -32,6 +32,32 @@ with recursive walk as (
   where not list_contains(w.steps, o.code))
 select leaf as code, array_to_string(arg_max(steps, len(steps)), ' > ') as hierarchy from walk group by leaf"""
 
+def coded_samples(t):
+    """Samples with the code of their study; metastases have that of its subtype, and recurrences both."""
+    kind = t.clinical_data_derived.where("attribute_name = 'SAMPLE_TYPE'").select(STUDY, "sample_unique_id", F.col("attribute_value").alias("kind"))
+    studies = t.cancer_study.select(STUDY, "type_of_cancer_id", F.concat(F.lit("sub"), F.col("cancer_study_id").cast("string")).alias("subtype"))
+    codes = F.when(F.col("kind") == "Metastasis", F.array("subtype")).when(F.col("kind") == "Primary", F.array("type_of_cancer_id")).otherwise(
+        F.array("subtype", "type_of_cancer_id"))
+    return kind.join(studies, STUDY).select(F.explode(codes).alias("code"), "sample_unique_id", "kind")
+
+
+CODED = f"""
+  select distinct upper(unnest(case attribute_value when 'Metastasis' then ['sub' || s.cancer_study_id] when 'Primary' then [type_of_cancer_id]
+    else ['sub' || s.cancer_study_id, type_of_cancer_id] end)) as code, sample_unique_id, attribute_value as kind
+  from clinical_data_derived c join cancer_study s on s.{STUDY} = c.{STUDY} where attribute_name = 'SAMPLE_TYPE'"""
+
+ROLLUP = """
+select * from (
+with recursive up as (
+  select code, code as ancestor, parent, 0 as distance from oncotree
+  union all select u.code, o.code, o.parent, distance + 1 from up u join oncotree o on o.code = u.parent),
+coded as ({coded}),
+depths as (select code, count(*)::int as depth from up group by 1),
+nearest as (select {keys}ancestor, sample_unique_id, min(distance) as distance from coded join up using (code) group by all),
+found as (select {keys}ancestor as code, count(*) filter (distance = 0) as own, count(*) as total from nearest group by all)
+select {all_keys}d.code, depth, coalesce(own, 0) as own, coalesce(total, 0) as total from depths d {combinations} left join found f on f.code = d.code {match})"""
+
+
 SCORED = """
 select t.term, o.code, o.name,
   case when q = lower(code) then 100
@@ -171,6 +197,13 @@ QUERIES = {
         f"""with paths as ({PATHS}) select s.*, hierarchy from ({SCORED}) s join paths using (code) where score > 0
             qualify row_number() over (partition by term order by score desc, code) <= 25"""),
     "k07_taxonomy_paths": Query(lambda t: catalog.taxonomy_paths(taxonomy(t)), f"select * from ({PATHS})"),
+    "k07_taxonomy_rollup": Query(
+        lambda t: catalog.taxonomy_rollup(taxonomy(t), coded_samples(t), "sample_unique_id"),
+        ROLLUP.format(coded=CODED, keys="", all_keys="", combinations="", match="")),
+    "k07_taxonomy_rollup_by_sample_type": Query(
+        lambda t: catalog.taxonomy_rollup(taxonomy(t), coded_samples(t), "sample_unique_id", ["kind"]),
+        ROLLUP.format(coded=CODED, keys="kind, ", all_keys="k.kind, ", combinations="cross join (select distinct kind from coded) k",
+                      match="and f.kind = k.kind")),
     "k08_retired_codes": Query(
         lambda t: catalog.retired_codes(taxonomy(t)),
         """select distinct unnest(string_split(replaced_csv, ',')) as retired_code, code from oncotree where replaced_csv <> ''"""),

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from cohortwise.operators import coverage, events, frequency
+from cohortwise.operators import coverage, cube, events, frequency
 from cohortwise.registry import Query
+from cohortwise.session import shared_dir
 
 PANEL_GENES = """
   select gp.stable_id as panel, g.hugo_gene_symbol as gene
@@ -89,6 +92,32 @@ def _with_drivers(t):
     return t.replace(genomic_event_derived=t.genomic_event_derived.withColumn("driver_filter", driver))
 
 
+def from_cube(t):
+    """Every cohort from the stored counts, after one study's have been made anew."""
+    path = f"{shared_dir(t.spark)}/cohortwise/cubes/{uuid.uuid4().hex}"
+    cube.refresh(t, path)
+    cube.refresh(t, path, [THREE_STUDIES[0]])
+    return cube.frequencies(t, path)
+
+
+def every_cohort() -> str:
+    return f"""
+with typed as ({TYPED}),
+cohorts as (select distinct preference_name, cancer_study_identifier as study from cancer_study_query_preferences),
+hits as (
+  select distinct cancer_study_identifier as study, sample_unique_id as sample, hugo_gene_symbol as gene
+  from genomic_event_derived where {HITS["mutation"][1]} and off_panel = 0),
+altered as (
+  select preference_name, cancer_type, gene, count(distinct sample) as altered_samples
+  from hits join typed using (study, sample) join cohorts using (study) group by 1, 2, 3),
+profiled as (
+  select preference_name, cancer_type, gene, count(distinct sample) as profiled_samples
+  from (select * from ({COVERED}) where kind = 'MUTATION_EXTENDED') join typed using (study, sample) join cohorts using (study) group by 1, 2, 3)
+select preference_name, cancer_type, gene as hugo_gene_symbol, altered_samples, profiled_samples,
+  round_even(altered_samples * 100e0 / profiled_samples, 1) as frequency_pct
+from altered join profiled using (preference_name, cancer_type, gene) where profiled_samples >= 50"""
+
+
 QUERIES = {
     "f01_panel_gene_coverage": Query(
         lambda t: coverage.panel_gene_coverage(t),
@@ -253,4 +282,5 @@ from genomic_event_derived join classes using (mutation_type) where variant_type
              case cna_alteration when -2 then 'Deep Deletion' when -1 then 'Shallow Deletion' when 0 then 'Diploid'
                when 1 then 'Gain' else 'Amplification' end as label
            from genomic_event_derived where cna_alteration is not null group by all"""),
+    "f04_frequency_cube_of_every_cohort": Query(from_cube, every_cohort()),
 }

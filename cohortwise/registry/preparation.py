@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortwise.registry import Query
+from cohortwise.registry.frequency import THREE_STUDIES
 from cohortwise.registry.catalog import taxonomy
 from cohortwise.session import shared_dir
 from cohortwise.sources import adhoc, prep, sqlviews, taxonomy as taxonomy_file
@@ -126,6 +127,12 @@ def _frequency_by_sql() -> str:
     return one_gene(frequency_sql(studies=preference(EVERY)), "GENE3")
 
 
+def _one_gene(name: str) -> str:
+    from cohortwise.registry.frequency import one_gene
+
+    return one_gene(_queries("frequency", name), "GENE3")
+
+
 QUERIES = {
     "s01_table_scan": Query(
         lambda t: t.genomic_event_derived.select(STUDY, "sample_unique_id", "hugo_gene_symbol", "variant_type", "cna_alteration"),
@@ -143,6 +150,18 @@ QUERIES = {
     "s02_sql_frequency_in_study": Query(
         call("gene_mutation_frequency_in_study(study => 'nation_1_msk_2024', gene => 'GENE3')"),
         _queries("frequency", "f05_gene_mutation_frequency_in_study")),
+    "s02_sql_frequency_in_studies": Query(
+        call("gene_mutation_frequency_in_studies(studies => array({}), gene => 'GENE3')".format(", ".join(f"'{s}'" for s in THREE_STUDIES))),
+        _one_gene("f06_gene_mutation_frequency_in_studies")),
+    **{
+        f"s02_sql_{alteration}_frequency": Query(
+            call(f"gene_alteration_frequency_by_cancer_type(preference => 'all_studies_non_redundant', gene => 'GENE3', alteration => '{alteration}')"),
+            _one_gene(f"f07_{alteration}_frequency_by_cancer_type"))
+        for alteration in ("mutation", "amplification", "deep_deletion", "structural_variant")
+    },
+    "s02_sql_top_mutated_genes": Query(
+        call("top_mutated_genes_in_cohort(preference => 'pan_cancer_tcga', top_n => 20)"),
+        _queries("frequency", "f08_top_mutated_genes_in_cohort")),
     "s02_sql_gene_pair_coexpression": Query(
         lambda t: call("gene_pair_coexpression('expr_study', 'GENE1', 'GENE2', 'mrna')")(t).withColumn(
             "spearman_correlation", F.round("spearman_correlation", 6)),

@@ -112,3 +112,22 @@ def test_profile_of_a_study_without_rows(spark):
         [], "cancer_study_id int, genetic_alteration_type string, datatype string, name string"))
     got = rows(catalog.study_profile(t, "empty_2021"), "section", "name", "detail", "count")
     assert got[:3] == [("counts", "patients", None, 0), ("counts", "samples", None, 0), ("header", "cancer_type", "bb", None)]
+
+
+def test_rollup_counts_each_unit_once_per_ancestor(spark):
+    onco = spark.createDataFrame(
+        [("R", None), ("A", "R"), ("B", "R"), ("A1", "A"), ("A2", "A"), ("A11", "A1"), ("LONE", "GONE"), ("X", "Y"), ("Y", "X")], "code string, parent string")
+    coded = spark.createDataFrame(
+        [("a11", 1), ("A1", 1), ("A2", 1), ("B", 1), ("a2", 2), ("A2", 2), ("lone", 3), ("x", 4), ("y", 4), ("unknown", 5), (None, 6), ("A", None)],
+        "code string, unit int")
+    got = {r.code: (r.depth, r.own, r.total) for r in catalog.taxonomy_rollup(onco, coded, "unit").collect()}
+    assert got == {"R": (1, 0, 2), "A": (2, 0, 2), "B": (2, 1, 1), "A1": (3, 1, 1), "A2": (3, 2, 2), "A11": (4, 1, 1), "LONE": (1, 1, 1), "X": (2, 1, 1), "Y": (2, 1, 1)}
+    by = catalog.taxonomy_rollup(onco, coded.selectExpr("*", "unit % 2 as odd"), "unit", ["odd"])
+    assert {(r.odd, r.code): r.total for r in by.collect() if r.total} == {
+        (1, "R"): 1, (1, "A"): 1, (1, "B"): 1, (1, "A1"): 1, (1, "A2"): 1, (1, "A11"): 1, (1, "LONE"): 1, (0, "R"): 1, (0, "A"): 1, (0, "A2"): 1, (0, "X"): 1, (0, "Y"): 1}
+
+
+def test_paths_deeper_than_any_limit(spark):
+    chain = spark.range(3000).selectExpr("cast(id as string) as code", "if(id = 0, null, cast(id - 1 as string)) as parent")
+    longest = catalog.taxonomy_closure(chain).groupBy().max("distance").first()[0]
+    assert longest == 2999
