@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortwise.functions.values import log2p1
-from cohortwise.operators import cooccurrence, expression
+from cohortwise.operators import cooccurrence, correlation, expression
 from cohortwise.operators.coverage import GENE
 from cohortwise.registry import Query
 from cohortwise.registry.clinical import NUM
@@ -94,6 +94,21 @@ select study as {STUDY}, gene_a, gene_b, "both", a_only, b_only, neither,
   round(least(1, min(p_value * m / upto) over (partition by study order by p_value desc range unbounded preceding)), 6) as q_value
 from ranked"""
 
+#: Values that are missing for some genes and samples, in several patterns.
+SPARSE = "not (hugo_gene_symbol like '%7' and sample_unique_id like '%3') and not (hugo_gene_symbol like 'GENE2%' and sample_unique_id like '%1%')"
+
+
+def sparse(t):
+    return t.replace(genetic_alteration_derived=t.genetic_alteration_derived.where(SPARSE))
+
+
+def matrix_sql(condition: str = "true") -> str:
+    values = f"select * from ({MRNA}) where {condition.replace('hugo_gene_symbol', 'gene')}"
+    return spearman_sql(
+        f"""select x.{STUDY}, x.gene as gene_a, y.gene as gene_b, x.v as a, y.v as b from ({values}) x join ({values}) y
+            using ({STUDY}, sample_unique_id) where x.gene < y.gene""", f"{STUDY}, gene_a, gene_b")
+
+
 GROUPED = f"""
   select g.{STUDY}, g.attribute_value as group_value, n.v from clinical_data_derived g
   join (select sample_unique_id, {NUM} as v from clinical_data_derived where attribute_name = 'TMB_NONSYNONYMOUS') n
@@ -138,6 +153,8 @@ QUERIES = {
             f"""select {STUDY}, y.gene as hugo_gene_symbol, x.v as a, y.v as b from ({MRNA}) x join ({MRNA}) y
                 using ({STUDY}, sample_unique_id) where x.gene = 'GENE1' and y.gene <> 'GENE1'""",
             f"{STUDY}, hugo_gene_symbol")),
+    "x06_correlation_matrix": Query(lambda t: rounded(correlation.correlation_matrix(t, None, "mrna")), matrix_sql()),
+    "x06_correlation_matrix_with_gaps": Query(lambda t: rounded(correlation.correlation_matrix(sparse(t), None, "mrna")), matrix_sql(SPARSE)),
     "x07_cooccurrence": Query(lambda t: expression.cooccurrence(t, None, "GENE3", "GENE9"), CELLS),
     "x07_cooccurrence_scan": Query(
         lambda t: cooccurrence.cooccurrence_scan(t).withColumns({c: F.round(c, 6) for c in ("log_odds_ratio", "p_value", "q_value")}), SCAN),
