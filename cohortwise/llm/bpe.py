@@ -4,24 +4,29 @@ A task takes about BLOCK bytes of text at a time, splits them with the vocabular
 keeps each distinct piece once. The index holds, for each pair of tokens that a merge joins, the
 places where the pair stands in any piece. The lowest rank present is taken from a heap, all its
 places are merged at once, and only the pairs with the neighbours on both sides are looked up
-and entered anew. A block's work is a block's: no shuffle, and no state between tasks.
+and entered anew. A block's work is a block's: no shuffle, and no state between tasks. Rows leave
+a task as soon as their block is done; a text longer than a block is cut between pieces.
 """
 
 from __future__ import annotations
 
 import base64
 from collections.abc import Callable, Iterator
+from functools import partial
 from heapq import heapify, heappop, heappush
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyarrow import compute
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
 from cohortwise.llm import texts
 
-BLOCK = 8 << 20
+#: Bytes of text that are encoded together, and token ids that are decoded together.
+BLOCK = 1 << 20
 NONE = np.int64(1 << 40)
 
 
@@ -62,15 +67,44 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
         return np.where(self.pairs[at] == key, self.pair_ranks[at], NONE) if len(self.pairs) else np.full(len(key), NONE)
 
+    def decoded(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of these ids, one after another. An unknown id is an error."""
+        if "flat" not in self.__dict__:
+            sizes = np.zeros(max(self.tokens) + 1, np.int64)
+            sizes[list(self.tokens)] = [len(t) for t in self.tokens.values()]
+            self.sizes, self.starts = sizes, np.cumsum(sizes) - sizes
+            self.flat = np.frombuffer(b"".join(self.tokens[r] for r in sorted(self.tokens)), np.uint8)
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.sizes) or not self.sizes[ids].all()):
+            raise ValueError("a token id is not in the vocabulary")
+        size = self.sizes[ids]
+        return self.flat[np.repeat(self.starts[ids], size) + texts.ragged(size)]
+
     def one(self, piece: bytes) -> list[int]:
-        """A single piece, merge by merge; for pieces in which two places of a rank make a pair of lower rank possible."""
-        parts = [piece[i:i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
-            rank, i = min((self.ranks.get(a + b, NONE), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
-            if rank == NONE:
-                break
-            parts[i:i + 2] = [parts[i] + parts[i + 1]]
-        return [self.ranks[p] for p in parts]
+        """A single piece, merge by merge, from a heap of (rank, place) over linked parts.
+
+        For pieces in which two places of a rank make a pair of lower rank possible.
+        """
+        ranks, n = self.ranks, len(piece)
+        parts: list[bytes | None] = [piece[i:i + 1] for i in range(n)]
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(rank, i) for i in range(n - 1) if (rank := ranks.get(piece[i:i + 2])) is not None]
+        heapify(heap)
+        while heap:
+            rank, i = heappop(heap)
+            left, j = parts[i], after[i]
+            # an entry is void if its part is gone or has another neighbour by now
+            if left is None or j >= n or ranks.get(left + parts[j]) != rank:
+                continue
+            parts[i], parts[j] = left + parts[j], None
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if (further := ranks.get(parts[i] + parts[k])) is not None:
+                    heappush(heap, (further, i))
+            h = before[i]
+            if h >= 0 and (further := ranks.get(parts[h] + parts[i])) is not None:
+                heappush(heap, (further, h))
+        return [ranks[p] for p in parts if p is not None]
 
 
 def replay(words: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
@@ -149,47 +183,61 @@ def replay(words: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarray, np.n
     return ids, offsets
 
 
-def encode_block(block: list[str], vocabulary: Vocabulary, find) -> pa.Array:
-    """Token ids of each text."""
+def encode_pieces(found: list[list[str]], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """(token ids one after another, n+1 offsets) of texts that are cut into pieces."""
     known: dict[str, int] = {}
-    piece, count = [], []
-    for text in block:
-        found = find(text)
-        count.append(len(found))
-        piece += [known.setdefault(p, len(known)) for p in found]
+    at = np.fromiter((known.setdefault(p, len(known)) for own in found for p in own), np.int32)
     words = [p.encode() for p in known]
     whole = np.array([vocabulary.ranks.get(w, -1) for w in words], np.int64)
     split = np.flatnonzero(whole < 0)
     ids, offsets = replay([words[i] for i in split], vocabulary)
-    flat = np.concatenate((ids, whole))  # a piece that is a token is its own entry behind the others
+    flat = np.concatenate((ids, whole)).astype(np.int32)  # a piece that is a token is its own entry behind the others
     start, length = len(ids) + np.arange(len(words)), np.ones(len(words), np.int64)
     start[split], length[split] = offsets[:-1], np.diff(offsets)
-    at = np.array(piece, np.int64)
     size = length[at]
-    tokens = flat[np.repeat(start[at], size) + texts.ragged(size)] if len(at) else np.zeros(0, np.int64)
-    ends = np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum(count, dtype=np.int64)))]
-    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(tokens.astype(np.int32)))
+    tokens = flat[np.repeat(start[at], size) + texts.ragged(size)] if len(at) else np.zeros(0, np.int32)
+    count = np.array([len(own) for own in found], np.int64)
+    return tokens, np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum(count)))]
+
+
+def encode_block(block: list[str], vocabulary: Vocabulary, pattern) -> tuple[np.ndarray, np.ndarray]:
+    """(token ids one after another, n+1 offsets) of texts; a single text may have any length."""
+    if len(block) != 1 or len(block[0]) <= BLOCK:
+        return encode_pieces([pattern.findall(text) for text in block], vocabulary)
+    parts, found = [], pattern.finditer(block[0])
+    while some := [match.group() for match in islice(found, BLOCK // 4)]:
+        parts.append(encode_pieces([some], vocabulary)[0])
+    ids = np.concatenate(parts)
+    return ids, np.array([0, len(ids)])
 
 
-def _blocks(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+def _blocks(batch: pa.Array) -> Iterator[tuple[int, int]]:
     """(first, end) of runs of rows with at most BLOCK bytes, or one row."""
-    at, first = np.concatenate(([0], np.cumsum(sizes))), 0
+    sizes = compute.fill_null(compute.binary_length(batch), 0).to_numpy(zero_copy_only=False)
+    at, first = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))), 0
     while first < len(sizes):
         end = max(first + 1, int(np.searchsorted(at, at[first] + BLOCK, "right")) - 1)
         yield first, end
         first = end
 
 
-def _encoded(batch: pa.Array, vocabulary: Vocabulary, find) -> pa.Array:
-    sizes = compute.fill_null(compute.binary_length(batch), 0).to_numpy(zero_copy_only=False)
-    parts = [encode_block([t or "" for t in batch.slice(a, b - a).to_pylist()], vocabulary, find) for a, b in _blocks(sizes)]
-    return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
+def _encoded(block: pa.Array, vocabulary: Vocabulary, pattern) -> pa.Array:
+    ids, offsets = encode_block([t or "" for t in block.to_pylist()], vocabulary, pattern)
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
 
 
-def _decoded(batch: pa.Array, vocabulary: Vocabulary) -> pa.Array:
-    token = vocabulary.tokens
-    ids = (value.values.to_numpy(zero_copy_only=False).tolist() if value.is_valid else [] for value in batch)
-    return pa.array([b"".join([token[i] for i in own]) for own in ids], pa.binary())
+def _decoded(ids: pa.Array, vocabulary: Vocabulary) -> pa.Array:
+    """The bytes of each row's ids, BLOCK ids at a time."""
+    flat = ids.flatten().to_numpy(zero_copy_only=False)
+    if flat.dtype.kind != "i":
+        raise ValueError("a token id is null")
+    lengths = compute.fill_null(compute.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+    ends = np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))
+    parts = [vocabulary.decoded(flat[a:a + BLOCK]) for a in range(0, len(flat), BLOCK)]
+    data = np.concatenate(parts) if parts else np.zeros(0, np.uint8)
+    size = vocabulary.sizes[flat] if parts else np.zeros(0, np.int64)
+    offsets = np.concatenate(([0], np.cumsum(size)))[ends].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
 
 
 def encoder(vocabulary) -> Callable:
@@ -201,9 +249,10 @@ def encoder(vocabulary) -> Callable:
     @F.arrow_udf("array<int>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         v = vocabulary.value
-        find = regex.compile(v.pattern).findall
+        pattern = regex.compile(v.pattern)
         for batch in batches:
-            yield _encoded(batch, v, find)
+            parts = [_encoded(batch.slice(a, b - a), v, pattern) for a, b in _blocks(batch)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
     return encode
 
@@ -219,27 +268,27 @@ def decoder(vocabulary) -> Callable:
     return decode
 
 
-def both_ways(vocabulary) -> Callable:
-    """Column function: struct of token_ids of a text and the bytes `decoded` from them, in one pass."""
-
-    @F.arrow_udf("token_ids array<int>, decoded binary")
-    def code(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        v = vocabulary.value
-        find = regex.compile(v.pattern).findall
-        for batch in batches:
-            ids = _encoded(batch, v, find)
-            yield pa.StructArray.from_arrays([ids, _decoded(ids, v)], ["token_ids", "decoded"])
-
-    return code
+@texts.trimmed
+def _code(batches, vocabulary, text: str) -> Iterator[pa.RecordBatch]:
+    """Rows with token ids and decoded bytes, block by block."""
+    v = vocabulary.value
+    pattern = regex.compile(v.pattern)
+    for batch in batches:
+        column = batch.schema.get_field_index(text)
+        for a, b in _blocks(batch.column(column)):
+            rows = batch.slice(a, b - a)
+            ids = _encoded(rows.column(column), v, pattern)
+            yield pa.RecordBatch.from_arrays([*rows.columns, ids, _decoded(ids, v)], [*rows.schema.names, "token_ids", "decoded"])
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text") -> DataFrame:
     """`docs` with token_ids, and `decoded`, the bytes these ids stand for.
 
     Equal to the library that publishes the rank file, without special tokens. Columns of these
-    names are replaced. Null and empty texts have no ids and no bytes; rows are kept as they
+    names are replaced and stand last. Null and empty texts have no ids and no bytes; rows are kept as they
     are, repeated ones too.
     """
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(ranks, pattern))
-    coded = docs.withColumn("__coded", both_ways(shared)(F.col(text)))
-    return coded.withColumns({"token_ids": F.col("__coded.token_ids"), "decoded": F.col("__coded.decoded")}).drop("__coded")
+    rows = docs.drop("token_ids", "decoded")
+    schema = StructType([*rows.schema.fields, StructField("token_ids", ArrayType(IntegerType())), StructField("decoded", BinaryType())])
+    return rows.mapInArrow(partial(_code, vocabulary=shared, text=text), schema)
