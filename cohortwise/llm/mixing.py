@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from cohortwise.llm.common import stored
+
 HEX_DIGITS = 13
+#: Sources up to this number are sent to every task; of more, each task reads its own.
+FEW = 10_000
 
 
 def source_rates(
@@ -25,6 +29,7 @@ def source_rates(
     else:
         wanted = targets.groupBy(F.col("source").alias("__wanted")).agg(F.sum("weight").cast("double").alias("__weight"))
         weighted = sizes.join(wanted, F.col("__source").eqNullSafe(F.col("__wanted")), "left").fillna(0.0, ["__weight"])
+    weighted = stored(weighted, "sources")
     total, weights = weighted.agg(F.sum("__size"), F.sum("__weight")).first()
     factor = budget * total / weights if weights else 0.0
     return weighted.select("__source", (F.lit(factor) * F.col("__weight") / F.col("__size")).alias("__rate"))
@@ -52,19 +57,21 @@ def mix_sources(
     Each document appears as often as the Poisson distribution with its source's rate (see
     `source_rates`) says at a uniform number in [0, 1) made from the seed and its id: zero,
     one or more times, and the same in every run and retry. Adds copy_no, 1 for the first copy
-    (a column of this name is replaced). Rows with the same id have the same number of copies;
-    null ids count as one id. Null and empty texts are kept like others.
+    (a column of this name is replaced). Rows with the same id have the same number of copies. A row
+    without an id is drawn by its text. Null and empty texts are kept like others.
 
-    Copies are dealt to partitions by a hash of seed, id and number and sorted by another one
+    Copies are dealt to partitions by a hash of seed, id, text and number and sorted by another one
     inside, so the rows in the order of the partitions are a random order of the whole mix.
     """
-    listed = cumulative(source_rates(docs, targets, temperature, budget, source, text))
-    name = F.coalesce(F.col(id_column).cast("string"), F.lit(""))
+    listed = stored(cumulative(source_rates(docs, targets, temperature, budget, source, text)), "rates")
+    if listed.count() <= FEW:  # then no text is shuffled by its source
+        listed = F.broadcast(listed)
+    name = F.coalesce(F.col(id_column).cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce(F.col(text), F.lit("")))))
     uniform = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), name)), 1, HEX_DIGITS), 16, 10).cast("double") / F.lit(float(16**HEX_DIGITS))
     counted = docs.join(listed, F.col(source).eqNullSafe(F.col("__source")), "left").withColumn("__u", uniform)
     counted = counted.withColumn("__copies", F.size(F.filter("__below", lambda p: p <= F.col("__u")))).where("__copies > 0")
     copies = counted.drop("__source", "__below", "__u", "copy_no").withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    order = F.xxhash64(F.lit(seed), name, F.col("copy_no"))
+    order = F.xxhash64(F.lit(seed), name, F.col(text), F.col("copy_no"))
     return copies.drop("__copies").withColumn("__order", order).repartition("__order").sortWithinPartitions(
         F.hash("__order"), "__order").drop("__order")
 
@@ -79,7 +86,7 @@ steps as (select source, rate, unnest(range(0, ceil(rate + 12 * sqrt(rate) + 20)
 logs as (select source, n, sum(case when n = 0 then -rate else ln(rate / n) end) over (partition by source order by n) as mass from steps),
 below as (select source, sum(exp(mass)) over (partition by source order by n) as p from logs),
 numbers as (
-  select *, ('0x' || substr(md5('{seed}:' || coalesce(doc_id::varchar, '')), 1, {HEX_DIGITS}))::bigint / 16.0::double ** {HEX_DIGITS} as u
+  select *, ('0x' || substr(md5('{seed}:' || coalesce(doc_id::varchar, 'text ' || md5(coalesce(text, '')))), 1, {HEX_DIGITS}))::bigint / 16.0::double ** {HEX_DIGITS} as u
   from documents),
 counted as (
   select d.doc_id, d.text, d.lang, d.source, d.n_chars, (select count(*) from below b where b.source is not distinct from d.source and b.p <= d.u) as copies

@@ -36,6 +36,23 @@ def test_targets_nulls_ties_and_repeated_rows(spark, documents):
     assert sorted(map(str, mixed.collect())) == sorted(map(str, mix_sources(frame.repartition(7), targets=targets, budget=2.0).collect()))
 
 
+def test_rows_without_an_id_are_drawn_by_their_texts(spark, documents):
+    rows = [(None, f"text {i}") for i in range(2000)] + [(None, None), (None, "")]
+    mixed = mix_sources(documents(rows), budget=1.0)
+    assert 0.9 < mixed.count() / len(rows) < 1.1
+    times = Counter(r["count"] for r in mixed.groupBy("text").count().collect())
+    assert times[1] > times[2] > times[3] > 0
+    assert sum(times.values()) < 0.7 * len(rows)  # e**-1 of them are drawn zero times
+
+
+def test_many_sources_are_not_broadcast(spark, documents, monkeypatch):
+    from cohortwise.llm import mixing
+
+    few = [str(r) for r in mix_sources(documents([(i, "a b") for i in range(300)])).collect()]
+    monkeypatch.setattr(mixing, "FEW", 0)
+    assert sorted(few) == sorted(str(r) for r in mix_sources(documents([(i, "a b") for i in range(300)])).collect())
+
+
 def test_order_is_random(spark, documents):
     found = [r.doc_id for r in mix_sources(documents([(i, "a b c") for i in range(2000)]), budget=3.0).collect()]
     rising = sum(a < b for a, b in zip(found, found[1:])) / len(found)
