@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-import corpus_pipeline
 from cohortwise.llm import audit, bpe, chat, embeddings, lm, minhash, mixing, pages, simhash, spelling, toxicity
 from cohortwise.llm.common import documents, public_vocabulary, stored
 from cohortwise.llm.substrings import remove_repeated_windows
@@ -112,7 +111,7 @@ QUERIES = {
         op6_html_extraction, op7_byte_level_bpe, op8_mixing_sources, op9_suffix_array_dedup, op10_document_fingerprints,
         op11_spelling_variants, op12_filter_interaction_audit, op13_chat_formatting,
     )
-} | {"pipeline": corpus_pipeline.run}
+}
 
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
