@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyarrow import compute
 from pyspark.sql import DataFrame, functions as F
 
+from cohortwise.llm import texts
 from cohortwise.llm.common import stored
 from cohortwise.llm.components import components
 
@@ -71,6 +72,7 @@ def _cells(x: np.ndarray, c: np.ndarray | None, gap: np.ndarray | None, chord: f
     return np.concatenate(cells).astype(np.int32), np.concatenate(visits).astype(np.int32), np.concatenate(counts)
 
 
+@texts.trimmed
 def _assign(batches, centroids, threshold: float) -> Iterator[pa.RecordBatch]:
     by_length = centroids.value
     gaps = {n: np.sqrt(np.maximum(2 - 2 * (c @ c.T), 0)) for n, c in by_length.items()}  # between centroids

@@ -132,6 +132,7 @@ class Filter:
         return TYPICAL[np.minimum(grades, len(TYPICAL) - 1)]
 
 
+@texts.trimmed
 def _send(batches, parts: int) -> Iterator[pa.RecordBatch]:
     number = TaskContext.get().partitionId() << 32
     for batch in batches:
@@ -217,6 +218,7 @@ def _gather(table: pa.Table) -> pa.Table:
     return pa.table({"__k": docs[0], "__tie": docs[1], "n_tokens": packed.unplanes(get["sizes"][head]).astype(np.int64), "n_known": known, "sums": sums})
 
 
+@texts.trimmed
 def _score(batches, blocks, total: int, distinct: int, starts: int, lead: bool) -> Iterator[pa.RecordBatch]:
     f: Filter = blocks.value
     mu = max(SMOOTHING * total, 1.0)

@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType
 from zstandard import ZstdCompressor, ZstdDecompressor
 
+from cohortwise.llm.texts import release
+
 PART_BYTES = 8 << 20
 #: Rows whose texts a task has open at a time.
 OPENED = 1000
@@ -187,7 +189,14 @@ def by_document(table: pa.Table) -> pa.Table:
 
 def exchanged(sent: DataFrame, answer: Callable) -> DataFrame:
     """Replies to the facts in `sent`, one row per group of texts and document."""
-    return sent.groupBy("part").applyInArrow(answer, ANSWERS).groupBy("gid").applyInArrow(by_document, REPLIES)
+
+    def answer_part(table):
+        try:
+            return answer(table)
+        finally:
+            release()
+
+    return sent.groupBy("part").applyInArrow(answer_part, ANSWERS).groupBy("gid").applyInArrow(by_document, REPLIES)
 
 
 def with_replies(docs: DataFrame, replies: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from cohortwise.llm import texts
 from cohortwise.llm.common import cut, stored
 
 RUN = "[A-Za-zÀ-ÿ]+"
@@ -92,6 +93,7 @@ def near_in_block(zones: list[str], cell: np.ndarray) -> tuple[np.ndarray, np.nd
     return order[rows[i]], order[j]
 
 
+@texts.trimmed
 def _search(batches) -> Iterator[pa.RecordBatch]:
     """Near words of rows sorted by cell, block by block."""
     held: list[tuple] = []

@@ -107,6 +107,7 @@ class Parsed:
         return texts.mix((total[at + self.window] - total[at]) * texts.powers(n + 1, texts.INVERSE)[at])
 
 
+@texts.trimmed
 def _send_anchors(batches, text: str, parts: int, window: int) -> Iterator[pa.RecordBatch]:
     gid = packed.numbers()
     for batch in batches:
@@ -139,6 +140,7 @@ def _shared(k, tie, doc, pos, hashes, aux):
     return picked, pos[picked].astype("<u4")
 
 
+@texts.trimmed
 def _send_windows(batches, parts: int, window: int) -> Iterator[pa.RecordBatch]:
     gid = packed.numbers()
     for batch in packed.opened(map(packed.with_answers, batches)):
@@ -177,6 +179,7 @@ def _later(k, tie, doc, pos, hashes, aux):
     return picked, pos[picked].astype("<u4")
 
 
+@texts.trimmed
 def _cut(batches, text: str, window: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     for batch in packed.opened(batches):
         n_words, n_removed, kept, spans = [], [], [], []

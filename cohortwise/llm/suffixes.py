@@ -99,6 +99,7 @@ def _unrepeated(k: np.ndarray, tie: np.ndarray) -> np.ndarray:
     return out
 
 
+@texts.trimmed
 def _send_grams(batches, text: str, parts: int, window: int) -> Iterator[pa.RecordBatch]:
     gid = packed.numbers()
     for batch in batches:
@@ -155,6 +156,7 @@ def _spans(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return np.stack((low, high), axis=1).astype("<u4")
 
 
+@texts.trimmed
 def _send_contexts(batches, parts: int, window: int) -> Iterator[pa.RecordBatch]:
     gid = packed.numbers()
     for batch in packed.opened(map(packed.with_answers, batches)):
@@ -314,7 +316,19 @@ def _unpack(raw: bytes) -> list[bytes]:
     return out
 
 
-def _cut(batches, text: str, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _widened(raw: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted runs of UTF-8 bytes widened to whole characters; runs that meet are one."""
+    low, high = low.copy(), high.copy()
+    inside = np.append(raw & 0xC0 == 0x80, False)  # bytes that go on a character
+    for _ in range(3):
+        low -= inside[low]
+        high += inside[high]
+    new = np.append(True, low[1:] > high[:-1])
+    return low[new], high[np.append(np.flatnonzero(new)[1:], len(low)) - 1]
+
+
+@texts.trimmed
+def _cut(batches, text: str, characters: bool, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     for batch in packed.opened(batches):
         n_bytes, n_removed, kept, spans = [], [], [], []
         raw, offsets = texts.column(batch, "__text")
@@ -326,6 +340,8 @@ def _cut(batches, text: str, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
                 reach = np.maximum.accumulate(s[:, 1])
                 new = np.concatenate(([True], s[1:, 0] > reach[:-1]))
                 low, high = s[new, 0], reach[np.append(np.flatnonzero(new)[1:], len(s)) - 1]
+                if characters:
+                    low, high = _widened(raw[a:b], low, high)
                 runs = np.stack((low, high), axis=1).ravel().tolist()
                 edges = [0, *runs, len(own)]
                 own = b"".join([own[x:y] for x, y in zip(edges[::2], edges[1::2])])
@@ -338,8 +354,9 @@ def _cut(batches, text: str, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
         yield packed.result(batch, text, made, schema)
 
 
-
-def remove_repeated_bytes(docs: DataFrame, window: int = 200, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeated_bytes(
+    docs: DataFrame, window: int = 200, id_column: str = "doc_id", text: str = "text", characters: bool = False,
+) -> DataFrame:
     """`docs` without each byte that lies in a string of `window` bytes which also starts elsewhere.
 
     Texts are UTF-8 bytes; elsewhere is any other document or another start in the same one;
@@ -349,7 +366,7 @@ def remove_repeated_bytes(docs: DataFrame, window: int = 200, id_column: str = "
     Texts are compared whatever their ids: null ids and different texts under one id are
     documents like any other; rows equal in id and text are one document listed repeatedly, do
     not count as copies of each other, and all get its result. Texts shorter than `window` stay
-    whole.
+    whole. With `characters`, removed runs are widened to whole characters, so that the kept bytes are UTF-8.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string as ddl
@@ -365,4 +382,4 @@ def remove_repeated_bytes(docs: DataFrame, window: int = 200, id_column: str = "
     found = packed.exchanged(sent, lambda t: _match_contexts(t, window))
     out = packed.result_schema(docs, "n_bytes long, n_removed long, kept_bytes binary, removed_at array<int>")
     schema = to_arrow_schema(ddl(out))
-    return packed.with_replies(whole, found).mapInArrow(partial(_cut, text=text, schema=schema), out)
+    return packed.with_replies(whole, found).mapInArrow(partial(_cut, text=text, characters=characters, schema=schema), out)

@@ -95,6 +95,7 @@ def labelled_sample(labels: DataFrame, docs: DataFrame, bound: int, id_column: s
     return docs.join(F.broadcast(least), F.col(id_column) == F.col("__id")).select("__id", "__label", F.col(text).alias("__text"))
 
 
+@texts.trimmed
 def _feature_rows(batches) -> Iterator[pa.RecordBatch]:
     """A row for each document and feature, and one without a feature for each document."""
     for batch in batches:
@@ -156,6 +157,7 @@ def fit(
     return Model(hashes[by], weights[by], cuts)
 
 
+@texts.trimmed
 def _score(batches, model, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     m: Model = model.value
     maybe = np.zeros(1 << TABLE_BITS, bool)
