@@ -19,8 +19,9 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents that are more likely toxic than not, by a model of the labelled ones."""
+    docs = docs.select(COLUMNS)
     model = toxicity.fit(documents(spark, sf_dir, "labels"), docs)
-    return toxicity.score(docs.select(COLUMNS), model).where("p_toxic < 0.5").select(COLUMNS)
+    return toxicity.score(docs, model).where("p_toxic < 0.5").select(COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,14 +30,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without strings of 200 bytes that occur elsewhere; a character cut in two goes as well.
+    """Texts without strings of 200 bytes that occur elsewhere; a character cut in two goes as a whole.
 
     n_chars is the new length. Every document stays, if need be with an empty text.
     """
-    cut = remove_repeated_bytes(docs.select(COLUMNS))
-    broken = "replace(make_valid_utf8(cast(kept_bytes as string)), '\\ufffd', '')"
-    text = F.when(F.size("removed_at") > 0, F.expr(broken)).otherwise(F.col("text"))
-    return cut.withColumn("text", text).withColumn("n_chars", F.when(F.size("removed_at") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(COLUMNS)
+    cut = remove_repeated_bytes(docs.select(COLUMNS), characters=True)
+    is_cut = F.size("removed_at") > 0
+    text = F.when(is_cut, F.col("kept_bytes").cast("string")).otherwise(F.col("text"))
+    return cut.withColumn("text", text).withColumn("n_chars", F.when(is_cut, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
