@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 from cohortwise.llm import mixing
@@ -80,3 +81,25 @@ def test_one_document_of_each_group(spark, documents, folder):
     assert sum((None, t) in got for t in (texts[150], texts[150] + " x")) == 1 and got[None, texts[160]] == 1 and got[7, texts[170]] == 1
     for _, stage in pipeline.STAGES[2:3]:
         assert Counter(r.doc_id for r in stage(spark, kept, path).collect()) == named
+
+
+def test_a_cut_text_keeps_its_own_replacement_characters(spark, documents):
+    """U+FFFD of the source stays; only whole characters go where a repeat begins or ends inside one."""
+    passage = "".join(chr(0x4E00 + 7 * i) for i in range(100))  # 300 bytes
+    rows = [(1, f"one \ufffd two é{passage}ê three \ufffd"), (2, f"clean \ufffd text è{passage}ë"), (3, "clean \ufffd text")]
+    got = {r.doc_id: r for r in pipeline.cut_repeats(spark, documents(rows), SMALL).collect()}
+    for i, text in rows:
+        want = text.replace(passage, "")
+        # é, è, ê and ë share their first byte, which is part of the repeat
+        want = want.replace("éê", "é").replace("èë", "è") if i != 3 else want
+        assert got[i].text == want and got[i].n_chars == len(want)
+
+
+def test_null_sources_and_clashing_columns_pass_all_stages(spark, documents, folder):
+    path, texts, _ = folder
+    docs = documents([(i, texts[i]) for i in range(60)]).selectExpr(
+        "*", "'x' as node", "1 as copy_no", "2 as token_ids", "3 as n_bytes", "4 as p_toxic", "5 as component_id", "6 as __id")
+    docs = docs.withColumn("source", F.when(F.col("doc_id") % 2 == 0, F.col("source")))
+    for name, stage in pipeline.STAGES:
+        docs = spark.createDataFrame(stage(spark, docs, path).collect(), stage(spark, docs, path).schema)
+        assert docs.count() > 20 and {r.source for r in docs.select("source").distinct().collect()} == {None, "s"}
