@@ -5,13 +5,15 @@
    candidates. At a similarity of 0.8 a pair misses all bands with a probability of 5e-8.
 2. Each node is compared with the least node it shares a bucket with: first by the share of equal
    minima, then, exactly, by the full sets. The confirmed links are united.
-3. Buckets that still hold several components compare their nodes of different components, block
-   by block, in the same two steps; what a block unites it does not compare again. After that no
-   two candidates in different components are unverified, so no link that bands reveal is lost.
+3. Buckets that still hold several components compare the nodes outside the largest one with all
+   others, block by block, in the same two steps; what a block unites it does not compare again. The largest component is
+   not compared with itself. After that no two candidates in different components are
+   unverified, so no link that bands reveal is lost.
 
 Sets travel as compressed texts of the candidates alone. Pairs are grouped by their least node, at most
 SALT at a time, and streamed; buckets are cut into blocks of BLOCK nodes. So neither a node with very
-many copies nor a very common band is a large group, and no list of all pairs is ever made.
+many copies nor a very common band is a large group, and no list of all pairs is ever made. A node of the
+largest component is sent once for each block of the others, so a group of copies costs what it holds.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ HASHES = ROWS * BANDS
 #: Pairs whose minima agree less than this much below the threshold are not checked further: five standard deviations.
 DOUBT = 0.18
 SALT = 256
-BLOCK = 512
+BLOCK = 1024
 
 _rng = np.random.default_rng(20240305)
 A = _rng.integers(1, 2**63, HASHES, dtype=np.uint64) * U64(2) + U64(1)
@@ -77,6 +79,7 @@ def node_of(found: np.ndarray) -> int:
     return int(texts.pair(np.array([found.sum(dtype=U64)]), np.array([np.bitwise_xor.reduce(texts.mix(found)) + U64(len(found))]))[0].view(np.int64))
 
 
+@texts.trimmed
 def _sign(batches, words: int) -> Iterator[pa.RecordBatch]:
     shift = np.arange(BANDS, dtype=U64)
     for batch in batches:
@@ -116,6 +119,7 @@ def similar(one: np.ndarray, other: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(one) + len(other) - common)
 
 
+@texts.trimmed
 def _verify(batches, words: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Confirmed pairs of rows sorted by group, the least node first."""
     group, base, name = None, np.zeros(0, U64), 0
@@ -133,6 +137,7 @@ def _verify(batches, words: int, percent: int) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
 
+@texts.trimmed
 def _across(batches, words: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Links between different components, from rows sorted by bucket and pair of blocks."""
     expand = ZstdDecompressor().decompress
@@ -188,6 +193,33 @@ def confirmed(pairs: DataFrame, candidates: DataFrame, words: int, percent: int)
     return rows.mapInArrow(partial(_verify, words=words, percent=percent), "a long, b long")
 
 
+def _mixed(members: DataFrame, whole: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(bucket, node, component); of buckets with several components the largest one, its blocks and those of the rest."""
+    labelled = members.join(whole.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left")
+    labelled = stored(labelled.select("bucket", "node", F.coalesce("component", "node").alias("component")), "labelled")
+    parts = labelled.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"))
+    largest = F.max(F.struct("size", "component"))
+    mixed = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.sum("size").alias("all"), largest.alias("top")).where("parts > 1")
+    mixed = mixed.select(
+        "bucket", F.col("top.component").alias("largest"),
+        F.ceil(F.col("top.size") / BLOCK).cast("int").alias("its_blocks"), F.ceil((F.col("all") - F.col("top.size")) / BLOCK).cast("int").alias("blocks"))
+    return labelled, mixed
+
+
+def _blocks(labelled: DataFrame, mixed: DataFrame) -> DataFrame:
+    """(bucket, i, j, block, node, component): each node once for every pair of blocks in which it is compared.
+
+    A bucket's first blocks hold the nodes outside its largest component; they are compared with one another and
+    with the blocks behind them, those of the largest component.
+    """
+    inside = labelled.join(mixed, "bucket").withColumn("of_largest", F.col("component") == F.col("largest"))
+    place = F.xxhash64("node")
+    inside = inside.withColumn("block", F.when(F.col("of_largest"), F.col("blocks") + F.pmod(place, "its_blocks")).otherwise(F.pmod(place, "blocks")).cast("int"))
+    others = F.when(F.col("of_largest"), F.col("blocks")).otherwise(F.col("blocks") + F.col("its_blocks"))
+    inside = inside.withColumn("other", F.explode(F.sequence(F.lit(0), others - 1)))
+    return inside.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component")
+
+
 def _united(docs: DataFrame, words: int, percent: int, id_column: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows of `docs` with __id and __tie, which rows equal in id and text share; their nodes, null without shingles; linked nodes with their components)."""
     last = (1 << 63) - 1
@@ -209,20 +241,11 @@ def _united(docs: DataFrame, words: int, percent: int, id_column: str, text: str
     pairs = members.where("node > a").groupBy(F.col("node").alias("b")).agg(F.min("a").alias("a")).select("a", "b")
     links = stored(confirmed(pairs, candidates, words, percent), "links")
     whole = components(links)
-    # what these links have not united
-    labelled = members.select("bucket", "node").join(whole.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left")
-    labelled = labelled.select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.count(F.lit(1)).alias("n"))
-    mixed = mixed.where("c < d").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    inside = labelled.join(mixed, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    inside = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    inside = inside.join(candidates, "node").select(
-        "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component", "minima", "__z")
-    inside = inside.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    more = stored(inside.mapInArrow(partial(_across, words=words, percent=percent), "a long, b long").distinct(), "across")
+    labelled, mixed = _mixed(members.select("bucket", "node"), whole)
+    more = stored(_blocks(labelled, mixed).join(candidates, "node").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(
+        partial(_across, words=words, percent=percent), "a long, b long").distinct(), "across")
     if not more.isEmpty():
-        links = links.union(more)
-        whole = components(links)
+        whole = components(links.unionAll(more))
     return rows, signed, whole
 
 
