@@ -12,10 +12,14 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from cohortwise.llm.common import stored
+
 BITS = 128
 HALVES = 1 << 32 | 1
 #: Ids to a group when documents are put in order.
 GROUP_BITS = 10
+#: Groups whose first documents are sent to every task, some megabytes; more are joined by a shuffle.
+FEW_GROUPS = 1 << 17
 #: Fingerprints of one key that are held together.
 CHUNK = 1024
 SPACE = "[ \\t\\n\\x0B\\f\\r]+"
@@ -87,6 +91,9 @@ def in_order(docs: DataFrame, id_column: str, text: str) -> DataFrame:
     top = heads.agg(F.max("__group")).first()[0]
     hosts = lower.select(F.coalesce("next", F.lit(top).cast("long")).alias("__guest"), F.col("__group").alias("__host"))
     guests = heads.join(hosts, F.col("__group") == F.col("__guest")).select(F.col("__group").alias("__from"), "__head", "__host")
+    guests = stored(guests, "guests")
+    if guests.count() <= FEW_GROUPS:  # then the texts are shuffled only once, by their groups
+        guests = F.broadcast(guests)
     of = (F.col("__group") == F.col("__from")) & F.col("__id").eqNullSafe(F.col("__head"))
     placed = rows.join(guests, of, "left").select(
         "__id", "__text",
@@ -191,15 +198,19 @@ def count_near(prints: DataFrame, queries: DataFrame, radius: int, blocks: int)
     in. Prints of a key are held in arrays of about CHUNK, so pairs are counted but never rows.
     """
     flips = radius // blocks
-    tables = [BITS * (i + 1) // blocks - BITS * i // blocks for i in range(blocks)]
-    masks = [[sum(1 << k for k in at) for n in range(flips + 1) for at in combinations(range(width), n)] for width in tables]
+    widths = [BITS * (i + 1) // blocks - BITS * i // blocks for i in range(blocks)]
     numbers = F.posexplode(F.array(*cut_bits(blocks, F.col("low"), F.col("high")))).alias("table", "number")
     keyed = prints.groupBy("low", "high").agg(F.count(F.lit(1)).alias("n")).select("low", "high", "n", numbers)
     sizes = keyed.groupBy("table", "number").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks"))
     held = keyed.join(sizes, ["table", "number"]).groupBy("table", "number", F.pmod(F.xxhash64("low", "high"), "chunks").alias("chunk")).agg(
         F.collect_list(F.struct("low", "high", "n")).alias("held"))
+    held = stored(held, "held")
+    # the numbers with at most `flips` bits: as many for every input, some hundreds a table
+    masks = prints.sparkSession.range(0, 1 << max(widths), 1, 1).where(F.bit_count("id") <= flips).select(
+        F.posexplode(F.array(*map(F.lit, widths))).alias("mask_of", "width"), F.col("id").alias("mask")).where("mask < shiftleft(1L, width)")
     asked = queries.select("low", "high").distinct().select(F.col("low").alias("query_low"), F.col("high").alias("query_high"), numbers)
-    asked = asked.withColumn("number", F.explode(F.transform(F.get(F.lit(masks), F.col("table")), lambda m: F.col("number").bitwiseXOR(m))))
+    asked = asked.join(F.broadcast(masks), F.col("table") == F.col("mask_of")).select(
+        "query_low", "query_high", "table", F.col("number").bitwiseXOR(F.col("mask")).alias("number"))
 
     def counted(p: Column) -> Column:
         low, high = p["low"].bitwiseXOR(F.col("query_low")), p["high"].bitwiseXOR(F.col("query_high"))
@@ -209,4 +220,5 @@ def count_near(prints: DataFrame, queries: DataFrame, radius: int, blocks: int)
         return F.when((F.bit_count(low) + F.bit_count(high) <= radius) & first, p["n"]).otherwise(F.lit(0).cast("long"))
 
     found = F.aggregate("held", F.lit(0).cast("long"), lambda n, p: n + counted(p))
-    return asked.join(held, ["table", "number"]).groupBy("query_low", "query_high").agg(F.sum(found).alias("n_near"))
+    # a shuffle join: what is asked packs well, and would be taken for something small to broadcast
+    return asked.hint("merge").join(held, ["table", "number"]).groupBy("query_low", "query_high").agg(F.sum(found).alias("n_near"))
