@@ -90,20 +90,27 @@ KIND_OF_TOKEN = """case alteration when 'mutation' then 'MUTATION_EXTENDED' when
 TOP_GENES = f"""
 with {SCOPES["preference"][0]}
 altered as (
-  select 1 as one, hugo_gene_symbol, count(distinct sample_unique_id) as altered_samples, count(*) as total_mutation_events
+  select hugo_gene_symbol, count(distinct sample_unique_id) as altered_samples, count(*) as total_mutation_events
   from genomic_event_derived left semi join cohort using (cancer_study_identifier)
   where {MUTATED} and off_panel = 0 group by hugo_gene_symbol
 ), panel as (
   select hugo_gene_symbol, count(distinct sample_unique_id) as n
   from mutation_panel_gene_coverage left semi join cohort using (cancer_study_identifier) group by hugo_gene_symbol
 ), exome as (
-  select 1 as one, count(distinct sample_unique_id) as n
+  select count(distinct sample_unique_id) as n
   from mutation_wes_coverage left semi join cohort using (cancer_study_identifier)
 ), counted as (
-  select a.*, coalesce(p.n, 0) + e.n as profiled_samples
-  from altered a join exome e on a.one = e.one left join panel p on p.hugo_gene_symbol = a.hugo_gene_symbol
+  -- the exome samples are a row of their own, which every gene sees through the window
+  select is_gene, hugo_gene_symbol, sum(altered) as altered_samples, sum(events) as total_mutation_events,
+    sum(panel_samples) + max(sum(exome_samples)) over () as profiled_samples
+  from (
+    select true as is_gene, hugo_gene_symbol, altered_samples as altered, total_mutation_events as events, 0 as panel_samples, 0 as exome_samples from altered
+    union all select true, hugo_gene_symbol, 0, 0, n, 0 from panel
+    union all select false, null, 0, 0, 0, n from exome)
+  group by is_gene, hugo_gene_symbol
 ), placed as (
   select *, row_number() over (order by altered_samples desc, hugo_gene_symbol) as place from counted
+  where is_gene and altered_samples > 0
 )
 select hugo_gene_symbol, altered_samples, profiled_samples,
   bround(altered_samples * 100e0 / nullif(profiled_samples, 0), 1), total_mutation_events
