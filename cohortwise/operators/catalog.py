@@ -287,9 +287,9 @@ def taxonomy_rollup(onco: DataFrame, coded: DataFrame, unit: str, keys: list[str
     nearest = reached.groupBy(*keys, "ancestor", unit).agg(F.min("distance").alias("_distance"))
     found = nearest.groupBy(*keys, "ancestor").agg(F.count(F.when(F.col("_distance") == 0, 1)).alias("own"), F.count("*").alias("total"))
     codes = closure.groupBy("code").agg(F.count("*").cast("int").alias("depth"))
-    if keys:  # one row per combination and code: the combinations meet every code through a key they share
-        combinations = coded.select(*keys).distinct().withColumn("_one", F.lit(1))
-        codes = combinations.join(codes.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    if keys:  # every combination with every code: the taxonomy is one small list
+        every = codes.agg(F.collect_list(F.struct("code", "depth"))).scalar()
+        codes = coded.select(*keys).distinct().select(*keys, F.explode(every).alias("_c")).select(*keys, "_c.code", "_c.depth")
     found = found.withColumnRenamed("ancestor", "code")
     return null_safe_join(codes, found, [*keys, "code"], "left").fillna(0, ["own", "total"]).select(*keys, "code", "depth", "own", "total")
 
