@@ -52,6 +52,11 @@ def test_plans_have_no_cross_join_and_no_python(spark, name):
     assert "BatchEvalPython" not in text and "MapInPandas" not in text
 
 
+@pytest.mark.parametrize("name", ["f09_altered_counts", "f12_study_gene_frequency", "c11_value_distribution", "c21_cohort_counts", "k05_study_profile_all"])
+def test_two_distinct_counts_expand_no_rows(spark, name):
+    assert "Expand" not in plan(QUERIES[name](spark, SMALL))
+
+
 def test_filters_and_columns_reach_the_scan(spark, tables):
     from cohortwise.operators import frequency
 
