@@ -51,3 +51,24 @@ def test_genes_that_share_few_or_no_samples(spark):
     out = correlation.correlation_matrix(table(spark, pd.DataFrame(rows, columns=["study", "sample", "gene", "v"])), "one", "mrna")
     assert [tuple(r) for r in out.collect()] == [("a", "b", None, 2)]
     assert correlation.correlation_matrix(table(spark, pd.DataFrame(rows, columns=["study", "sample", "gene", "v"])), "none", "mrna").count() == 0
+
+
+def test_ranks_over_many_ranges_and_slices_without_rows_per_pair(spark, monkeypatch):
+    """Ties that cross chunks, ranges of a few places; no step has a row per sample and pair of genes."""
+    monkeypatch.setattr(correlation, "GENES", 6)
+    monkeypatch.setattr(correlation, "SAMPLES", 20)
+    monkeypatch.setattr(correlation, "RANGE", 4)
+    monkeypatch.setattr(correlation, "SLICE", 3)
+    rng = np.random.default_rng(6)
+    rows = [("one", f"s{s}", f"g{g}", float(rng.integers(0, 9) if g % 2 else rng.normal()))
+            for g in range(12) for s in range(60) if (s + g) % 7]
+    values = pd.DataFrame(rows, columns=["study", "sample", "gene", "v"])
+    sizes, real = [], correlation.mean_ranks
+    monkeypatch.setattr(correlation, "mean_ranks", lambda rows, *rest: sizes.append(rows.count()) or real(rows, *rest))
+    out = correlation.correlation_matrix(table(spark, values), "one", "mrna").collect()
+    wide = values.pivot(index="sample", columns="gene", values="v")
+    assert len(out) == 66 and sizes == [len(values)]
+    for r in out:
+        assert r.num_samples == len(wide[[r.gene_a, r.gene_b]].dropna())
+        both = wide[[r.gene_a, r.gene_b]].dropna().rank()
+        assert r.spearman_correlation == pytest.approx(np.corrcoef(both[r.gene_a], both[r.gene_b])[0, 1], abs=1e-9)
