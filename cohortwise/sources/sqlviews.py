@@ -22,6 +22,10 @@ from sample_to_gene_panel_derived s
 
 VIEWS = {
     "panel_gene_coverage": PANEL_COVERAGE,
+    "panel_genes": """
+select p.stable_id as gene_panel_id, g.hugo_gene_symbol
+from gene_panel p join gene_panel_list l using (internal_id) join gene g on g.entrez_gene_id = l.gene_id
+""",
     "mutation_panel_gene_coverage": """
 select sample_unique_id, cancer_study_identifier, hugo_gene_symbol, gene_panel_id
 from panel_gene_coverage where alteration_type = 'MUTATION_EXTENDED'
@@ -93,9 +97,19 @@ altered as (
   select hugo_gene_symbol, count(distinct sample_unique_id) as altered_samples, count(*) as total_mutation_events
   from genomic_event_derived left semi join cohort using (cancer_study_identifier)
   where {MUTATED} and off_panel = 0 group by hugo_gene_symbol
+), sets as (
+  select panels, count(*) as units from (
+    select sample_unique_id, array_sort(collect_set(gene_panel_id)) as panels
+    from sample_to_gene_panel_derived left semi join cohort using (cancer_study_identifier)
+    where alteration_type = 'MUTATION_EXTENDED' and sample_unique_id is not null group by sample_unique_id)
+  group by panels
+), listed as (
+  select panels, units, explode(panels) as gene_panel_id from sets
 ), panel as (
-  select hugo_gene_symbol, count(distinct sample_unique_id) as n
-  from mutation_panel_gene_coverage left semi join cohort using (cancer_study_identifier) group by hugo_gene_symbol
+  -- samples are counted per set of panels, and only the few sets meet the genes
+  select hugo_gene_symbol, sum(units) as n
+  from (select distinct panels, units, hugo_gene_symbol from listed join panel_genes using (gene_panel_id))
+  group by hugo_gene_symbol
 ), exome as (
   select count(distinct sample_unique_id) as n
   from mutation_wes_coverage left semi join cohort using (cancer_study_identifier)

@@ -140,3 +140,19 @@ def test_folder_values_come_back_as_written(spark, tmp_path):
     plan = one._jdf.queryExecution().executedPlan().toString()
     filters = plan[plan.index("PartitionFilters"):].split("PushedFilters")[0]
     assert "preference_name" in filters and one.count() == 1  # folders are still skipped
+
+
+def test_top_genes_in_sql_count_samples_per_set_of_panels(spark):
+    """A sample on several panels counts once per gene, and samples do not meet genes one by one."""
+    t = tiny(spark)
+    twice = t.sample_to_gene_panel_derived.unionByName(t.sample_to_gene_panel_derived.withColumn("gene_panel_id", F.lit("P2"))).unionByName(
+        t.sample_to_gene_panel_derived.limit(1).withColumn("sample_unique_id", F.lit(None).cast("string")))
+    sqlviews.register_views(t.replace(sample_to_gene_panel_derived=twice))
+    want = {r[0]: r[1] for r in spark.sql(
+        "select hugo_gene_symbol, count(distinct sample_unique_id) from mutation_panel_gene_coverage group by 1").collect()}
+    exome = spark.sql("select count(distinct sample_unique_id) from mutation_wes_coverage").first()[0]
+    spark.sql("create or replace temporary view cancer_study_query_preferences as select 'all' as preference_name, cancer_study_identifier from cancer_study")
+    found = spark.sql("select * from top_mutated_genes_in_cohort(preference => 'all', top_n => 50)")
+    got = found.collect()
+    assert got and all(r.profiled_samples == want.get(r.hugo_gene_symbol, 0) + exome for r in got)
+    assert "collect_set(gene_panel_id" in found._jdf.queryExecution().optimizedPlan().toString()
