@@ -328,7 +328,7 @@ def _widened(raw: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.nda
 
 
 @texts.trimmed
-def _cut(batches, text: str, characters: bool, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _cut(batches, text: str, schema: pa.Schema, characters: bool = False) -> Iterator[pa.RecordBatch]:
     for batch in packed.opened(batches):
         n_bytes, n_removed, kept, spans = [], [], [], []
         raw, offsets = texts.column(batch, "__text")
