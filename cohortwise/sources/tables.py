@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortwise.session import shared_dir
+from cohortwise.session import shared_dir, start_wide
 from cohortwise.sources import prep, projection
 
 
@@ -64,6 +64,10 @@ def project(spark: SparkSession, directory: str) -> Tables:
 
 
 _written: set[str] = set()
+_rows: dict[str, int] = {}
+
+#: The tables that grow fastest, from which the large derived ones are made.
+LARGEST = ("lineitem", "orders", "events", "embeddings")
 
 
 def warehouse(spark: SparkSession, directory: str) -> Tables:
@@ -76,6 +80,9 @@ def warehouse(spark: SparkSession, directory: str) -> Tables:
     digest = hashlib.md5(directory.encode()).hexdigest()[:12]
     root = f"{shared_dir(spark)}/cohortwise/{spark.sparkContext.applicationId}/{digest}"
     definitions = projection.texts("spark")
+    if root not in _rows:  # counted from the files' footers
+        _rows[root] = max((spark.read.parquet(f"{directory}/{n}.parquet").count() for n in LARGEST), default=0)
+    partitions = start_wide(spark, _rows[root])
 
     def stored(name: str) -> str:
         path = f"{root}/{name}"
@@ -83,7 +90,7 @@ def warehouse(spark: SparkSession, directory: str) -> Tables:
             parents = projection.mentioned(definitions[name], set(definitions) - {name})
             copies = {parent: f"select * from parquet.`{stored(parent)}`" for parent in sorted(parents)}
             text = projection.with_tables(f"select * from {name}", "spark", {**_files(directory), **copies})
-            prep.write_table(spark.sql(text), path, name)
+            prep.write_table(spark.sql(text), path, name, partitions)
             _written.add(path)
         return path
 
