@@ -177,9 +177,11 @@ def anova(values: DataFrame, keys: list[str], group: str, value: str) -> DataFra
     """
     groups = moments(values.where(F.col(value).isNotNull()), keys, group, value)
     size = F.col("n")
-    grand = groups.groupBy(*keys).agg((F.sum(size * F.col("mean")) / F.sum(size)).alias("_grand"))
+    # over the few rows of `groups`, so that the values are read once
+    alike = W.partitionBy(*keys, "_one")
+    grand = F.sum(size * F.col("mean")).over(alike) / F.sum(size).over(alike)
     apart = F.col("mean") - F.col("_grand")
-    sums = _with(groups, grand, keys).groupBy(*keys).agg(
+    sums = groups.withColumn("_one", F.lit(1)).withColumn("_grand", grand).groupBy(*keys).agg(
         F.sum(size * apart * apart).alias("_between"), F.sum((size - 1) * F.coalesce("variance", F.lit(0e0))).alias("_within"),
         F.sum(size).alias("_total"), F.count("*").alias("_groups"))
     between, within = F.col("_groups") - 1, F.col("_total") - F.col("_groups")

@@ -125,6 +125,16 @@ def test_anova_of_large_values(spark):
     assert stats.anova(spark.createDataFrame(pdf).where("g = 'c'"), ["g"], "g", "v").count() == 0
 
 
+def test_anova_reads_the_values_once(spark):
+    """The mean of all values comes from the groups, whatever the keys; missing keys and groups are such of their own."""
+    values = [(k, g, float(v)) for k in ("x", None) for g, v in [("a", 1), ("a", 2), ("b", 4), ("b", 7), (None, 3), (None, 5)]]
+    frame = spark.createDataFrame(values, "k string, g string, v double").repartition(2, "v")
+    found = stats.anova(frame, ["k"], "g", "v")
+    got = {r.k: (r.f, r.dof_between, r.dof_within) for r in found.collect()}
+    assert got == {k: (pytest.approx(3.5), 2, 3) for k in ("x", None)}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 1
+
+
 def gamma_series(a, x):
     n = int(x + 60 * math.sqrt(x + a) + 400)
     return 1 - math.fsum(math.exp((a + k) * math.log(x) - x - math.lgamma(a + k + 1)) for k in range(n))
