@@ -188,6 +188,11 @@ def _to_folder(value: Column) -> Column:
     return F.when((text == "") | (text == MISSING) | text.startswith(MARK), F.concat(F.lit(MARK), text)).otherwise(text)
 
 
+def _folder(value: Column) -> Column:
+    """Name of the value's folder, never missing: Spark replaces a column that may be by another one, and then sorts anew by it alone."""
+    return F.coalesce(_to_folder(value), F.lit(MISSING))
+
+
 def _from_folder(name: Column) -> Column:
     return F.when(name.startswith(MARK), F.substring(name, len(MARK) + 1, 1 << 30)).otherwise(name)
 
@@ -199,11 +204,13 @@ def write_table(df: DataFrame, path: str, name: str, partitions: int | None = No
     over 200 MB; the default is `spark.sql.shuffle.partitions`, made fewer by AQE.
     """
     clustered, folders = CLUSTERED.get(name, []), FOLDERS.get(name, [])
+    df = df.withColumns({f: _folder(F.col(f)) for f in folders})
     if clustered:
         order = [*folders, *clustered]
         ranged = df.repartitionByRange(*order) if partitions is None else df.repartitionByRange(partitions, *order)
+        # on the folders' names themselves, as the writer would else sort by them, and Spark drops an order below another
         df = ranged.sortWithinPartitions(*order)
-    df.withColumns({f: _to_folder(F.col(f)) for f in folders}).write.mode("overwrite").partitionBy(*folders).parquet(path)
+    df.write.mode("overwrite").partitionBy(*folders).parquet(path)
 
 
 def write(t, directory: str, names: Iterable[str], partitions: dict[str, int] | None = None) -> None:

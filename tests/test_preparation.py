@@ -156,3 +156,19 @@ def test_top_genes_in_sql_count_samples_per_set_of_panels(spark):
     got = found.collect()
     assert got and all(r.profiled_samples == want.get(r.hugo_gene_symbol, 0) + exome for r in got)
     assert "collect_set(gene_panel_id" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_stored_files_are_sorted_by_study_gene_and_sample(spark, tmp_path):
+    """Inside a folder the rows follow the clustering columns, also where the folder's value is missing or marked."""
+    kinds = ["mutation", "cna", None, "", "=x"]
+    events = [(f"s{i * 7 % 300:03}", f"study{i * 11 % 4}", f"GENE{i * 13 % 9}", kinds[i % 5]) for i in range(600)]
+    frame = spark.createDataFrame(events, "sample_unique_id string, cancer_study_identifier string, hugo_gene_symbol string, variant_type string")
+    path = str(tmp_path / "t")
+    prep.write_table(frame.repartition(3), path, "genomic_event_derived", 2)
+    order = prep.CLUSTERED["genomic_event_derived"]
+    files = list((tmp_path / "t").glob("*/*.parquet"))
+    assert len(files) >= len(kinds)
+    for file in files:
+        stored = [tuple(r) for r in spark.read.parquet(str(file)).coalesce(1).select(*order).collect()]
+        assert stored == sorted(stored)
+    assert rows(prep.read_table(spark, path, "genomic_event_derived"), *frame.columns) == rows(frame)
