@@ -9,7 +9,7 @@ from cohortwise.sources import tables
 @pytest.fixture
 def settings(spark):
     """The session with its settings put back afterwards."""
-    kept = {k: spark.conf.get(k, None) for k in (session.INITIAL, session.READ)}
+    kept = {k: spark.conf.get(k, None) for k in (session.INITIAL, session.READ, session.MERGE)}
     yield spark
     for key, value in kept.items():
         spark.conf.unset(key) if value is None else spark.conf.set(key, value)
@@ -26,6 +26,15 @@ def test_shuffles_start_with_partitions_that_follow_the_rows(settings, monkeypat
     assert session.start_wide(settings, 5000) == 500 and settings.conf.get(session.INITIAL) == "77"
 
 
+def test_merged_partitions_stay_small_unless_the_session_sets_their_size(settings):
+    settings.conf.unset(session.MERGE)
+    session.start_wide(settings, 7)
+    assert settings.conf.get(session.MERGE) == "16m"
+    settings.conf.set(session.MERGE, "100m")  # the session's own
+    session.start_wide(settings, 7)
+    assert settings.conf.get(session.MERGE) == "100m"
+
+
 def test_a_large_table_is_written_in_ranges_that_follow_its_rows(settings, monkeypatch, tmp_path):
     monkeypatch.setattr(session, "ROWS", 100)
     settings.range(1).selectExpr("0 as n_nationkey", "'N' as n_name", "0 as n_regionkey").write.parquet(f"{tmp_path}/nation.parquet")
