@@ -1,11 +1,12 @@
 """Byte-level BPE by merge replay: all merges of a block of texts in rank order, over an inverted index.
 
 A task takes about BLOCK bytes of text at a time, splits them with the vocabulary's pattern and
-keeps each distinct piece once. The index holds, for each pair of tokens that a merge joins, the
+keeps each distinct piece once. Blocks wait until BLOCK bytes of pieces are new, or their batch ends, and only the new ones
+are merged, together: a task remembers the ids of up to REMEMBERED bytes of pieces, and then begins anew. The index holds, for each pair of tokens that a merge joins, the
 places where the pair stands in any piece. The lowest rank present is taken from a heap, all its
 places are merged at once, and only the pairs with the neighbours on both sides are looked up
-and entered anew. A block's work is a block's: no shuffle, and no state between tasks. Rows leave
-a task as soon as their block is done; a text longer than a block is cut between pieces.
+and entered anew. No shuffle, and no state between tasks. Rows leave
+a task as soon as their pieces are merged; a text longer than a block is cut between pieces.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import base64
 from collections.abc import Callable, Iterator
 from functools import partial
 from heapq import heapify, heappop, heappush
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ from cohortwise.llm import texts
 
 #: Bytes of text that are encoded together, and token ids that are decoded together.
 BLOCK = 1 << 20
+#: Bytes of distinct pieces (and PIECE for each) whose ids a task keeps from block to block.
+REMEMBERED, PIECE = 1 << 25, 200
 NONE = np.int64(1 << 40)
 
 
@@ -131,11 +134,12 @@ def replay(words: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarray, np.n
         order = np.argsort(ranks, kind="stable")
         places, ranks = places[order], ranks[order]
         cuts = np.concatenate(([0], np.flatnonzero(ranks[1:] != ranks[:-1]) + 1)) if len(ranks) else np.zeros(0, np.int64)
-        for r, part in zip(ranks[cuts].tolist(), np.split(places, cuts[1:])):
+        starts = cuts.tolist()
+        for r, a, b in zip(ranks[cuts].tolist(), starts, [*starts[1:], len(places)]):
             if r not in index:
                 index[r] = []
                 heappush(heap, r)
-            index[r].append(part)
+            index[r].append(places[a:b])
         return ranks
 
     heap: list[int] = []
@@ -143,8 +147,11 @@ def replay(words: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarray, np.n
     heapify(heap)
     while heap:
         r = heappop(heap)
-        at = np.unique(np.concatenate(index.pop(r)))
+        at = np.concatenate(index.pop(r))
         at = at[rank[at] == r]
+        at.sort()
+        if len(at) > 1:  # a place may have been entered twice
+            at = at[np.concatenate(([True], at[1:] != at[:-1]))]
         if not len(at):
             continue
         second = after[at]
@@ -176,39 +183,97 @@ def replay(words: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarray, np.n
     kept = np.flatnonzero(alive)
     ids, offsets = token[kept], np.concatenate(([0], np.searchsorted(kept, ends)))
     if odd:
-        parts = np.split(ids, offsets[1:-1])
-        for w in np.unique(np.concatenate(odd)):
-            parts[w] = np.array(vocabulary.one(words[w]), np.int64)
-        ids, offsets = np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
+        length, parts, end = np.diff(offsets), [], 0
+        for w in np.unique(np.concatenate(odd)).tolist():
+            own = vocabulary.one(words[w])
+            parts += [ids[end:offsets[w]], np.array(own, np.int64)]
+            length[w], end = len(own), offsets[w + 1]
+        ids, offsets = np.concatenate([*parts, ids[end:]]), np.concatenate(([0], np.cumsum(length)))
     return ids, offsets
 
 
-def encode_pieces(found: list[list[str]], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """(token ids one after another, n+1 offsets) of texts that are cut into pieces."""
-    known: dict[str, int] = {}
-    at = np.fromiter((known.setdefault(p, len(known)) for own in found for p in own), np.int32)
-    words = [p.encode() for p in known]
-    whole = np.array([vocabulary.ranks.get(w, -1) for w in words], np.int64)
-    split = np.flatnonzero(whole < 0)
-    ids, offsets = replay([words[i] for i in split], vocabulary)
-    flat = np.concatenate((ids, whole)).astype(np.int32)  # a piece that is a token is its own entry behind the others
-    start, length = len(ids) + np.arange(len(words)), np.ones(len(words), np.int64)
-    start[split], length[split] = offsets[:-1], np.diff(offsets)
-    size = length[at]
-    tokens = flat[np.repeat(start[at], size) + texts.ragged(size)] if len(at) else np.zeros(0, np.int32)
-    count = np.array([len(own) for own in found], np.int64)
-    return tokens, np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum(count)))]
+class Memory:
+    """Token ids of the distinct pieces a task has met, one after another, with the place of each piece."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids, self.start, self.length = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.bytes, self.new = 0, 0
+
+    def places(self, pieces: list[str]) -> np.ndarray:
+        """The place of each piece. `new` counts the bytes that wait to be merged."""
+        known = self.known
+        unknown = set(pieces).difference(known)
+        known.update(zip(unknown, range(len(known), len(known) + len(unknown))))
+        self.new += sum(map(len, unknown))
+        return np.fromiter(map(known.__getitem__, pieces), np.int32, len(pieces))
+
+    def merge(self) -> None:
+        """Token ids of the pieces that have none yet."""
+        words = [p.encode() for p in islice(self.known, len(self.start), None)]
+        whole = np.fromiter((self.vocabulary.ranks.get(w, -1) for w in words), np.int64, len(words))
+        split = np.flatnonzero(whole < 0)
+        ids, offsets = replay([words[i] for i in split], self.vocabulary)
+        # a piece that is a token is its own entry behind the others
+        start, length = len(self.ids) + len(ids) + np.arange(len(words)), np.ones(len(words), np.int32)
+        start[split], length[split] = len(self.ids) + offsets[:-1], np.diff(offsets)
+        self.ids = np.concatenate((self.ids, ids.astype(np.int32), whole.astype(np.int32)))
+        self.start, self.length = np.concatenate((self.start, start)), np.concatenate((self.length, length))
+        self.bytes, self.new = self.bytes + sum(map(len, words)) + PIECE * len(words), 0
+
+    def tokens(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(token ids one after another, n+1 offsets) of pieces by their places; all must be merged."""
+        size = self.length[at]
+        ids = self.ids[np.repeat(self.start[at], size) + texts.ragged(size)] if len(at) else np.zeros(0, np.int32)
+        return ids, np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
+
+
+def _long(text: str, pattern, memory: Memory) -> np.ndarray:
+    """Token ids of a text of any length."""
+    parts, found = [], pattern.finditer(text)
+    while some := [match.group() for match in islice(found, BLOCK // 4)]:
+        at = memory.places(some)
+        memory.merge()
+        parts.append(memory.tokens(at)[0])
+        if memory.bytes > REMEMBERED:
+            memory.forget()
+    return np.concatenate(parts)
+
+
+def encode_blocks(blocks: Iterator[list[str]], pattern, memory: Memory) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(token ids one after another, n+1 offsets) of each block of texts, in order; a text of more than BLOCK must stand alone."""
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def done() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        memory.merge()
+        for at, ends in waiting:
+            ids, offsets = memory.tokens(at)
+            yield ids, offsets[ends]
+        waiting.clear()
+        if memory.bytes > REMEMBERED:
+            memory.forget()
+
+    for block in blocks:
+        if len(block) == 1 and len(block[0]) > BLOCK:
+            yield from done()
+            ids = _long(block[0], pattern, memory)
+            yield ids, np.array([0, len(ids)])
+            continue
+        found = [pattern.findall(text) for text in block]
+        ends = np.concatenate(([0], np.cumsum([len(own) for own in found], dtype=np.int64)))
+        waiting.append((memory.places(list(chain.from_iterable(found))), ends))
+        if memory.new > BLOCK:
+            yield from done()
+    yield from done()
 
 
 def encode_block(block: list[str], vocabulary: Vocabulary, pattern) -> tuple[np.ndarray, np.ndarray]:
     """(token ids one after another, n+1 offsets) of texts; a single text may have any length."""
-    if len(block) != 1 or len(block[0]) <= BLOCK:
-        return encode_pieces([pattern.findall(text) for text in block], vocabulary)
-    parts, found = [], pattern.finditer(block[0])
-    while some := [match.group() for match in islice(found, BLOCK // 4)]:
-        parts.append(encode_pieces([some], vocabulary)[0])
-    ids = np.concatenate(parts)
-    return ids, np.array([0, len(ids)])
+    return next(encode_blocks(iter([block]), pattern, Memory(vocabulary)))
 
 
 def _blocks(batch: pa.Array) -> Iterator[tuple[int, int]]:
@@ -221,9 +286,16 @@ def _blocks(batch: pa.Array) -> Iterator[tuple[int, int]]:
         first = end
 
 
-def _encoded(block: pa.Array, vocabulary: Vocabulary, pattern) -> pa.Array:
-    ids, offsets = encode_block([t or "" for t in block.to_pylist()], vocabulary, pattern)
-    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
+def _encoded(column: pa.Array, vocabulary: Vocabulary, pattern) -> pa.Array:
+    return pa.concat_arrays([ids for _, _, ids in _coded(column, pattern, Memory(vocabulary))] or [pa.array([], pa.list_(pa.int32()))])
+
+
+def _coded(column: pa.Array, pattern, memory: Memory) -> Iterator[tuple[int, int, pa.Array]]:
+    """(first, end, token ids) of runs of rows."""
+    runs = list(_blocks(column))
+    blocks = ([t or "" for t in column.slice(a, b - a).to_pylist()] for a, b in runs)
+    for (a, b), (ids, offsets) in zip(runs, encode_blocks(blocks, pattern, memory)):
+        yield a, b, pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids, pa.int32()))
 
 
 def _decoded(ids: pa.Array, vocabulary: Vocabulary) -> pa.Array:
@@ -249,9 +321,9 @@ def encoder(vocabulary) -> Callable:
     @F.arrow_udf("array<int>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         v = vocabulary.value
-        pattern = regex.compile(v.pattern)
+        pattern, memory = regex.compile(v.pattern), Memory(v)
         for batch in batches:
-            parts = [_encoded(batch.slice(a, b - a), v, pattern) for a, b in _blocks(batch)]
+            parts = [ids for _, _, ids in _coded(batch, pattern, memory)]
             yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
     return encode
@@ -272,12 +344,11 @@ def decoder(vocabulary) -> Callable:
 def _code(batches, vocabulary, text: str) -> Iterator[pa.RecordBatch]:
     """Rows with token ids and decoded bytes, block by block."""
     v = vocabulary.value
-    pattern = regex.compile(v.pattern)
+    pattern, memory = regex.compile(v.pattern), Memory(v)
     for batch in batches:
         column = batch.schema.get_field_index(text)
-        for a, b in _blocks(batch.column(column)):
+        for a, b, ids in _coded(batch.column(column), pattern, memory):
             rows = batch.slice(a, b - a)
-            ids = _encoded(rows.column(column), v, pattern)
             yield pa.RecordBatch.from_arrays([*rows.columns, ids, _decoded(ids, v)], [*rows.schema.names, "token_ids", "decoded"])
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import time
+from types import SimpleNamespace
 
 import public_tokenizers
 import pyarrow as pa
@@ -87,6 +88,23 @@ def test_every_text_is_read_in_blocks(monkeypatch, vocabulary):
     assert bpe._decoded(ids, known).to_pylist() == [t.encode() for t in odd_texts(2, 30)] + [b""]
 
 
+@pytest.mark.parametrize("remembered", [1 << 20, 100])
+def test_pieces_of_earlier_blocks_are_not_merged_again(monkeypatch, vocabulary, remembered):
+    monkeypatch.setattr(bpe, "BLOCK", 50)
+    monkeypatch.setattr(bpe, "REMEMBERED", remembered, raising=False)
+    merged, replay = [], bpe.replay
+    monkeypatch.setattr(bpe, "replay", lambda words, known: merged.extend(words) or replay(words, known))
+    rows = [*odd_texts(3, 40), "qwertzuiop yxcvbnm " * 30, None, *odd_texts(3, 40)]
+    batches = [pa.RecordBatch.from_pydict({"text": pa.array(part, pa.string())}) for part in (rows, [], rows)]
+    shared = SimpleNamespace(value=bpe.Vocabulary(*vocabulary))
+    out = pa.Table.from_batches(list(bpe._code(iter(batches), shared, "text"))).to_pylist()
+    library = reference(*vocabulary)
+    assert [(r["text"], r["token_ids"], r["decoded"]) for r in out] == [
+        (t, library.encode_ordinary(t or ""), (t or "").encode()) for t in [*rows, *rows]]
+    if remembered > 100:
+        assert len(merged) == len(set(merged)) > 10
+
+
 @pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "一二三四五六七八九十百千的是不了在人有我他这", "กขคงจฉชซญดตถทธนบปผ", "é", "ab"])
 def test_long_runs_of_letters(vocabulary, letters):
     """100,000 letters without a break are encoded in about a second, equal to the library."""
