@@ -70,12 +70,17 @@ _rows: dict[str, int] = {}
 LARGEST = ("lineitem", "orders", "events", "embeddings")
 
 
+#: Derived where they are read, not stored: rows of their parents in another form, so that to sort, write and read them
+#: again costs more than to derive them. A filter on an attribute leaves out the parts of the others.
+IN_PLACE = ("clinical_data_derived", "sample_expression")
+
+
 def warehouse(spark: SparkSession, directory: str) -> Tables:
     """`project`, with each table written once per application to the shared folder.
 
     Derived tables are joined, clustered and stored on first use, as the data model wants
     them; later queries read physical columns and can skip row groups by study and gene. A
-    table is derived from the stored copies of the tables it builds on.
+    table is derived from the stored copies of the tables it builds on. Those of IN_PLACE are derived anew by each query.
     """
     digest = hashlib.md5(directory.encode()).hexdigest()[:12]
     root = f"{shared_dir(spark)}/cohortwise/{spark.sparkContext.applicationId}/{digest}"
@@ -84,19 +89,25 @@ def warehouse(spark: SparkSession, directory: str) -> Tables:
         _rows[root] = max((spark.read.parquet(f"{directory}/{n}.parquet").count() for n in LARGEST), default=0)
     partitions = start_wide(spark, _rows[root])
 
+    def parents(name: str) -> set[str]:
+        """Stored tables that this one is derived from."""
+        direct = projection.mentioned(definitions[name], set(definitions) - {name})
+        return {p for parent in direct for p in (parents(parent) if parent in IN_PLACE else {parent})}
+
+    def derived(name: str) -> DataFrame:
+        copies = {parent: f"select * from parquet.`{stored(parent)}`" for parent in sorted(parents(name))}
+        return spark.sql(projection.with_tables(f"select * from {name}", "spark", {**_files(directory), **copies}))
+
     def stored(name: str) -> str:
         path = f"{root}/{name}"
         if path not in _written:
-            parents = projection.mentioned(definitions[name], set(definitions) - {name})
-            copies = {parent: f"select * from parquet.`{stored(parent)}`" for parent in sorted(parents)}
-            text = projection.with_tables(f"select * from {name}", "spark", {**_files(directory), **copies})
-            prep.write_table(spark.sql(text), path, name, partitions)
+            prep.write_table(derived(name), path, name, partitions)
             _written.add(path)
         return path
 
     def get(name: str) -> DataFrame:
         if name in projection.BASE_TABLES:
             return spark.read.parquet(f"{directory}/{name}.parquet")
-        return prep.read_table(spark, stored(name), name)
+        return derived(name) if name in IN_PLACE else prep.read_table(spark, stored(name), name)
 
     return Tables(spark, get, directory)
