@@ -71,8 +71,8 @@ LARGEST = ("lineitem", "orders", "events", "embeddings")
 
 
 #: Derived where they are read, not stored: rows of their parents in another form, so that to sort, write and read them
-#: again costs more than to derive them. A filter on an attribute leaves out the parts of the others.
-IN_PLACE = ("clinical_data_derived", "sample_expression")
+#: again costs more than to derive them.
+IN_PLACE = ("sample_expression",)
 
 
 def warehouse(spark: SparkSession, directory: str) -> Tables:
