@@ -9,14 +9,15 @@ a logarithmic scale: an n-gram whose count has grade g is put into a Bloom filte
 the numbers 1 to g. Probing for 1, 2, .. until one is missing gives back the grade, never less
 than the true one.
 
-Counting: tasks send the words and pairs of each group of texts to parts by the hash of the
-(last) word, each distinct one once, with the rows it stands in. A part adds up the exact counts, sums
-log10(c + 0.5) for each text, and builds its own filter block. The number of parts follows the bytes
-of the input, so a part and its block have a bounded size.
-
-Scoring: blocks are broadcast, at most ROUND_BYTES at a time, and every text is read against
-them. The logarithm of a token's numerator needs only the block of w, that of its denominator only
-the block of v, so the partial sums of several rounds add up to the score that one round gives.
+Counting: texts are kept in groups of about GROUP bytes. A group sends its distinct words and pairs,
+each once with its number in training texts, to parts by their hash. A part adds up the exact counts,
+builds its own filter block and probes it for everything it was sent. The number of parts follows the bytes
+of the input, so a part and its block have a bounded size, and a word reaches its part once per group
+however often it occurs.
+
+Scoring: each group gets back the exact counts of its words and the grades of its words and pairs, in the
+order it sent them, reads its texts once more and adds up the scores. So the corpus is read as often for any
+size of the filter.
 """
 
 from __future__ import annotations
@@ -26,30 +27,29 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
+from zstandard import ZstdCompressor, ZstdDecompressor
 
 from cohortwise.llm import packed, texts
-from cohortwise.llm.common import stored, text_bytes
+from cohortwise.llm.common import stored
 
 U64 = np.uint64
 START, END = U64(0x51A7C0DE51A7C0DE), U64(0xE2DC0DE5E2DC0DE5)
 SMOOTHING = 0.004
 BASE = 1.5
 BITS, PROBES = 12, 4
-PART_BYTES = 8 << 20
+#: Text bytes whose words and pairs a part gets.
+PART_BYTES = 16 << 20
 #: Text bytes whose words and pairs travel together.
-GROUP = 4 << 20
-#: Filter bytes that are broadcast at once.
+GROUP = 8 << 20
+#: Bytes of hashes that are probed at once.
 ROUND_BYTES = 64 << 20
 
-SENT = "part int, gid long, n int, docs binary, sizes binary, words binary, trained binary, times binary, row binary, pairs binary, counts binary"
-SENT_ARROW = pa.schema([("part", pa.int32()), ("gid", pa.int64()), ("n", pa.int32()), *(
-    (name, pa.binary()) for name in ("docs", "sizes", "words", "trained", "times", "row", "pairs", "counts"))])
-MADE = "part int, kind int, gid long, n long, docs binary, sizes binary, sums binary, known binary"
-MADE_ARROW = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("gid", pa.int64()), ("n", pa.int64()), *(
-    (name, pa.binary()) for name in ("docs", "sizes", "sums", "known"))])
-SUMS, BLOCK, TOTALS = 0, 1, 2
+KEPT = "gid long, bytes long, learning long, ids array<{}>, held array<boolean>, sizes binary, texts binary"
+SENT = "part int, gid long, words int, data binary"
+SENT_ARROW = pa.schema([("part", pa.int32()), ("gid", pa.int64()), ("words", pa.int32()), ("data", pa.binary())])
+MADE = "part int, gid long, words int, data binary, total long, distinct long"
+MADE_ARROW = pa.schema([("part", pa.int32()), ("gid", pa.int64()), ("words", pa.int32()), ("data", pa.binary()), ("total", pa.int64()), ("distinct", pa.int64())])
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -118,7 +118,7 @@ class Filter:
             self.first[part], self.bits[part] = at, int(np.frombuffer(block[:8], "<i8")[0])
             at += len(block) - 8
 
-    def count(self, hashes: np.ndarray, part: np.ndarray) -> np.ndarray:
+    def grades(self, hashes: np.ndarray, part: np.ndarray) -> np.ndarray:
         grades = np.zeros(len(hashes), np.int64)
         alive = np.arange(len(hashes))
         level = 0
@@ -129,48 +129,73 @@ class Filter:
                 at = _positions(hashes[alive], np.full(len(alive), level), self.bits[p], probe)
                 alive = alive[self.bytes[self.first[p] + (at >> 3)] >> (at & 7).astype(np.uint8) & 1 > 0]
             grades[alive] = level
-        return TYPICAL[np.minimum(grades, len(TYPICAL) - 1)]
+        return np.minimum(grades, len(TYPICAL) - 1)
+
+    def count(self, hashes: np.ndarray, part: np.ndarray) -> np.ndarray:
+        return TYPICAL[self.grades(hashes, part)]
+
+
+@texts.trimmed
+def _keep(batches) -> Iterator[pa.RecordBatch]:
+    """A row for each group of texts, with its texts compressed together."""
+    groups, compress = packed.numbers(), ZstdCompressor(level=1).compress
+    for batch in batches:
+        ids, held, _ = batch.columns
+        for first, end, data, offsets in texts.pieces(batch, "__text", GROUP):
+            n = end - first
+            learning = n - int(held.slice(first, n).to_numpy(zero_copy_only=False).astype(bool).sum())
+            one = [pa.array([x]) for x in (next(groups), len(data), learning)]
+            lists = [pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), x.slice(first, n)) for x in (ids, held)]
+            blobs = [texts.binary([x]) for x in (packed.planes(np.diff(offsets)), compress(data.tobytes()))]
+            yield pa.RecordBatch.from_arrays([*one, *lists, *blobs], ["gid", "bytes", "learning", "ids", "held", "sizes", "texts"])
+
+
+def _opened(sizes: bytes, squeezed: bytes) -> list[np.ndarray]:
+    """Tokens of a group's texts, each with the one before and its row."""
+    data = ZstdDecompressor().decompress(squeezed)
+    offsets = np.concatenate(([0], np.cumsum(packed.unplanes(sizes), dtype=np.int64)))
+    whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+    def find(first, data, offsets):
+        token, before, row = tokens(data, offsets)
+        return token, before, row + first
+
+    return next(texts.groups(pa.RecordBatch.from_arrays([whole], ["__text"]), "__text", find, len(data) + 1))
+
+
+def _numbered(hashes: np.ndarray, use: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct hashes in order, how often each is in `use`, where each part begins and the last ends)."""
+    distinct = np.unique(hashes)
+    learned, times = np.unique(hashes[use], return_counts=True)
+    count = np.zeros(len(distinct), np.uint32)
+    count[np.searchsorted(distinct, learned)] = times
+    part = (distinct >> U64(32)) * U64(parts) >> U64(32)  # in the order of the hashes
+    return distinct, count, np.searchsorted(part, np.arange(parts + 1, dtype=U64))
+
+
+def _rising(hashes: np.ndarray) -> bytes:
+    """Hashes in order as their differences, byte by byte of their significance."""
+    return np.diff(hashes, prepend=U64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _risen(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel(), dtype=U64)
 
 
 @texts.trimmed
 def _send(batches, parts: int) -> Iterator[pa.RecordBatch]:
-    number = TaskContext.get().partitionId() << 32
+    compress = ZstdCompressor(level=1).compress
     for batch in batches:
-        k, tie = packed.names(batch)
-        learns = ~batch.column(batch.schema.get_field_index("__held")).to_numpy(zero_copy_only=False).astype(bool)
-
-        def find(first, data, offsets):
-            token, before, row = tokens(data, offsets)
-            return token, before, row + first
-
-        for token, before, row in texts.groups(batch, "__text", find, GROUP):
-            number += 1
-            low, high = int(row[0]), int(row[-1]) + 1
-            row -= low
-            use = learns[low:high][row]
-            word, back = np.unique(token, return_inverse=True)
-            trained = np.bincount(back, weights=use, minlength=len(word)).astype(np.int64)
-            by = np.argsort(back, kind="stable")
-            times = np.bincount(back, minlength=len(word))
-            ends = np.cumsum(times)
-            couple, one, count = np.unique(texts.pair(before, token)[use], return_index=True, return_counts=True)
-            couple_part = (token[use][one] % U64(parts)).astype(np.int64)
-            word_part = (word % U64(parts)).astype(np.int64)
-            order, couple_order = np.argsort(word_part, kind="stable"), np.argsort(couple_part, kind="stable")
-            cuts = np.searchsorted(word_part[order], np.arange(parts + 1))
-            couple_cuts = np.searchsorted(couple_part[couple_order], np.arange(parts + 1))
+        for gid, held, sizes, squeezed in zip(*(batch.column(batch.schema.get_field_index(x)) for x in ("gid", "held", "sizes", "texts"))):
+            token, before, row = _opened(sizes.as_py(), squeezed.as_py())
+            use = ~held.values.to_numpy(zero_copy_only=False).astype(bool)[row]
+            word, trained, cuts = _numbered(token, use, parts)
+            couple, count, couple_cuts = _numbered(texts.pair(before, token), use, parts)
             out: dict[str, list] = {f.name: [] for f in SENT_ARROW}
-            for p in np.flatnonzero(np.diff(cuts)):
-                mine, theirs = order[cuts[p]:cuts[p + 1]], couple_order[couple_cuts[p]:couple_cuts[p + 1]]
-                at = by[np.repeat(ends[mine] - times[mine], times[mine]) + texts.ragged(times[mine])]
-                head = not out["part"]
-                for name, value in (
-                    ("part", int(p)), ("gid", number), ("n", high - low),
-                    ("docs", np.stack((k[low:high], tie[low:high])).tobytes() if head else None),
-                    ("sizes", packed.planes(np.bincount(row, minlength=high - low)) if head else None),
-                    ("words", word[mine].tobytes()), ("trained", packed.planes(trained[mine])), ("times", packed.planes(times[mine])),
-                    ("row", packed.planes(row[at])), ("pairs", couple[theirs].tobytes()), ("counts", packed.planes(count[theirs])),
-                ):
+            for p in np.flatnonzero(np.diff(cuts) + np.diff(couple_cuts)).tolist():
+                mine, theirs = slice(cuts[p], cuts[p + 1]), slice(couple_cuts[p], couple_cuts[p + 1])
+                data = _rising(word[mine]) + packed.planes(trained[mine]) + _rising(couple[theirs]) + packed.planes(count[theirs])
+                for name, value in (("part", p), ("gid", gid.as_py()), ("words", int(cuts[p + 1] - cuts[p])), ("data", compress(data))):
                     out[name].append(value)
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in SENT_ARROW], schema=SENT_ARROW)
 
@@ -182,69 +207,63 @@ def _totals(hashes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndar
 
 
 def _count(table: pa.Table) -> pa.Table:
-    get = {name: table.column(name).to_pylist() for name in SENT_ARROW.names}
-    words = [np.frombuffer(x, U64) for x in get["words"]]
-    known, back, total = _totals(words, [packed.unplanes(x) for x in get["trained"]])
-    pairs, _, pair_total = _totals([np.frombuffer(x, U64) for x in get["pairs"]], [packed.unplanes(x) for x in get["counts"]])
-    out: dict[str, list] = {f.name: [] for f in MADE_ARROW}
-
-    def row(**values):
-        for name in out:
-            out[name].append(values.get(name))
-
-    log, ends = np.log10(total + 0.5), np.cumsum([len(w) for w in words])
-    for i, w in enumerate(words):
-        mine = back[ends[i] - len(w):ends[i]]
-        times, at, n = packed.unplanes(get["times"][i]), packed.unplanes(get["row"][i]), get["n"][i]
-        of = np.repeat(mine, times)
-        row(part=get["part"][i], kind=SUMS, gid=get["gid"][i], n=n, docs=get["docs"][i], sizes=get["sizes"][i],
-            sums=np.bincount(at, weights=log[of], minlength=n).tobytes(),
-            known=packed.planes(np.bincount(at, weights=total[of] > 0, minlength=n).astype(np.int64)))
-    seen = total > 0
-    part = get["part"][0]
-    row(part=part, kind=BLOCK, sums=build_block(np.concatenate((known[seen], pairs)), np.concatenate((total[seen], pair_total))).tobytes())
-    row(part=part, kind=TOTALS, gid=int(total.sum()), n=int(seen.sum()))
-    return pa.Table.from_arrays([pa.array(out[f.name], f.type) for f in MADE_ARROW], schema=MADE_ARROW)
-
-
-def _gather(table: pa.Table) -> pa.Table:
-    """The texts of one group, their partial sums of all parts added."""
-    order = np.argsort(table.column("part").to_numpy())  # the same order of additions in every run
-    get = {name: [table.column(name)[int(i)].as_py() for i in order] for name in ("docs", "sizes", "sums", "known")}
-    head = next(i for i, x in enumerate(get["docs"]) if x is not None)
-    docs = np.frombuffer(get["docs"][head], np.int64).reshape(2, -1)
-    sums = np.sum([np.frombuffer(x, np.float64) for x in get["sums"]], axis=0)
-    known = np.sum([packed.unplanes(x).astype(np.int64) for x in get["known"]], axis=0)
-    return pa.table({"__k": docs[0], "__tie": docs[1], "n_tokens": packed.unplanes(get["sizes"][head]).astype(np.int64), "n_known": known, "sums": sums})
-
-
-@texts.trimmed
-def _score(batches, blocks, total: int, distinct: int, starts: int, lead: bool) -> Iterator[pa.RecordBatch]:
-    f: Filter = blocks.value
+    """The answers of one part to each group, in the order of what the group sent."""
+    gids, numbers = table.column("gid").to_pylist(), table.column("words").to_pylist()
+    expand, compress = ZstdDecompressor().decompress, ZstdCompressor(level=1).compress
+    sent: list[list[np.ndarray]] = [[], [], [], []]
+    for n, squeezed in zip(numbers, table.column("data")):
+        raw = expand(squeezed.as_py())
+        m = (len(raw) - 12 * n) // 12
+        for found, of, read, a, b in zip(sent, (n, n, m, m), (_risen, packed.unplanes) * 2, (0, 8 * n, 12 * n, 12 * n + 8 * m), (8 * n, 12 * n, 12 * n + 8 * m, 12 * (n + m))):
+            found.append(read(raw[a:b]) if of else np.zeros(0, U64))
+    known, back, total = _totals(sent[0], sent[1])
+    pairs, pair_back, pair_total = _totals(sent[2], sent[3])
+    seen, met = total > 0, pair_total > 0
+    f = Filter(1, {0: build_block(np.concatenate((known[seen], pairs[met])), np.concatenate((total[seen], pair_total[met]))).tobytes()})
+    step = max(1, ROUND_BYTES // 8)
+
+    def grades(hashes):
+        return np.concatenate([np.zeros(0, np.uint8), *(
+            f.grades(hashes[a:a + step], np.zeros(len(hashes[a:a + step]), np.int64)).astype(np.uint8) for a in range(0, len(hashes), step))])
+
+    word_grades, pair_grades = grades(known), grades(pairs)
+    data, at, pair_at = [], 0, 0
+    for words, couples in zip(sent[0], sent[2]):
+        mine, theirs = back[at:at + len(words)], pair_back[pair_at:pair_at + len(couples)]
+        exact = total[mine].astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+        data.append(compress(exact + word_grades[mine].tobytes() + pair_grades[theirs].tobytes()))
+        at, pair_at = at + len(words), pair_at + len(couples)
+    rest = [0] * (len(gids) - 1)
+    made = table.column("part").to_pylist(), gids, numbers, data, [int(total.sum()), *rest], [int(seen.sum()), *rest]
+    return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(made, MADE_ARROW)], schema=MADE_ARROW)
+
+
+def _score(kept: pa.Table, made: pa.Table, total: int, distinct: int, starts: int) -> pa.Table:
+    """The texts of one group with their scores."""
+    expand, exact, word_grades, pair_grades = ZstdDecompressor().decompress, [], [], []
+    for i in np.argsort(made.column("part").to_numpy()).tolist():
+        raw, n = np.frombuffer(expand(made.column("data")[i].as_py()), np.uint8), made.column("words")[i].as_py()
+        exact.append(np.ascontiguousarray(raw[:8 * n].reshape(8, n).T).view("<i8").ravel())
+        word_grades.append(raw[8 * n:9 * n])
+        pair_grades.append(raw[9 * n:])
+    (ids, held), (sizes, squeezed) = (kept.column(x)[0].values for x in ("ids", "held")), (kept.column(x)[0].as_py() for x in ("sizes", "texts"))
+    token, before, row = _opened(sizes, squeezed)
     mu = max(SMOOTHING * total, 1.0)
     below = total + 0.5 * (distinct + 1)
-    for batch in batches:
-        k, tie = packed.names(batch)
-        sums = np.zeros(batch.num_rows)
-        for first, _, data, offsets in texts.pieces(batch, "__text"):
-            token, before, row = tokens(data, offsets)
-            word, back = np.unique(token, return_inverse=True)
-            part = (word % U64(f.parts)).astype(np.int64)
-            here = f.here[part]
-            mine = np.flatnonzero(here)
-            count = np.zeros(len(word))
-            count[mine] = f.count(word[mine], part[mine])
-            use = np.flatnonzero(here[back])
-            couple = f.count(texts.pair(before[use], token[use]), part[back[use]])
-            value = np.zeros(len(token))
-            value[use] = np.log10(couple + mu * (count[back[use]] + 0.5) / below)
-            # each word but the end is the context of the next token
-            context = use[token[use] != END]
-            value[context] -= np.log10(count[back[context]] + mu)
-            if lead:
-                value[before == START] -= np.log10(starts + mu)
-            sums[first:first + len(offsets) - 1] = np.bincount(row, weights=value, minlength=len(offsets) - 1)
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(tie), pa.array(sums)], ["__k", "__tie", "partial"])
+    back, couple = (np.unique(x, return_inverse=True)[1] for x in (token, texts.pair(before, token)))
+    trained, count = np.concatenate(exact), TYPICAL[np.concatenate(word_grades)]
+    value = np.log10(TYPICAL[np.concatenate(pair_grades)][couple] + (mu * (count + 0.5) / below)[back])
+    # each word but the end is the context of the next token
+    value -= np.where(token == END, 0.0, np.log10(count + mu)[back])
+    value[before == START] -= np.log10(starts + mu)
+    n_tokens = np.bincount(row, minlength=len(ids))
+
+    def sums(of):
+        return np.bincount(row, weights=of, minlength=len(ids))
+
+    return pa.table({
+        "id": ids, "held_out": held, "n_tokens": n_tokens, "n_known": sums((trained > 0)[back]).astype(np.int64),
+        "base_score": sums(np.log10(trained + 0.5)[back]) - n_tokens * np.log10(below), "score": sums(value)})
 
 
 def score(docs: DataFrame, held_out, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -258,40 +277,30 @@ def score(docs: DataFrame, held_out, id_column: str = "doc_id", text: str = "tex
     as they occur and have equal scores; null ids are ids like others. Without training texts all
     counts are zero.
     """
-    spark = docs.sparkSession
-    rows = packed.identified(docs, id_column, text).withColumns({"__held": F.coalesce(held_out, F.lit(False)), "__text": F.col(text)})
-    small = rows.select("__k", "__tie", "__held", "__text")
-    parts = max(1, -(-text_bytes(docs, text) // PART_BYTES))
-    made = small.mapInArrow(partial(_send, parts=parts), SENT).groupBy("part").applyInArrow(_count, MADE)
-    made = stored(made, "counts")
-    total, distinct = made.where(F.col("kind") == TOTALS).agg(F.coalesce(F.sum("gid"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    starts = rows.where("not __held").count()
-    base = made.where(F.col("kind") == SUMS).groupBy("gid").applyInArrow(_gather, "__k long, __tie long, n_tokens long, n_known long, sums double")
-    # blocks are cut into rounds by their sizes: one number for each part
-    sizes = made.where(F.col("kind") == BLOCK).select("part", F.octet_length("sums").alias("size")).orderBy("part").collect()
-    rounds: list[list[int]] = [[]]
-    room = ROUND_BYTES
-    for r in sizes:
-        if r["size"] > room and rounds[-1]:
-            rounds.append([])
-            room = ROUND_BYTES
-        rounds[-1].append(r["part"])
-        room -= r["size"]
-    partials = []
-    for i, of in enumerate(rounds):
-        picked = made.where((F.col("kind") == BLOCK) & F.col("part").isin(of)).select("part", "sums").collect()
-        blocks = spark.sparkContext.broadcast(Filter(parts, {r["part"]: bytes(r["sums"]) for r in picked}))
-        out = small.mapInArrow(partial(_score, blocks=blocks, total=total, distinct=distinct, starts=starts, lead=i == 0), "__k long, __tie long, partial double")
-        partials.append(stored(out, "scores"))
-        blocks.unpersist()
-    whole = partials[0].withColumn("__round", F.lit(0))
-    for i, p in enumerate(partials[1:], 1):
-        whole = whole.union(p.withColumn("__round", F.lit(i)))
-    # rows that are equal in id and text have equal partial scores
-    each = whole.groupBy("__k", "__tie", "__round").agg(F.max("partial").alias("partial")).groupBy("__k", "__tie").agg(F.sum("partial").alias("score"))
-    held = rows.select("__k", "__tie", "__held", F.col(id_column).alias("__id")).distinct()
-    below = float(np.log10(total + 0.5 * (distinct + 1)))
-    joined = base.join(each, ["__k", "__tie"]).join(held, ["__k", "__tie"])
-    return joined.select(
-        F.col("__id").alias(id_column), F.col("__held").alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("sums") - F.col("n_tokens") * F.lit(below)).alias("base_score"), "score")
+    kind = docs.schema[id_column].dataType.simpleString()
+    rows = docs.select(F.col(id_column).alias("id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.col(text).alias("__text"))
+    kept = stored(rows.mapInArrow(_keep, KEPT.format(kind)), "texts", maxRecordsPerFile=8)
+    size, starts = kept.agg(*(F.coalesce(F.sum(x), F.lit(0)) for x in ("bytes", "learning"))).first()
+    parts = max(1, -(-size // PART_BYTES))
+
+    def count(table):
+        try:
+            return _count(table)
+        finally:
+            texts.release()
+
+    sent = kept.select("gid", "held", "sizes", "texts").mapInArrow(partial(_send, parts=parts), SENT)
+    made = stored(sent.groupBy("part").applyInArrow(count, MADE), "counts")
+    total, distinct = made.agg(*(F.coalesce(F.sum(x), F.lit(0)) for x in ("total", "distinct"))).first()
+
+    def read(group, answers):
+        try:
+            return _score(group, answers, total, distinct, starts)
+        finally:
+            texts.release()
+
+    groups, answers = kept.select("gid", "ids", "held", "sizes", "texts").groupBy("gid"), made.select("part", "gid", "words", "data").groupBy("gid")
+    scored = groups.cogroup(answers).applyInArrow(
+        read, f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return scored.select(
+        F.col("id").alias(id_column), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -9,6 +9,8 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,3 +111,27 @@ def test_filter_never_loses_a_count():
 def test_grades_and_typical_counts():
     assert lm.grade(np.array([1, 2, 3, 4, 5, 6, 7])).tolist() == [1, 2, 3, 4, 4, 5, 5]
     assert lm.TYPICAL[:6].tolist() == [0, 1, 2, 3, 4.5, 6.5]
+
+
+def test_the_corpus_is_read_as_often_for_a_filter_of_any_size(documents, monkeypatch):
+    seen = []
+    stored = lm.stored
+    monkeypatch.setattr(lm, "stored", lambda df, what, **options: seen.append(what) or stored(df, what, **options))
+    monkeypatch.setattr(lm, "PART_BYTES", 2000)
+    monkeypatch.setattr(lm, "ROUND_BYTES", 1000)
+    rows = list(enumerate(texts(3, 100)))
+    want = brute(rows)
+    found = {r.doc_id: (r.held_out, r.n_tokens, r.n_known, r.train_tokens) for r in lm.score(documents(rows), one_in_five()).collect()}
+    assert found == {d: x[:4] for d, x in want.items()}
+    assert len(seen) <= 2, seen  # a table for each round over the corpus before
+
+
+def test_a_common_word_is_sent_once_per_group():
+    columns = [1, 2, 3], [False, True, False], ["the " * 200_000, "the cat", None]
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["id", "held", "__text"])
+    sent = pa.Table.from_batches(lm._send(lm._keep([batch]), 3))
+    assert sum(sent.column("words").to_pylist()) == 3  # the, cat, the end
+    assert sum(len(x) for x in sent.column("data").to_pylist()) < 1000
+    parts = [sent.filter(pc.equal(sent.column("part"), p)) for p in sorted(set(sent.column("part").to_pylist()))]
+    made = pa.concat_tables([lm._count(p) for p in parts])
+    assert (sum(made.column("total").to_pylist()), sum(made.column("distinct").to_pylist())) == (200_002, 2)
