@@ -1,14 +1,20 @@
-"""Near-duplicate embeddings: cells of spherical k-means, and blocked cosine products within them.
+"""Near-duplicate embeddings: cells of spherical k-means, and blocked cosine products between them.
 
 Every vector belongs to the cell of its best centroid. It also visits each other cell in which a
 vector with a cosine of at least `threshold` to it can lie: a vector of cell c is nearer to c than
 to any other centroid, so one that lies further than the threshold's chord on the other side of
-the plane between the two has no partner there. No pair is lost by that.
+the plane between the two has no partner there. No pair is lost by that, and of two partners each
+visits the other's cell.
 
-Members and visitors of a cell are cut into blocks, and each pair of blocks is one product. The
-centroids are fitted on a bounded sample; all rows are assigned and compared. Vectors of each
-length have cells of their own. Vectors without any
-cluster structure visit many cells; their number follows the root of the number of vectors.
+Cells that lie close together are packed into blocks of bounded size, and a cell that is larger is cut over
+several. A vector goes to each pair of its own block and one with a cell it visits, once however many cells
+of that block it visits. There the vectors of two cells that visit the other's cell are multiplied tile
+by tile: along their SHORT main axes first, which with the lengths of the rests bounds the cosine, then as a whole
+where the bound allows a link. Single precision serves for both; what it leaves open is decided in double precision.
+
+The centroids are fitted on a bounded sample; all rows are assigned and compared. Vectors of each
+length have cells of their own. Vectors without any cluster structure visit many cells: then each goes to
+nearly all blocks, and the products grow with the square of the number of vectors.
 """
 
 from __future__ import annotations
@@ -26,7 +32,14 @@ from cohortwise.llm import texts
 from cohortwise.llm.common import stored
 from cohortwise.llm.components import components
 
-BLOCK = 2048
+#: Vectors of a block at most, their bytes in single precision at most, and vectors below which more blocks are of no use.
+BLOCK, BLOCK_BYTES, LEAST = 1 << 17, 32 << 20, 1024
+#: Blocks to cut a small table into, for tasks to share.
+SPREAD = 4
+#: Vectors on each side of a product.
+TILE = 1024
+#: Dimensions that bound a cosine from above, with the length of what they leave out as one more.
+SHORT = 16
 SLACK = 1e-6
 
 
@@ -57,64 +70,205 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
     return matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
 
 
-def _cells(x: np.ndarray, c: np.ndarray | None, gap: np.ndarray | None, chord: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(cell of each vector, cells they visit, how many each visits); without centroids there is one cell."""
+def _cells(x: np.ndarray, c: np.ndarray | None, chord: float) -> tuple[np.ndarray, np.ndarray]:
+    """(cell of each vector, which cells each visits); without centroids there is one cell."""
     if c is None:
-        return np.zeros(len(x), np.int32), np.zeros(len(x), np.int32), np.ones(len(x), np.int64)
-    cells, visits, counts = [], [], []
-    for a in range(0, len(x), 2048):
-        cosine = x[a:a + 2048] @ c.T
-        own = cosine.argmax(axis=1)
-        near = (cosine[np.arange(len(own)), own][:, None] - cosine) <= chord * gap[own] + SLACK
-        cells.append(own)
-        visits.append(np.nonzero(near)[1])
-        counts.append(near.sum(axis=1))
-    return np.concatenate(cells).astype(np.int32), np.concatenate(visits).astype(np.int32), np.concatenate(counts)
+        return np.zeros(len(x), np.int64), np.ones((len(x), 1), bool)
+    cosine = x @ c.T
+    own = cosine.argmax(axis=1)
+    gap = np.sqrt(np.maximum(2 - 2 * (c @ c.T), 0))[own]  # between centroids
+    return own, cosine[np.arange(len(own)), own][:, None] - cosine <= chord * gap + SLACK
+
+
+def _chord(threshold: float) -> float:
+    return math.sqrt(max(2 - 2 * threshold, 0.0)) + SLACK
+
+
+def _by_length(batches) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """(length, rows with vectors of it), a few rows at a time."""
+    for whole in batches:
+        for first in range(0, whole.num_rows, TILE):
+            batch = whole.slice(first, TILE)
+            lengths = compute.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False)
+            for n in np.unique(lengths).tolist():
+                yield n, batch.filter(pa.array(lengths == n))
+
+
+@texts.trimmed
+def _assign(batches, centroids) -> Iterator[pa.RecordBatch]:
+    """How many vectors each cell has, in parts."""
+    for n, batch in _by_length(batches):
+        own = np.zeros(len(batch), np.int64) if n not in centroids.value else (_unit(_matrix(batch.column(2))) @ centroids.value[n].T).argmax(axis=1)
+        cell, count = np.unique(own, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cell), n, np.int32)), pa.array(cell.astype(np.int32)), pa.array(count)], ["length", "cell", "members"])
+
+
+def _chain(c: np.ndarray) -> list[int]:
+    """Centroids in an order in which each is followed by the nearest that is left."""
+    order, left = [0], np.ones(len(c), bool)
+    for _ in range(len(c) - 1):
+        left[order[-1]] = False
+        order.append(int(np.where(left, c @ c[order[-1]], -np.inf).argmax()))
+    return order
+
+
+def _packed(order: list[int], members: dict[int, int], most: int, first: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(first block of each cell, number of blocks it is cut over, block after the last), blocks of about `most` vectors."""
+    begin, pieces, block, room = np.zeros(len(order), np.int64), np.ones(len(order), np.int64), first, most
+    for cell in order:
+        size = members.get(cell, 0)
+        if size > room and room < most:
+            block, room = block + 1, most
+        begin[cell], pieces[cell] = block, max(1, -(-size // most))
+        room -= size
+        if room <= 0:
+            block, room = block + int(pieces[cell]), most
+    return begin, pieces, block + (room < most)
 
 
 @texts.trimmed
-def _assign(batches, centroids, threshold: float) -> Iterator[pa.RecordBatch]:
-    by_length = centroids.value
-    gaps = {n: np.sqrt(np.maximum(2 - 2 * (c @ c.T), 0)) for n, c in by_length.items()}  # between centroids
-    chord = math.sqrt(2 - 2 * threshold) + SLACK
-    for batch in batches:
-        lengths = compute.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False)
-        for n in np.unique(lengths).tolist():
-            node, copies, vector = batch.filter(pa.array(lengths == n)).columns[:3]
-            cells, visits, counts = _cells(_unit(_matrix(vector)) if n in by_length else vector, by_length.get(n), gaps.get(n), chord)
-            yield pa.RecordBatch.from_arrays(
-                [node, copies, vector, pa.array(np.full(len(node), n, np.int32)), pa.array(cells), _lists(visits, counts)],
-                ["node", "copies", "vector", "length", "cell", "visits"])
-
-
-def _link(table: pa.Table, threshold: float) -> pa.Table:
-    member = table.filter(table.column("member"))
-    visitor = table.filter(compute.invert(table.column("member")))
-    made: dict[str, list] = {"node": [], "links": [], "other": []}
-    if member.num_rows and visitor.num_rows:
-        m, v = (_unit(_matrix(t.column("vector").combine_chunks())) for t in (member, visitor))
-        m_node, v_node = (t.column("node").to_numpy() for t in (member, visitor))
-        linked = (v @ m.T >= threshold) & (v_node[:, None] != m_node[None, :])
-        links = linked @ member.column("copies").to_numpy().astype(np.float64)
-        hit = np.flatnonzero(linked.any(axis=1))
-        made["node"] += v_node[hit].tolist()
-        made["links"] += links[hit].astype(np.int64).tolist()
-        made["other"] += [None] * len(hit)
-        # a forest of the links: each node to the least node it reaches in this block
-        cols = np.flatnonzero(linked.any(axis=0))
-        part = linked[np.ix_(hit, cols)]
-        left, right = v_node[hit].copy(), m_node[cols].copy()
-        most = np.iinfo(np.int64).max
-        while len(hit):
+def _deal(batches, layout, threshold: float) -> Iterator[pa.RecordBatch]:
+    """Vectors with their cell, their block and all blocks with cells they visit."""
+    chord = _chord(threshold)
+    for n, batch in _by_length(batches):
+        c, begin, pieces = layout.value[n]
+        node = batch.column(0).to_numpy(zero_copy_only=False)
+        cell, near = _cells(np.empty((len(batch), 0)) if c is None else _unit(_matrix(batch.column(2))), c, chord)
+        low = int(begin.min())
+        holds = np.zeros((len(begin), int((begin + pieces).max()) - low), np.float32)
+        for i in range(len(begin)):
+            holds[i, begin[i] - low:begin[i] - low + pieces[i]] = 1
+        row, to = np.nonzero(near.astype(np.float32) @ holds)
+        mine = begin[cell] + node % pieces[cell]
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns[:3], pa.array(np.full(len(batch), n, np.int32)), pa.array(cell.astype(np.int32)), pa.array(mine.astype(np.int32)),
+             _lists((to + low).astype(np.int32), np.bincount(row, minlength=len(batch)))],
+            ["node", "copies", "vector", "length", "cell", "mine", "blocks"])
+
+
+def _roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """For each of n things the least that links lead to."""
+    root = np.arange(n)
+    while True:
+        least = np.minimum(root[left], root[right])
+        new = root.copy()
+        for side in (left, right, root[left], root[right]):
+            np.minimum.at(new, side, least)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
+class _Linker:
+    """The links between the vectors of a pair of blocks."""
+
+    def __init__(self, vectors: pa.ChunkedArray, copies: np.ndarray, threshold: float):
+        self.vectors, self.copies, self.threshold = vectors, copies.astype(np.float64), threshold
+        self.x = np.concatenate([self._units(vectors.slice(a, TILE)).astype(np.float32) for a in range(0, len(vectors), TILE)])
+        d = self.x.shape[1]
+        self.error = (d + 4) * 2.0**-23  # of a cosine in single precision, at most
+        self.short = None
+        if d > 2 * SHORT:
+            axes = np.linalg.eigh((self.x.T @ self.x).astype(np.float64))[1][:, :-SHORT - 1:-1].astype(np.float32)
+            self.short = np.empty((len(self.x), SHORT + 1), np.float32)
+            self.short[:, :SHORT] = self.x @ axes
+            self.short[:, SHORT] = np.sqrt(np.maximum(1 + 4 * self.error - (self.short[:, :SHORT]**2).sum(axis=1), 0))
+        self.links = np.zeros(len(vectors))
+        self.left, self.right, self.kept = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+
+    @staticmethod
+    def _units(vectors: pa.ChunkedArray) -> np.ndarray:
+        return np.concatenate([_unit(_matrix(chunk)) for chunk in vectors.chunks if len(chunk)])
+
+    def visitors(self, rows: np.ndarray, own: int, cells: np.ndarray, c: np.ndarray | None) -> np.ndarray:
+        """Which of `cells` each of `rows`, of the cell `own`, visits."""
+        if c is None:
+            return np.ones((len(rows), len(cells)), bool)
+        limit = _chord(self.threshold) * np.sqrt(np.maximum(2 - 2 * (c[cells] @ c[own]), 0)) + SLACK + 2 * self.error
+        apart = (c[own] - c[cells]).astype(np.float32)
+        return np.concatenate([self.x[rows[a:a + TILE]] @ apart.T <= limit for a in range(0, len(rows), TILE)])
+
+    def multiply(self, rows: np.ndarray, cols: np.ndarray, same: bool) -> None:
+        for i in range(0, len(rows), TILE):
+            for j in range(i if same else 0, len(cols), TILE):
+                self._tile(rows[i:i + TILE], cols[j:j + TILE], same and i == j)
+
+    def _tile(self, rows: np.ndarray, cols: np.ndarray, diagonal: bool) -> None:
+        if self.short is not None:
+            most = self.short[rows] @ self.short[cols].T
+            if diagonal:
+                np.fill_diagonal(most, -2)
+            if most.max() < self.threshold - 8 * self.error:
+                return
+            near = most >= self.threshold - 8 * self.error
+            rows, cols = rows[near.any(axis=1)], cols[near.any(axis=0)]
+        cosine = self.x[rows] @ self.x[cols].T
+        if diagonal:
+            cosine[rows[:, None] == cols[None, :]] = -2
+        if cosine.max() < self.threshold - self.error:
+            return
+        linked = cosine >= self.threshold - self.error
+        r, s = np.nonzero(linked & (cosine <= self.threshold + self.error))
+        for a in range(0, len(r), TILE):
+            one, two = (self._units(self.vectors.take(pa.array(side))) for side in (rows[r[a:a + TILE]], cols[s[a:a + TILE]]))
+            linked[r[a:a + TILE], s[a:a + TILE]] = (one * two).sum(axis=1) >= self.threshold
+        hit, met = np.flatnonzero(linked.any(axis=1)), np.flatnonzero(linked.any(axis=0))
+        if not len(hit):
+            return
+        part, rows, cols = linked[np.ix_(hit, met)], rows[hit], cols[met]
+        self.links[rows] += part @ self.copies[cols]
+        if not diagonal:
+            self.links[cols] += self.copies[rows] @ part
+        # a forest of the links: each to the least it reaches in this tile
+        left, right = rows.copy(), cols.copy()
+        most = len(self.x)
+        while True:
             new_left = np.minimum(left, np.where(part, right[None, :], most).min(axis=1))
             new_right = np.minimum(right, np.where(part, new_left[:, None], most).min(axis=0))
             if (new_left == left).all() and (new_right == right).all():
                 break
             left, right = new_left, new_right
-        made["node"] += v_node[hit].tolist() + m_node[cols].tolist()
-        made["links"] += [0] * (len(hit) + len(cols))
-        made["other"] += left.tolist() + right.tolist()
-    return pa.table({"node": pa.array(made["node"], pa.int64()), "links": pa.array(made["links"], pa.int64()), "other": pa.array(made["other"], pa.int64())})
+        self.left += [rows, cols]
+        self.right += [left, right]
+        self.kept += len(rows) + len(cols)
+        if self.kept > max(1 << 20, 2 * len(self.x)):
+            self.forest()
+
+    def forest(self) -> np.ndarray:
+        """For each vector the least its links lead to; the links kept are cut down to these."""
+        root = _roots(len(self.x), np.concatenate(self.left), np.concatenate(self.right))
+        joined = np.flatnonzero(root != np.arange(len(root)))
+        self.left, self.right, self.kept = [joined], [root[joined]], len(joined)
+        return root
+
+
+def _link(table: pa.Table, centroids: dict[int, np.ndarray], threshold: float) -> pa.Table:
+    """The links of a pair of blocks, or within a block: their number for each vector, and a forest of them."""
+    low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+    mine, cell, node = (table.column(x).to_numpy() for x in ("mine", "cell", "node"))
+    c = centroids.get(table.column("length")[0].as_py())
+    order = np.argsort(cell, kind="stable")
+    sides = []
+    for block in dict.fromkeys((low, high)):
+        here = order[mine[order] == block]
+        cells, begin = np.unique(cell[here], return_index=True)
+        sides.append((cells, np.split(here, begin[1:]) if len(here) else []))
+    if all(len(cells) for cells, _ in sides):
+        linker = _Linker(table.column("vector"), table.column("copies").to_numpy(), threshold)
+        (a_cells, a_rows), (b_cells, b_rows) = sides[0], sides[-1]
+        a_sees = [linker.visitors(rows, own, b_cells, c) for own, rows in zip(a_cells, a_rows)]
+        b_sees = a_sees if low == high else [linker.visitors(rows, own, a_cells, c) for own, rows in zip(b_cells, b_rows)]
+        for i, rows in enumerate(a_rows):
+            for j in range(i if low == high else 0, len(b_rows)):
+                linker.multiply(rows[a_sees[i][:, j]], b_rows[j][b_sees[j][:, i]], low == high and i == j)
+        linked = np.flatnonzero(linker.links)
+        root = linker.forest()
+        joined = np.flatnonzero(root != np.arange(len(node)))
+        return pa.table({
+            "node": np.concatenate((node[linked], node[joined])), "links": np.concatenate((linker.links[linked], np.zeros(len(joined)))).astype(np.int64),
+            "other": pa.array(np.concatenate((np.zeros(len(linked), np.int64), node[root[joined]])), mask=np.arange(len(linked) + len(joined)) < len(linked))})
+    return pa.table({x: pa.array([], pa.int64()) for x in ("node", "links", "other")})
 
 
 def near_duplicates(
@@ -130,7 +284,7 @@ def near_duplicates(
     link with each other; they are compared as one and counted by their number. Rows with one id
     are one node if their vectors are equal; a null id is greater than all others.
 
-    For each length there are an eighth of the root of the number of different vectors of cells, up to
+    For each length there are half the root of the number of different vectors of cells, up to
     `most_cells`, fitted on its share of `sample_rows` vectors, the least by a hash. A kept row stands for its group.
     """
     spark = vectors.sparkSession
@@ -145,28 +299,38 @@ def near_duplicates(
     if many:
         fitted = {}
         for n, count in many.items():
-            cells = min(most_cells, max(1, round(math.sqrt(count) / 8)))
+            cells = min(most_cells, max(1, round(math.sqrt(count) / 2)))
             if cells > 1:
                 share = max(cells, round(sample_rows * count / sum(many.values())))
-                sample = distinct.where(F.size("__v") == n).orderBy(F.xxhash64("__node"), "__node").limit(share).select("__v").toPandas()["__v"]
+                # the least by a hash are among these, so no task has to order all vectors
+                least = distinct.where((F.size("__v") == n) & (F.xxhash64("__node") <= min((1 << 63) - 1, int(2.0**65 * (share + 1000) / count) - (1 << 63))))
+                sample = least.orderBy(F.xxhash64("__node"), "__node").limit(share).select("__v").toPandas()["__v"]
                 fitted[n] = fit_centroids(_unit(np.array(sample.tolist())), cells)
         centroids = spark.sparkContext.broadcast(fitted)
+        members: dict[int, dict[int, int]] = {n: {} for n in many}
+        counted = distinct.mapInArrow(partial(_assign, centroids=centroids), "length int, cell int, members long")
+        for r in counted.groupBy("length", "cell").agg(F.sum("members").alias("members")).collect():
+            members[r["length"]][r["cell"]] = r["members"]
+        layout, block = {}, 0
+        for n, count in many.items():
+            c = fitted.get(n)
+            most = max(1, min(BLOCK, BLOCK_BYTES // (4 * n), max(LEAST, -(-count // SPREAD))))
+            begin, pieces, block = _packed([0] if c is None else _chain(c), members[n], most, block)
+            layout[n] = c, begin, pieces
+        layout = spark.sparkContext.broadcast(layout)
         kind = vectors.schema[vector].dataType.simpleString()
-        schema = f"node long, copies long, vector {kind}, length int, cell int, visits array<int>"
-        assigned = stored(distinct.mapInArrow(partial(_assign, centroids=centroids, threshold=threshold), schema), "cells")
-        members = assigned.groupBy("length", "cell").agg(F.count(F.lit(1)).alias("members"))
-        visitors = assigned.select("length", F.explode("visits").alias("cell")).groupBy("length", "cell").agg(F.count(F.lit(1)).alias("visitors"))
-        sizes = members.join(visitors, ["length", "cell"]).select(
-            "length", "cell", F.ceil(F.col("members") / BLOCK).cast("int").alias("m"), F.ceil(F.col("visitors") / BLOCK).cast("int").alias("v"))
-        inside = assigned.select("node", "copies", "vector", "length", "cell").join(sizes, ["length", "cell"]).select(
-            "node", "copies", "vector", "length", "cell", F.lit(True).alias("member"), F.pmod("node", "m").cast("int").alias("mine"),
-            F.explode(F.sequence(F.lit(0), F.col("v") - 1)).alias("theirs"))
-        outside = assigned.select("node", "copies", "vector", "length", F.explode("visits").alias("cell")).join(sizes, ["length", "cell"]).select(
-            "node", "copies", "vector", "length", "cell", F.lit(False).alias("member"),
-            F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("mine"), F.pmod("node", "v").cast("int").alias("theirs"))
-        blocks = inside.unionByName(outside)
-        found = blocks.groupBy("length", "cell", "mine", "theirs").applyInArrow(lambda t: _link(t, threshold), "node long, links long, other long")
-        found = stored(found, "links")
+        schema = f"node long, copies long, vector {kind}, length int, cell int, mine int, blocks array<int>"
+        dealt = distinct.mapInArrow(partial(_deal, layout=layout, threshold=threshold), schema)
+        pairs = dealt.select("node", "copies", "vector", "length", "cell", "mine", F.explode("blocks").alias("__other")).select(
+            "node", "copies", "vector", "length", "cell", "mine", F.least("mine", "__other").alias("low"), F.greatest("mine", "__other").alias("high"))
+
+        def link(table):
+            try:
+                return _link(table, centroids.value, threshold)
+            finally:
+                texts.release()
+
+        found = stored(pairs.groupBy("low", "high").applyInArrow(link, "node long, links long, other long"), "links")
         links = found.where("other is null").groupBy(F.col("node").alias("__n")).agg(F.sum("links").alias("__links"))
         whole = components(found.where("other is not null and other != node").select("node", "other")).toDF("__m", "__c")
     else:

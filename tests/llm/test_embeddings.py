@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cohortwise.llm import embeddings
@@ -78,3 +79,50 @@ def test_vectors_of_several_lengths(spark):
         assert sum(w[1] for w in want[-n:]) > 10
     rows += [(5000, [2.0]), (5001, [5.0]), (5002, [1.0] * 7)]
     assert run(spark, rows) == sorted([*want, (5000, 1, 5000, True), (5001, 1, 5000, False), (5002, 0, 5002, True)])
+
+
+def test_cosines_close_to_the_threshold_are_decided_in_double_precision():
+    rng = np.random.default_rng(6)
+    vectors = []
+    for i in range(200):
+        a, b = rng.normal(size=(2, 48))
+        a /= np.linalg.norm(a)
+        b -= a * (a @ b)
+        t = 0.95 + (i % 2 * 2 - 1) * 1e-9
+        vectors += [a * 3, (t * a + np.sqrt(1 - t * t) * b / np.linalg.norm(b)) * 0.5]
+    linker = embeddings._Linker(pa.chunked_array([pa.array(vectors[:150]), pa.array(vectors[150:])]), np.ones(400), 0.95)
+    linker.multiply(np.arange(400), np.arange(400), True)
+    assert linker.links.tolist() == [0, 0, 1, 1] * 100
+    assert linker.forest().tolist() == [x for i in range(0, 400, 4) for x in (i, i + 1, i + 2, i + 2)]
+
+
+def test_structureless_vectors_go_to_each_pair_of_blocks_once():
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(3000, 24))
+    c = embeddings.fit_centroids(embeddings._unit(x), 30)
+    cell = (embeddings._unit(x) @ c.T).argmax(axis=1)
+    begin, pieces, blocks = embeddings._packed(embeddings._chain(c), dict(enumerate(np.bincount(cell, minlength=30).tolist())), 700, 0)
+
+    class Layout:
+        value = {24: (c, begin, pieces)}
+
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(3000)), pa.array(np.ones(3000, np.int64)), pa.array(x.tolist())], ["node", "copies", "vector"])
+    dealt = pa.Table.from_batches(embeddings._deal([batch], Layout, 0.95))
+    assert blocks <= 7 and set(dealt.column("cell").to_pylist()) == set(range(30))
+    assert np.bincount(dealt.column("mine")).max() <= 700
+    # each is sent to each visited cell before, and for each of those to all blocks of its members
+    assert max(len(set(b)) for b in dealt.column("blocks").to_pylist()) == max(map(len, dealt.column("blocks").to_pylist())) <= blocks
+    assert all(m in b for m, b in zip(dealt.column("mine").to_pylist(), dealt.column("blocks").to_pylist()))
+
+
+@pytest.mark.parametrize("d", [20, 64])
+def test_blocks_and_tiles_like_brute_force(monkeypatch, d):
+    monkeypatch.setattr(embeddings, "TILE", 37)
+    x = cloud(d, 400, d).astype(float)
+    want = brute(list(range(len(x))), x.tolist())
+    linker = embeddings._Linker(pa.chunked_array([pa.array(x.tolist())]), np.ones(len(x)), 0.95)
+    rows = np.random.default_rng(8).permutation(len(x))
+    for a, b, same in ((rows[:150], rows[:150], True), (rows[:150], rows[150:], False), (rows[150:], rows[150:], True)):
+        linker.multiply(a, b, same)
+    assert [(i, int(n), int(r), i == r) for i, (n, r) in enumerate(zip(linker.links, linker.forest()))] == want
+    assert sum(w[1] for w in want) > 100
